@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from accessgraph.plans import access, checks  # noqa: F401
+from accessgraph.plans import access, checks, names  # noqa: F401

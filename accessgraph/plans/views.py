@@ -159,6 +159,16 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 60 = 9 THEN NULL ELSE -74.0 + CAST((p_partkey * 37) % 6000 AS DOUBLE) / 100.0 END AS lon,
                59.0 + CAST((p_partkey * 53) % 2400 AS DOUBLE) / 100.0 AS lat
         FROM part""",
+    "v_features": """
+        SELECT record_id, replace(replace(trim(gid), '{', ''), '}', '') AS global_id, trim(official_raw) AS official_name,
+               nullif(trim(danish_raw), '') AS danish_name, nullif(trim(old_raw), '') AS old_official_name,
+               CAST(type_code AS INT) AS type_code, CAST(municipality_code AS INT) AS municipality_code,
+               lon AS longitude, lat AS latitude
+        FROM v_register WHERE trim(official_raw) <> '' AND lon IS NOT NULL""",
+    "v_name_queries": """
+        SELECT s_suppkey AS query_id, CASE s_suppkey % 5 WHEN 0 THEN ' ' || upper(p_name) || ' 3' WHEN 1 THEN substr(p_name, 1, 5)
+               WHEN 2 THEN substr(p_name, 4, 6) WHEN 3 THEN replace(p_name, 'e', '') || ' 1' ELSE p_name || 'en' END AS q
+        FROM supplier JOIN part ON p_partkey = s_suppkey * 3""",
     "v_points": """
         SELECT 'trip_' || CAST(user_id AS STRING) AS trip_id,
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS sequence,
