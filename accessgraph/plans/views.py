@@ -177,10 +177,18 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 23 = 0 THEN NULL ELSE value END AS accuracy,
                ts AS recorded_at, event_type, event_id, user_id
         FROM events""",
-    "v_squares": """
-        SELECT n_nationkey AS polygon_id, -73.0 + n_nationkey * 2.4 AS west, 60.0 + (n_nationkey % 5) * 4.0 AS south,
-               -73.0 + n_nationkey * 2.4 + 2.05 AS east, 60.0 + (n_nationkey % 5) * 4.0 + 2.55 AS north
-        FROM nation""",
+    "v_land": """
+        SELECT s_suppkey AS polygon_id, -74.0 + CAST((s_suppkey * 137) % 5900 AS DOUBLE) / 100.0 AS w,
+               59.0 + CAST((s_suppkey * 71) % 2350 AS DOUBLE) / 100.0 AS s
+        FROM supplier""",
+    "v_land_edges": """
+        SELECT polygon_id, 0 AS ring, w + 1.2 AS x1, s AS y1, w AS x2, s + 0.1 AS y2 FROM v_land
+        UNION ALL SELECT polygon_id, 0, w + 1.1, s + 0.8, w + 1.2, s FROM v_land
+        UNION ALL SELECT polygon_id, 0, w + 0.2, s + 0.9, w + 1.1, s + 0.8 FROM v_land
+        UNION ALL SELECT polygon_id, 0, w, s + 0.1, w + 0.2, s + 0.9 FROM v_land
+        UNION ALL SELECT polygon_id, 1, w + 0.7, s + 0.24, w + 0.4, s + 0.3 FROM v_land
+        UNION ALL SELECT polygon_id, 1, w + 0.8, s + 0.6, w + 0.7, s + 0.24 FROM v_land
+        UNION ALL SELECT polygon_id, 1, w + 0.4, s + 0.3, w + 0.8, s + 0.6 FROM v_land""",
 }
 
 

@@ -1,0 +1 @@
+"""Structured Streaming forms of the track, tile and condition operators."""
