@@ -62,8 +62,8 @@ SQL_HOPS = f"""SELECT *, lag(sequence) OVER w AS pseq, lag(latitude) OVER w AS p
 
 
 def sql_haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return f"""2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians({lat2} - {lat1}) / 2) ** 2
-        + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2)))"""
+    return f"""2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians(({lat2}) - ({lat1})) / 2) ** 2
+        + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians(({lon2}) - ({lon1})) / 2) ** 2)))"""
 
 
 SQL_METRES = f"CASE WHEN pq <> 'rejected' AND q <> 'rejected' THEN {sql_haversine('plat', 'plon', 'latitude', 'longitude')} END"
