@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from accessgraph.plans import access, checks, movement, names, terrain  # noqa: F401
+from accessgraph.plans import access, checks, movement, names, storage, terrain  # noqa: F401
