@@ -557,17 +557,23 @@ def _rows(spark, sf) -> int:
     return base(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
 
 
+SQL_LINE_SAMPLES = f"""SELECT record_id, pos, x1 + (x2 - x1) * t AS longitude, y1 + (y2 - y1) * t AS latitude FROM (
+      SELECT record_id, pos, longitude + xs[h + 1] AS x1, longitude + xs[h + 2] AS x2, latitude + ys[h + 1] AS y1, latitude + ys[h + 2] AS y2, pos - h AS t
+      FROM (SELECT *, least(3, CAST(floor(pos) AS INT)) AS h, {[c[0] for c in STAIR]}::DOUBLE[] AS xs, {[c[1] for c in STAIR]}::DOUBLE[] AS ys
+            FROM v_features, (SELECT unnest(range(0, 17)) / 4.0::DOUBLE AS pos)))"""
+
+
 @query(
     "j18_clip_audit",
-    f"""WITH s AS (SELECT record_id, pos, longitude + (CASE WHEN pos = 4 THEN 1.2 ELSE xs[h + 1] + (xs[h + 2] - xs[h + 1]) * t END) AS longitude,
-            latitude + (CASE WHEN pos = 4 THEN 0.5 ELSE ys[h + 1] + (ys[h + 2] - ys[h + 1]) * t END) AS latitude
-          FROM (SELECT *, CAST(floor(pos) AS INT) AS h, pos - floor(pos) AS t, {[c[0] for c in STAIR]}::DOUBLE[] AS xs, {[c[1] for c in STAIR]}::DOUBLE[] AS ys
-                FROM v_features, (SELECT unnest(range(0, 17)) / 4.0 AS pos)))
-        SELECT record_id AS contour_id, count(*) AS bad FROM (SELECT DISTINCT record_id, pos FROM ({sql_land('SELECT * FROM s', 'record_id, pos')})) GROUP BY record_id""",
+    f"""WITH s AS MATERIALIZED ({SQL_LINE_SAMPLES}), wet AS MATERIALIZED ({sql_land('SELECT * FROM s', 'record_id, pos')}),
+          near AS (SELECT record_id, pos, min({SQL_EDGE_DISTANCE}) AS d FROM (SELECT p.*, e.*, least(1, greatest(0, ((longitude - x1) * (x2 - x1) + (latitude - y1) * (y2 - y1))
+                / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM (SELECT s.* FROM s JOIN wet ON wet.record_id = s.record_id AND wet.pos = s.pos) p, v_land_edges e)
+              GROUP BY record_id, pos)
+        SELECT record_id AS contour_id, count(*) AS bad FROM near WHERE d > 600.0 / 111320.0 GROUP BY record_id""",
 )
 def _(spark, sf):
     contours = _paths(spark, sf).withColumnRenamed("path_id", "contour_id")
-    bad = grids.clip_audit(contours, _land(spark, sf), epsilon_m=0.0)
+    bad = grids.clip_audit(contours, _land(spark, sf), epsilon_m=600.0)
     return bad.groupBy("contour_id").agg(F.count("*").alias("bad"))
 
 
