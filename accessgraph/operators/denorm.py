@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import ChainMap
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,29 +65,25 @@ def canonical_names(names: DataFrame) -> DataFrame:
     )
 
 
-def assign_slugs(places: DataFrame, names: DataFrame) -> DataFrame:
-    """Slug per live place; later holders of one name, in id order, get -2, -3 and so on.
+def with_slugs(named: DataFrame) -> DataFrame:
+    """Add ``slug`` to rows (id, value, ...); later holders of one name, in id order, get -2, -3 and so on.
 
     The numbering works on id-prefix groups, so a name shared by a large part
     of the table is not sorted by one task.
     """
+    has_name = F.coalesce(F.length("value"), F.lit(0)) > 0
+    based = named.withColumn("base", F.when(has_name, slug_base(F.col("value"))).otherwise(F.col("id")))
+    counted = numbered(based, ["base"], ["id"], F.substring("id", 1, 8), "_n")
+    again = F.concat_ws("-", "base", F.col("_n").cast("string"))
+    return counted.withColumn("slug", F.when(F.col("_n") == 1, F.col("base")).otherwise(again)).drop("_n")
+
+
+def assign_slugs(places: DataFrame, names: DataFrame) -> DataFrame:
+    """Slug per live place."""
     named = not_retired(places).select("id").join(
         canonical_names(names).select(F.col("place_id").alias("id"), F.col("name.value").alias("value")), "id", "left"
     )
-    based = named.select(
-        "id",
-        F.when(F.coalesce(F.length("value"), F.lit(0)) > 0, slug_base(F.col("value")))
-        .otherwise(F.col("id"))
-        .alias("base"),
-    )
-    counted = numbered(based, ["base"], ["id"], F.substring("id", 1, 8), "n")
-    return counted.select(
-        "id",
-        "base",
-        F.when(F.col("n") == 1, F.col("base"))
-        .otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
-        .alias("slug"),
-    )
+    return with_slugs(named).select("id", "base", "slug")
 
 
 def current_places(t: Tables) -> DataFrame:
@@ -141,13 +138,42 @@ def current_connections(t: Tables) -> DataFrame:
     return live.join(services, "id", "left")
 
 
-def denorm_places(t: Tables) -> DataFrame:
-    """One nested record per live place (more ``part`` rows only for very crowded places)."""
-    no_refs = F.array().cast(t["places"].schema["source_refs"].dataType)
-    marked = split_names(t["place_names"])
-    alternates = nested_rows(
-        marked.where(~F.col("is_canonical")),
-        ["place_id"],
+def place_singles(t: Tables) -> DataFrame:
+    """One row per live place: canonical name, classification, point and newest observation.
+
+    The four tables are stacked and folded by place in one shuffle; every fold
+    keeps one value, so crowded places combine before they travel.
+    """
+
+    def stacked(table: str, kind: str, body: Column) -> DataFrame:
+        return current(t[table]).select("place_id", F.col("observed_at").alias("seen"), body.alias(kind))
+
+    official = F.when(is_canonical(), F.struct("id", "value", "valid_from", "valid_to", "source_refs"))
+    parts = [
+        not_retired(t["places"]).select(F.col("id").alias("place_id"), F.struct("status", "created_at").alias("place")),
+        stacked("place_names", "name", official),
+        stacked("place_classifications", "class", F.struct("id", "feature_type", "source_refs")),
+        stacked("place_geometries", "point", F.struct("id", "geometry", "valid_from", "valid_to", "source_refs")),
+        current(t["administrative_memberships"]).select("place_id", F.col("observed_at").alias("seen")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return (
+        rows.groupBy("place_id")
+        .agg(
+            F.max("place").alias("place"),
+            F.min_by("name", F.col("name.id")).alias("name"),
+            F.max_by("class", F.col("class.id")).alias("class"),
+            F.max_by("point", F.col("point.id")).alias("point"),
+            F.max("seen").alias("seen"),
+        )
+        .where(F.col("place").isNotNull())
+    )
+
+
+def place_lists(t: Tables) -> DataFrame:
+    """Rows (place_id, part, names, memberships) with the sorted current names and memberships of places."""
+    names = current(t["place_names"]).select(
+        "place_id",
         F.struct(
             F.col("id").alias("assertion_id"),
             "value",
@@ -156,67 +182,51 @@ def denorm_places(t: Tables) -> DataFrame:
             "valid_from",
             "valid_to",
             "source_refs",
-        ),
-        "alternate_names",
+        ).alias("name"),
     )
-    members = current(t["administrative_memberships"]).join(
-        t["administrative_areas"].select(F.col("id").alias("administrative_area_id"), "name", "level"),
-        "administrative_area_id",
-        "left",
+    areas = t["administrative_areas"].select(F.col("id").alias("administrative_area_id"), "name", "level")
+    members = (
+        current(t["administrative_memberships"])
+        .join(areas, "administrative_area_id", "left")
+        .select(
+            "place_id",
+            F.struct(
+                F.col("id").alias("assertion_id"),
+                F.coalesce("level", F.lit("")).alias("level"),
+                F.coalesce("name", F.lit("")).alias("name"),
+                "valid_from",
+                "valid_to",
+                "source_refs",
+                "observed_at",
+            ).alias("membership"),
+        )
     )
-    memberships = nested_rows(
-        members,
-        ["place_id"],
-        F.struct(
-            F.col("id").alias("assertion_id"),
-            F.coalesce("level", F.lit("")).alias("level"),
-            F.coalesce("name", F.lit("")).alias("name"),
-            "valid_from",
-            "valid_to",
-            "source_refs",
-            "observed_at",
-        ),
-        "administrative_memberships",
+    rows = names.unionByName(members, allowMissingColumns=True)
+    lists = nested_rows(rows, ["place_id"], F.struct("name", "membership"), "_items")
+    pick = lambda field: F.transform(F.filter("_items", lambda i: i[field].isNotNull()), lambda i: i[field])
+    return lists.select("place_id", "part", pick("name").alias("names"), pick("membership").alias("memberships"))
+
+
+def denorm_places(t: Tables) -> DataFrame:
+    """One nested record per live place (more ``part`` rows only for very crowded places)."""
+    no_refs = F.array().cast(t["places"].schema["source_refs"].dataType)
+    lists = place_lists(t)
+    singles = with_slugs(
+        place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value"))
+    )
+    joined = singles.join(lists, "place_id", "left")
+    empty = lambda column: F.array().cast(lists.schema[column].dataType)
+    others = F.filter("names", lambda n: ~n["assertion_id"].eqNullSafe(F.col("name.id")))
+    coordinates = F.struct(
+        F.col("point.id").alias("assertion_id"),
+        F.col("point.geometry.coordinates")[1].alias("latitude"),
+        F.col("point.geometry.coordinates")[0].alias("longitude"),
+        F.col("point.valid_from").alias("valid_from"),
+        F.col("point.valid_to").alias("valid_to"),
+        F.col("point.source_refs").alias("source_refs"),
     )
-    classes = last_by_id(
-        current(t["place_classifications"]).withColumnRenamed("source_refs", "classification_source_refs"),
-        ["place_id"],
-        ["feature_type", "classification_source_refs", "observed_at"],
-    ).withColumnRenamed("observed_at", "classification_observed_at")
-    points = last_by_id(
-        current(t["place_geometries"]).withColumn("assertion_id", F.col("id")),
-        ["place_id"],
-        ["assertion_id", "geometry", "valid_from", "valid_to", "source_refs", "observed_at"],
-    ).select(
-        "place_id",
-        F.struct(
-            "assertion_id",
-            F.col("geometry.coordinates")[1].alias("latitude"),
-            F.col("geometry.coordinates")[0].alias("longitude"),
-            "valid_from",
-            "valid_to",
-            "source_refs",
-        ).alias("coordinates"),
-        F.col("observed_at").alias("point_observed_at"),
-    )
-    name_dates = current(t["place_names"]).groupBy("place_id").agg(F.max("observed_at").alias("names_observed_at"))
-    member_dates = members.groupBy("place_id").agg(F.max("observed_at").alias("members_observed_at"))
-    official = canonical_names(t["place_names"])
-    base = (
-        not_retired(t["places"])
-        .select("id", "status", "created_at")
-        .join(assign_slugs(t["places"], t["place_names"]).select("id", "slug"), "id")
-        .withColumnRenamed("id", "place_id")
-    )
-    for side in (official, classes, points, name_dates, member_dates):
-        base = base.join(side, "place_id", "left")
-    # Crowded places get their extra parts as further rows.
-    lists = alternates.join(memberships, ["place_id", "part"], "full")
-    joined = base.join(lists, "place_id", "left")
-    empty_names = F.array().cast(alternates.schema["alternate_names"].dataType)
-    empty_members = F.array().cast(memberships.schema["administrative_memberships"].dataType)
     return joined.select(
-        F.col("place_id").alias("id"),
+        "id",
         F.coalesce("part", F.lit(0)).alias("part"),
         "slug",
         F.struct(
@@ -227,19 +237,14 @@ def denorm_places(t: Tables) -> DataFrame:
             F.col("name.valid_to").alias("valid_to"),
             F.coalesce("name.source_refs", no_refs).alias("source_refs"),
         ).alias("canonical_name"),
-        F.coalesce("alternate_names", empty_names).alias("alternate_names"),
-        "coordinates",
-        F.coalesce("feature_type", F.lit("")).alias("feature_type"),
-        "status",
-        F.coalesce("classification_source_refs", no_refs).alias("classification_source_refs"),
-        F.coalesce("administrative_memberships", empty_members).alias("administrative_memberships"),
+        F.coalesce(others, empty("names")).alias("alternate_names"),
+        F.when(F.col("point").isNotNull(), coordinates).alias("coordinates"),
+        F.coalesce("class.feature_type", F.lit("")).alias("feature_type"),
+        F.col("place.status").alias("status"),
+        F.coalesce("class.source_refs", no_refs).alias("classification_source_refs"),
+        F.coalesce("memberships", empty("memberships")).alias("administrative_memberships"),
         F.coalesce("name.source_refs", no_refs).alias("source_refs"),
-        F.coalesce(
-            F.greatest(
-                "names_observed_at", "members_observed_at", "classification_observed_at", "point_observed_at"
-            ),
-            "created_at",
-        ).alias("updated_at"),
+        F.coalesce("seen", F.col("place.created_at")).alias("updated_at"),
     )
 
 

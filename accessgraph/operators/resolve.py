@@ -44,7 +44,8 @@ def named_candidates(t: Tables, requests: DataFrame, today: str | date | Column)
     by_name = _evidence(exact, EXACT_NAME, "official_name_exact")
 
     rest = asked.join(exact, "request_id", "left_anti")
-    partial = substring_pairs(names, rest).select("request_id", "place_id").distinct()
+    pairs = substring_pairs(names, rest)
+    partial = rest.join(pairs, "q").join(names, "text").select("request_id", "place_id").distinct()
     # Ten is the feature; the smallest ids are kept, cut per partition first.
     first = Window.partitionBy("request_id").orderBy("place_id")
     few = partial.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_PARTIAL)
@@ -69,7 +70,8 @@ def municipality_hints(t: Tables, requests: DataFrame, by_code: DataFrame | None
         return asked.join(by_code, "municipality_code").select("request_id", "municipality_id").distinct()
     areas = t["administrative_areas"].select(F.col("id").alias("municipality_id"), F.col("name").alias("text"))
     codes = asked.select("request_id", F.col("municipality_code").cast("string").alias("q"))
-    return substring_pairs(areas, codes).select("request_id", "municipality_id").distinct()
+    pairs = substring_pairs(areas, codes)
+    return codes.join(pairs, "q").join(areas, "text").select("request_id", "municipality_id").distinct()
 
 
 def hinted_places(t: Tables) -> DataFrame:

@@ -20,39 +20,35 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 # --- substring joins ------------------------------------------------------------
 
 
-def substring_pairs(texts: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "q") -> DataFrame:
-    """All (text row, query row) where the text contains the query.
+def substring_pairs(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """Distinct (text, q) where a ``text`` value contains a ``q`` value.
 
-    Each query is looked up by its rarest three-letter piece (or by itself when
-    shorter), so the join is an equality join on a selective key; the containment
-    test runs on what is left.
+    Repeated texts and queries count once. Each query is looked up by its rarest
+    three-letter piece (or by itself when shorter), so the join is an equality
+    join on a selective key; the containment test runs on what is left.
     """
-    size = F.least(F.length(query_col), F.lit(3))
-    pieces = (
-        queries.where(F.length(query_col) > 0)
-        .select(F.col(query_col), size.alias("_n"))
-        .distinct()
-        .withColumn(
-            "_gram",
-            F.explode(
-                F.when(F.col("_n") == 3, text.grams(F.col(query_col), 3)).otherwise(F.array(F.col(query_col)))
-            ),
-        )
+    size = F.least(F.length("q"), F.lit(3))
+    asked = queries.select("q").distinct().where(F.length("q") > 0)
+    pieces = asked.select(
+        "q", F.explode(F.when(size == 3, text.grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("_gram")
     )
-    sizes = F.array_distinct(
-        F.concat(*[text.grams(F.col(text_col), n) for n in (1, 2, 3)])
+    # Pieces of a size that no query needs are not made.
+    used = asked.agg(F.collect_set(size)).scalar()
+    empty = F.array().cast("array<string>")
+    made = F.concat(
+        *[F.when(F.array_contains("_used", F.lit(n)), text.grams(F.col("text"), n)).otherwise(empty) for n in (1, 2, 3)]
     )
-    spread = texts.withColumn("_gram", F.explode(sizes))
-    wanted = pieces.select("_gram").distinct()
-    known = spread.join(wanted, "_gram", "left_semi")
+    spread = (
+        texts.select("text").distinct().withColumn("_used", used).select("text", F.explode(made).alias("_gram"))
+    )
+    known = spread.join(pieces.select("_gram").distinct(), "_gram", "left_semi")
     frequency = known.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
         pieces.join(frequency, "_gram", "left")
-        .groupBy(query_col)
+        .groupBy("q")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), F.col("_gram"))).alias("_gram"))
     )
-    keyed = queries.join(rarest, query_col)
-    return known.join(keyed, "_gram").where(F.contains(F.col(text_col), F.col(query_col))).drop("_gram")
+    return known.join(rarest, "_gram").where(F.contains("text", F.col("q"))).select("text", "q")
 
 
 # --- register search ------------------------------------------------------------
@@ -233,16 +229,22 @@ def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = 12) -
     )
     carried = ["query_id", "global_id", "importance", "_size", "_bonus"]
 
-    matched = substring_pairs(rows, asked).withColumn("_hit", field_score(F.col("text"), F.col("q")))
-    direct = matched.groupBy(*carried).agg(
-        F.max(
-            F.struct(
-                (F.col("_hit.score") * F.col("weight")).alias("score"),
-                (-F.col("order")).alias("order"),
-                F.col("_hit.match").alias("match"),
-                F.col("field"),
-            )
-        ).alias("_best")
+    # Scores belong to distinct (text, query) values; rows join them afterwards.
+    pairs = substring_pairs(rows, asked).withColumn("_hit", field_score(F.col("text"), F.col("q")))
+    direct = (
+        rows.join(pairs, "text")
+        .join(asked, "q")
+        .groupBy(*carried)
+        .agg(
+            F.max(
+                F.struct(
+                    (F.col("_hit.score") * F.col("weight")).alias("score"),
+                    (-F.col("order")).alias("order"),
+                    F.col("_hit.match").alias("match"),
+                    F.col("field"),
+                )
+            ).alias("_best")
+        )
     )
 
     depth = lambda column: F.when(F.length(column) <= 8, text.dropped_forms(F.col(column), 2)).otherwise(
@@ -250,12 +252,20 @@ def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = 12) -
     )
     short = rows.where(
         F.col("is_locality") & F.col("field").isin("official", "danish") & (F.length("text") <= FUZZY_FIELD)
-    ).withColumn("_form", F.explode(depth("text")))
-    loose = asked.where(F.length("q").between(*FUZZY_QUERY)).withColumn("_form", F.explode(depth("q")))
-    near = (
-        short.join(loose, "_form")
+    )
+    loose = asked.where(F.length("q").between(*FUZZY_QUERY))
+    forms = short.select("text").distinct().select("text", F.explode(depth("text")).alias("_form"))
+    asked_forms = loose.select("q").distinct().select("q", F.explode(depth("q")).alias("_form"))
+    close = (
+        forms.join(asked_forms, "_form")
+        .select("text", "q")
+        .distinct()
         .withColumn("score", locality_fuzzy(F.col("text"), F.col("q")))
         .where(F.col("score").isNotNull())
+    )
+    near = (
+        short.join(close, "text")
+        .join(loose, "q")
         .join(direct.select("query_id", "global_id"), ["query_id", "global_id"], "left_anti")
         .groupBy(*carried)
         .agg(

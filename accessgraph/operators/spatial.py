@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,13 +227,14 @@ def straight_routes(pairs: DataFrame, warning: str = "Straight preview") -> Data
 # --- nearest water and distance to land ---------------------------------------------
 
 
-def ring_samples(points: DataFrame, first: int, last: int, step: float = WATER_STEP_DEG) -> DataFrame:
+def ring_samples(points: DataFrame, first: Column, last: Column, step: float = WATER_STEP_DEG) -> DataFrame:
     """Samples on the rings ``first`` to ``last`` around each point."""
     radius = F.col("_ring") * F.lit(step)
     count = F.greatest(F.lit(12), F.ceil(F.lit(2 * math.pi) * F.col("_ring")).cast("int"))
     angle = F.col("_k") / F.col("_count") * F.lit(2 * math.pi)
     return (
-        points.withColumn("_ring", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        points.where(first <= last)
+        .withColumn("_ring", F.explode(F.sequence(first, last)))
         .withColumn("_count", count)
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
         .withColumn("_lon", F.col("longitude") + F.cos(angle) * radius)
@@ -241,39 +243,67 @@ def ring_samples(points: DataFrame, first: int, last: int, step: float = WATER_S
     )
 
 
+def depth_inside(points: DataFrame, index: DataFrame, edges: DataFrame, key: str, reach: float) -> DataFrame:
+    """(key, depth): how far a point on land is from the outline of the polygon it is deepest in.
+
+    Nothing within ``depth`` is water. Depths beyond ``reach`` are given as ``reach``.
+    """
+    x, y = F.col("longitude"), F.col("latitude")
+    keyed = points.select(key, "longitude", "latitude", geo.cell(x, CELL_DEG).alias("_cx"), geo.cell(y, CELL_DEG).alias("_cy"))
+    held = keyed.join(index, _meets(index, x, y)).select(key, "longitude", "latitude", "polygon_id")
+    outline = _edge_cells(edges, reach)
+    near = _around(held, reach).join(outline, ["polygon_id", "_ex", "_ey"])
+    gaps = near.groupBy(key, "polygon_id").agg(F.min(_distance()).alias("_d"))
+    return (
+        held.select(key, "polygon_id")
+        .join(gaps, [key, "polygon_id"], "left")
+        .groupBy(key)
+        .agg(F.max(F.least(F.lit(reach), F.coalesce("_d", F.lit(reach)))).alias("depth"))
+    )
+
+
 def nearest_water(
     points: DataFrame,
-    index: DataFrame,
+    polygons: DataFrame,
     key: str = "point_id",
     step: float = WATER_STEP_DEG,
     radius: float = WATER_RADIUS_DEG,
-    stages: Sequence[int] = (3, 9, 20),
+    stages: Sequence[int] = (0, 2, 6, 14),
 ) -> DataFrame:
     """(key, water_lon, water_lat): the point itself on water, else the first sample of the innermost ring with water.
 
-    Rings are tried in stages, and a point leaves as soon as it has found water.
+    A point starts at the first ring that can leave the polygon it is deepest
+    in. Rings are tried in stages from there, and a point that found water
+    takes no part in the next stage.
     """
     rings = int(math.floor(radius / step + 1e-9))
+    index = cut_lineage(index_polygons(polygons))
     spots = points.select(key, "longitude", "latitude")
     wet = points_on_land(spots, index, off=True).select(
         key, F.col("longitude").alias("water_lon"), F.col("latitude").alias("water_lat")
     )
-    found, left = [wet], cut_lineage(points_on_land(spots, index))
-    bounds = [0, *[s for s in stages if s < rings], rings]
-    for inner, outer in zip(bounds, bounds[1:]):
-        samples = ring_samples(left, inner + 1, outer, step)
-        wet_samples = points_on_land(samples, index, "_lon", "_lat", off=True)
-        hit = wet_samples.groupBy(key).agg(
-            F.min_by(F.struct("_lon", "_lat"), F.struct("_ring", "_k")).alias("_w")
-        ).select(key, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
-        hit = cut_lineage(hit)
+    depths = depth_inside(spots, index, polygon_edges(polygons), key, radius)
+    # One ring of slack keeps rounding of the depth from skipping a ring.
+    start = F.greatest(F.lit(1), F.floor(F.col("depth") / F.lit(step)).cast("int"))
+    left = cut_lineage(spots.join(depths, key).withColumn("_start", start).drop("depth"))
+    found = [wet]
+    bounds = [*stages, rings]
+    for i, outer in enumerate(bounds):
+        inner = 0 if i == 0 else bounds[i - 1] + 1
+        last = F.least(F.col("_start") + outer, F.lit(rings))
+        samples = ring_samples(left, F.col("_start") + inner, last, step)
+        hit = cut_lineage(
+            points_on_land(samples, index, "_lon", "_lat", off=True)
+            .groupBy(key)
+            .agg(F.min_by(F.struct("_lon", "_lat"), F.struct("_ring", "_k")).alias("_w"))
+            .select(key, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
+        )
         found.append(hit)
-        left = left.join(hit.select(key), key, "left_anti")
+        left = cut_lineage(left.join(hit.select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
     dry = left.select(key, F.lit(None).cast("double").alias("water_lon"), F.lit(None).cast("double").alias("water_lat"))
-    out = dry
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, found, dry)
 
 
 def _edge_cells(edges: DataFrame, cell: float) -> DataFrame:
@@ -322,10 +352,7 @@ def distance_to_edges(points: DataFrame, edges: DataFrame, key: str, cell: float
         if last or left.isEmpty():
             break
         cell *= 4
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
 def offshore_localities(

@@ -332,7 +332,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame, grid: WaterGrid, key: str)
 
 
 def plan_routes(
-    pairs: DataFrame, grid: WaterGrid, cells: DataFrame, blocks: DataFrame, index: DataFrame, biases: Sequence[str] = BIASES
+    pairs: DataFrame, grid: WaterGrid, cells: DataFrame, blocks: DataFrame, polygons: DataFrame, biases: Sequence[str] = BIASES
 ) -> DataFrame:
     """Alternative water routes for pairs (od_id, from_lon, from_lat, to_lon, to_lat), shortest first.
 
@@ -343,7 +343,7 @@ def plan_routes(
         F.struct(F.lit(e).alias("end"), F.col(f"{e}_lon").alias("longitude"), F.col(f"{e}_lat").alias("latitude"))
         for e in ("from", "to")
     ])).alias("_e")).select(F.concat_ws("|", "od_id", "_e.end").alias("point_id"), "od_id", "_e.*")
-    shore = nearest_water(ends, index)
+    shore = nearest_water(ends, polygons)
     moved = ends.join(shore, "point_id").select(
         "point_id", "od_id", "end",
         F.coalesce("water_lon", "longitude").alias("longitude"), F.coalesce("water_lat", "latitude").alias("latitude"),

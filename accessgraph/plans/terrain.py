@@ -197,7 +197,7 @@ SQL_RINGS = f"""SELECT event_id, rg, i, longitude + cos(i / n * 2 * pi()) * (rg
         FROM ({SQL_SPOTS}) s LEFT JOIN land l ON l.event_id = s.event_id LEFT JOIN wet w ON w.event_id = s.event_id""",
 )
 def _(spark, sf):
-    found = spatial.nearest_water(_spots(spark, sf), _index(spark, sf), "event_id")
+    found = spatial.nearest_water(_spots(spark, sf), _land(spark, sf), "event_id")
     return found.select("event_id", F.round("water_lon", 6).alias("x"), F.round("water_lat", 6).alias("y"))
 
 
@@ -277,13 +277,13 @@ def _(spark, sf):
 def _sea(spark, sf):
     index = _index(spark, sf)
     cells = watergrid.cut_lineage(watergrid.water_cells(spark, SEA, index).select("row", "col"))
-    return index, cells, watergrid.cut_lineage(watergrid.grid_blocks(cells, watergrid.water_links(cells, SEA, index)))
+    return cells, watergrid.cut_lineage(watergrid.grid_blocks(cells, watergrid.water_links(cells, SEA, index)))
 
 
 @query("i16_water_cost_distance")
 def _(spark, sf):
-    """Cost from the snapped places of every tenth municipality row to all water cells they reach."""
-    _, cells, blocks = _sea(spark, sf)
+    """Cost from one snapped spot per nation to all water cells it reaches, among the land of all suppliers."""
+    cells, blocks = _sea(spark, sf)
     spots = base(spark, sf, "nation").select(
         F.col("n_nationkey").cast("string").alias("route_id"),
         (F.lit(-73.0) + F.col("n_nationkey") * 2.3).alias("longitude"),
@@ -302,12 +302,12 @@ def _(spark, sf):
 @query("i17_route_alternatives")
 def _(spark, sf):
     """Routes between the supplier polygons' corners and points two degrees on."""
-    index, cells, blocks = _sea(spark, sf)
+    cells, blocks = _sea(spark, sf)
     pairs = view(spark, sf, "v_land").select(
         F.col("polygon_id").cast("string").alias("od_id"), F.col("w").alias("from_lon"), F.col("s").alias("from_lat"),
         F.least(F.lit(-13.5), F.col("w") + 2.0).alias("to_lon"), (F.col("s") + 0.5).alias("to_lat"),
     )
-    routes = watergrid.plan_routes(pairs, SEA, cells, blocks, index)
+    routes = watergrid.plan_routes(pairs, SEA, cells, blocks, _land(spark, sf))
     return routes.select("od_id", "bias", F.round("distance_m", 1).alias("distance_m"), "cell_count", "mode")
 
 
