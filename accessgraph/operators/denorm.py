@@ -476,24 +476,21 @@ def season_label(seasonality: str = "seasonality") -> Column:
 def links_from(edges: DataFrame, place_id: str | None = None) -> DataFrame:
     """Links leaving a place: its own edges, and bidirectional edges from the far end.
 
-    Without ``place_id`` the links of all places are returned.
+    Without ``place_id`` the links of all places are returned. Both ends come
+    from one pass over the edges.
     """
+
+    def link(here: str, there: str) -> Column:
+        return F.struct(
+            F.col(f"{here}_place_id").alias("place_id"),
+            F.col(f"{there}_place_id").alias("other_place_id"),
+            F.col(f"{there}_name").alias("other_name"),
+        )
+
+    back = (F.col("direction") == "bidirectional") & (F.col("from_place_id") != F.col("to_place_id"))
+    ends = F.array_compact(F.array(link("from", "to"), F.when(back, link("to", "from"))))
     columns = ["id", "part", "mode", "services", "operator", "frequency_band", "seasonality"]
-    out = edges.select(
-        F.col("from_place_id").alias("place_id"),
-        F.col("to_place_id").alias("other_place_id"),
-        F.col("to_name").alias("other_name"),
-        *columns,
-    )
-    back = edges.where(
-        (F.col("direction") == "bidirectional") & (F.col("from_place_id") != F.col("to_place_id"))
-    ).select(
-        F.col("to_place_id").alias("place_id"),
-        F.col("from_place_id").alias("other_place_id"),
-        F.col("from_name").alias("other_name"),
-        *columns,
-    )
-    links = out.unionByName(back)
+    links = edges.select(F.explode(ends).alias("_l"), *columns).select("_l.*", *columns)
     if place_id is not None:
         links = links.where(F.col("place_id") == place_id)
     return links.withColumn("season_label", season_label())

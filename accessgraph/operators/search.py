@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from accessgraph.functions import text
 from accessgraph.operators.denorm import current_places
 from accessgraph.operators.temporal import Tables, current
+from accessgraph.session import cut_lineage
 
 MIN_QUERY, FUZZY_QUERY, FUZZY_FIELD = 2, (3, 12), 18
 # The searched fields with their weights, best first.
@@ -41,7 +42,8 @@ def substring_pairs(texts: DataFrame, queries: DataFrame) -> DataFrame:
     spread = (
         texts.select("text").distinct().withColumn("_used", used).select("text", F.explode(made).alias("_gram"))
     )
-    known = spread.join(pieces.select("_gram").distinct(), "_gram", "left_semi")
+    # Read twice below, and small beside the texts: only pieces that a query has.
+    known = cut_lineage(spread.join(pieces.select("_gram").distinct(), "_gram", "left_semi"))
     frequency = known.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
         pieces.join(frequency, "_gram", "left")

@@ -22,9 +22,13 @@ def plain(value):
     return str(value)
 
 
-def frame_rows(columns, rows):
+def exact(value):
+    return repr(value + 0.0) if isinstance(value, float) else repr(value)
+
+
+def frame_rows(columns, rows, form=plain):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    out = [tuple(plain(r[i]) for i in order) for r in rows]
+    out = [tuple(form(r[i]) for i in order) for r in rows]
     return [columns[i] for i in order], sorted(out, key=lambda t: tuple(("" if v is None else str(v)) for v in t))
 
 
@@ -40,11 +44,13 @@ def compare(spark, con, name, fn, sql, sf):
     got = fn(spark, sf)
     rows = got.collect()
     spent = time.time() - started
-    cols, left = frame_rows(got.columns, [tuple(r) for r in rows])
+    rows = [tuple(r) for r in rows]
+    cols, left = frame_rows(got.columns, rows)
     if sql is None:
         return None, f"{len(left)} rows, no SQL", spent
     cur = con.execute(sql)
-    want_cols, right = frame_rows([d[0] for d in cur.description], cur.fetchall())
+    names, wanted = [d[0] for d in cur.description], cur.fetchall()
+    want_cols, right = frame_rows(names, wanted)
     if cols != want_cols:
         return False, f"columns {cols} != {want_cols}", spent
     if len(left) != len(right):
@@ -52,7 +58,8 @@ def compare(spark, con, name, fn, sql, sf):
     bad = [(a, b) for a, b in zip(left, right) if a != b]
     if bad:
         return False, f"{len(bad)} of {len(left)} rows differ, e.g. {bad[0]}", spent
-    return True, f"{len(left)} rows", spent
+    same = frame_rows(got.columns, rows, exact)[1] == frame_rows(names, wanted, exact)[1]
+    return True, f"{len(left)} rows" + ("" if same else ", equal after rounding only"), spent
 
 
 if __name__ == "__main__":
