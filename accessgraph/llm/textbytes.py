@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SHINGLE = np.uint64(0xC2B2AE3D27D4EB4F)
+_SHINGLE = 0xC2B2AE3D27D4EB4F
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -111,14 +111,14 @@ def shingles(doc: np.ndarray, hashes: np.ndarray, size: int = 5) -> tuple[np.nda
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total, scale = hashes.copy(), np.uint64(1)
+    total, scale = hashes.copy(), 1
     whole = np.ones(n, bool)
     for j in range(1, size):
-        scale = scale * _SHINGLE
+        scale = scale * _SHINGLE % (1 << 64)
         same = np.zeros(n, bool)
         if j < n:
             same[: n - j] = doc[: n - j] == doc[j:]
-            total[: n - j] += np.where(same[: n - j], hashes[j:] * scale, np.uint64(0))
+            total[: n - j] += np.where(same[: n - j], hashes[j:] * np.uint64(scale), np.uint64(0))
         whole &= same
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accessgraph.llm.common import stored, table
 from accessgraph.llm.decontamination import without_leaks
 from accessgraph.llm.importance import resample
+from accessgraph.llm.near_dup import without_near_duplicates
 from accessgraph.llm.packing import pack
 from accessgraph.llm.secret_scan import scan
 
@@ -19,6 +20,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return resample(docs, table(spark, sf_dir, "labels")).select(*DOCUMENT)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near duplicates."""
+    return without_near_duplicates(docs).select(*DOCUMENT)
+
+
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -40,6 +46,7 @@ def fill_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", keep_quality),
+    ("minhash near-dedup", keep_one_of_each),
     ("benchmark decontamination", keep_untested),
     ("secret scans", hide_secrets),
     ("best-fit packing", fill_sequences),
