@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing this module fills its registry."""
 
-from accessgraph.llm import decontamination, importance, near_dup, packing, secret_scan  # noqa: F401
+from accessgraph.llm import decontamination, embedding_dup, importance, near_dup, packing, secret_scan  # noqa: F401
 from accessgraph.llm.common import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
