@@ -1,6 +1,15 @@
 """All queries of the subpackage; importing this module fills its registry."""
 
-from accessgraph.llm import decontamination, embedding_dup, html_text, importance, near_dup, packing, secret_scan  # noqa: F401
+from accessgraph.llm import (  # noqa: F401
+    decontamination,
+    embedding_dup,
+    html_text,
+    importance,
+    near_dup,
+    packing,
+    secret_scan,
+    token_files,
+)
 from accessgraph.llm.common import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
