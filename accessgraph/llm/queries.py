@@ -1,10 +1,12 @@
 """All queries of the subpackage; importing this module fills its registry."""
 
 from accessgraph.llm import (  # noqa: F401
+    chat,
     decontamination,
     embedding_dup,
     html_text,
     importance,
+    licences,
     near_dup,
     packing,
     secret_scan,
