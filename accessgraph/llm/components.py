@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.llm.common import discard, stored
 
 
+def roots_of(found: np.ndarray, same: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The least node that each row and column node reaches over a matrix of links.
+
+    Rows and columns are the same nodes if ``same``; else columns come after rows.
+    """
+    a, b = found.shape
+    r, c = np.nonzero(found)
+    left, right = np.arange(a), (np.arange(b) if same else np.arange(b) + a)
+    while True:
+        before = left.copy(), right.copy()
+        low = np.minimum(left[r], right[c])
+        np.minimum.at(left, r, low)
+        np.minimum.at(right, c, low)
+        if same:
+            left = right = np.minimum(left, right)
+        if (before[0] == left).all() and (before[1] == right).all():
+            return left, right
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of node and neighbours."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accessgraph.llm.common import query, stored, table
-from accessgraph.llm.components import components
+from accessgraph.llm.components import components, roots_of
 from accessgraph.llm.small_world import BLOCK, SmallWorld
 
 THRESHOLD = 0.93
@@ -127,22 +127,6 @@ def links_between(left: np.ndarray, right: np.ndarray, graph: SmallWorld, same:
     return found
 
 
-def _roots(found: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The least node that each left and right node reaches over the matrix; right nodes come after left ones."""
-    a, b = found.shape
-    r, c = np.nonzero(found)
-    left, right = np.arange(a), (np.arange(b) if same else np.arange(b) + a)
-    while True:
-        before = left.copy(), right.copy()
-        low = np.minimum(left[r], right[c])
-        np.minimum.at(left, r, low)
-        np.minimum.at(right, c, low)
-        if same:
-            left = right = np.minimum(left, right)
-        if (before[0] == left).all() and (before[1] == right).all():
-            return left, right
-
-
 def _compare(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +141,7 @@ def _compare(threshold: float):
                 found = links_between(unit[0], unit[1], graph, same, threshold)
                 copies = [np.array(cell[f"copies_{s}"].as_py(), np.int64) for s in "ab"]
                 keys = [cell[f"keys_{s}"].as_py() for s in "ab"]
-                left, right = _roots(found, same)
+                left, right = roots_of(found, same)
                 names = keys[0] if same else keys[0] + keys[1]
                 sides = [(keys[0], left, found, copies[1])]
                 if not same:

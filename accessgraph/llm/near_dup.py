@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.llm import textbytes as tb
-from accessgraph.llm.common import discard, query, stored, table, text_key
-from accessgraph.llm.components import components
+from accessgraph.llm.common import query, stored, table, text_key
+from accessgraph.llm.components import components, roots_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -23,6 +23,8 @@ DARTS = math.ceil(COORDINATES * (math.log(COORDINATES) + 4))
 # Two texts of similarity 0.8 agree in 115 of 128 one-bit coordinates with a
 # deviation of 3.4; pairs over 36 differing bits are 6 deviations away.
 SKETCH_BITS = 36
+# Members of a unit: compared by sketches, and by texts.
+SKETCH_CHUNK, TEXT_CHUNK = 1024, 512
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEVEL, _SQUARE, _DART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -101,101 +103,143 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts of each row; 0 if both have no words."""
-    rows, hashes, sides = [], [], []
-    for side, texts in enumerate((left, right)):
-        for first, _, data, offsets in tb.slices(texts):
-            doc, _, words = tb.words(data, offsets)
-            at, shingle = tb.shingles(doc, words, SHINGLE_WORDS)
-            rows.append(doc[at] + first)
-            hashes.append(shingle)
-            sides.append(np.full(len(at), side))
-    row, shingle, side = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, hashes, sides))
-    if not len(row):
-        return np.zeros(len(left))
-    order = np.lexsort((shingle, row))
-    row, shingle, side = row[order], shingle[order], side[order]
-    start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])])
-    b = np.add.reduceat(side, start)
-    a = np.diff(np.r_[start, len(row)]) - b
-    shared = np.bincount(row[start], np.minimum(a, b), len(left))
-    return shared / np.maximum(np.bincount(row[start], np.maximum(a, b), len(left)), 1)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, rows: int = 64) -> DataFrame:
-    """The (a, b, similarity) of ``pairs`` whose texts are similar enough, ``rows`` compared at a time."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                found = similarities(part.column(2), part.column(3))
-                keep = np.flatnonzero(found >= threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i).take(pa.array(keep)) for i in (0, 1)], pa.array(found[keep])], ["a", "b", "similarity"]
-                )
-
-    one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a binary, b binary, similarity double")
+def linked(doc: np.ndarray, cells: np.ndarray, n_docs: int, threshold: float) -> np.ndarray:
+    """Matrix of the pairs whose weighted Jaccard similarity is at least ``threshold``.
+
+    Shared weight is the number of shared cells, so it is a matrix product over
+    the cells that occur in more than one document.
+    """
+    size = np.bincount(doc, minlength=n_docs).astype(np.float64)
+    _, column, count = np.unique(cells, return_inverse=True, return_counts=True)
+    common = np.cumsum(count > 1) - 1
+    use = count[column] > 1
+    row, column = doc[use], common[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n_docs, n_docs), np.float32)
+    width = max(1, min(4096, (1 << 22) // max(n_docs, 1)))
+    at = 0
+    while at < len(column):
+        low = column[at]
+        end = np.searchsorted(column, low + width)
+        part = np.zeros((n_docs, width), np.float32)
+        part[row[at:end], column[at:end] - low] = 1
+        shared += part @ part.T
+        at = end
+    found = shared / np.maximum(size[:, None] + size[None, :] - shared, 1) >= threshold
+    np.fill_diagonal(found, False)
+    return found
+
+
+def _runs(part: pa.Table, names: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of the rows that agree in ``names``; the table is sorted by them."""
+    fresh = np.zeros(part.num_rows, bool)
+    fresh[:1] = True
+    for name in names:
+        values = part[name].to_numpy()
+        fresh[1:] |= values[1:] != values[:-1]
+    starts = np.flatnonzero(fresh)
+    return list(zip(starts, np.r_[starts[1:], part.num_rows], strict=True))
+
+
+def _forest(keys: list[bytes], found: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Edges from every linked node to the least node it reaches."""
+    roots, _ = roots_of(found)
+    moved = np.flatnonzero(roots != np.arange(len(roots)))
+    return [keys[i] for i in moved], [keys[roots[i]] for i in moved]
+
+
+def in_units(members: DataFrame, group: str, size: Column, chunk: int, per_task: int, rows: int) -> DataFrame:
+    """Lay the members of groups out in units that are compared as a whole.
+
+    A group of up to ``chunk`` members is one unit. A larger one is split by the
+    hash of the key, and every two of its parts meet in one unit, so that no
+    unit grows with the group. Units are spread over bundles of about
+    ``per_task`` rows by hash; ``rows`` is the number of members.
+    """
+    parts = F.ceil(size / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    bundles = max(1, -(-rows // per_task))
+    laid = members.withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", other)
+    return laid.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).withColumn(
+        "bundle", F.pmod(F.xxhash64(group, "i", "j"), F.lit(bundles)).cast("int")
+    ).drop("_parts", "_own", "_other")
+
+
+def plausible_families(signatures: DataFrame) -> DataFrame:
+    """(key, family): texts joined, directly or through others, by pairs that may be similar enough.
+
+    Texts that share a band's bucket are compared by their one-bit sketches, all
+    with all inside bounded units; only the edges of a spanning forest leave a
+    task.
+    """
+    bands = signatures.select("key", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(bands.join(buckets, "band").join(signatures.select("key", "low", "high"), "key"), "members")
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("band", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
+        keys = part["key"].to_pylist()
+        low, high = (part[c].to_numpy().view(np.uint64) for c in ("low", "high"))
+        a, b = [], []
+        for first, end in _runs(part, ["band", "i", "j"]):
+            if end - first == 2:
+                near = int(low[first] ^ low[first + 1]).bit_count() + int(high[first] ^ high[first + 1]).bit_count()
+                if near <= SKETCH_BITS:
+                    a.append(keys[first + 1])
+                    b.append(keys[first])
+                continue
+            x, y = low[first:end], high[first:end]
+            near = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
+            more = _forest(keys[first:end], near <= SKETCH_BITS)
+            a += more[0]
+            b += more[1]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}).group_by(["a", "b"]).aggregate([])
+
+    units = in_units(members, "band", F.col("n"), SKETCH_CHUNK, 50_000, members.count())
+    edges = units.select("bundle", "band", "i", "j", "key", "low", "high").groupBy("bundle")
+    return components(edges.applyInArrow(compare, "a binary, b binary")).select(
+        F.col("node").alias("key"), F.col("component").alias("family")
+    )
 
 
 def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) between keys of different texts, enough to connect every class.
+    """(a, b) keys of texts in one class; the edges connect every class and no more.
 
-    Every text of a band's bucket is compared with the least one. Only where a
-    bucket then still holds several components are the texts outside its
-    largest component compared with all texts of other components, sketches
-    first; so no link between components is lost and a group of copies costs a
-    comparison per member and not per pair.
+    Candidates are the pairs that share a band. Their families are compared
+    exactly, all with all inside bounded units, and a task returns the edges of
+    a spanning forest, so a group of copies never becomes a list of pairs.
     """
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     signed = keyed.mapInArrow(_signature_rows, "key binary, bands array<long>, low long, high long")
-    signatures = stored(signed.dropDuplicates(["key"]), "signatures")
-    bands = signatures.select("key", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(bands.join(buckets, "band"), "members")
-    stars = stored(members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        return stored(keyed.dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "texts")
-
-    texts = texts_of(stars)
-    links = stored(verified(stars, texts, threshold), "links")
-    discard(texts)
-
-    part = members.join(components(links).withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("component")
-    )
-    sizes = part.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("band")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .drop("parts")
-    )
-    rest = stored(
-        part.join(mixed, "band").join(signatures.select("key", "low", "high"), "key"),
-        "rest",
-    )
-    left = rest.where("component != main").select(
-        "band", *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "low", "high")]
-    )
-    near = F.bit_count(F.col("low").bitwiseXOR(F.col("low_a"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_a")))
-    pairs = (
-        left.join(rest, "band")
-        .where((F.col("component") != F.col("component_a")) & (near <= SKETCH_BITS))
-        .select(F.least("key", "key_a").alias("a"), F.greatest("key", "key_a").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    pairs = stored(pairs, "cross-pairs")
-    if pairs.isEmpty():
-        return links
-    return links.unionByName(verified(pairs, texts_of(pairs), threshold))
+    families = plausible_families(stored(signed.dropDuplicates(["key"]), "signatures"))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    members = stored(families.join(sizes, "family"), "families")
+    texts = keyed.dropDuplicates(["key"]).join(members, "key").select("key", "family", "n", "text")
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("unit", "ascending"), ("key", "ascending")])
+        keys, runs = part["key"].to_pylist(), _runs(part, ["unit"])
+        a, b = [], []
+        docs, cells = [], []
+        for first, _, data, offsets in tb.slices(part["text"]):
+            doc, _, words = tb.words(data, offsets)
+            at, hashes = tb.shingles(doc, words, SHINGLE_WORDS)
+            d, c = weighted_cells(doc[at], hashes)
+            docs.append(d + first)
+            cells.append(c)
+        doc, cell = np.concatenate(docs), np.concatenate(cells)
+        for first, end in runs:
+            low, high = np.searchsorted(doc, [first, end])
+            more = _forest(keys[first:end], linked(doc[low:high] - first, cell[low:high], end - first, threshold))
+            a += more[0]
+            b += more[1]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    units = in_units(texts, "family", F.col("n"), TEXT_CHUNK, 2 * TEXT_CHUNK, members.count())
+    named = units.select("bundle", F.xxhash64("family", "i", "j").alias("unit"), "key", "text")
+    return named.groupBy("bundle").applyInArrow(compare, "a binary, b binary")
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
