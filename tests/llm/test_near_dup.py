@@ -124,3 +124,14 @@ def test_short_texts_have_one_shingle(n):
     data = np.frombuffer(" ".join("abcdefg"[:n]).encode(), np.uint8)
     doc, _, words = tb.words(data, np.array([0, len(data)]))
     assert len(tb.shingles(doc, words)[0]) == max(1, n - 4)
+
+
+def test_groups_larger_than_a_unit(spark, documents, monkeypatch):
+    monkeypatch.setattr(nd, "SKETCH_CHUNK", 16)
+    monkeypatch.setattr(nd, "TEXT_CHUNK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{rng.integers(1 << 30)}" for _ in range(146)]
+    rows = [(i, edited(base, rng, int(rng.integers(0, 7)))) for i in range(150)]
+    got = {r.doc_id: r.class_id for r in nd.duplicate_classes(documents(rows)).collect()}
+    assert got == {i: c for (i, _), c in brute_classes(rows).items()}
+    assert 1 < len(set(got.values())) < 150
