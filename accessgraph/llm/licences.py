@@ -97,11 +97,22 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("unclear", ("gpl-copy",)),
     ("unclear", ("apache-comply",)),
 )
-BREAK = r"[.!?:;]+[ \t\r\n]+|[\r\n]+"
+# A line that opens like this begins a sentence even if the line before has no stop.
+OPENERS = (
+    "this|it is|all|content|code|text|dual|licen[cs]ed|released|distributed|available|published|provided|made|spdx|permission"
+    "|the above|the software|redistributions?|neither|you|unless|copyright|[0-9]"
+)
+OPENING = rf"(?i)\n([^A-Za-z0-9\n]*({OPENERS})\b)"
+BREAK = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 # A word of every known sentence; a text without any has none of them.
 CUE = r"(?i)under|spdx|permission|warrant|redistribut|neither|received|compliance|required|domain"
 
 
+def _fits(pattern: str) -> str:
+    """The pattern over a sentence that may be wrapped, up to the end of a line."""
+    return "^(" + pattern.replace(".*", r"[\s\S]*").replace(" ", r"[ \n]") + r")(\n[\s\S]*)?$"
+
+
 def _chain(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
 
@@ -109,8 +120,9 @@ def _chain(ids: Column) -> Column:
 def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with ``sentences`` and ``licences``.
 
-    A text is cut into sentences, each is normalised and named by the first
-    pattern that fits the whole of it. ``sentences`` joins the names in text
+    A text is cut into sentences at full stops, blank lines and lines that open
+    like a licence sentence; each is normalised and named by the first pattern
+    that fits it to its end or the end of a line. ``sentences`` joins the names in text
     order. Rules are tried in order; each takes its run of neighbouring names
     wherever it stands and leaves the rest to later rules. ``licences`` are the
     sorted distinct licences of the rules that matched. Everything happens
@@ -120,13 +132,15 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = [c for c in (columns or docs.columns) if c not in ("sentences", "licences")]
 
     def name(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+", " "))
+        plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9+\n]+", " ")
+        plain = F.regexp_replace(plain, r"^[ \n]+|[ \n]+$", "")
+        plain = F.regexp_replace(plain, r" ?\n[ \n]*", "\n")
         first, *rest = SENTENCES
         return reduce(
-            lambda chain, s: chain.when(plain.rlike(f"^({s[1]})$"), s[0]), rest, F.when(plain.rlike(f"^({first[1]})$"), first[0])
+            lambda chain, s: chain.when(plain.rlike(_fits(s[1])), s[0]), rest, F.when(plain.rlike(_fits(first[1])), first[0])
         )
 
-    parts = F.filter(F.split("text", BREAK, -1), lambda s: s.rlike(CUE))
+    parts = F.filter(F.split(F.regexp_replace("text", OPENING, "\n\n$1"), BREAK, -1), lambda s: s.rlike(CUE))
     named = F.filter(F.transform(parts, name), lambda i: i.isNotNull())
     ids = F.when(F.col("text").rlike(CUE), named).otherwise(F.array().cast("array<string>"))
     found = docs.select(*columns, F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
@@ -142,20 +156,25 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _sql() -> str:
-    plain = "trim(regexp_replace(lower(s), '[^a-z0-9+]+', ' ', 'g'))"
-    cases = " ".join(f"WHEN regexp_full_match({plain}, '{p}') THEN '{i}'" for i, p in SENTENCES)
+    plain = r"regexp_replace(lower(s), '[^a-z0-9+\n]+', ' ', 'g')"
+    plain = rf"regexp_replace({plain}, '^[ \n]+|[ \n]+$', '', 'g')"
+    plain = rf"regexp_replace({plain}, ' ?\n[ \n]*', chr(10), 'g')"
+    cases = " ".join(f"WHEN regexp_matches(plain, '{_fits(p)}') THEN '{i}'" for i, p in SENTENCES)
     steps, last = [], "r0"
     for k, (licence, ids) in enumerate(RULES, 1):
         chain = "".join(f"<{i}>" for i in ids)
         hit = f"CASE WHEN contains(rest, '{chain}') THEN list_append(hits, '{licence}') ELSE hits END"
         steps.append(f"r{k} AS (SELECT doc_id, names, replace(rest, '{chain}', '') AS rest, {hit} AS hits FROM {last})")
         last = f"r{k}"
-    pattern = BREAK.replace("'", "''")
     return f"""
 WITH cut AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS spot, unnest(parts) AS s
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{pattern}') AS parts FROM documents)
-), named AS (SELECT doc_id, spot, CASE {cases} END AS name FROM cut WHERE regexp_matches(s, '{CUE}')
+  FROM (
+    SELECT doc_id, string_split_regex(
+      regexp_replace(coalesce(text, ''), '{OPENING}', chr(10) || chr(10) || '\\1', 'g'), '{BREAK}') AS parts
+    FROM documents)
+), plain AS (SELECT doc_id, spot, {plain} AS plain FROM cut WHERE regexp_matches(s, '{CUE}')
+), named AS (SELECT doc_id, spot, CASE {cases} END AS name FROM plain
 ), found AS (
   SELECT doc_id, list(name ORDER BY spot) AS names FROM named WHERE name IS NOT NULL GROUP BY doc_id
 ), r0 AS (
