@@ -59,6 +59,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that identify a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

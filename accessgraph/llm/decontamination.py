@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.llm import textbytes as tb
-from accessgraph.llm.common import query, table
+from accessgraph.llm.common import fresh, query, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -214,16 +214,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no benchmark item; all columns and repeated rows stay."""
+    copy = fresh(docs, "_text")
     for index in _item_blocks(benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], index: BenchmarkIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for row, *_ in _found(index, batch.column(batch.schema.get_field_index("_text")), threshold):
+                for row, *_ in _found(index, batch.column(batch.num_columns - 1), threshold):
                     keep[row] = False
-                yield batch.drop_columns(["_text"]).filter(pa.array(keep))
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
-        docs = docs.withColumn("_text", F.col("text")).mapInArrow(clean, docs.schema)
+        docs = docs.withColumn(copy, F.col("text")).mapInArrow(clean, docs.schema)
     return docs
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessgraph.llm.common import query, table
+from accessgraph.llm.common import fresh, query, table
 
 # Element names by their part in the page.
 SKIPPED = frozenset(
@@ -294,7 +294,7 @@ def extract(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "url")) ->
             )
 
     schema = pages.select(*columns).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return pages.select(*columns, F.col("html").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*columns, F.col("html").alias(fresh(pages, "_html"))).mapInArrow(run, schema)
 
 
 @query("op3_html_extraction")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.llm import textbytes as tb
-from accessgraph.llm.common import discard, query, stored, table
+from accessgraph.llm.common import discard, fresh, query, stored, table
 
 BUCKETS = 10_000
 LABEL_SAMPLE = 20_000
@@ -88,7 +88,7 @@ def with_importance(docs: DataFrame, ratios: np.ndarray, seed: int = 0, columns:
     """
     buckets = len(ratios)
     columns = [c for c in (columns or docs.columns) if c not in ADDED]
-    pruned = docs.select(*columns, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    pruned = docs.select(*columns, F.col("doc_id").alias(fresh(docs, "_id")), F.col("text").alias(fresh(docs, "_text")))
     kept = len(columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessgraph.llm.common import query, table
+from accessgraph.llm.common import fresh, query, table
 
 # Sentences of public licences, as patterns over normalised text
 # (small letters, digits and plus; everything else is one space).
@@ -131,6 +131,8 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     columns = [c for c in (columns or docs.columns) if c not in ("sentences", "licences")]
 
+    ids_name, left_name = fresh(docs, "_ids"), fresh(docs, "_left")
+
     def name(sentence: Column) -> Column:
         plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9+\n]+", " ")
         plain = F.regexp_replace(plain, r"^[ \n]+|[ \n]+$", "")
@@ -143,15 +145,15 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts = F.filter(F.split(F.regexp_replace("text", OPENING, "\n\n$1"), BREAK, -1), lambda s: s.rlike(CUE))
     named = F.filter(F.transform(parts, name), lambda i: i.isNotNull())
     ids = F.when(F.col("text").rlike(CUE), named).otherwise(F.array().cast("array<string>"))
-    found = docs.select(*columns, F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
-    found = found.select(*columns, F.array_join("_ids", ",").alias("sentences"), _chain(F.col("_ids")).alias("_left"))
+    found = docs.select(*columns, F.coalesce(ids, F.array().cast("array<string>")).alias(ids_name))
+    found = found.select(*columns, F.array_join(ids_name, ",").alias("sentences"), _chain(F.col(ids_name)).alias(left_name))
     chains = ["".join(f"<{i}>" for i in ids) for _, ids in RULES]
-    left, hits = F.col("_left"), []
+    left, hits = F.col(left_name), []
     for (licence, _), chain in zip(RULES, chains, strict=True):
         hits.append(F.when(F.contains(left, F.lit(chain)), licence))
         left = F.replace(left, F.lit(chain), F.lit(""))
     licences = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")
-    some = F.when(F.col("_left") == "", "").otherwise(licences)
+    some = F.when(F.col(left_name) == "", "").otherwise(licences)
     return found.select(*columns, "sentences", some.alias("licences"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.llm import textbytes as tb
-from accessgraph.llm.common import query, stored, table, text_key
+from accessgraph.llm.common import fresh, query, stored, table, text_key
 from accessgraph.llm.components import components, roots_of
 
 SHINGLE_WORDS = 5
@@ -269,17 +269,18 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     kept = stored(classes.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_rows")), "kept").withColumnRenamed(
         "doc_id", "_kept_id"
     )
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    name = fresh(docs, "_key")
+    keyed = docs.withColumn(name, text_key(F.col("text")))
 
     def those(chosen: DataFrame) -> DataFrame:
-        same = keyed["doc_id"].eqNullSafe(chosen["_kept_id"]) & (keyed["_key"] == chosen["key"])
+        same = keyed["doc_id"].eqNullSafe(chosen["_kept_id"]) & (keyed[name] == chosen["key"])
         return keyed.join(chosen, same, "left_semi")
 
     repeated = kept.where("_rows > 1")
     if repeated.isEmpty():
-        return those(kept).drop("_key")
-    once = those(kept.where("_rows = 1")).unionByName(those(repeated).dropDuplicates(["doc_id", "_key"]))
-    return once.drop("_key")
+        return those(kept).drop(name)
+    once = those(kept.where("_rows = 1")).unionByName(those(repeated).dropDuplicates(["doc_id", name]))
+    return once.drop(name)
 
 
 @query("op7_minhash_near_dedup")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessgraph.llm.common import query, table
+from accessgraph.llm.common import fresh, query, table
 
 # The base rules and their order.
 KINDS = ("assign", "access", "hex", "random")
@@ -254,7 +254,7 @@ def scan(
     for part in ADDED.split(", "):
         name, kind = part.split()
         fields = fields.add(name, kind)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(apply, fields)
+    return docs.select(*columns, F.col("text").alias(fresh(docs, "_text"))).mapInArrow(apply, fields)
 
 
 @query("op8_secret_scans")
