@@ -19,7 +19,7 @@ from accessgraph.operators.temporal import (
     live_connections,
     not_retired,
 )
-from accessgraph.operators.windows import nested_rows, numbered
+from accessgraph.operators.windows import numbered
 from accessgraph.schemas import SEASONALITY
 
 # Month names in season labels.
@@ -65,15 +65,28 @@ def canonical_names(names: DataFrame) -> DataFrame:
     )
 
 
+def id_range(df: DataFrame, column: str, ranges: int = 256) -> Column:
+    """The range of ids that a row falls in, rising with the id, from ``ranges`` quantiles of a hash sample.
+
+    Bounds only steer how work is divided; any bounds give the same result.
+    """
+    sample = df.where(F.pmod(F.xxhash64(column), F.lit(64)) == 0).select(F.col(column).alias("_b"))
+    bounds = [r[0] for r in sample.orderBy(F.xxhash64("_b")).limit(16 * ranges).collect() if r[0] is not None]
+    bounds = sorted(set(bounds))[:: max(1, len(bounds) // ranges)]
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
+
+
 def with_slugs(named: DataFrame) -> DataFrame:
     """Add ``slug`` to rows (id, value, ...); later holders of one name, in id order, get -2, -3 and so on.
 
-    The numbering works on id-prefix groups, so a name shared by a large part
-    of the table is not sorted by one task.
+    A common name is numbered in chunks of ids: the id ranges that hold equal
+    numbers of all rows, found once from the ids of the table.
     """
     has_name = F.coalesce(F.length("value"), F.lit(0)) > 0
     based = named.withColumn("base", F.when(has_name, slug_base(F.col("value"))).otherwise(F.col("id")))
-    counted = numbered(based, ["base"], ["id"], F.substring("id", 1, 8), "_n")
+    counted = numbered(based, ["base"], ["id"], id_range(named, "id"), "_n")
     again = F.concat_ws("-", "base", F.col("_n").cast("string"))
     return counted.withColumn("slug", F.when(F.col("_n") == 1, F.col("base")).otherwise(again)).drop("_n")
 
@@ -139,22 +152,25 @@ def current_connections(t: Tables) -> DataFrame:
 
 
 def place_singles(t: Tables) -> DataFrame:
-    """One row per live place: canonical name, classification, point and newest observation.
+    """One row per live place: names, classification, point, municipality and newest observation.
 
     The four tables are stacked and folded by place in one shuffle; every fold
-    keeps one value, so crowded places combine before they travel.
+    keeps one value over all rows of the place and combines before it travels.
     """
 
-    def stacked(table: str, kind: str, body: Column) -> DataFrame:
-        return current(t[table]).select("place_id", F.col("observed_at").alias("seen"), body.alias(kind))
+    def stacked(table: DataFrame, kind: str, body: Column, *more: Column) -> DataFrame:
+        return current(table).select("place_id", F.col("observed_at").alias("seen"), body.alias(kind), *more)
 
     official = F.when(is_canonical(), F.struct("id", "value", "valid_from", "valid_to", "source_refs"))
+    danish = F.when(F.col("language") == "da", F.struct("id", "value"))
+    areas = t["administrative_areas"].select(F.col("id").alias("administrative_area_id"), "name")
+    members = t["administrative_memberships"].join(areas, "administrative_area_id", "left")
     parts = [
         not_retired(t["places"]).select(F.col("id").alias("place_id"), F.struct("status", "created_at").alias("place")),
-        stacked("place_names", "name", official),
-        stacked("place_classifications", "class", F.struct("id", "feature_type", "source_refs")),
-        stacked("place_geometries", "point", F.struct("id", "geometry", "valid_from", "valid_to", "source_refs")),
-        current(t["administrative_memberships"]).select("place_id", F.col("observed_at").alias("seen")),
+        stacked(t["place_names"], "name", official, danish.alias("danish")),
+        stacked(t["place_classifications"], "class", F.struct("id", "feature_type", "source_refs")),
+        stacked(t["place_geometries"], "point", F.struct("id", "geometry", "valid_from", "valid_to", "source_refs")),
+        stacked(members, "area", F.struct("id", "name")),
     ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return (
@@ -162,61 +178,62 @@ def place_singles(t: Tables) -> DataFrame:
         .agg(
             F.max("place").alias("place"),
             F.min_by("name", F.col("name.id")).alias("name"),
+            F.min_by("danish", F.col("danish.id")).alias("danish"),
             F.max_by("class", F.col("class.id")).alias("class"),
             F.max_by("point", F.col("point.id")).alias("point"),
+            F.min_by("area", F.col("area.id")).alias("area"),
             F.max("seen").alias("seen"),
         )
         .where(F.col("place").isNotNull())
     )
 
 
-def place_lists(t: Tables) -> DataFrame:
-    """Rows (place_id, part, names, memberships) with the sorted current names and memberships of places."""
-    names = current(t["place_names"]).select(
+def _of_live_places(t: Tables, rows: DataFrame) -> DataFrame:
+    live = not_retired(t["places"]).select(F.col("id").alias("place_id"))
+    return rows.join(live, "place_id", "left_semi")
+
+
+def place_alternates(t: Tables) -> DataFrame:
+    """One row per current name of a live place other than its canonical one."""
+    return _of_live_places(t, split_names(t["place_names"]).where(~F.col("is_canonical"))).select(
         "place_id",
-        F.struct(
-            F.col("id").alias("assertion_id"),
-            "value",
-            "language",
-            F.coalesce("kind", F.lit("alias")).alias("kind"),
-            "valid_from",
-            "valid_to",
-            "source_refs",
-        ).alias("name"),
+        F.col("id").alias("assertion_id"),
+        "value",
+        "language",
+        F.coalesce("kind", F.lit("alias")).alias("kind"),
+        "valid_from",
+        "valid_to",
+        "source_refs",
     )
+
+
+def place_memberships(t: Tables) -> DataFrame:
+    """One row per current membership of a live place, with level and name of the area."""
     areas = t["administrative_areas"].select(F.col("id").alias("administrative_area_id"), "name", "level")
-    members = (
-        current(t["administrative_memberships"])
-        .join(areas, "administrative_area_id", "left")
-        .select(
-            "place_id",
-            F.struct(
-                F.col("id").alias("assertion_id"),
-                F.coalesce("level", F.lit("")).alias("level"),
-                F.coalesce("name", F.lit("")).alias("name"),
-                "valid_from",
-                "valid_to",
-                "source_refs",
-                "observed_at",
-            ).alias("membership"),
-        )
+    return _of_live_places(
+        t, current(t["administrative_memberships"]).join(areas, "administrative_area_id", "left")
+    ).select(
+        "place_id",
+        F.col("id").alias("assertion_id"),
+        F.coalesce("level", F.lit("")).alias("level"),
+        F.coalesce("name", F.lit("")).alias("name"),
+        "valid_from",
+        "valid_to",
+        "source_refs",
+        "observed_at",
     )
-    rows = names.unionByName(members, allowMissingColumns=True)
-    lists = nested_rows(rows, ["place_id"], F.struct("name", "membership"), "_items")
-    pick = lambda field: F.transform(F.filter("_items", lambda i: i[field].isNotNull()), lambda i: i[field])
-    return lists.select("place_id", "part", pick("name").alias("names"), pick("membership").alias("memberships"))
 
 
 def denorm_places(t: Tables) -> DataFrame:
-    """One nested record per live place (more ``part`` rows only for very crowded places)."""
+    """One record per live place; its other names and memberships are child rows.
+
+    See :func:`place_alternates` and :func:`place_memberships`. The first Danish
+    name and the first open membership, by id, stand in the record.
+    """
     no_refs = F.array().cast(t["places"].schema["source_refs"].dataType)
-    lists = place_lists(t)
     singles = with_slugs(
         place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value"))
     )
-    joined = singles.join(lists, "place_id", "left")
-    empty = lambda column: F.array().cast(lists.schema[column].dataType)
-    others = F.filter("names", lambda n: ~n["assertion_id"].eqNullSafe(F.col("name.id")))
     coordinates = F.struct(
         F.col("point.id").alias("assertion_id"),
         F.col("point.geometry.coordinates")[1].alias("latitude"),
@@ -225,9 +242,8 @@ def denorm_places(t: Tables) -> DataFrame:
         F.col("point.valid_to").alias("valid_to"),
         F.col("point.source_refs").alias("source_refs"),
     )
-    return joined.select(
+    return singles.select(
         "id",
-        F.coalesce("part", F.lit(0)).alias("part"),
         "slug",
         F.struct(
             F.col("name.id").alias("assertion_id"),
@@ -237,12 +253,12 @@ def denorm_places(t: Tables) -> DataFrame:
             F.col("name.valid_to").alias("valid_to"),
             F.coalesce("name.source_refs", no_refs).alias("source_refs"),
         ).alias("canonical_name"),
-        F.coalesce(others, empty("names")).alias("alternate_names"),
+        F.coalesce("danish.value", F.lit("")).alias("danish_name"),
+        F.coalesce("area.name", F.lit("")).alias("municipality"),
         F.when(F.col("point").isNotNull(), coordinates).alias("coordinates"),
         F.coalesce("class.feature_type", F.lit("")).alias("feature_type"),
         F.col("place.status").alias("status"),
         F.coalesce("class.source_refs", no_refs).alias("classification_source_refs"),
-        F.coalesce("memberships", empty("memberships")).alias("administrative_memberships"),
         F.coalesce("name.source_refs", no_refs).alias("source_refs"),
         F.coalesce("seen", F.col("place.created_at")).alias("updated_at"),
     )
@@ -265,39 +281,44 @@ def service_struct() -> Column:
     )
 
 
-def no_services(df: DataFrame) -> Column:
-    return F.array().cast(df.schema["services"].dataType)
-
-
 def denorm_reachability(t: Tables) -> DataFrame:
-    """One record per live connection with its current services in id order."""
-    services = nested_rows(current(t["connection_services"]), ["connection_id"], service_struct(), "services")
-    live = live_connections(t["connections"])
-    joined = live.join(services.withColumnRenamed("connection_id", "id"), "id", "left")
-    return joined.select(
+    """One record per live connection, updated when any of its current services was seen.
+
+    The services are child rows, see :func:`connection_services`.
+    """
+    seen = (
+        current(t["connection_services"])
+        .groupBy(F.col("connection_id").alias("id"))
+        .agg(F.max("observed_at").alias("seen"), F.count(F.lit(1)).alias("service_count"))
+    )
+    return live_connections(t["connections"]).join(seen, "id", "left").select(
         "id",
-        F.coalesce("part", F.lit(0)).alias("part"),
         "origin_place_id",
         "destination_place_id",
         "direction",
         "mode",
-        F.coalesce("services", no_services(services)).alias("services"),
-        F.coalesce(F.array_max(F.transform("services", lambda s: s["observed_at"])), "created_at").alias("updated_at"),
+        F.coalesce("service_count", F.lit(0)).alias("service_count"),
+        F.coalesce("seen", "created_at").alias("updated_at"),
     )
 
 
+def connection_services(t: Tables) -> DataFrame:
+    """(connection_id, service) of every current service of a live connection."""
+    live = live_connections(t["connections"]).select(F.col("id").alias("connection_id"))
+    services = current(t["connection_services"]).select("connection_id", service_struct().alias("service"))
+    return services.join(live, "connection_id", "left_semi")
+
+
 def place_detail(t: Tables, place_id: str | Column) -> DataFrame:
-    """The view row of one place with its current names ordered by kind, language and value."""
+    """The view row of one place beside each of its current names; one row without name if it has none."""
     wanted = ChainMap({"places": t["places"].where(F.col("id") == place_id)}, t)
     for name in ("place_classifications", "place_names", "place_geometries", "administrative_memberships"):
         wanted[name] = t[name].where(F.col("place_id") == place_id)
-    names = nested_rows(
-        current(wanted["place_names"]),
-        ["place_id"],
-        F.struct("kind", "language", "value", "id", "valid_from", "valid_to", "source_refs"),
-        "names",
+    names = current(wanted["place_names"]).select(
+        F.col("place_id").alias("id"),
+        F.struct("kind", "language", "value", "id", "valid_from", "valid_to", "source_refs").alias("name"),
     )
-    return current_places(wanted).join(names.withColumnRenamed("place_id", "id"), "id", "left")
+    return current_places(wanted).join(names, "id", "left")
 
 
 def place_identifiers(t: Tables, place_id: str, today: str | date | Column) -> DataFrame:
@@ -312,25 +333,18 @@ def place_identifiers(t: Tables, place_id: str, today: str | date | Column) -> D
 
 
 def edges_with_services(t: Tables, at: str | date | Column, connections: DataFrame | None = None) -> DataFrame:
-    """Live connections with the services valid and in season on a date, possibly none."""
+    """Live connections, one row per service valid and in season on a date; a null service if there is none."""
     live = live_connections(t["connections"] if connections is None else connections)
-    services = nested_rows(
-        counted_services(t["connection_services"], at, rule="api"), ["connection_id"], service_struct(), "services"
+    services = counted_services(t["connection_services"], at, rule="api").select(
+        F.col("connection_id").alias("id"), service_struct().alias("service")
     )
-    joined = live.join(services.withColumnRenamed("connection_id", "id"), "id", "left")
-    return joined.select(
-        F.col("id").alias("connection_id"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        "origin_place_id",
-        "destination_place_id",
-        "direction",
-        "mode",
-        F.coalesce("services", no_services(services)).alias("services"),
+    return live.join(services, "id", "left").select(
+        F.col("id").alias("connection_id"), "origin_place_id", "destination_place_id", "direction", "mode", "service"
     )
 
 
 def place_connections(t: Tables, place_id: str, at: str | date | Column) -> DataFrame:
-    """Edges that touch a place on a date, with its role and the peer; direction is ignored."""
+    """Edges that touch a place on a date, a row per service, with its role and the peer; direction is ignored."""
     touching = t["connections"].where(
         (F.col("origin_place_id") == place_id) | (F.col("destination_place_id") == place_id)
     )
@@ -364,7 +378,7 @@ def all_place_connections(t: Tables, at: str | date | Column) -> DataFrame:
     # A loop touches its place once, as origin.
     ends = F.when(F.col("origin_place_id") == F.col("destination_place_id"), F.slice(ends, 1, 1)).otherwise(ends)
     return edges.withColumn("_end", F.explode(ends)).select(
-        "_end.*", "connection_id", "part", "direction", "mode", "services"
+        "_end.*", "connection_id", "direction", "mode", "service"
     )
 
 
@@ -424,15 +438,17 @@ def graph_nodes(t: Tables) -> DataFrame:
 
 
 def graph_edges(t: Tables, nodes: DataFrame) -> DataFrame:
-    """Live connections between known nodes, with every active open service and a summary of the first."""
+    """Live connections between known nodes, with a summary of the first active open service by id.
+
+    All of those services are child rows, see :func:`edge_services`.
+    """
     ends = nodes.select("place_id", "official_name")
-    services = nested_rows(
-        counted_services(t["connection_services"], F.lit(None), rule="export"),
-        ["connection_id"],
-        service_struct(),
-        "services",
+    first = (
+        counted_services(t["connection_services"], F.lit(None), rule="export")
+        .groupBy(F.col("connection_id").alias("id"))
+        .agg(F.min(service_struct()).alias("_first"), F.count(F.lit(1)).alias("service_count"))
     )
-    joined = (
+    return (
         live_connections(t["connections"])
         .join(
             ends.select(F.col("place_id").alias("origin_place_id"), F.col("official_name").alias("from_name")),
@@ -442,23 +458,29 @@ def graph_edges(t: Tables, nodes: DataFrame) -> DataFrame:
             ends.select(F.col("place_id").alias("destination_place_id"), F.col("official_name").alias("to_name")),
             "destination_place_id",
         )
-        .join(services.withColumnRenamed("connection_id", "id"), "id", "left")
+        .join(first, "id", "left")
+        .select(
+            "id",
+            F.col("origin_place_id").alias("from_place_id"),
+            F.col("destination_place_id").alias("to_place_id"),
+            "from_name",
+            "to_name",
+            F.coalesce("direction", F.lit("bidirectional")).alias("direction"),
+            "mode",
+            F.coalesce("service_count", F.lit(0)).alias("service_count"),
+            F.col("_first.operator").alias("operator"),
+            F.col("_first.frequency_band").alias("frequency_band"),
+            F.coalesce(F.col("_first.seasonality"), unknown_season()).alias("seasonality"),
+        )
     )
-    first = F.get("services", F.lit(0))
-    return joined.select(
-        "id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.col("origin_place_id").alias("from_place_id"),
-        F.col("destination_place_id").alias("to_place_id"),
-        "from_name",
-        "to_name",
-        F.coalesce("direction", F.lit("bidirectional")).alias("direction"),
-        "mode",
-        F.coalesce("services", no_services(services)).alias("services"),
-        first["operator"].alias("operator"),
-        first["frequency_band"].alias("frequency_band"),
-        F.coalesce(first["seasonality"], unknown_season()).alias("seasonality"),
+
+
+def edge_services(t: Tables, edges: DataFrame) -> DataFrame:
+    """(id, service) of every active open service of the given edges."""
+    services = counted_services(t["connection_services"], F.lit(None), rule="export").select(
+        F.col("connection_id").alias("edge_id"), service_struct().alias("service")
     )
+    return edges.select("id").join(services.withColumnRenamed("edge_id", "id"), "id")
 
 
 def season_label(seasonality: str = "seasonality") -> Column:
@@ -489,7 +511,7 @@ def links_from(edges: DataFrame, place_id: str | None = None) -> DataFrame:
 
     back = (F.col("direction") == "bidirectional") & (F.col("from_place_id") != F.col("to_place_id"))
     ends = F.array_compact(F.array(link("from", "to"), F.when(back, link("to", "from"))))
-    columns = ["id", "part", "mode", "services", "operator", "frequency_band", "seasonality"]
+    columns = ["id", "mode", "operator", "frequency_band", "seasonality"]
     links = edges.select(F.explode(ends).alias("_l"), *columns).select("_l.*", *columns)
     if place_id is not None:
         links = links.where(F.col("place_id") == place_id)

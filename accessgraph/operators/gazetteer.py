@@ -57,7 +57,7 @@ WATER_TYPES = (10, 18, 56, 57, 86, 164, 166, 167, 170, 178, 186)
 ISLAND_TYPES = (73, 181, 182, 183)
 
 SHADOW_DEGREES = 0.04
-REGION_MIN_IMPORTANCE, REGION_MAX_GEOGRAPHY = 400, 6000
+REGION_MIN_IMPORTANCE = 400
 
 
 def type_table(spark: SparkSession) -> DataFrame:
@@ -310,15 +310,12 @@ def scope_places(places: DataFrame, scope: str = "all") -> DataFrame:
     return places
 
 
-def region_extract(places: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
-    """All localities of a box and its most important geography."""
+def region_extract(places: DataFrame, bbox: tuple[float, float, float, float], geography_limit: int | None = None) -> DataFrame:
+    """All localities of a box and its important geography, or the ``geography_limit`` most important of it."""
     inside = places.where(geo.in_bbox(F.col("longitude"), F.col("latitude"), bbox))
-    # The limit is the feature: a top-k that each partition cuts first.
-    geography = (
-        inside.where(~F.col("is_locality") & (F.col("importance") >= REGION_MIN_IMPORTANCE))
-        .orderBy(F.col("importance").desc(), "global_id")
-        .limit(REGION_MAX_GEOGRAPHY)
-    )
+    geography = inside.where(~F.col("is_locality") & (F.col("importance") >= REGION_MIN_IMPORTANCE))
+    if geography_limit is not None:
+        geography = geography.orderBy(F.col("importance").desc(), "global_id").limit(geography_limit)
     return inside.where("is_locality").unionByName(geography)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,15 +166,16 @@ def hop_distances(
     sources: DataFrame,
     at: str | date | Column,
     capability: str = "passenger",
-    max_hops: int = MAX_TRANSFERS + 1,
+    max_hops: int | None = None,
     rule: str = "api",
     target: str | None = None,
 ) -> DataFrame:
     """Fewest hops from each source ``place_id`` to every place it can reach.
 
-    One join and one aggregation per hop over the newest frontier only. Ties
-    take the smallest connection-id array. Each round is written to the shared
-    folder, so a lost executor replays one round at most.
+    One join and one aggregation per hop over the newest frontier, until a round
+    reaches nothing new or ``max_hops`` is met. Ties take the smallest
+    connection-id array. Each round is written to the shared folder, so a lost
+    executor replays one round at most.
     """
     # Of parallel edges only the smallest id can be on the chosen path.
     edges = cut_lineage(
@@ -190,8 +192,8 @@ def hop_distances(
         F.array().cast("array<string>").alias("connections"),
     ).distinct()
     reached = [cut_lineage(frontier)]
-    for hop in range(1, max_hops + 1):
-        seen = reduce(DataFrame.unionByName, [r.select("source", "place_id") for r in reached])
+    seen = reached[0].select("source", "place_id")
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         steps = (
             reached[-1]
             .withColumnRenamed("place_id", "src")
@@ -218,6 +220,7 @@ def hop_distances(
         if layer.isEmpty():
             break
         reached.append(layer)
+        seen = cut_lineage(seen.unionByName(layer.select("source", "place_id")))
         if target is not None and not layer.where(F.col("place_id") == target).isEmpty():
             break
     return reduce(DataFrame.unionByName, reached)
@@ -237,7 +240,7 @@ def hop_path(
         raise ValueError(f"max_transfers must be 0 to {MAX_TRANSFERS}")
     spark = t["connections"].sparkSession
     start = spark.createDataFrame([(from_place,)], "place_id string")
-    hops = MAX_HOPS_OPEN if max_transfers is None else max_transfers + 1
+    hops = None if max_transfers is None else max_transfers + 1
     found = hop_distances(t, start, at, capability, hops, rule, target=to_place).where(F.col("place_id") == to_place)
     asked = spark.createDataFrame([(from_place, to_place)], "from_place_id string, to_place_id string")
     return asked.join(found, asked["to_place_id"] == found["place_id"], "left").select(
@@ -252,10 +255,6 @@ def hop_path(
     )
 
 
-# Without a limit the search ends when a round reaches nothing new.
-MAX_HOPS_OPEN = 10**6
-
-
 def access_change(
     before: Tables, after: Tables, at: str | date | Column, capability: str = "passenger", rule: str = "api"
 ) -> DataFrame:

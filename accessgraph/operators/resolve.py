@@ -13,7 +13,6 @@ from accessgraph.operators.denorm import current_places
 from accessgraph.operators.search import substring_pairs
 from accessgraph.operators.temporal import Tables, current, not_retired
 
-MAX_PARTIAL = 10
 EXACT_ID, EXACT_NAME, PARTIAL_NAME, HINT = 1.0, 0.95, 0.6, 0.5
 
 
@@ -21,8 +20,14 @@ def _evidence(df: DataFrame, confidence: float, reason: str) -> DataFrame:
     return df.select("request_id", "place_id", F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
 
-def named_candidates(t: Tables, requests: DataFrame, today: str | date | Column) -> DataFrame:
-    """Rows (request_id, place_id, confidence, reasons) from identifiers and names."""
+def named_candidates(
+    t: Tables, requests: DataFrame, today: str | date | Column, partial_limit: int | None = None
+) -> DataFrame:
+    """Rows (request_id, place_id, confidence, reasons) from identifiers and names.
+
+    ``partial_limit`` keeps that many partial name matches of a request, those
+    with the smallest place ids; by default all count.
+    """
     ids = (
         t["external_identifiers"]
         .where(F.col("entity_type") == "place")
@@ -46,10 +51,10 @@ def named_candidates(t: Tables, requests: DataFrame, today: str | date | Column)
     rest = asked.join(exact, "request_id", "left_anti")
     pairs = substring_pairs(names, rest)
     partial = rest.join(pairs, "q").join(names, "text").select("request_id", "place_id").distinct()
-    # Ten is the feature; the smallest ids are kept, cut per partition first.
-    first = Window.partitionBy("request_id").orderBy("place_id")
-    few = partial.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_PARTIAL)
-    by_part = _evidence(few, PARTIAL_NAME, "name_partial")
+    if partial_limit is not None:
+        first = Window.partitionBy("request_id").orderBy("place_id")
+        partial = partial.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= partial_limit)
+    by_part = _evidence(partial, PARTIAL_NAME, "name_partial")
 
     return (
         by_id.unionByName(by_name)
@@ -84,12 +89,16 @@ def hinted_places(t: Tables) -> DataFrame:
 
 
 def resolve_candidates(
-    t: Tables, requests: DataFrame, today: str | date | Column, by_code: DataFrame | None = None
+    t: Tables,
+    requests: DataFrame,
+    today: str | date | Column,
+    by_code: DataFrame | None = None,
+    partial_limit: int | None = None,
 ) -> DataFrame:
     """Every candidate of every request, hints expanded to their places."""
     hints = municipality_hints(t, requests, by_code).join(hinted_places(t), "municipality_id")
     hinted = hints.select("request_id", "place_id").distinct().withColumn("hinted", F.lit(True))
-    named = named_candidates(t, requests, today)
+    named = named_candidates(t, requests, today, partial_limit)
     empty = F.array().cast("array<string>")
     reason = F.when(F.col("hinted"), F.array(F.lit("municipality_hint"))).otherwise(empty)
     return named.join(hinted, ["request_id", "place_id"], "full").select(
@@ -101,7 +110,11 @@ def resolve_candidates(
 
 
 def resolve_places(
-    t: Tables, requests: DataFrame, today: str | date | Column, by_code: DataFrame | None = None
+    t: Tables,
+    requests: DataFrame,
+    today: str | date | Column,
+    by_code: DataFrame | None = None,
+    partial_limit: int | None = None,
 ) -> DataFrame:
     """One verdict per request: not_found, ambiguous, resolved or candidate.
 
@@ -117,7 +130,7 @@ def resolve_places(
     hints = municipality_hints(t, requests, by_code).join(spans, "municipality_id").select(
         "request_id", "lo", "hi", F.lit(HINT).alias("confidence"), F.lit(False).alias("by_id")
     )
-    named = named_candidates(t, requests, today).select(
+    named = named_candidates(t, requests, today, partial_limit).select(
         "request_id",
         F.col("place_id").alias("lo"),
         F.col("place_id").alias("hi"),

@@ -81,7 +81,11 @@ def _summary(t: Tables) -> DataFrame:
     )
 
 
-def _hits(t: Tables, names: DataFrame, query: str, limit: int) -> DataFrame:
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def _hits(t: Tables, names: DataFrame, query: str, limit: int | None) -> DataFrame:
     exact = F.lower("matched_name") == query.lower()
     found = names.select(
         "place_id",
@@ -90,10 +94,11 @@ def _hits(t: Tables, names: DataFrame, query: str, limit: int) -> DataFrame:
         F.col("kind").alias("matched_kind"),
     )
     joined = _summary(t).join(found, "place_id").distinct()
-    return joined.orderBy(F.when(exact, 0).otherwise(1), "canonical_name_kl", "place_id", "matched_name").limit(limit)
+    order = [F.when(exact, 0).otherwise(1), "canonical_name_kl", "place_id", "matched_name"]
+    return _first(joined.orderBy(*order), limit)
 
 
-def prefix_search(t: Tables, query: str, language: str | None = None, limit: int = 50) -> DataFrame:
+def prefix_search(t: Tables, query: str, language: str | None = None, limit: int | None = None) -> DataFrame:
     """Names with a word that starts with each word of the query; accents and case are ignored."""
     names = searchable_names(t)
     if language:
@@ -105,7 +110,7 @@ def prefix_search(t: Tables, query: str, language: str | None = None, limit: int
     return _hits(t, names, query.strip(), limit)
 
 
-def substring_search(t: Tables, query: str, language: str | None = None, limit: int = 50) -> DataFrame:
+def substring_search(t: Tables, query: str, language: str | None = None, limit: int | None = None) -> DataFrame:
     """Current names that contain the query; case is ignored."""
     names = current(t["place_names"])
     if language:
@@ -113,11 +118,11 @@ def substring_search(t: Tables, query: str, language: str | None = None, limit:
     return _hits(t, names.where(F.contains(F.lower("value"), F.lit(query.strip().lower()))), query.strip(), limit)
 
 
-def list_places(t: Tables, limit: int = 50) -> DataFrame:
-    return _summary(t).orderBy("canonical_name_kl", "place_id").limit(limit)
+def list_places(t: Tables, limit: int | None = None) -> DataFrame:
+    return _first(_summary(t).orderBy("canonical_name_kl", "place_id"), limit)
 
 
-def search_places(t: Tables, query: str, language: str | None = None, limit: int = 50) -> DataFrame:
+def search_places(t: Tables, query: str, language: str | None = None, limit: int | None = None) -> DataFrame:
     """Id, then prefix, then substring search; each is used only when the one before finds nothing."""
     asked = query.strip()
     blank = [F.lit(None).cast("string").alias(c) for c in ("matched_name", "matched_language", "matched_kind")]
@@ -203,8 +208,8 @@ def tier_boost() -> Column:
     )
 
 
-def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = 12) -> DataFrame:
-    """Ranked hits for a table of queries (query_id, q); ``limit`` per query is the feature, None keeps all."""
+def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Scored hits for a table of queries (query_id, q): all, or with ``limit`` the best of each query by position."""
     asked = queries.select("query_id", text.fold_spaces(F.col("q")).alias("q")).where(F.length("q") >= MIN_QUERY)
     shown = places.where(~F.col("is_locality_shadow")).withColumn(
         "_bonus",
@@ -304,16 +309,15 @@ def alternate_text(hits: DataFrame) -> Column:
     ).when((F.col("matched_field") == "historical") & (F.length(old) > 0) & (old != official), old)
 
 
-def unaccent_search(places: DataFrame, query: str, limit: int = 12, empty_limit: int = 8) -> DataFrame:
-    """Places whose names or municipality contain the query, accents and case ignored."""
+def unaccent_search(places: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Places whose names or municipality contain the query, accents and case ignored; all for an empty query."""
     asked = query.strip()
-    ordered = ["record_id"]
     if not asked:
-        return places.orderBy(*ordered).limit(empty_limit)
+        return _first(places.orderBy("record_id"), limit)
     hay = F.concat_ws(
         " ",
         "official_name",
         *[F.coalesce(c, F.lit("")) for c in ("danish_name", "old_official_name", "municipality_name")],
     )
     found = places.where(F.contains(text.without_accents(hay), text.without_accents(F.lit(asked))))
-    return found.orderBy(*ordered).limit(limit)
+    return _first(found.orderBy("record_id"), limit)

@@ -81,23 +81,18 @@ def filter_edges(
     capabilities: list[str] | None = None,
     operator: str | None = None,
 ) -> DataFrame:
-    """Keep edges of the given modes; narrow services by capability and operator.
+    """Keep the (edge, service) rows of the given modes, capabilities and operator.
 
-    An edge left without services by a capability or operator filter is dropped;
-    an edge that had none is kept when neither is asked for.
+    A row without service is dropped by a capability or operator filter and kept
+    when neither is asked for.
     """
     if modes:
         edges = edges.where(F.lower("mode").isin([m.lower() for m in modes]))
     if capabilities:
         wanted = F.array(*[F.lit(c) for c in capabilities])
-        edges = edges.withColumn(
-            "services", F.filter("services", lambda s: F.arrays_overlap(s["capabilities"], wanted))
-        )
+        edges = edges.where(F.arrays_overlap("service.capabilities", wanted))
     if operator and operator.strip():
-        name = operator.strip().lower()
-        edges = edges.withColumn("services", F.filter("services", lambda s: F.lower(s["operator"]) == name))
-    if capabilities or (operator and operator.strip()):
-        edges = edges.where(F.size("services") > 0)
+        edges = edges.where(F.lower("service.operator") == operator.strip().lower())
     return edges
 
 

@@ -100,30 +100,3 @@ def nearest_rank(
         .agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in fractions])
     )
     return hit
-
-
-def nested_rows(
-    df: DataFrame, keys: Sequence[str], item: Column, out: str, part_size: int = 10_000
-) -> DataFrame:
-    """Rows (keys, part, out) whose sorted lists together hold every item of a key.
-
-    A key with at most ``part_size`` items has the single part 0. Larger keys
-    are spread over more parts by the hash of the item, so no row and no task
-    has to hold an unbounded key.
-    """
-    crowded = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_items"))
-        .where(F.col("_items") > part_size)
-        .select(*keys, F.ceil(F.col("_items") / F.lit(part_size)).alias("_parts"))
-    )
-    return (
-        df.withColumn("_item", item)
-        .join(crowded, list(keys), "left")
-        .withColumn(
-            "part",
-            F.coalesce(F.pmod(F.xxhash64("_item"), F.col("_parts")), F.lit(0)).cast("int"),
-        )
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list("_item")).alias(out))
-    )

@@ -17,12 +17,6 @@ YEAR = 1998
 START = "plc_0000000001"
 
 
-def joined(items, field: str | None = None):
-    """An array as sorted text, for comparison."""
-    values = F.transform(items, lambda s: s[field].cast("string")) if field else items
-    return F.array_join(F.array_sort(values), ",")
-
-
 def sql_valid(at: str = AT, p: str = "") -> str:
     return (f"({p}valid_from IS NULL OR {p}valid_from <= DATE '{at}') "
             f"AND ({p}valid_to IS NULL OR {p}valid_to >= DATE '{at}')")
@@ -134,29 +128,26 @@ def _(spark, sf):
 
 @query(
     "b7_filtered_edges",
-    f"""SELECT c.id AS connection_id, c.mode, string_agg(s.id, ',' ORDER BY s.id) AS services
+    f"""SELECT c.id AS connection_id, c.mode, s.id AS service_id
         FROM v_connections c JOIN v_connection_services s ON s.connection_id = c.id
         WHERE c.retired_at IS NULL AND {sql_rule('api', p='s.')} AND c.mode IN ('air', 'sea')
-          AND ({sql_cap('passenger', 's.')} OR {sql_cap('emergency', 's.')}) AND lower(s.operator) = 'op7'
-        GROUP BY ALL""",
+          AND ({sql_cap('passenger', 's.')} OR {sql_cap('emergency', 's.')}) AND lower(s.operator) = 'op7'""",
 )
 def _(spark, sf):
     edges = denorm.edges_with_services(domain_tables(spark, sf), AT)
     kept = temporal.filter_edges(edges, ["AIR", "Sea"], ["passenger", "emergency"], "op7")
-    return kept.select("connection_id", "mode", joined("services", "id").alias("services"))
+    return kept.select("connection_id", "mode", F.col("service.id").alias("service_id"))
 
 
 @query(
     "b7_mode_filter_keeps_idle_edges",
-    f"""SELECT c.id AS connection_id, count(s.id) AS services
+    f"""SELECT c.id AS connection_id, s.id AS service_id
         FROM v_connections c LEFT JOIN v_connection_services s ON s.connection_id = c.id AND {sql_rule('api', p='s.')}
-        WHERE c.retired_at IS NULL AND c.mode = 'road' GROUP BY c.id""",
+        WHERE c.retired_at IS NULL AND c.mode = 'road'""",
 )
 def _(spark, sf):
     edges = denorm.edges_with_services(domain_tables(spark, sf), AT)
-    return temporal.filter_edges(edges, ["road"]).select(
-        "connection_id", F.size("services").cast("long").alias("services")
-    )
+    return temporal.filter_edges(edges, ["road"]).select("connection_id", F.col("service.id").alias("service_id"))
 
 
 @query(
@@ -300,73 +291,97 @@ def _(spark, sf):
     )
 
 
-@query(
-    "c3_denormalized_places",
-    f"""WITH names AS (SELECT n.*, coalesce(n.id = min(CASE WHEN kind = 'official' AND language = 'kl' THEN n.id END)
-                    OVER (PARTITION BY place_id), FALSE) AS canon FROM v_place_names n WHERE valid_to IS NULL),
-        alts AS (SELECT place_id, string_agg(id, ',' ORDER BY id) AS ids FROM names WHERE NOT canon GROUP BY place_id),
-        mems AS (SELECT m.place_id, string_agg(m.id || '=' || coalesce(a.name, ''), ',' ORDER BY m.id) AS ids, max(observed_at) AS d
-                 FROM v_administrative_memberships m LEFT JOIN v_administrative_areas a ON a.id = m.administrative_area_id
-                 WHERE valid_to IS NULL GROUP BY m.place_id),
-        cls AS (SELECT place_id, arg_max(feature_type, id) AS feature_type, arg_max(observed_at, id) AS d
-                FROM v_place_classifications WHERE valid_to IS NULL GROUP BY place_id),
-        geo AS (SELECT place_id, arg_max(lat, id) AS lat, arg_max(observed_at, id) AS d
-                FROM v_place_geometries WHERE valid_to IS NULL GROUP BY place_id),
-        nd AS (SELECT place_id, max(observed_at) AS d FROM names GROUP BY place_id),
-        slugs AS (SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS STRING) END AS slug
-                  FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM ({SQL_BASE})))
-        SELECT p.id, s.slug, coalesce(o.value, '') AS name, coalesce(a.ids, '') AS alternates, coalesce(m.ids, '') AS memberships,
-               coalesce(c.feature_type, '') AS feature_type, g.lat,
-               CAST(coalesce(greatest(nd.d, m.d, c.d, g.d), p.created_at) AS STRING) AS updated_at
-        FROM v_places p JOIN slugs s ON s.id = p.id LEFT JOIN names o ON o.place_id = p.id AND o.canon
-        LEFT JOIN alts a ON a.place_id = p.id LEFT JOIN mems m ON m.place_id = p.id
-        LEFT JOIN cls c ON c.place_id = p.id LEFT JOIN geo g ON g.place_id = p.id LEFT JOIN nd ON nd.place_id = p.id
-        WHERE p.status <> 'retired'""",
-)
-def _(spark, sf):
-    d = denorm.denorm_places(domain_tables(spark, sf))
-    members = F.transform("administrative_memberships", lambda m: F.concat(m["assertion_id"], F.lit("="), m["name"]))
-    return d.select(
+SQL_CANON = """SELECT n.*, coalesce(n.id = min(CASE WHEN kind = 'official' AND language = 'kl' THEN n.id END)
+    OVER (PARTITION BY place_id), FALSE) AS canon FROM v_place_names n WHERE valid_to IS NULL"""
+SQL_RECORDS = f"""WITH names AS ({SQL_CANON}),
+    da AS (SELECT place_id, arg_min(value, id) AS value FROM names WHERE language = 'da' GROUP BY place_id),
+    mems AS (SELECT m.place_id, arg_min_null(a.name, m.id) AS municipality, max(observed_at) AS d
+             FROM v_administrative_memberships m LEFT JOIN v_administrative_areas a ON a.id = m.administrative_area_id
+             WHERE valid_to IS NULL GROUP BY m.place_id),
+    cls AS (SELECT place_id, arg_max(feature_type, id) AS feature_type, arg_max(observed_at, id) AS d
+            FROM v_place_classifications WHERE valid_to IS NULL GROUP BY place_id),
+    geo AS (SELECT place_id, arg_max(lat, id) AS lat, arg_max(lon, id) AS lon, arg_max(observed_at, id) AS d
+            FROM v_place_geometries WHERE valid_to IS NULL GROUP BY place_id),
+    nd AS (SELECT place_id, max(observed_at) AS d FROM names GROUP BY place_id),
+    slugs AS (SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS STRING) END AS slug
+              FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM ({SQL_BASE})))
+    SELECT p.id, s.slug, coalesce(o.value, '') AS name, coalesce(da.value, '') AS danish_name,
+           coalesce(m.municipality, '') AS municipality, coalesce(c.feature_type, '') AS feature_type, p.status, g.lat, g.lon,
+           CAST(coalesce(greatest(nd.d, m.d, c.d, g.d), p.created_at) AS STRING) AS updated_at
+    FROM v_places p JOIN slugs s ON s.id = p.id LEFT JOIN names o ON o.place_id = p.id AND o.canon
+    LEFT JOIN da ON da.place_id = p.id LEFT JOIN mems m ON m.place_id = p.id
+    LEFT JOIN cls c ON c.place_id = p.id LEFT JOIN geo g ON g.place_id = p.id LEFT JOIN nd ON nd.place_id = p.id
+    WHERE p.status <> 'retired'"""
+
+
+@query("c3_denormalized_places", SQL_RECORDS)
+def _(spark, sf):
+    return denorm.denorm_places(domain_tables(spark, sf)).select(
         "id",
         "slug",
         F.col("canonical_name.value").alias("name"),
-        joined("alternate_names", "assertion_id").alias("alternates"),
-        joined(members).alias("memberships"),
+        "danish_name",
+        "municipality",
         "feature_type",
+        "status",
         F.col("coordinates.latitude").alias("lat"),
+        F.col("coordinates.longitude").alias("lon"),
         F.col("updated_at").cast("string").alias("updated_at"),
     )
 
 
+@query(
+    "c3_alternate_names",
+    f"""SELECT place_id, id AS assertion_id, value, language, coalesce(kind, 'alias') AS kind FROM ({SQL_CANON})
+        WHERE NOT canon AND place_id IN (SELECT id FROM v_places WHERE status <> 'retired')""",
+)
+def _(spark, sf):
+    return denorm.place_alternates(domain_tables(spark, sf)).select("place_id", "assertion_id", "value", "language", "kind")
+
+
+@query(
+    "c3_memberships",
+    """SELECT m.place_id, m.id AS assertion_id, coalesce(a.level, '') AS level, coalesce(a.name, '') AS name
+       FROM v_administrative_memberships m LEFT JOIN v_administrative_areas a ON a.id = m.administrative_area_id
+       WHERE m.valid_to IS NULL AND m.place_id IN (SELECT id FROM v_places WHERE status <> 'retired')""",
+)
+def _(spark, sf):
+    return denorm.place_memberships(domain_tables(spark, sf)).select("place_id", "assertion_id", "level", "name")
+
+
 @query(
     "c4_denormalized_reachability",
-    """SELECT c.id, c.direction, c.mode, coalesce(s.ids, '') AS services, coalesce(s.kinds, '') AS kinds,
-              CAST(coalesce(s.d, c.created_at) AS STRING) AS updated_at
-       FROM v_connections c LEFT JOIN (SELECT connection_id, string_agg(id, ',' ORDER BY id) AS ids,
-            string_agg(coalesce(frequency_band, 'unknown'), ',' ORDER BY coalesce(frequency_band, 'unknown')) AS kinds,
-            max(observed_at) AS d FROM v_connection_services WHERE valid_to IS NULL GROUP BY connection_id) s
+    """SELECT c.id, c.direction, c.mode, coalesce(s.n, 0) AS service_count, CAST(coalesce(s.d, c.created_at) AS STRING) AS updated_at
+       FROM v_connections c LEFT JOIN (SELECT connection_id, count(*) AS n, max(observed_at) AS d
+            FROM v_connection_services WHERE valid_to IS NULL GROUP BY connection_id) s
             ON s.connection_id = c.id WHERE c.retired_at IS NULL""",
 )
 def _(spark, sf):
-    d = denorm.denorm_reachability(domain_tables(spark, sf))
-    return d.select(
-        "id", "direction", "mode", joined("services", "id").alias("services"),
-        joined("services", "frequency_band").alias("kinds"), F.col("updated_at").cast("string").alias("updated_at"),
+    return denorm.denorm_reachability(domain_tables(spark, sf)).select(
+        "id", "direction", "mode", "service_count", F.col("updated_at").cast("string").alias("updated_at")
     )
 
 
+@query(
+    "c4_services",
+    """SELECT connection_id, id, operator, coalesce(frequency_band, 'unknown') AS frequency_band FROM v_connection_services
+       WHERE valid_to IS NULL AND connection_id IN (SELECT id FROM v_connections WHERE retired_at IS NULL)""",
+)
+def _(spark, sf):
+    s = denorm.connection_services(domain_tables(spark, sf))
+    return s.select("connection_id", "service.id", "service.operator", "service.frequency_band")
+
+
 @query(
     "c5_place_detail",
-    f"""SELECT d.*, coalesce(n.names, '') AS names FROM ({SQL_CURRENT_PLACES}) d
-        LEFT JOIN (SELECT place_id, string_agg(value, '|' ORDER BY kind, language, value) AS names FROM v_place_names
-                   WHERE valid_to IS NULL GROUP BY place_id) n ON n.place_id = d.id WHERE d.id = '{START}'""",
+    f"""SELECT d.*, n.kind, n.language, n.value FROM ({SQL_CURRENT_PLACES}) d
+        LEFT JOIN (SELECT * FROM v_place_names WHERE valid_to IS NULL) n ON n.place_id = d.id WHERE d.id = '{START}'""",
 )
 def _(spark, sf):
     d = denorm.place_detail(domain_tables(spark, sf), START)
     return d.select(
         "id", "canonical_name_kl", "feature_type", "status", F.col("geometry.coordinates")[0].alias("lon"),
-        "municipality", "municipality_id",
-        F.coalesce(F.array_join(F.transform("names", lambda n: n["value"]), "|"), F.lit("")).alias("names"),
+        "municipality", "municipality_id", "name.kind", "name.language", "name.value",
     )
 
 
@@ -381,33 +396,32 @@ def _(spark, sf):
     )
 
 
-SQL_TOUCHING = f"""SELECT c.id AS connection_id, c.origin_place_id, c.destination_place_id, c.mode,
-        coalesce(string_agg(s.id, ',' ORDER BY s.id), '') AS services
+SQL_TOUCHING = f"""SELECT c.id AS connection_id, c.origin_place_id, c.destination_place_id, c.mode, s.id AS service_id
     FROM v_connections c LEFT JOIN v_connection_services s ON s.connection_id = c.id AND {sql_rule('api', p='s.')}
-    WHERE c.retired_at IS NULL GROUP BY ALL"""
+    WHERE c.retired_at IS NULL"""
 
 
 @query(
     "c7_place_connections",
-    f"""SELECT connection_id, mode, services, CASE WHEN origin_place_id = '{START}' THEN 'origin' ELSE 'destination' END AS role,
+    f"""SELECT connection_id, mode, service_id, CASE WHEN origin_place_id = '{START}' THEN 'origin' ELSE 'destination' END AS role,
                CASE WHEN origin_place_id = '{START}' THEN destination_place_id ELSE origin_place_id END AS peer_place_id
         FROM ({SQL_TOUCHING}) WHERE origin_place_id = '{START}' OR destination_place_id = '{START}'""",
 )
 def _(spark, sf):
     d = denorm.place_connections(domain_tables(spark, sf), START, AT)
-    return d.select("connection_id", "mode", joined("services", "id").alias("services"), "role", "peer_place_id")
+    return d.select("connection_id", "mode", F.col("service.id").alias("service_id"), "role", "peer_place_id")
 
 
 @query(
     "c7_all_place_connections",
-    f"""SELECT origin_place_id AS place_id, 'origin' AS role, destination_place_id AS peer_place_id, connection_id, services
+    f"""SELECT origin_place_id AS place_id, 'origin' AS role, destination_place_id AS peer_place_id, connection_id, service_id
         FROM ({SQL_TOUCHING}) UNION ALL
-        SELECT destination_place_id, 'destination', origin_place_id, connection_id, services FROM ({SQL_TOUCHING})
+        SELECT destination_place_id, 'destination', origin_place_id, connection_id, service_id FROM ({SQL_TOUCHING})
         WHERE origin_place_id <> destination_place_id""",
 )
 def _(spark, sf):
     d = denorm.all_place_connections(domain_tables(spark, sf), AT)
-    return d.select("place_id", "role", "peer_place_id", "connection_id", joined("services", "id").alias("services"))
+    return d.select("place_id", "role", "peer_place_id", "connection_id", F.col("service.id").alias("service_id"))
 
 
 @query(
@@ -438,11 +452,11 @@ SQL_NODES = """SELECT p.id AS place_id, n.official_name, n.danish_name, n.histor
     WHERE p.id IN (SELECT origin_place_id FROM v_connections WHERE retired_at IS NULL
                    UNION SELECT destination_place_id FROM v_connections WHERE retired_at IS NULL)"""
 SQL_EDGES = f"""SELECT c.id, c.origin_place_id AS from_place_id, c.destination_place_id AS to_place_id, a.official_name AS from_name,
-        b.official_name AS to_name, c.direction, c.mode, coalesce(s.ids, '') AS services, s.operator,
+        b.official_name AS to_name, c.direction, c.mode, coalesce(s.n, 0) AS service_count, s.operator,
         s.season_kind, s.month_from, s.month_to, s.first_id
     FROM v_connections c JOIN ({SQL_NODES}) a ON a.place_id = c.origin_place_id
     JOIN ({SQL_NODES}) b ON b.place_id = c.destination_place_id
-    LEFT JOIN (SELECT connection_id, string_agg(id, ',' ORDER BY id) AS ids, arg_min_null(operator, id) AS operator, min(id) AS first_id,
+    LEFT JOIN (SELECT connection_id, count(*) AS n, arg_min_null(operator, id) AS operator, min(id) AS first_id,
                arg_min_null(season_kind, id) AS season_kind, arg_min_null(month_from, id) AS month_from,
                arg_min_null(month_to, id) AS month_to
                FROM v_connection_services WHERE {sql_rule('export')} GROUP BY connection_id) s ON s.connection_id = c.id
@@ -456,17 +470,27 @@ def _(spark, sf):
 
 @query(
     "c9_graph_edges",
-    f"SELECT id, from_place_id, to_place_id, from_name, to_name, direction, mode, services, operator FROM ({SQL_EDGES})",
+    f"SELECT id, from_place_id, to_place_id, from_name, to_name, direction, mode, service_count, operator FROM ({SQL_EDGES})",
 )
 def _(spark, sf):
     t = domain_tables(spark, sf)
     e = denorm.graph_edges(t, denorm.graph_nodes(t))
     return e.select(
-        "id", "from_place_id", "to_place_id", "from_name", "to_name", "direction", "mode",
-        joined("services", "id").alias("services"), "operator",
+        "id", "from_place_id", "to_place_id", "from_name", "to_name", "direction", "mode", "service_count", "operator"
     )
 
 
+@query(
+    "c9_edge_services",
+    f"""SELECT e.id, s.id AS service_id, s.operator FROM ({SQL_EDGES}) e
+        JOIN v_connection_services s ON s.connection_id = e.id AND {sql_rule('export', p='s.')}""",
+)
+def _(spark, sf):
+    t = domain_tables(spark, sf)
+    s = denorm.edge_services(t, denorm.graph_edges(t, denorm.graph_nodes(t)))
+    return s.select("id", F.col("service.id").alias("service_id"), "service.operator")
+
+
 SQL_MONTHS = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
 SQL_LABEL = f"""CASE WHEN first_id IS NULL THEN 'unknown' WHEN season_kind = 'year_round' THEN 'Year-round'
     WHEN season_kind = 'seasonal' AND month_from IS NOT NULL
@@ -605,39 +629,62 @@ _loss("api", "api")
 _loss("build_month", "build")
 
 
-def _sql_hops(where_source: str, hops: int) -> str:
+def _sql_reach(where_source: str, path: bool) -> str:
+    """Breadth first over all hops; a place keeps its least hop count and, of equal ones, the least path."""
     edges = f"""SELECT origin_place_id AS src, destination_place_id AS dst, id FROM ({sql_serving('api')})
         UNION ALL SELECT destination_place_id, origin_place_id, id FROM ({sql_serving('api')}) WHERE direction = 'bidirectional'"""
-    layers = [
-        f"""edges AS MATERIALIZED (SELECT src, dst, min(id) AS id FROM ({edges}) WHERE src <> dst GROUP BY src, dst)""",
-        f"""h0 AS MATERIALIZED (SELECT id AS source, id AS place_id, 0 AS hops, id AS path, '' AS connections FROM v_places WHERE {where_source})""",
-    ]
-    for h in range(1, hops + 1):
-        seen = " UNION ALL ".join(f"SELECT source, place_id FROM h{i}" for i in range(h))
-        layers.append(
-            f"""h{h} AS MATERIALIZED (SELECT source, place_id, {h} AS hops, arg_min(path, connections) AS path, min(connections) AS connections
-                FROM (SELECT f.source, e.dst AS place_id, f.path || ',' || e.dst AS path,
-                      CASE WHEN f.connections = '' THEN e.id ELSE f.connections || ',' || e.id END AS connections
-                      FROM h{h - 1} f JOIN edges e ON e.src = f.place_id)
-                WHERE (source, place_id) NOT IN ({seen}) GROUP BY source, place_id)"""
-        )
-    union = " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(hops + 1))
-    return f"WITH {', '.join(layers)} {union}"
+    carried, start, step = (
+        (", path, connections", ", id AS path, '' AS connections",
+         """, arg_min(f.path || ',' || e.dst, CASE WHEN f.connections = '' THEN e.id ELSE f.connections || ',' || e.id END),
+            min(CASE WHEN f.connections = '' THEN e.id ELSE f.connections || ',' || e.id END)""")
+        if path else ("", "", "")
+    )
+    return f"""WITH RECURSIVE edges AS MATERIALIZED (SELECT src, dst, min(id) AS id FROM ({edges}) WHERE src <> dst GROUP BY src, dst),
+        reach(source, place_id, hops{carried}) USING KEY (source, place_id) AS (
+          SELECT id, id, 0{start} FROM v_places WHERE {where_source}
+          UNION
+          SELECT f.source, e.dst, min(f.hops) + 1{step} FROM reach f JOIN edges e ON e.src = f.place_id
+          LEFT JOIN recurring.reach r ON r.source = f.source AND r.place_id = e.dst
+          WHERE r.place_id IS NULL GROUP BY f.source, e.dst)
+        SELECT * FROM reach"""
 
 
-@query("d5_hop_paths_from_place", _sql_hops(f"id = '{START}'", 3))
+@query("d5_hop_paths_from_place", _sql_reach(f"id = '{START}'", True))
 def _(spark, sf):
     t = domain_tables(spark, sf)
     start = t["places"].where(F.col("id") == START).select(F.col("id").alias("place_id"))
-    found = network.hop_distances(t, start, AT, max_hops=3)
+    found = network.hop_distances(t, start, AT)
     return found.withColumn("path", F.array_join("path", ",")).withColumn("connections", F.array_join("connections", ","))
 
 
-@query("d6_hop_distances", f"SELECT source, place_id, hops FROM ({_sql_hops(chr(39) + 'active' + chr(39) + ' = status', 2)})")
+def _path_query(name: str, target: str, max_transfers: int | None) -> None:
+    limit = "NULL::INT" if max_transfers is None else str(max_transfers)
+    within = "TRUE" if max_transfers is None else f"hops <= {max_transfers + 1}"
+
+    @query(
+        name,
+        f"""SELECT '{START}' AS from_place_id, '{target}' AS to_place_id, {limit} AS max_transfers, r.hops IS NOT NULL AS reachable, r.hops,
+                   coalesce(r.path, '') AS path, coalesce(r.connections, '') AS connections
+            FROM (SELECT 1) LEFT JOIN (SELECT * FROM ({_sql_reach(f"id = '{START}'", True)}) WHERE place_id = '{target}' AND {within}) r ON TRUE""",
+    )
+    def _(spark, sf):
+        found = network.hop_path(domain_tables(spark, sf), START, target, AT, max_transfers=max_transfers)
+        text = lambda c: F.array_join(c, ",").alias(c)
+        return found.select("from_place_id", "to_place_id", "max_transfers", "reachable", "hops", text("path"), text("connections"))
+
+
+_path_query("d5_hop_path", "plc_0000000077", None)
+_path_query("d5_hop_path_direct_only", "plc_0000000077", 0)
+_path_query("d5_hop_path_to_itself", START, None)
+_path_query("d5_hop_path_unreachable", "plc_none", None)
+
+
+@query("d6_hop_distances", _sql_reach(f"id IN ('{START}', 'plc_0000000002', 'plc_0000000004', 'plc_0000000010')", False))
 def _(spark, sf):
+    """From a given set of origins to every place they reach."""
     t = domain_tables(spark, sf)
-    starts = temporal.active(t["places"]).select(F.col("id").alias("place_id"))
-    return network.hop_distances(t, starts, AT, max_hops=2).select("source", "place_id", "hops")
+    starts = t["places"].where(F.col("id").isin(START, "plc_0000000002", "plc_0000000004", "plc_0000000010"))
+    return network.hop_distances(t, starts.select(F.col("id").alias("place_id")), AT).select("source", "place_id", "hops")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accessgraph.operators import denorm, grids, tracks
+from accessgraph.plans.access import SQL_CANON, SQL_RECORDS
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, domain_tables
 from accessgraph.sources import sinks
@@ -165,50 +166,69 @@ def _(spark, sf):
 
 @query(
     "a9_places_csv",
-    """SELECT p.id, coalesce(arg_min(d.value, d.id), '') AS name_da, p.status FROM v_places p LEFT JOIN (SELECT * FROM v_place_names
-         WHERE valid_to IS NULL AND language = 'da') d ON d.place_id = p.id WHERE p.status <> 'retired' GROUP BY p.id, p.status""",
+    f"""SELECT id, slug, name AS name_kl, danish_name AS name_da, coalesce(CAST(lat AS DOUBLE), -999) AS latitude,
+               coalesce(CAST(lon AS DOUBLE), -999) AS longitude, feature_type, municipality, status, updated_at FROM ({SQL_RECORDS})""",
 )
 def _(spark, sf):
-    return sinks.places_csv(denorm.denorm_places(domain_tables(spark, sf))).select("id", "name_da", "status")
+    rows = sinks.places_csv(denorm.denorm_places(domain_tables(spark, sf)))
+    as_double = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")).cast("double"), F.lit(-999.0)).alias(c)
+    return rows.select(
+        "id", "slug", "name_kl", "name_da", as_double("latitude"), as_double("longitude"), "feature_type", "municipality", "status",
+        "updated_at",
+    )
 
 
 @query(
     "a9_reachability_csv",
-    """SELECT c.id, c.mode, count(s.id) AS services FROM v_connections c LEFT JOIN (SELECT * FROM v_connection_services WHERE valid_to IS NULL) s
-         ON s.connection_id = c.id WHERE c.retired_at IS NULL GROUP BY c.id, c.mode""",
+    """SELECT c.id, c.mode, c.direction, s.id AS service_id, s.operator FROM v_connections c
+         LEFT JOIN (SELECT * FROM v_connection_services WHERE valid_to IS NULL) s
+         ON s.connection_id = c.id WHERE c.retired_at IS NULL""",
 )
 def _(spark, sf):
-    rows = sinks.reachability_csv(denorm.denorm_reachability(domain_tables(spark, sf)))
-    count = F.size(F.from_json("services_json", "array<struct<id:string>>")).cast("long")
-    return rows.select("id", "mode", count.alias("services"))
+    t = domain_tables(spark, sf)
+    rows = sinks.reachability_csv(denorm.denorm_reachability(t), denorm.connection_services(t))
+    field = lambda name: F.get_json_object("service_json", f"$.{name}").alias("service_id" if name == "id" else name)
+    return rows.select("id", "mode", "direction", field("id"), field("operator"))
 
 
 @query(
     "a10_geojson_features",
-    """SELECT p.id, g.lon FROM v_places p LEFT JOIN (SELECT place_id, arg_max(lon, id) AS lon FROM v_place_geometries
-         WHERE valid_to IS NULL GROUP BY place_id) g ON g.place_id = p.id WHERE p.status <> 'retired'""",
+    f"""SELECT id, 'place' AS kind, slug AS label, lon, lat FROM ({SQL_RECORDS}) UNION ALL
+        SELECT place_id, 'alternate_name', value, NULL, NULL FROM ({SQL_CANON})
+        WHERE NOT canon AND place_id IN (SELECT id FROM v_places WHERE status <> 'retired') UNION ALL
+        SELECT place_id, 'membership', id, NULL, NULL FROM v_administrative_memberships
+        WHERE valid_to IS NULL AND place_id IN (SELECT id FROM v_places WHERE status <> 'retired')""",
 )
 def _(spark, sf):
-    rows = sinks.to_geojson_features(denorm.denorm_places(domain_tables(spark, sf)))
-    return rows.select("id", F.get_json_object("feature", "$.geometry.coordinates[0]").cast("double").alias("lon"))
+    t = domain_tables(spark, sf)
+    rows = sinks.to_geojson_features(denorm.denorm_places(t), denorm.place_alternates(t), denorm.place_memberships(t))
+    of = lambda path: F.get_json_object("feature", path)
+    label = (
+        F.when(F.col("kind") == "place", of("$.properties.slug"))
+        .when(F.col("kind") == "membership", of("$.properties.assertion_id"))
+        .otherwise(of("$.properties.value"))
+    )
+    spot = lambda i: of(f"$.geometry.coordinates[{i}]").cast("double")
+    return rows.select("id", "kind", label.alias("label"), spot(0).alias("lon"), spot(1).alias("lat"))
 
 
 @query(
     "a11_track_geojson",
-    f"""WITH kept AS (SELECT * FROM (SELECT *, {SQL_QUALITY} AS q FROM v_points) WHERE q <> 'rejected')
-        SELECT trip_id, 'track' AS kind, 1 AS n, sum(longitude)::DECIMAL(18,4)::DOUBLE AS lon_sum FROM kept GROUP BY trip_id HAVING count(*) >= 2
-        UNION ALL SELECT trip_id, 'track_point', count(*), sum(longitude)::DECIMAL(18,4)::DOUBLE FROM kept GROUP BY trip_id
-        UNION ALL SELECT trip_id, 'waypoint', count(*), sum(longitude)::DECIMAL(18,4)::DOUBLE FROM v_points WHERE event_type = 'error' GROUP BY trip_id""",
+    f"""WITH kept AS (SELECT * FROM (SELECT *, {SQL_QUALITY} AS q FROM v_points) WHERE q <> 'rejected'),
+        lines AS (SELECT trip_id FROM kept GROUP BY trip_id HAVING count(*) >= 2)
+        SELECT trip_id, 'track' AS kind, section, 1 AS n, NULL AS lon_sum FROM lines, (VALUES (0), (2), (4), (6)) s(section)
+        UNION ALL SELECT trip_id, 'track', section, count(*), CASE section WHEN 1 THEN sum(longitude)::DECIMAL(18,4)::DOUBLE END
+                  FROM kept, (VALUES (1), (3), (5)) s(section) WHERE trip_id IN (SELECT trip_id FROM lines) GROUP BY trip_id, section
+        UNION ALL SELECT trip_id, 'track_point', 0, count(*), sum(longitude)::DECIMAL(18,4)::DOUBLE FROM kept GROUP BY trip_id
+        UNION ALL SELECT trip_id, 'waypoint', 0, count(*), sum(longitude)::DECIMAL(18,4)::DOUBLE FROM v_points WHERE event_type = 'error' GROUP BY trip_id""",
 )
 def _(spark, sf):
     rows = sinks.tracks_to_geojson(_points(spark, sf), _waypoints(spark, sf))
-    many = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<double>>")
-    one = F.get_json_object("feature", "$.geometry.coordinates[0]").cast("double")
-    lon = F.when(
-        F.col("kind") == "track", F.aggregate(many, F.lit(0.0), lambda total, c: total + c[0])
-    ).otherwise(one)
+    vertex = F.get_json_object(F.ltrim("text", F.lit(",")), "$[0]").cast("double")
+    one = F.get_json_object("text", "$.geometry.coordinates[0]").cast("double")
+    lon = F.when(F.col("kind") != "track", one).when(F.col("section") == sinks.COORDINATES, vertex)
     total = F.sum(lon).cast("decimal(18,4)").cast("double")
-    return rows.groupBy("trip_id", "kind").agg(F.count("*").alias("n"), total.alias("lon_sum"))
+    return rows.groupBy("trip_id", "kind", "section").agg(F.count("*").alias("n"), total.alias("lon_sum"))
 
 
 @query(

@@ -191,7 +191,7 @@ def _(spark, sf):
     "g13_region_extract",
     f"""WITH inside AS (SELECT * FROM ({SQL_RANKED}) WHERE longitude BETWEEN {BOX[0]} AND {BOX[2]} AND latitude BETWEEN {BOX[1]} AND {BOX[3]})
         SELECT record_id FROM inside WHERE is_locality UNION ALL
-        SELECT record_id FROM (SELECT * FROM inside WHERE NOT is_locality AND importance >= 400 ORDER BY importance DESC, global_id LIMIT 6000)""",
+        SELECT record_id FROM (SELECT * FROM inside WHERE NOT is_locality AND importance >= 400)""",
 )
 def _(spark, sf):
     rows = gazetteer.rank_types(gazetteer.classify_features(_features(spark, sf)))
@@ -229,11 +229,11 @@ SQL_SEARCH_NAMES = """SELECT place_id, value, language, kind FROM v_place_names
     WHERE valid_to IS NULL AND entity_type = 'place'"""
 
 
-def sql_hits(names: str, query_text: str) -> str:
+def sql_hits(names: str) -> str:
     return f"""SELECT place_id, canonical_name_kl, municipality, matched_name, matched_kind FROM (
         SELECT DISTINCT p.id AS place_id, p.canonical_name_kl, p.feature_type, p.municipality, n.value AS matched_name,
                n.language, n.kind AS matched_kind FROM ({SQL_CURRENT_PLACES}) p JOIN ({names}) n ON n.place_id = p.id)
-        ORDER BY CASE WHEN lower(matched_name) = lower('{query_text}') THEN 0 ELSE 1 END, canonical_name_kl NULLS FIRST, place_id, matched_name LIMIT 50"""
+        """
 
 
 def sql_word(word: str) -> str:
@@ -243,14 +243,14 @@ def sql_word(word: str) -> str:
 HIT_COLUMNS = ("place_id", "canonical_name_kl", "municipality", "matched_name", "matched_kind")
 
 
-@query("e1_e4_prefix_search", sql_hits(f"SELECT * FROM ({SQL_SEARCH_NAMES}) WHERE {sql_word('wid')} AND {sql_word('bl')}", "wid bl"))
+@query("e1_e4_prefix_search", sql_hits(f"SELECT * FROM ({SQL_SEARCH_NAMES}) WHERE {sql_word('wid')} AND {sql_word('bl')}"))
 def _(spark, sf):
     return search.prefix_search(domain_tables(spark, sf), "WID bl").select(*HIT_COLUMNS)
 
 
 @query(
     "e2_substring_search",
-    sql_hits("SELECT * FROM v_place_names WHERE valid_to IS NULL AND contains(lower(value), 'idget 1')", "idget 1"),
+    sql_hits("SELECT * FROM v_place_names WHERE valid_to IS NULL AND contains(lower(value), 'idget 1')"),
 )
 def _(spark, sf):
     return search.substring_search(domain_tables(spark, sf), " idGET 1 ").select(*HIT_COLUMNS)
@@ -258,7 +258,7 @@ def _(spark, sf):
 
 @query(
     "e3_search_falls_back",
-    sql_hits("SELECT * FROM v_place_names WHERE valid_to IS NULL AND contains(lower(value), 'dget 2')", "dget 2"),
+    sql_hits("SELECT * FROM v_place_names WHERE valid_to IS NULL AND contains(lower(value), 'dget 2')"),
 )
 def _(spark, sf):
     return search.search_places(domain_tables(spark, sf), "dget 2").select(*HIT_COLUMNS)
@@ -274,7 +274,7 @@ def _(spark, sf):
 
 @query(
     "e3_list_places",
-    f"""SELECT id AS place_id, canonical_name_kl FROM ({SQL_CURRENT_PLACES}) ORDER BY canonical_name_kl NULLS FIRST, id LIMIT 50""",
+    f"""SELECT id AS place_id, canonical_name_kl FROM ({SQL_CURRENT_PLACES})""",
 )
 def _(spark, sf):
     return search.list_places(domain_tables(spark, sf)).select("place_id", "canonical_name_kl")
@@ -320,7 +320,7 @@ SQL_RANK = f"""SELECT query_id, global_id, importance, danish_name, old_official
 )
 def _(spark, sf):
     places = _enriched(spark, sf)
-    hits = search.rank_search(places, view(spark, sf, "v_name_queries")).drop("importance")
+    hits = search.rank_search(places, view(spark, sf, "v_name_queries"), 12).drop("importance")
     shown = hits.join(places.select("global_id", "official_name", "danish_name", "old_official_name"), "global_id")
     return shown.select(
         "query_id", "global_id", F.round("score", 4).alias("score"), "matched_field", "position",
@@ -328,6 +328,15 @@ def _(spark, sf):
     )
 
 
+@query(
+    "e9_all_scored_hits",
+    f"SELECT query_id, global_id, CAST(round(score, 4) AS DOUBLE) AS score, matched_field FROM ({SQL_RANK})",
+)
+def _(spark, sf):
+    hits = search.rank_search(_enriched(spark, sf), view(spark, sf, "v_name_queries"))
+    return hits.select("query_id", "global_id", F.round("score", 4).alias("score"), "matched_field")
+
+
 @query(
     "e7_best_field_of_pairs",
     f"""SELECT record_id, CAST(round(greatest(so, sd, sh), 4) AS DOUBLE) AS score FROM (
@@ -355,7 +364,7 @@ def _(spark, sf):
 @query(
     "e11_unaccent_search",
     f"""SELECT record_id FROM ({SQL_RANKED}) WHERE contains(strip_accents(lower(official_name || ' ' || coalesce(danish_name, '') || ' '
-          || coalesce(old_official_name, '') || ' ' || coalesce(municipality_name, ''))), 'kommuneqarfik') ORDER BY record_id LIMIT 12""",
+          || coalesce(old_official_name, '') || ' ' || coalesce(municipality_name, ''))), 'kommuneqarfik')""",
 )
 def _(spark, sf):
     rows = gazetteer.classify_features(_features(spark, sf))
@@ -418,9 +427,8 @@ SQL_EVIDENCE = f"""
          AND (x.valid_to IS NULL OR x.valid_to >= DATE '2000-10-01')
     UNION ALL SELECT request_id, place_id, 0.95, 'official_name_exact' FROM exact
     UNION ALL SELECT request_id, place_id, 0.6, 'name_partial' FROM (
-        SELECT request_id, place_id, row_number() OVER (PARTITION BY request_id ORDER BY place_id) AS n FROM (
-            SELECT DISTINCT request_id, place_id FROM req JOIN ({SQL_LIVE_NAMES}) ON contains(v, lower(trim(name)))
-            WHERE request_id NOT IN (SELECT request_id FROM exact))) WHERE n <= 10"""
+        SELECT DISTINCT request_id, place_id FROM req JOIN ({SQL_LIVE_NAMES}) ON contains(v, lower(trim(name)))
+        WHERE request_id NOT IN (SELECT request_id FROM exact))"""
 SQL_HINT = f"""SELECT DISTINCT request_id, p.id AS place_id, 0.5 AS confidence, 'municipality_hint' AS reason
     FROM req JOIN v_administrative_areas a ON contains(a.name, CAST(code AS STRING))
     JOIN ({SQL_CURRENT_PLACES}) p ON p.municipality_id = a.id"""

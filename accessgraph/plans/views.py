@@ -241,7 +241,8 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
         inputs.update({other: view(spark, sf, other) for other in _needs(VIEWS[name])})
         sql = VIEWS[name]
         for table in inputs:
-            sql = re.sub(rf"\b{table}\b", "{" + table + "}", sql)
+            # A table name inside quotes is an ordinary value.
+            sql = re.sub(rf"('[^']*')|\b{table}\b", lambda m, t=table: m[1] or "{" + t + "}", sql)
         sql = sql.replace("'{'", "'{{'").replace("'}'", "'}}'")
         _OPENED[key] = spark.sql(sql, **inputs)
     return _OPENED[key]

@@ -98,20 +98,21 @@ def point_features(features: DataFrame, value: str = "value") -> DataFrame:
 # --- land polygons --------------------------------------------------------------------
 
 POSITIONS = "array<array<array<double>>>"
-NESTING = 3
 
 
 def read_land_polygons(features: DataFrame, value: str = "value") -> DataFrame:
     """Polygon rows (polygon_id, rings, west, south, east, north) from land feature texts.
 
-    Polygons, multi-polygons and collections of them (nested up to ``NESTING``
-    levels) are accepted. Features of another kind and outer rings of fewer than
+    Polygons, multi-polygons and collections of them (nested to any
+    depth) are accepted. Features of another kind and outer rings of fewer than
     four positions are left out.
     """
     kind = F.get_json_object(value, "$.properties.kind")
     land = features.where(F.coalesce(kind, F.lit("")).isin("", "land"))
     geometry = land.select(F.xxhash64(value).alias("_feature"), F.get_json_object(value, "$.geometry").alias("_g"))
-    for _ in range(NESTING):
+    # No collection nests deeper than its text names collections.
+    depth = land.agg(F.max(F.regexp_count(value, F.lit("GeometryCollection")))).first()[0] or 0
+    for _ in range(depth):
         inner = F.from_json(F.get_json_object("_g", "$.geometries"), "array<string>")
         nested = F.get_json_object("_g", "$.type") == "GeometryCollection"
         geometry = geometry.select(

@@ -27,32 +27,31 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def places_csv(denormalized: DataFrame) -> DataFrame:
-    """Flat columns of denormalized places: first Danish alternate and first open membership."""
-    first = denormalized.where(F.col("part") == 0)
-    danish = F.get(F.filter("alternate_names", lambda n: n["language"] == "da"), F.lit(0))["value"]
-    area = F.get(F.filter("administrative_memberships", lambda m: m["valid_to"].isNull()), F.lit(0))["name"]
-    return first.select(
+    """Flat columns of denormalized places with their first Danish name and first open membership."""
+    return denormalized.select(
         "id",
         "slug",
         F.col("canonical_name.value").alias("name_kl"),
-        F.coalesce(danish, F.lit("")).alias("name_da"),
+        F.col("danish_name").alias("name_da"),
         F.coalesce(F.col("coordinates.latitude").cast("string"), F.lit("")).alias("latitude"),
         F.coalesce(F.col("coordinates.longitude").cast("string"), F.lit("")).alias("longitude"),
         "feature_type",
-        F.coalesce(area, F.lit("")).alias("municipality"),
+        "municipality",
         "status",
         F.col("updated_at").cast("string").alias("updated_at"),
     )
 
 
-def reachability_csv(denormalized: DataFrame) -> DataFrame:
-    return denormalized.select(
+def reachability_csv(denormalized: DataFrame, services: DataFrame) -> DataFrame:
+    """A row per connection and service, the service as JSON text; a connection without any has one empty text."""
+    texts = services.select(F.col("connection_id").alias("id"), F.to_json("service", SHOWN_NULLS).alias("service_json"))
+    return denormalized.join(texts, "id", "left").select(
         "id",
         "origin_place_id",
         "destination_place_id",
         "direction",
         "mode",
-        F.to_json("services", SHOWN_NULLS).alias("services_json"),
+        F.coalesce("service_json", F.lit("")).alias("service_json"),
         F.col("updated_at").cast("string").alias("updated_at"),
     )
 
@@ -67,18 +66,19 @@ def _point(lon: Column, lat: Column) -> Column:
     return F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
 
 
-def to_geojson_features(denormalized: DataFrame) -> DataFrame:
-    """One feature text per place; the geometry is null without coordinates."""
+def to_geojson_features(denormalized: DataFrame, alternates: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Rows (id, kind, feature): one ``place`` feature per place, and one without geometry per name and membership.
+
+    The geometry of a place is null without coordinates.
+    """
     refs = F.coalesce(F.col("coordinates.source_refs"), F.array().cast(denormalized.schema["source_refs"].dataType))
     properties = F.struct(
         "id",
         "slug",
         F.col("canonical_name.value").alias("name_kl"),
-        "alternate_names",
         "feature_type",
         "status",
         "classification_source_refs",
-        "administrative_memberships",
         "source_refs",
         refs.alias("geometry_source_refs"),
         "updated_at",
@@ -86,7 +86,17 @@ def to_geojson_features(denormalized: DataFrame) -> DataFrame:
     spot = F.when(
         F.col("coordinates").isNotNull(), _point(F.col("coordinates.longitude"), F.col("coordinates.latitude"))
     )
-    return denormalized.select("id", "part", _feature(properties, spot).alias("feature"))
+    nowhere = F.lit(None).cast("struct<type:string,coordinates:array<double>>")
+    rows = denormalized.select("id", F.lit("place").alias("kind"), _feature(properties, spot).alias("feature"))
+    for kind, children in (("alternate_name", alternates), ("membership", memberships)):
+        rows = rows.unionByName(
+            children.select(
+                F.col("place_id").alias("id"),
+                F.lit(kind).alias("kind"),
+                _feature(F.struct(*children.columns), nowhere).alias("feature"),
+            )
+        )
+    return rows
 
 
 def _iso(column: str) -> Column:
@@ -102,51 +112,57 @@ def _non_empty(points: DataFrame, waypoints: DataFrame) -> None:
         raise ValueError("cannot export an empty trip")
 
 
-def track_lines(points: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Pieces (trip_id, part, coordinates, timestamps, accuracies) of the accepted line of each trip.
+# Sections of a track feature in writing order.
+BEGIN, COORDINATES, TIMES, TIME_LIST, ACCURACIES, ACCURACY_LIST, END = range(7)
+
+
+def track_lines(points: DataFrame) -> DataFrame:
+    """Rows (trip_id, section, position, text); read in this order they are one line feature per trip.
 
-    A trip of up to ``chunk`` accepted points is one piece. Longer ones come as
-    ordered parts, so that no row has to hold an unbounded trip; trips with
-    fewer than two accepted points have no line.
+    A row holds one vertex, its time or its accuracy, so a trip of any length
+    is one line and no row grows with it. Trips with fewer than two accepted
+    points have no line.
     """
     kept = _accepted(points)
-    sizes = kept.groupBy("trip_id").agg(F.count(F.lit(1)).alias("point_count")).where("point_count >= 2")
-    placed = numbered(kept, ["trip_id"], ["sequence"], F.floor(F.col("sequence") / F.lit(chunk)), "_n")
-    items = F.sort_array(
-        F.collect_list(
-            F.struct("sequence", "longitude", "latitude", _iso("recorded_at").alias("t"), F.col("horizontal_accuracy_m").alias("a"))
-        )
-    )
-    return (
-        placed.join(sizes, "trip_id")
-        .groupBy("trip_id", "point_count", F.floor((F.col("_n") - 1) / F.lit(chunk)).cast("int").alias("part"))
-        .agg(items.alias("_i"))
-        .select(
-            "trip_id",
-            "part",
-            "point_count",
-            F.transform("_i", lambda i: F.array(i["longitude"], i["latitude"])).alias("coordinates"),
-            F.transform("_i", lambda i: i["t"]).alias("timestamps"),
-            F.transform("_i", lambda i: i["a"]).alias("horizontal_accuracy_m"),
-        )
+    trips = kept.groupBy("trip_id").agg(F.count(F.lit(1)).alias("_points"), F.min("sequence").alias("_first")).where("_points >= 2")
+    placed = kept.join(trips, "trip_id")
+    comma = F.when(F.col("sequence") == F.col("_first"), "").otherwise(",")
+    json = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), SHOWN_NULLS), r'^\{"v":(.*)\}$', 1)
+    spot = F.to_json(F.array("longitude", "latitude"))
+    vertices = placed.select(
+        "trip_id",
+        F.col("sequence").alias("position"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(COORDINATES).alias("section"), F.concat(comma, spot).alias("text")),
+                F.struct(F.lit(TIME_LIST).alias("section"), F.concat(comma, json(_iso("recorded_at"))).alias("text")),
+                F.struct(F.lit(ACCURACY_LIST).alias("section"), F.concat(comma, json(F.col("horizontal_accuracy_m"))).alias("text")),
+            )
+        ).alias("_v"),
+    ).select("trip_id", "_v.section", "position", "_v.text")
+    opening = F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":[')
+    middle = F.concat(
+        F.lit(']},"properties":{"tripId":'), json(F.col("trip_id")), F.lit(',"kind":"track","pointCount":'),
+        F.col("_points").cast("string"), F.lit(',"timestamps":['),
     )
+    frame = trips.select(
+        "trip_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit(BEGIN).alias("section"), opening.alias("text")),
+                F.struct(F.lit(TIMES).alias("section"), middle.alias("text")),
+                F.struct(F.lit(ACCURACIES).alias("section"), F.lit('],"horizontalAccuracyM":[').alias("text")),
+                F.struct(F.lit(END).alias("section"), F.lit("]}}").alias("text")),
+            )
+        ).alias("_f"),
+    ).select("trip_id", "_f.section", F.lit(0).cast("long").alias("position"), "_f.text")
+    return frame.unionByName(vertices)
 
 
 def tracks_to_geojson(points: DataFrame, waypoints: DataFrame, check: bool = True) -> DataFrame:
-    """Feature texts (trip_id, kind, feature): lines, accepted points and waypoints."""
+    """Rows (trip_id, kind, section, position, text): lines by section, accepted points and waypoints as whole features."""
     if check:
         _non_empty(points, waypoints)
-    lines = track_lines(points)
-    line = _feature(
-        F.struct(
-            F.col("trip_id").alias("tripId"),
-            F.lit("track").alias("kind"),
-            F.col("point_count").alias("pointCount"),
-            "timestamps",
-            F.col("horizontal_accuracy_m").alias("horizontalAccuracyM"),
-        ),
-        F.struct(F.lit("LineString").alias("type"), "coordinates"),
-    )
     spot = _feature(
         F.struct(
             F.col("trip_id").alias("tripId"),
@@ -172,18 +188,17 @@ def tracks_to_geojson(points: DataFrame, waypoints: DataFrame, check: bool = Tru
         ),
         _point(F.col("longitude"), F.col("latitude")),
     )
+    whole = lambda kind: [F.lit(kind).alias("kind"), F.lit(0).alias("section")]
     return (
-        lines.select("trip_id", F.lit("track").alias("kind"), F.col("part").cast("long").alias("position"), line.alias("feature"))
+        track_lines(points)
+        .withColumn("kind", F.lit("track"))
         .unionByName(
-            _accepted(points).select(
-                "trip_id", F.lit("track_point").alias("kind"), F.col("sequence").alias("position"), spot.alias("feature")
-            )
+            _accepted(points).select("trip_id", *whole("track_point"), F.col("sequence").alias("position"), spot.alias("text"))
         )
         .unionByName(
-            waypoints.select(
-                "trip_id", F.lit("waypoint").alias("kind"), F.lit(0).cast("long").alias("position"), mark.alias("feature")
-            )
+            waypoints.select("trip_id", *whole("waypoint"), F.lit(0).cast("long").alias("position"), mark.alias("text"))
         )
+        .select("trip_id", "kind", "section", "position", "text")
     )
 
 

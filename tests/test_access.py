@@ -1,4 +1,5 @@
 from collections import ChainMap
+from datetime import date, timedelta
 
 from frames import connection, name, place, service, tables
 from pyspark.sql import functions as F
@@ -27,13 +28,15 @@ def rows(df, *columns):
 
 def test_edge_kept_without_services_before_start(spark):
     got = denorm.place_connections(hub(spark), "plc_0", "2020-04-15")
-    sizes = rows(got.withColumn("n", F.size("services")), "connection_id", "role", "peer_place_id", "n")
-    assert sizes == [("con_1", "origin", "plc_1", 0), ("con_2", "origin", "plc_2", 1)]
+    found = rows(got.withColumn("s", F.coalesce("service.id", F.lit("-"))), "connection_id", "role", "peer_place_id", "s")
+    assert found == [("con_1", "origin", "plc_1", "-"), ("con_2", "origin", "plc_2", "svc_b")]
 
 
 def test_two_services_of_one_connection_are_kept(spark):
     got = denorm.denorm_reachability(hub(spark)).where("id = 'con_2'").first()
-    assert [s["id"] for s in got["services"]] == ["svc_b", "svc_c"]
+    assert got["service_count"] == 2
+    services = denorm.connection_services(hub(spark)).where("connection_id = 'con_2'").select("service.id")
+    assert rows(services, "id") == [("svc_b",), ("svc_c",)]
     assert str(got["updated_at"]) == "2001-02-01"
 
 
@@ -93,7 +96,8 @@ def test_homonyms_and_closed_names(spark):
     )
     got = {r["id"]: r for r in denorm.denorm_places(t).collect()}
     assert [got[f"plc_{i}"]["slug"] for i in (1, 2, 3)] == ["nuuk", "nuuk-2", "a-b-~%2A"]
-    assert [n["value"] for n in got["plc_1"]["alternate_names"]] == ["Godthåb"]
+    assert [tuple(r) for r in denorm.place_alternates(t).select("place_id", "value").collect()] == [("plc_1", "Godthåb")]
+    assert got["plc_1"]["danish_name"] == "Godthåb" and got["plc_2"]["danish_name"] == ""
     assert got["plc_1"]["coordinates"] is None
 
 
@@ -111,12 +115,19 @@ def test_access_change(spark):
     assert got == [("plc_0", "lost"), ("plc_2", "lost")]
 
 
-def test_crowded_lists_are_split_and_whole(spark):
-    from accessgraph.operators.windows import nested_rows
-
-    df = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"), "id")
-    got = nested_rows(df, ["k"], F.struct("id"), "items", part_size=100)
-    hot = got.where("k = 1").collect()
-    assert len(hot) > 4 and max(len(r["items"]) for r in hot) < 250
-    assert sorted(i["id"] for r in hot for i in r["items"]) == list(range(900))
-    assert got.where("k <> 1").agg(F.max("part")).first()[0] == 0
+def test_crowded_keys_keep_their_key_level_fields(spark):
+    """Thousands of services and names of one key: latest date, first service and first Danish name count all of them."""
+    many = [service(f"{i:05d}", 1) | {"observed_at": date(2000, 1, 1) + timedelta(days=(i * 7919) % 5000)} for i in range(3000)]
+    t = tables(
+        spark,
+        places=[place(1), place(2)],
+        connections=[connection(1, 1, 2)],
+        connection_services=many,
+        place_names=[name(1, "Nuuk"), name(2, "Sisimiut")] + [name(1, f"N{i:04d}", "exonym", "da") for i in range(2000)],
+    )
+    record = denorm.denorm_reachability(t).first()
+    assert (record["service_count"], record["updated_at"]) == (3000, max(s["observed_at"] for s in many))
+    assert denorm.connection_services(t).count() == 3000
+    assert denorm.place_alternates(t).count() == 2000
+    danish = {n["id"]: n["value"] for n in t["place_names"].where("language = 'da'").collect()}
+    assert denorm.denorm_places(t).where("id = 'plc_1'").first()["danish_name"] == danish[min(danish)]

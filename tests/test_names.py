@@ -84,7 +84,7 @@ def test_ranked_search_scenarios(spark):
         )
     )
     asked = spark.createDataFrame([(1, "nuuk"), (2, "Godthåb"), (3, "Nuke"), (4, "karsu"), (5, "n")], "query_id int, q string")
-    hits = search.rank_search(places, asked).orderBy("query_id", "position").collect()
+    hits = search.rank_search(places, asked, 12).orderBy("query_id", "position").collect()
     by_query = {}
     for h in hits:
         by_query.setdefault(h["query_id"], []).append((h["global_id"], h["match"], h["matched_field"]))

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -47,8 +48,8 @@ def waypoints(spark):
 
 def test_exports(spark):
     features = sinks.tracks_to_geojson(points(spark), waypoints(spark)).collect()
-    kinds = sorted(f["kind"] for f in features)
-    assert kinds == ["track", "track_point", "track_point", "track_point", "waypoint", "waypoint"]
+    kinds = sorted(f["kind"] for f in features if f["kind"] != "track")
+    assert kinds == ["track_point", "track_point", "track_point", "waypoint", "waypoint"]
     text = "\n".join(
         r["text"] for r in sinks.tracks_to_gpx(points(spark), waypoints(spark)).orderBy("section", "position", "text").collect()
     )
@@ -63,16 +64,26 @@ def test_exports(spark):
         sinks.tracks_to_geojson(nothing, waypoints(spark).limit(0))
 
 
-def test_long_lines_come_in_ordered_parts(spark):
-    n = 1000
-    df = spark.range(n).select(
-        F.lit("t").alias("trip_id"), F.col("id").alias("sequence"), F.col("id").cast("double").alias("longitude"),
-        F.lit(1.0).alias("latitude"), F.lit("good").alias("quality"), F.lit(1.0).alias("horizontal_accuracy_m"),
-        F.timestamp_seconds("id").alias("recorded_at"),
-    )
-    parts = sinks.track_lines(df, chunk=300).orderBy("part").collect()
-    assert [len(p["coordinates"]) for p in parts] == [300, 300, 300, 100]
-    assert [c[0] for p in parts for c in p["coordinates"]] == [float(i) for i in range(n)]
+def test_lines_are_whole_features_whatever_their_length(spark):
+    def made(trip, n):
+        return spark.range(n).select(
+            F.lit(trip).alias("trip_id"), F.col("id").alias("sequence"), F.col("id").cast("double").alias("longitude"),
+            F.lit(1.0).alias("latitude"), F.lit("good").alias("quality"),
+            F.when(F.col("id") != 1, 1.5).alias("horizontal_accuracy_m"), F.timestamp_seconds("id").alias("recorded_at"),
+        )
+
+    rows = sinks.track_lines(made('l"ong', 3000).unionByName(made("two", 2)).unionByName(made("one", 1)))
+    texts = {}
+    for r in rows.orderBy("trip_id", "section", "position").collect():
+        texts[r["trip_id"]] = texts.get(r["trip_id"], "") + r["text"]
+    assert set(texts) == {'l"ong', "two"}
+    for trip, n in (('l"ong', 3000), ("two", 2)):
+        feature = json.loads(texts[trip])
+        assert feature["geometry"] == {"type": "LineString", "coordinates": [[float(i), 1.0] for i in range(n)]}
+        properties = feature["properties"]
+        assert (properties["tripId"], properties["kind"], properties["pointCount"]) == (trip, "track", n)
+        assert properties["timestamps"][1] == "1970-01-01T00:00:01.000Z" and len(properties["timestamps"]) == n
+        assert properties["horizontalAccuracyM"][:3] == [1.5, None, 1.5][:n]
 
 
 def test_privacy_and_cascade(spark):
