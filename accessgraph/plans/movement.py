@@ -11,7 +11,7 @@ from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, domain_tables
 from accessgraph.sources import sinks
 from accessgraph.streaming import operators as live
-from accessgraph.streaming.sinks import drain, latest, read_stream
+from accessgraph.streaming.sinks import drain, read_stream
 
 
 def _fixes(events):
@@ -270,15 +270,15 @@ def _(spark, sf):
 def _(spark, sf):
     twice = _stream(spark, sf).withColumn("arrival", F.explode(F.array(F.lit(0), F.lit(1))))
     twice = twice.withColumn("provider", F.concat(F.lit("copy_"), F.col("arrival").cast("string")))
-    updates = drain(live.stream_points_last(twice), "update")
-    return latest(updates, ["trip_id", "sequence"]).select("event_id", "provider", "quality")
+    written = drain(twice, each=live.last_arrivals)
+    return live.merge_last_arrivals(written).select("event_id", "provider", "quality")
 
 
 @query("m2_stream_trip_summary", SQL_SUMMARY.replace("ORDER BY sequence", "ORDER BY event_id"))
 def _(spark, sf):
     graded = _stream(spark, sf).withColumn("quality", tracks.classify_accuracy(F.col("horizontal_accuracy_m")))
-    partials = latest(drain(live.stream_trip_summary(graded, chunk=4096, lateness="60 days"), "update"), ["trip_id", "chunk"])
-    return live.combine_trip_chunks(partials).withColumn("distance_m", F.round("distance_m", 1))
+    islands = drain(graded, each=lambda batch: live.trip_islands(batch, chunk=4096))
+    return live.combine_trip_islands(islands).withColumn("distance_m", F.round("distance_m", 1))
 
 
 @query(
@@ -299,7 +299,7 @@ def _(spark, sf):
     "SELECT trip_id, max(event_id) AS last_event, count(*) AS stored_points FROM v_points GROUP BY trip_id",
 )
 def _(spark, sf):
-    rows = latest(drain(live.stream_active(_stream(spark, sf)), "update"), ["trip_id"])
+    rows = live.merge_active(drain(_stream(spark, sf), each=live.active_in_batch))
     return rows.select("trip_id", F.col("last_point.event_id").alias("last_event"), "stored_points")
 
 

@@ -1,23 +1,22 @@
-"""Streaming operators; all keep bounded state per key."""
+"""Streaming operators.
 
-from __future__ import annotations
+Those with state bound it by a watermark. Running totals keep none: each
+micro-batch writes rows that add up, and a ``combine`` or ``merge`` function
+folds the written rows.
+"""
 
-import math
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from accessgraph.functions.dates import is_stale
-from accessgraph.functions.geo import EARTH_RADIUS_M, haversine_m
+from accessgraph.functions.geo import haversine_m
 from accessgraph.operators.grids import gap_zones
 from accessgraph.operators.tracks import CHUNK, GAP_SEC, classify_accuracy
+from accessgraph.operators.windows import previous_row
 
 LATENESS = "1 hour"
-# Merging sessions on the map side keeps a long trip from travelling whole.
-SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def stream_points(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -26,105 +25,67 @@ def stream_points(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return graded.withWatermark("recorded_at", lateness).dropDuplicatesWithinWatermark(["trip_id", "sequence"])
 
 
-def stream_points_last(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """The same where the latest arrival replaces earlier ones; for update mode."""
-    columns = [c for c in raw.columns if c not in ("trip_id", "sequence")]
-    kept = raw.groupBy("trip_id", "sequence").agg(F.max_by(F.struct(*columns), F.col(arrival)).alias("_r"))
+def last_arrivals(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Of repeated (trip, sequence) rows of a micro-batch the latest arrival; see :func:`merge_last_arrivals`."""
+    columns = [c for c in batch.columns if c not in ("trip_id", "sequence")]
+    kept = batch.groupBy("trip_id", "sequence").agg(F.max_by(F.struct(*columns), F.col(arrival)).alias("_r"))
     return kept.select("trip_id", "sequence", "_r.*").withColumn(
         "quality", classify_accuracy(F.col("horizontal_accuracy_m"))
     )
 
 
-POINT = "sequence bigint, latitude double, longitude double, quality string, micros bigint"
-TOTALS = "point_count bigint, distance_m double, largest_gap_sec double, rejected_count bigint, weak_count bigint, good_count bigint"
-FIRST = ", ".join(f"first_{f}" for f in POINT.split(", "))
-LAST = ", ".join(f"last_{f}" for f in POINT.split(", "))
-PARTIAL = f"trip_id string, chunk bigint, {FIRST}, {LAST}, {TOTALS}"
-
-
-def _fold(gap_sec: float):
-    """Add the new points of one chunk of a trip to its running totals."""
-    radius = EARTH_RADIUS_M
-    fields = ("sequence", "latitude", "longitude", "quality", "micros")
-
-    def metres(a, b) -> float:
-        lat1, lat2 = math.radians(a[1]), math.radians(b[1])
-        half_lat, half_lon = (lat2 - lat1) / 2, math.radians(b[2] - a[2]) / 2
-        chord = math.sin(half_lat) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin(half_lon) ** 2
-        return 2 * radius * math.asin(min(1.0, math.sqrt(chord)))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # A chunk that stayed quiet is complete; its last update is already out.
-            state.remove()
-            return
-        points = pd.concat(list(batches)).sort_values("sequence")
-        first = last = None
-        n, distance, largest, counts = 0, 0.0, 0.0, {"rejected": 0, "weak": 0, "good": 0}
-        if state.exists:
-            held = state.get
-            first, last = tuple(held[0:5]), tuple(held[5:10])
-            n, distance, largest = held[10], held[11], held[12]
-            counts = dict(zip(("rejected", "weak", "good"), held[13:16]))
-        for point in points[list(fields)].itertuples(index=False):
-            p = tuple(point)
-            if last is not None and p[0] <= last[0]:
-                continue
-            if last is not None:
-                if "rejected" not in (last[3], p[3]):
-                    distance += metres(last, p)
-                gap = (p[4] - last[4]) / 1e6
-                if gap > gap_sec:
-                    largest = max(largest, gap)
-            first, last, n = first or p, p, n + 1
-            counts[p[3]] += 1
-        row = (
-            int(first[0]), float(first[1]), float(first[2]), str(first[3]), int(first[4]),
-            int(last[0]), float(last[1]), float(last[2]), str(last[3]), int(last[4]),
-            int(n), float(distance), float(largest), int(counts["rejected"]), int(counts["weak"]), int(counts["good"]),
-        )
-        state.update(row)
-        if state.getCurrentWatermarkMs() > 0:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last[4] // 1000)) + 86_400_000)
-        yield pd.DataFrame([(*key, *row)], columns=[f.split(" ")[0] for f in PARTIAL.split(", ")])
-
-    return run
+def merge_last_arrivals(written: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """The latest arrival of every point over all micro-batches; the stream itself holds no state."""
+    return last_arrivals(written.drop("quality"), arrival)
 
 
-def stream_trip_summary(
-    points: DataFrame, gap_sec: float = GAP_SEC, chunk: int = CHUNK, lateness: str = LATENESS
-) -> DataFrame:
-    """Running totals per (trip, chunk of the sequence), in update mode.
+def trip_islands(batch: DataFrame, gap_sec: float = GAP_SEC, chunk: int = CHUNK) -> DataFrame:
+    """Totals of every run of consecutive sequence numbers in the points of a micro-batch.
 
-    The chunk bounds the state and the work of one key, however long a trip
-    gets; :func:`combine_trip_chunks` joins the chunks to whole trips. Points
-    are taken in rising sequence, as a device appends them.
+    A run holds all numbers from its first to its last point, so no point that
+    arrives later can fall inside it. The rows of all batches therefore add up
+    in any order of arrival and after any pause, and the stream needs no state.
+    Runs end at multiples of ``chunk``, which splits very long trips. Points
+    are expected once, as :func:`stream_points` gives them.
     """
-    keyed = points.withWatermark("recorded_at", lateness).select(
-        "trip_id",
-        F.floor(F.col("sequence") / F.lit(chunk)).cast("long").alias("chunk"),
-        "sequence",
-        "latitude",
-        "longitude",
-        "quality",
-        F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("micros"),
-        "recorded_at",
-    )
-    return keyed.groupBy("trip_id", "chunk").applyInPandasWithState(
-        _fold(gap_sec), PARTIAL, f"{FIRST}, {LAST}, {TOTALS}", "update", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def combine_trip_chunks(partials: DataFrame, gap_sec: float = GAP_SEC) -> DataFrame:
-    """Whole-trip totals from the newest row of each chunk; hops between chunks are added here."""
-    w = Window.partitionBy("trip_id").orderBy("chunk")
-    ends = ["last_latitude", "last_longitude", "last_quality", "last_micros"]
-    linked = partials.withColumn("_p", F.lag(F.struct(*ends)).over(w))
-    both_kept = (F.col("_p.last_quality") != "rejected") & (F.col("first_quality") != "rejected")
+    part = F.floor(F.col("sequence") / F.lit(chunk)).cast("long")
+    micros = F.unix_micros(F.col("recorded_at").cast("timestamp"))
+    rows = batch.select("trip_id", part.alias("chunk"), "sequence", "latitude", "longitude", "quality", micros.alias("micros"))
+    w = Window.partitionBy("trip_id", "chunk").orderBy("sequence")
+    point = F.struct("sequence", "latitude", "longitude", "quality", "micros")
+    run = F.col("sequence") - F.row_number().over(w)
+    rows = rows.withColumns({"_run": run, "_point": point, "_p": F.lag(point).over(w)})
+    joined = F.col("_p.sequence") == F.col("sequence") - 1
+    both_kept = joined & (F.col("_p.quality") != "rejected") & (F.col("quality") != "rejected")
+    hop = haversine_m(F.col("_p.latitude"), F.col("_p.longitude"), F.col("latitude"), F.col("longitude"))
+    gap = F.when(joined, (F.col("micros") - F.col("_p.micros")) / 1e6)
+    zero = F.lit(0.0)
+    return rows.groupBy("trip_id", "chunk", "_run").agg(
+        F.min_by("_point", "sequence").alias("first"),
+        F.max_by("_point", "sequence").alias("last"),
+        F.count(F.lit(1)).alias("point_count"),
+        F.coalesce(F.sum(F.when(both_kept, hop)), zero).alias("distance_m"),
+        F.coalesce(F.max(F.when(gap > gap_sec, gap)), zero).alias("largest_gap_sec"),
+        *[F.count_if(F.col("quality") == q).alias(f"{q}_count") for q in ("rejected", "weak", "good")],
+    ).drop("_run")
+
+
+def overlapping_islands(islands: DataFrame) -> DataFrame:
+    """Runs that repeat points of an earlier run of their trip; none if points came once."""
+    ordered = islands.select("trip_id", "chunk", "first", "last", F.col("first.sequence").alias("_from"))
+    linked = previous_row(ordered, ["trip_id"], ["_from"], F.col("chunk"), ["last"])
+    return linked.where(F.col("_from") <= F.col("prev.last.sequence")).drop("_from", "prev")
+
+
+def combine_trip_islands(islands: DataFrame, gap_sec: float = GAP_SEC) -> DataFrame:
+    """Whole-trip totals from the runs of all micro-batches; hops between neighbouring runs are added here."""
+    ordered = islands.withColumn("_from", F.col("first.sequence"))
+    linked = previous_row(ordered, ["trip_id"], ["_from"], F.col("chunk"), ["last"])
+    both_kept = (F.col("prev.last.quality") != "rejected") & (F.col("first.quality") != "rejected")
     hop = haversine_m(
-        F.col("_p.last_latitude"), F.col("_p.last_longitude"), F.col("first_latitude"), F.col("first_longitude")
+        F.col("prev.last.latitude"), F.col("prev.last.longitude"), F.col("first.latitude"), F.col("first.longitude")
     )
-    gap = (F.col("first_micros") - F.col("_p.last_micros")) / 1e6
+    gap = (F.col("first.micros") - F.col("prev.last.micros")) / 1e6
     return linked.groupBy("trip_id").agg(
         F.sum("point_count").alias("point_count"),
         (F.sum("distance_m") + F.coalesce(F.sum(F.when(both_kept, hop)), F.lit(0.0))).alias("distance_m"),
@@ -137,7 +98,6 @@ def combine_trip_chunks(partials: DataFrame, gap_sec: float = GAP_SEC) -> DataFr
 
 def stream_segments(points: DataFrame, gap: str = f"{GAP_SEC} seconds", lateness: str = LATENESS) -> DataFrame:
     """Stretches of a trip without a pause longer than the gap; late points are dropped by the watermark."""
-    points.sparkSession.conf.set(SESSION_MERGE, "true")
     return (
         points.withWatermark("recorded_at", lateness)
         .groupBy("trip_id", F.session_window("recorded_at", gap).alias("_w"))
@@ -152,14 +112,22 @@ def stream_segments(points: DataFrame, gap: str = f"{GAP_SEC} seconds", lateness
     )
 
 
-def stream_active(points: DataFrame) -> DataFrame:
-    """Latest point of each trip, in update mode."""
-    columns = [c for c in points.columns if c != "trip_id"]
-    return points.groupBy("trip_id").agg(
+def active_in_batch(batch: DataFrame) -> DataFrame:
+    """Latest point and number of points of each trip in a micro-batch; see :func:`merge_active`."""
+    columns = [c for c in batch.columns if c != "trip_id"]
+    return batch.groupBy("trip_id").agg(
         F.max_by(F.struct(*columns), F.col("sequence")).alias("last_point"), F.count(F.lit(1)).alias("stored_points")
     )
 
 
+def merge_active(written: DataFrame) -> DataFrame:
+    """Latest point and number of points of each trip over all micro-batches."""
+    return written.groupBy("trip_id").agg(
+        F.max_by("last_point", F.col("last_point.sequence")).alias("last_point"),
+        F.sum("stored_points").alias("stored_points"),
+    )
+
+
 def stream_gaps(misses: DataFrame, window: str = "150 milliseconds", lateness: str = LATENESS) -> DataFrame:
     """Missed tiles per settle window: distinct (window_start, zone, z, x, y)."""
     return (

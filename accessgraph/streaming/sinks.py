@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from accessgraph.session import durable_dir
 
 BATCH = "batch_id"
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Start a stream that writes each micro-batch to its own folder.
+def write_batches(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "append",
+    each: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+):
+    """Start a stream that writes ``each`` micro-batch to its own folder.
 
     A batch that is replayed after a failure overwrites its folder, so every
     row counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        each(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
     return (
         stream.writeStream.outputMode(mode)
@@ -32,23 +37,18 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     )
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(
+    stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda batch: batch
+) -> DataFrame:
     """Process all available data and return what was written, with its ``batch_id``."""
     spark = stream.sparkSession
     folder = f"{durable_dir(spark)}/stream-{uuid4().hex}"
-    run = write_batches(stream, f"{folder}/out", f"{folder}/state", mode)
+    run = write_batches(stream, f"{folder}/out", f"{folder}/state", mode, each)
     run.awaitTermination()
-    schema = stream.schema.add(BATCH, "long")
+    schema = each(spark.createDataFrame([], stream.schema)).schema.add(BATCH, "long")
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The newest update of each key from a drained update stream."""
-    columns = [c for c in updates.columns if c not in (*keys, BATCH)]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(BATCH)).alias("_r"))
-    return newest.select(*keys, "_r.*")
-
-
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Parquet files of a folder or glob as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

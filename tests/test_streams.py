@@ -1,10 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from accessgraph.operators import tracks
 from accessgraph.streaming import operators as live
-from accessgraph.streaming.sinks import drain, latest, read_stream
+from accessgraph.streaming.sinks import drain, read_stream
 
 T0 = datetime(2026, 8, 1)
 RAW = "trip_id string, sequence long, latitude double, longitude double, horizontal_accuracy_m double, recorded_at timestamp"
@@ -24,24 +25,56 @@ def stream(spark, folder):
     return read_stream(spark, f"{folder}/in", spark.createDataFrame([], RAW).schema, files_per_trigger=1)
 
 
-def test_trip_summary_over_batches_and_chunks(spark, folder):
-    table = batches(spark, folder, points(0, 20), points(20, 33))
-    graded = stream(spark, folder).withColumn("quality", tracks.classify_accuracy(F.col("horizontal_accuracy_m")))
-    partials = latest(drain(live.stream_trip_summary(graded, gap_sec=5, chunk=7), "update"), ["trip_id", "chunk"])
-    got = live.combine_trip_chunks(partials, 5).first()
-    still = table.withColumn("quality", tracks.classify_accuracy(F.col("horizontal_accuracy_m")))
+def summary_matches_the_batch(spark, folder, *groups, chunk=7, gap_sec=5):
+    table = batches(spark, folder, *groups)
+    grade = tracks.classify_accuracy(F.col("horizontal_accuracy_m"))
+    graded = stream(spark, folder).withColumn("quality", grade)
+    islands = drain(graded, each=lambda batch: live.trip_islands(batch, gap_sec, chunk))
+    assert islands.select("batch_id").distinct().count() == len(groups)
+    assert live.overlapping_islands(islands).count() == 0
+    got = live.combine_trip_islands(islands, gap_sec).first()
     trips = spark.createDataFrame([("t", T0, None)], "trip_id string, started_at timestamp, ended_at timestamp")
-    want = tracks.summarize_trips(trips, still, 5).first()
+    want = tracks.summarize_trips(trips, table.withColumn("quality", grade), gap_sec).first()
     assert abs(got["distance_m"] - want["distance_m"]) < 1e-6
     for c in ("point_count", "largest_gap_sec", "rejected_count", "weak_count", "good_count"):
         assert got[c] == want[c], c
 
 
+def test_trip_summary_over_batches_and_chunks(spark, folder):
+    summary_matches_the_batch(spark, folder, points(0, 20), points(20, 33))
+
+
+def test_trip_summary_after_a_long_pause(spark, folder):
+    late = [(t, i, a, b, c, at + timedelta(days=3)) for t, i, a, b, c, at in points(5, 8)]
+    summary_matches_the_batch(spark, folder, points(0, 5), late, chunk=4096)
+
+
+def test_trip_summary_in_shuffled_arrival(spark, folder):
+    rows = points(0, 40)
+    random.Random(3).shuffle(rows)
+    summary_matches_the_batch(spark, folder, rows[:11], rows[11:13], rows[13:30], rows[30:])
+
+
+def test_repeated_runs_are_reported(spark, folder):
+    batches(spark, folder, points(0, 5), points(3, 6))
+    graded = stream(spark, folder).withColumn("quality", F.lit("good"))
+    islands = drain(graded, each=live.trip_islands)
+    assert [r["first"]["sequence"] for r in live.overlapping_islands(islands).collect()] == [3]
+
+
+def test_active_trips_add_up(spark, folder):
+    batches(spark, folder, points(3, 6), points(0, 3), [("u", 9, 1.0, 1.0, 1.0, T0)])
+    got = live.merge_active(drain(stream(spark, folder), each=live.active_in_batch)).collect()
+    assert sorted((r["trip_id"], r["last_point"]["sequence"], r["stored_points"]) for r in got) == [("t", 5, 6), ("u", 9, 1)]
+
+
 def test_intake_drops_repeats_and_last_wins(spark, folder):
-    batches(spark, folder, points(0, 5), points(0, 5), points(5, 6))
+    moved = [(t, i, 1.0, b, c, at) for t, i, a, b, c, at in points(0, 5)]
+    batches(spark, folder, points(0, 5), moved, points(5, 6))
     assert drain(live.stream_points(stream(spark, folder))).count() == 6
-    arriving = stream(spark, folder).withColumn("arrival", F.current_timestamp())
-    assert latest(drain(live.stream_points_last(arriving), "update"), ["trip_id", "sequence"]).count() == 6
+    arriving = stream(spark, folder).withColumn("arrival", F.when(F.col("latitude") == 1.0, 2).otherwise(1))
+    last = live.merge_last_arrivals(drain(arriving, each=live.last_arrivals)).collect()
+    assert sorted((r["sequence"], r["latitude"] == 1.0) for r in last) == [(i, i < 5) for i in range(6)]
 
 
 def test_segments_keep_exact_gap_together(spark, folder):
