@@ -314,20 +314,19 @@ def sample_tiles(grid: DataFrame, spec: GridSpec, tiles: DataFrame, px: int) ->
 def cell_edges(grid: DataFrame, value: str) -> DataFrame:
     """Unit segments (x0, y0, x1, y1) between side-by-side cells whose ``value`` differs.
 
-    Each window holds one row or one column of the grid, whose size the grid bounds.
+    Each cell meets its neighbour above and to the left by an equality join on
+    both indices, so no row or column of the grid is one group.
     """
+    here = grid.select("row", "col", F.col(value).alias("_v"))
 
-    def between(group: str, along: str) -> DataFrame:
-        w = Window.partitionBy(group).orderBy(along)
-        seen = grid.select(
-            "row", "col", value, F.lag(value).over(w).alias("_v"), F.lag(along).over(w).alias("_at")
-        )
-        return seen.where((F.col("_at") == F.col(along) - 1) & ~F.col(value).eqNullSafe(F.col("_v")))
+    def between(d_row: int, d_col: int) -> DataFrame:
+        there = here.select((F.col("row") + d_row).alias("row"), (F.col("col") + d_col).alias("col"), F.col("_v").alias("_w"))
+        return here.join(there, ["row", "col"]).where(~F.col("_v").eqNullSafe(F.col("_w")))
 
-    up = between("col", "row").select(
+    up = between(1, 0).select(
         F.col("col").alias("x0"), F.col("row").alias("y0"), (F.col("col") + 1).alias("x1"), F.col("row").alias("y1")
     )
-    side = between("row", "col").select(
+    side = between(0, 1).select(
         F.col("col").alias("x0"), F.col("row").alias("y0"), F.col("col").alias("x1"), (F.col("row") + 1).alias("y1")
     )
     return up.unionByName(side)

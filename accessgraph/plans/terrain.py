@@ -247,15 +247,14 @@ SQL_SEA = f"""SELECT r AS row, c AS col, {SEA.west}::DOUBLE + c * {DLON} AS long
     FROM (SELECT unnest(range(0, {SEA.rows})) AS r), (SELECT unnest(range(0, {SEA.cols})) AS c)"""
 
 
-@query(
-    "i15_water_cells",
-    f"""SELECT row, col FROM ({SQL_SEA}) WHERE (row, col) NOT IN (SELECT row, col FROM ({sql_land(SQL_SEA, 'row, col')}))""",
-)
+SQL_WATER = f"SELECT row, col FROM ({SQL_SEA}) EXCEPT SELECT row, col FROM ({sql_land(SQL_SEA, 'row, col')})"
+
+
+@query("i15_water_cells", SQL_WATER)
 def _(spark, sf):
     return watergrid.water_cells(spark, SEA, _index(spark, sf)).select("row", "col")
 
 
-SQL_WATER = f"SELECT row, col FROM ({SQL_SEA}) EXCEPT SELECT row, col FROM ({sql_land(SQL_SEA, 'row, col')})"
 SQL_LINKS = """SELECT a.row, a.col, b.row AS to_row, b.col AS to_col FROM water a JOIN water b
     ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col)"""
 X0, X1 = (f"({SEA.west}::DOUBLE + {c} * {DLON})" for c in ("col", "to_col"))
@@ -407,13 +406,20 @@ def _(spark, sf):
     return d.select("row", "col", (F.round("display", 6) + 0.0).alias("display"), (F.round("depth", 6) + 0.0).alias("depth"))
 
 
-SPEC = grids.GridSpec(-74.0, 83.0, 0.9, 0.05, 500, 64)
-SQL_CENTERS = f"SELECT row, col, -74.0 + (col + 0.5) * 0.9 AS longitude, 83.0 - (row + 0.5) * 0.05 AS latitude FROM ({SQL_GRID})"
+def _spec(spark, sf, dlon: float = 0.9) -> grids.GridSpec:
+    """All rows of the grid spread over 25 degrees of latitude."""
+    rows = base(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return grids.GridSpec(-74.0, 83.0, dlon, 25.0 / rows, rows, 64)
+
+
+SQL_ROWS = "(SELECT max(vec_id) + 1 FROM embeddings)"
+SQL_DLAT = f"(25.0::DOUBLE / {SQL_ROWS})"
+SQL_CENTERS = f"SELECT row, col, -74.0 + (col + 0.5) * 0.9 AS longitude, 83.0 - (row + 0.5) * {SQL_DLAT} AS latitude FROM ({SQL_GRID})"
 
 
 @query("j7_land_cells", sql_land(SQL_CENTERS, "row, col"))
 def _(spark, sf):
-    return grids.land_cells(_grid(spark, sf), SPEC, _land(spark, sf))
+    return grids.land_cells(_grid(spark, sf), _spec(spark, sf), _land(spark, sf))
 
 
 @query(
@@ -422,7 +428,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     g = _grid(spark, sf)
-    return grids.land_share(g, grids.land_cells(g, SPEC, _land(spark, sf))).select(F.round("land_percent", 6).alias("land_percent"))
+    return grids.land_share(g, grids.land_cells(g, _spec(spark, sf), _land(spark, sf))).select(F.round("land_percent", 6).alias("land_percent"))
 
 
 @query(
@@ -431,14 +437,15 @@ def _(spark, sf):
             degrees(atan(sinh(pi() * (1 - 2 * y / power(2, z))))) AS n, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / power(2, z))))) AS s FROM t),
           p AS (SELECT z, x, y, i, j, w + (i + 0.5) * (e - w) / 8 AS lon, n - (j + 0.5) * (n - s) / 8 AS lat
                 FROM b, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)),
-          q AS (SELECT *, greatest(0, least(499, CAST(500 - floor((lat - 58.0) / 0.05) - 1 AS INT))) AS row, greatest(0, least(63, CAST(floor((lon + 74.0) / 0.9) AS INT))) AS col,
-                lon BETWEEN -74.0 AND -74.0 + 0.9 * 64 AND lat BETWEEN 58.0 AND 83.0 AS inside FROM p)
+          o AS (SELECT {SQL_ROWS} AS n_rows, {SQL_DLAT} AS dlat, 83.0::DOUBLE - {SQL_ROWS} * {SQL_DLAT} AS south),
+          q AS (SELECT *, greatest(0, least(n_rows - 1, CAST(n_rows - floor((lat - south) / dlat) - 1 AS INT))) AS row, greatest(0, least(63, CAST(floor((lon + 74.0) / 0.9) AS INT))) AS col,
+                lon BETWEEN -74.0 AND -74.0 + 0.9 * 64 AND lat BETWEEN south AND 83.0 AS inside FROM p, o)
         SELECT q.z, q.x, q.y, q.i, q.j, round(CASE WHEN inside THEN coalesce(g.elev, 0.0) ELSE 0.0 END, 6) AS elev FROM q
         LEFT JOIN ({SQL_GRID}) g ON g.row = q.row AND g.col = q.col""",
 )
 def _(spark, sf):
     tiles = _tiles(spark, sf).where(F.col("z").isin(4, 6)).select("z", "x", "y").distinct()
-    pixels = grids.sample_tiles(_grid(spark, sf), SPEC, tiles, 8)
+    pixels = grids.sample_tiles(_grid(spark, sf), _spec(spark, sf), tiles, 8)
     return pixels.withColumn("elev", F.round("elev", 6))
 
 
@@ -548,15 +555,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Patches of raised cells outside the polygons, with their sizes."""
     high = _grid(spark, sf).withColumn("elev", F.col("elev") - 280)
-    spec = grids.GridSpec(-74.0, 83.0, 0.9, 0.05, _rows(spark, sf), 64)
-    cells = grids.extra_land(high, spec, _land(spark, sf))
+    cells = grids.extra_land(high, _spec(spark, sf), _land(spark, sf))
     return cells.groupBy("patch").agg(F.count("*").alias("cells"), F.round(F.max("area_m2"), 0).alias("area_m2"))
 
 
-def _rows(spark, sf) -> int:
-    return base(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-
-
 SQL_LINE_SAMPLES = f"""SELECT record_id, pos, x1 + (x2 - x1) * t AS longitude, y1 + (y2 - y1) * t AS latitude FROM (
       SELECT record_id, pos, longitude + xs[h + 1] AS x1, longitude + xs[h + 2] AS x2, latitude + ys[h + 1] AS y1, latitude + ys[h + 2] AS y2, pos - h AS t
       FROM (SELECT *, least(3, CAST(floor(pos) AS INT)) AS h, {[c[0] for c in STAIR]}::DOUBLE[] AS xs, {[c[1] for c in STAIR]}::DOUBLE[] AS ys
@@ -584,7 +586,7 @@ def _(spark, sf):
 def _(spark, sf):
     g = _grid(spark, sf)
     bands = g.select("row", "col", F.when(F.col("row") % 2 == 0, grids.depth_band(F.abs("elev"))).alias("band"))
-    return grids.band_audit(bands, grids.land_cells(g, SPEC, _land(spark, sf))).select("row", "col")
+    return grids.band_audit(bands, grids.land_cells(g, _spec(spark, sf), _land(spark, sf))).select("row", "col")
 
 
 @query(
@@ -596,7 +598,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     g = _grid(spark, sf)
-    spec = grids.GridSpec(-74.0, 83.0, 0.03, 0.02, 500, 64)
+    spec = grids.GridSpec(-74.0, 83.0, 0.03, 0.02, _spec(spark, sf).rows, 64)
     return grids.shore_bands(g, g.where(F.col("elev") > 200), spec).select("row", "col", "band")
 
 
