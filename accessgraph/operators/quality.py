@@ -192,10 +192,13 @@ def unknown_sources(t: Tables) -> DataFrame:
     )
 
 
-def validity_order(t: Tables) -> DataFrame:
+def validity_rules() -> list[Rule]:
     test = F.col("valid_from") > F.col("valid_to")
-    message = _text("valid_from '%s' > valid_to '%s'", F.col("valid_from"), F.col("valid_to"))
-    return _all(row_rules(t[name], name, [("validity_order", test, message)]) for name in WITH_VALIDITY)
+    return [("validity_order", test, _text("valid_from '%s' > valid_to '%s'", F.col("valid_from"), F.col("valid_to")))]
+
+
+def validity_order(t: Tables) -> DataFrame:
+    return _all(row_rules(t[name], name, validity_rules()) for name in WITH_VALIDITY)
 
 
 def _one_current(t: Tables, table: str, rows: DataFrame, rule: str, what: str) -> DataFrame:
@@ -215,30 +218,25 @@ def one_classification(t: Tables) -> DataFrame:
     return _one_current(t, "place_classifications", rows, "one_classification", "current classifications")
 
 
-def place_row_rules(t: Tables) -> DataFrame:
+def lifecycle_rules() -> list[Rule]:
     retired, ended = F.col("status") == "retired", F.col("retired_at").isNotNull()
-    return row_rules(
-        t["places"],
-        "places",
-        [
-            ("lifecycle", retired & ~ended, F.lit("retired entity missing retired_at")),
-            ("lifecycle", ~retired & ended, F.lit("non-retired entity must not have retired_at")),
-        ],
-    )
+    return [
+        ("lifecycle", retired & ~ended, F.lit("a retired place needs retired_at")),
+        ("lifecycle", ~retired & ended, F.lit("only a retired place may have retired_at")),
+    ]
+
+
+def place_row_rules(t: Tables) -> DataFrame:
+    return row_rules(t["places"], "places", lifecycle_rules())
+
+
+def loop_rules() -> list[Rule]:
+    loop = F.col("origin_place_id") == F.col("destination_place_id")
+    return [("self_connection", loop, _text("self-connection (%s)", F.col("origin_place_id")))]
 
 
 def self_connections(t: Tables) -> DataFrame:
-    return row_rules(
-        t["connections"],
-        "connections",
-        [
-            (
-                "self_connection",
-                F.col("origin_place_id") == F.col("destination_place_id"),
-                _text("self-connection (%s)", F.col("origin_place_id")),
-            )
-        ],
-    )
+    return row_rules(t["connections"], "connections", loop_rules())
 
 
 def _later_copies(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -282,16 +280,16 @@ def duplicate_identifiers(t: Tables) -> DataFrame:
     )
 
 
-def seasonality(t: Tables) -> DataFrame:
+def season_rules() -> list[Rule]:
     kind, months = F.col("seasonality.kind"), F.coalesce(F.size("seasonality.months"), F.lit(0))
-    return row_rules(
-        t["connection_services"],
-        "connection_services",
-        [
-            ("seasonality", (kind == "year_round") & (months > 0), F.lit("year_round must have empty months")),
-            ("seasonality", (kind == "seasonal") & (months <= 0), F.lit("seasonal must list months")),
-        ],
-    )
+    return [
+        ("seasonality", (kind == "year_round") & (months > 0), F.lit("a year-round service lists months")),
+        ("seasonality", (kind == "seasonal") & (months <= 0), F.lit("a seasonal service lists no months")),
+    ]
+
+
+def seasonality(t: Tables) -> DataFrame:
+    return row_rules(t["connection_services"], "connection_services", season_rules())
 
 
 def slug_collisions(t: Tables) -> DataFrame:
@@ -336,51 +334,61 @@ def pending_references(t: Tables) -> DataFrame:
     )
 
 
-def source_row_rules(t: Tables) -> DataFrame:
+def source_rules() -> list[Rule]:
     verified = F.col("verification_status") == "verified"
     no_url = F.coalesce(F.length("url"), F.lit(0)) == 0
-    return row_rules(
-        t["sources"],
-        "sources",
-        [
-            ("verified_source_url", verified & no_url, _text("verified source '%s' has no URL", F.col("id"))),
-            (
-                "verified_source_retrieved_at",
-                verified & F.col("retrieved_at").isNull(),
-                _text("verified source '%s' has no retrieved_at", F.col("id")),
-            ),
-            (
-                "pending_source",
-                F.col("verification_status") == "pending",
-                _text("source '%s' pending, blocks publish", F.col("id")),
-            ),
-        ],
-    )
+    return [
+        ("verified_source_url", verified & no_url, _text("verified source '%s' has no URL", F.col("id"))),
+        (
+            "verified_source_retrieved_at",
+            verified & F.col("retrieved_at").isNull(),
+            _text("verified source '%s' has no retrieved_at", F.col("id")),
+        ),
+        (
+            "pending_source",
+            F.col("verification_status") == "pending",
+            _text("source '%s' pending, blocks publish", F.col("id")),
+        ),
+    ]
+
+
+def source_row_rules(t: Tables) -> DataFrame:
+    return row_rules(t["sources"], "sources", source_rules())
+
+
+def record_violations(t: Tables, publish: bool = False, schema: bool = True) -> DataFrame:
+    """The rules that need one record only, all of a table in one scan."""
+    own = {"places": lifecycle_rules, "connections": loop_rules, "connection_services": season_rules}
+    if publish:
+        own["sources"] = source_rules
+    found = []
+    for name in TABLES:
+        rules = schema_rules(name, t[name]) if schema else []
+        rules += validity_rules() if name in WITH_VALIDITY else []
+        rules += own[name]() if name in own else []
+        if rules:
+            found.append(row_rules(t[name], name, rules))
+    return _all(found)
 
 
 def violations(t: Tables, publish: bool = False, schema: bool = True) -> DataFrame:
     """Every violation of the canonical tables; ``publish`` adds the rules that only block a release."""
     found = [
+        record_violations(t, publish, schema),
         duplicate_ids(t),
         foreign_keys(t),
         polymorphic_keys(t),
         unknown_sources(t),
-        validity_order(t),
         one_official_name(t),
         one_classification(t),
-        place_row_rules(t),
         slug_collisions(t),
         retired_assertions(t),
         retired_services(t),
-        self_connections(t),
         duplicate_edges(t),
         duplicate_identifiers(t),
-        seasonality(t),
     ]
-    if schema:
-        found = [schema_violations(name, t[name]) for name in TABLES] + found
     if publish:
-        found += [source_row_rules(t), pending_references(t)]
+        found.append(pending_references(t))
     return _all(found)
 
 
