@@ -164,15 +164,19 @@ def register_snapshots(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def build_manifest(t: Tables, files: DataFrame, distributions: dict[str, int] | None = None) -> DataFrame:
-    """One row that describes a build by its data alone, so equal inputs give equal rows."""
+    """One row that describes a build by its data alone, so equal inputs give equal rows.
+
+    The digests of its files are rows beside it (:func:`file_checksums`), as
+    their number follows the data.
+    """
     counts = record_counts(t).where(F.col("table") != "total")
     canonical = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("table", "records")))).alias("canonical_sources"))
-    digests = files.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256")))).alias("sha256"))
+    listed = files.agg(F.count(F.lit(1)).alias("n"))
     dated = data_as_of(t)
     pending = t["sources"].agg(F.coalesce(F.bool_or(F.col("verification_status") == "pending"), F.lit(False)).alias("p"))
     outputs = F.create_map(*[x for k, v in (distributions or {}).items() for x in (F.lit(k), F.lit(v))])
     return (
-        canonical.withColumn("sha256", digests.scalar())
+        canonical.withColumn("file_count", listed.scalar())
         .withColumn("data_as_of", dated.scalar())
         .withColumn("version", F.coalesce(F.date_format("data_as_of", "yyyy.MM.dd"), F.lit("0")))
         .withColumn("schema_version", F.lit("1.0"))
@@ -181,17 +185,28 @@ def build_manifest(t: Tables, files: DataFrame, distributions: dict[str, int] |
     )
 
 
+def file_checksums(release: str, files: DataFrame) -> DataFrame:
+    """The file digests of a build or release as rows."""
+    return files.select(F.lit(release).alias("release_id"), "path", "sha256")
+
+
+def snapshot_ids(release: str, snapshots: DataFrame) -> DataFrame:
+    """The snapshots a release was made from as rows."""
+    return snapshots.select(F.lit(release).alias("release_id"), F.col("id").alias("source_snapshot_id"))
+
+
 def release_manifest(
     release: str, t: Tables, files: DataFrame, blockers: DataFrame, snapshots: DataFrame, created_at: Column | None = None
 ) -> DataFrame:
-    """One row: counts, digests, snapshot ids and blocker counts of a release.
+    """One row: record, file, snapshot and blocker counts of a release.
 
-    The blockers themselves stay a table of the release (:func:`source_health`),
-    as their number follows the data; the manifest counts them by code.
+    File digests, snapshot ids and blockers are tables of the release
+    (:func:`file_checksums`, :func:`snapshot_ids`, :func:`source_health`), as
+    their number follows the data.
     """
     by_code = blockers.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
     codes = by_code.agg(F.sort_array(F.collect_list(F.struct("code", "severity", "n"))).alias("b"))
-    ids = snapshots.agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    taken = snapshots.agg(F.count(F.lit(1)).alias("n"))
     stamp = F.current_timestamp() if created_at is None else created_at
     return (
         build_manifest(t, files)
@@ -200,9 +215,9 @@ def release_manifest(
             stamp.alias("created_at"),
             "data_as_of",
             F.col("canonical_sources").alias("record_counts"),
-            F.col("sha256").alias("checksums"),
+            "file_count",
         )
-        .withColumn("source_snapshot_ids", ids.scalar())
+        .withColumn("snapshot_count", taken.scalar())
         .withColumn("blockers_by_code", F.coalesce(codes.scalar(), F.array().cast(codes.schema["b"].dataType)))
         .withColumn("publish_ready", ~F.exists("blockers_by_code", lambda b: b["severity"] == "blocker"))
     )
@@ -213,20 +228,29 @@ def source_health(release: str, blockers: DataFrame) -> DataFrame:
     return blockers.select(F.lit(release).alias("release_id"), "code", "message", "severity")
 
 
-def change_summary(release: str, previous: str | None, events: DataFrame) -> DataFrame:
+def change_summary(
+    release: str, previous: str | None, events: DataFrame, first_text: str = "The first release."
+) -> DataFrame:
     """One row: how many changes of each kind a release brings."""
     kinds = events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     counts = kinds.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("changes"))
-    text = "Initial named release from current canonical source." if previous is None else f"Changes since {previous}."
+    text = first_text if previous is None else f"Changes since {previous}."
     return counts.select(
         F.lit(release).alias("release_id"), F.lit(previous).alias("previous_release_id"), "changes", F.lit(text).alias("summary")
     )
 
 
-def package_manifests(files: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    """One manifest per ``package_id`` with its files, total bytes and aggregate digest."""
-    listed = files.groupBy("package_id").agg(
-        F.sort_array(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("files"), F.sum("bytes").alias("bytes")
+def package_manifests(files: DataFrame, places: DataFrame | None = None, max_files: int = 100_000) -> DataFrame:
+    """One manifest per ``package_id`` with its files, total bytes and aggregate digest.
+
+    The digest runs over all sorted lines of a package, so its files meet in one
+    row; a package of more than ``max_files`` fails with a message.
+    """
+    sizes = files.groupBy("package_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = F.raise_error(F.concat(F.lit("package with too many files: "), F.col("package_id").cast("string")))
+    item = F.when(F.col("_n") <= max_files, F.struct("path", "bytes", "sha256")).otherwise(crowded)
+    listed = files.join(sizes, "package_id").groupBy("package_id").agg(
+        F.sort_array(F.collect_list(item)).alias("files"), F.sum("bytes").alias("bytes")
     )
     made = listed.select(
         F.col("package_id").alias("id"), "bytes", "files", aggregate_digest(F.col("files")).alias("sha256")

@@ -517,7 +517,7 @@ SQL_ARTIFACTS = "SELECT 'dist/' || lang AS path, max(sha256(text)) AS sha256 FRO
 @query(
     "k7_build_manifest",
     f"""SELECT (SELECT string_agg("table" || '=' || CAST(records AS STRING), ',' ORDER BY "table") FROM ({SQL_COUNTS})) AS counts,
-               (SELECT string_agg(path || '=' || sha256, ',' ORDER BY path) FROM ({SQL_ARTIFACTS})) AS digests,
+               (SELECT count(*) FROM ({SQL_ARTIFACTS})) AS file_count,
                (SELECT count(*) > 0 FROM v_sources WHERE verification_status = 'pending') AS pending_source""",
 )
 def _(spark, sf):
@@ -525,7 +525,17 @@ def _(spark, sf):
     text = lambda c: F.array_join(
         F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
     )
-    return m.select(text("canonical_sources").alias("counts"), text("sha256").alias("digests"), "pending_source")
+    return m.select(text("canonical_sources").alias("counts"), "file_count", "pending_source")
+
+
+@query("k7_build_checksums", f"SELECT 'build' AS release_id, path, sha256 FROM ({SQL_ARTIFACTS})")
+def _(spark, sf):
+    return integrity.file_checksums("build", _artifacts(spark, sf))
+
+
+@query("k8_release_snapshots", "SELECT '2001.11.09.1' AS release_id, 'snp_' || lower(n_name) AS source_snapshot_id FROM nation")
+def _(spark, sf):
+    return integrity.snapshot_ids("2001.11.09.1", _snapshots(spark, sf))
 
 
 @query(

@@ -138,6 +138,59 @@ def _(spark, sf):
     return files.latest_snapshot(rows, ("full.json", "seed.json"))
 
 
+@query(
+    "a13_scanned_files",
+    "SELECT 'p/' || CAST(page_id AS STRING) || '.html' AS path, strlen(html) AS bytes, sha256(html) AS sha256 FROM pages",
+)
+def _(spark, sf):
+    root = _folder(spark)
+    named = F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html"))
+    files.write_named_files(base(spark, sf, "pages").select(named.alias("path"), F.col("html").alias("content")), root)
+    return files.scan_files(spark, f"{root}/p/*.html", root.rsplit("/", 1)[-1])
+
+
+@query(
+    "a14_snapshot_manifests",
+    """SELECT 'snp_' || CAST(s_suppkey AS STRING) AS id, 'src_' || CAST(s_nationkey AS STRING) AS source,
+              '2001-02-' || lpad(CAST(1 + s_suppkey % 28 AS STRING), 2, '0') AS snapshot_date, s_name AS notes, s_suppkey * 10 AS byte_size
+       FROM supplier WHERE s_suppkey % 6 <> 5""",
+)
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    record = F.struct(
+        F.concat(F.when(k % 6 == 5, "other_").otherwise("snp_"), k.cast("string")).alias("id"),
+        F.col("s_name").alias("notes"),
+        (k * 10).alias("byte_size"),
+    )
+    folder = F.concat(
+        F.lit("src_"), F.col("s_nationkey").cast("string"), F.lit("/2001-02-"), F.lpad((1 + k % 28).cast("string"), 2, "0")
+    )
+    # A folder is one snapshot; the supplier key keeps those of one day apart.
+    rows = base(spark, sf, "supplier").select(
+        F.concat(F.lit("set_"), k.cast("string"), F.lit("/"), folder, F.lit("/manifest.json")).alias("path"),
+        F.to_json(record).alias("content"),
+    )
+    root = _folder(spark)
+    files.write_named_files(rows, root)
+    return files.snapshot_manifests(spark, f"{root}/*").select("id", "source", "snapshot_date", "notes", "byte_size")
+
+
+@query(
+    "a16_loaded_tables",
+    " UNION ALL ".join(f"SELECT '{n}' AS t, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM v_{n}" for n in TABLES),
+)
+def _(spark, sf):
+    root, t = _folder(spark), domain_tables(spark, sf)
+    for name in TABLES:
+        sinks.write_ndjson(t[name], f"{root}/{records.file_name(name)}")
+    out = None
+    for name, df in records.load_tables(spark, root).items():
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        row = row.select(F.lit(name).alias("t"), "n", "first_id", "last_id")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "a16_a17_published_release",
     """SELECT 'places' AS t, count(*) AS n FROM v_places UNION ALL SELECT 'connections', count(*) FROM v_connections

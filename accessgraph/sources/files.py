@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accessgraph.schemas import META_TABLES
 
 
+def open_filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a Hadoop or plain path, for tasks that read or write single files."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    return fs.FileSystem.from_uri(path)
+
+
+def write_named_files(rows: DataFrame, root: str) -> None:
+    """Write each (path, content) row to its own file below ``root``.
+
+    Tasks write through ``pyarrow.fs`` under a name of their attempt and rename,
+    so a repeated attempt leaves one whole file; of repeated paths one stays.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, name = open_filesystem(f"{root}/{path}")
+                folder = name.rsplit("/", 1)[0]
+                system.create_dir(folder, recursive=True)
+                draft = f"{folder}/_draft-{attempt}"
+                with system.open_output_stream(draft) as out:
+                    out.write(content)
+                system.move(draft, name)
+            yield batch.select([0])
+
+    named = rows.select("path", F.col("content").cast("binary").alias("content"))
+    named.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def scan_files(spark: SparkSession, glob: str, root: str = "") -> DataFrame:
     """Rows (path, bytes, sha256), the path relative to ``root``; one file per task record.
 
