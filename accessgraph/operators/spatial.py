@@ -1,8 +1,7 @@
 """Joins of points, segments and paths with land polygons (planar degrees).
 
-Spark has no spatial join, so polygons are cut into latitude strips of one
-cell and listed under the cells they may cover; points meet them by an equality
-join on the cell, and only the edges of that strip are tested.
+Spark has no spatial join, so polygons are listed under the cells they cover,
+each with the few edges in it; points meet them by an equality join on the cell.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
@@ -39,56 +38,90 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
     return rings.select("polygon_id", "ring", F.explode(edges).alias("_e")).select("polygon_id", "ring", "_e.*")
 
 
-def index_polygons(polygons: DataFrame, cell: float = CELL_DEG) -> DataFrame:
-    """Rows (cx, cy, polygon_id, box, rings): for each covered cell the edges that cross its latitude strip.
+def _crossing(x1: Column, x2: Column, cell: float) -> tuple[Column, Column]:
+    """First and last column whose eastern border the edge crosses: one end beyond it, the other not."""
+    return geo.cell(F.least(x1, x2), cell), geo.cell(F.greatest(x1, x2), cell) - 1
+
 
-    A polygon of any size is spread over its strips, so no row holds all of it.
+def index_polygons(polygons: DataFrame, cell: float = CELL_DEG) -> DataFrame:
+    """Rows (cx, cy, polygon_id, box, rings): for each cell the edges in it, and per ring what lies east of it.
+
+    A ray to the east from a point of a cell meets edges of the cell's column
+    and edges wholly east of it. The ends of the latter cancel in pairs, but for
+    those that an edge crossing the cell's eastern border shares, so their
+    parity is fixed by such edges: ``odd`` counts those that end above the cell,
+    and those that end beside it are among the cell's own edges. A cell without
+    edges is wholly land or water. No row depends on the size of a polygon, and
+    cells of no ring are left out.
     """
-    strip = F.explode(
-        F.sequence(geo.cell(F.least("y1", "y2"), cell), geo.cell(F.greatest("y1", "y2"), cell))
-    ).alias("cy")
-    pieces = (
-        polygon_edges(polygons)
-        .where(F.col("y1") != F.col("y2"))
-        .select("polygon_id", "ring", strip, F.struct("x1", "y1", "x2", "y2").alias("_e"))
-        .groupBy("polygon_id", "cy", "ring")
-        .agg(F.collect_list("_e").alias("edges"))
-        .groupBy("polygon_id", "cy")
-        .agg(F.collect_list(F.struct("ring", "edges")).alias("rings"))
+    edges = polygon_edges(polygons)
+    row = lambda y: geo.cell(F.col(y), cell)
+    cells = (
+        edges.withColumn("cy", F.explode(F.sequence(F.least(row("y1"), row("y2")), F.greatest(row("y1"), row("y2")))))
+        .withColumn("cx", F.explode(F.sequence(geo.cell(F.least("x1", "x2"), cell), geo.cell(F.greatest("x1", "x2"), cell))))
+        .groupBy("polygon_id", "ring", "cx", "cy")
+        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    )
+    first, last = _crossing(F.col("x1"), F.col("x2"), cell)
+    east_end = F.when(F.col("x1") > F.col("x2"), F.col("y1")).otherwise(F.col("y2"))
+    crossings = (
+        edges.where(first <= last)
+        .select("polygon_id", "ring", F.explode(F.sequence(first, last)).alias("cx"), geo.cell(east_end, cell).alias("cy"))
+        .groupBy("polygon_id", "ring", "cx", "cy")
+        .agg((F.count(F.lit(1)) % 2).alias("ends"))
     )
+    # One row per cell of a ring's box; the count of ends above it runs down its column.
     boxes = polygons.select("polygon_id", "west", "south", "east", "north")
-    columns = F.explode(F.sequence(geo.cell(F.col("west"), cell), geo.cell(F.col("east"), cell))).alias("cx")
-    return pieces.join(boxes, "polygon_id").select(
-        "polygon_id", "cy", "rings", "west", "south", "east", "north", columns
+    spans = edges.groupBy("polygon_id", "ring").agg(
+        *[f(geo.cell(F.col(c), cell)).alias(f"{n}{c[0]}") for c in ("x1", "y1") for f, n in ((F.min, "low_"), (F.max, "high_"))]
+    )
+    frame = (
+        spans.withColumn("cx", F.explode(F.sequence("low_x", "high_x")))
+        .withColumn("cy", F.explode(F.sequence("low_y", "high_y")))
+        .select("polygon_id", "ring", "cx", "cy")
+    )
+    key = ["polygon_id", "ring", "cx", "cy"]
+    above = Window.partitionBy("polygon_id", "ring", "cx").orderBy(F.col("cy").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("ends").over(above), F.lit(0)) % 2 == 1
+    filled = frame.join(crossings, key, "left").withColumn("odd", odd).join(cells, key, "left")
+    rings = filled.where(F.col("odd") | F.col("edges").isNotNull()).withColumn(
+        "edges", F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    )
+    return (
+        rings.groupBy("polygon_id", "cx", "cy")
+        .agg(F.collect_list(F.struct("ring", "odd", "edges")).alias("rings"))
+        .join(boxes, "polygon_id")
     )
 
 
-def _odd(edges: Column, lon: Column, lat: Column) -> Column:
-    """Whether a ray to the east crosses an odd number of the edges."""
+def _odd(ring: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float) -> Column:
+    """Whether a ray to the east crosses an odd number of the ring's edges."""
 
-    def crosses(e: Column) -> Column:
+    def flips(e: Column) -> Column:
         spans = (e["y1"] > lat) != (e["y2"] > lat)
         at = (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"] + F.lit(EPSILON)) + e["x1"]
-        return spans & (lon < at)
+        crossing = (geo.cell(e["x1"], cell) > cx) != (geo.cell(e["x2"], cell) > cx)
+        end = F.when(e["x1"] > e["x2"], e["y1"]).otherwise(e["y2"])
+        return (spans & (lon < at)) != (crossing & (end > lat) & (geo.cell(end, cell) == cy))
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return (F.size(F.filter(ring["edges"], flips)) % 2 == 1) != ring["odd"]
 
 
-def inside(rings: Column, lon: Column, lat: Column) -> Column:
+def inside(rings: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float) -> Column:
     """In the outer ring and in none of the holes."""
-    in_ring = lambda r: _odd(r["edges"], lon, lat)
+    in_ring = lambda r: _odd(r, lon, lat, cx, cy, cell)
     outer = F.exists(rings, lambda r: (r["ring"] == 0) & in_ring(r))
     hole = F.exists(rings, lambda r: (r["ring"] > 0) & in_ring(r))
     return outer & ~hole
 
 
-def _meets(index: DataFrame, lon: Column, lat: Column) -> Column:
+def _meets(index: DataFrame, lon: Column, lat: Column, cell: float = CELL_DEG) -> Column:
     return (
         (F.col("_cx") == index["cx"])
         & (F.col("_cy") == index["cy"])
         & lon.between(index["west"], index["east"])
         & lat.between(index["south"], index["north"])
-        & inside(index["rings"], lon, lat)
+        & inside(index["rings"], lon, lat, index["cx"], index["cy"], cell)
     )
 
 
@@ -98,7 +131,7 @@ def points_on_land(
     """Points on land, or with ``off`` those that are not."""
     x, y = F.col(lon), F.col(lat)
     keyed = points.withColumn("_cx", geo.cell(x, cell)).withColumn("_cy", geo.cell(y, cell))
-    return keyed.join(index, _meets(index, x, y), "left_anti" if off else "left_semi").drop("_cx", "_cy")
+    return keyed.join(index, _meets(index, x, y, cell), "left_anti" if off else "left_semi").drop("_cx", "_cy")
 
 
 def flag_on_land(points: DataFrame, index: DataFrame, key: str, **names: str) -> DataFrame:
@@ -331,28 +364,55 @@ def close_to_edges(points: DataFrame, edges: DataFrame, radius: float, key: str)
     return points.join(near.where(_distance() <= radius).select(key).distinct(), key, "left_semi")
 
 
-def distance_to_edges(points: DataFrame, edges: DataFrame, key: str, cell: float = CELL_DEG) -> DataFrame:
+def _cell_bounds(cell: float) -> tuple[Column, Column]:
+    """Least and greatest distance from a point to the cell (_ex, _ey)."""
+
+    def gaps(at: str, index: str) -> tuple[Column, Column]:
+        low, high = F.col(index) * F.lit(cell), (F.col(index) + 1) * F.lit(cell)
+        inner = F.greatest(low - F.col(at), F.col(at) - high, F.lit(0.0))
+        return inner, F.greatest(F.abs(F.col(at) - low), F.abs(F.col(at) - high))
+
+    (dx, fx), (dy, fy) = gaps("longitude", "_ex"), gaps("latitude", "_ey")
+    return F.hypot(dx, dy), F.hypot(fx, fy)
+
+
+def distance_to_edges(points: DataFrame, edges: DataFrame, key: str, cell: float = CELL_DEG, levels: int = 5) -> DataFrame:
     """Exact distance in degrees to the nearest edge.
 
-    Each stage looks at 3 by 3 cells; a distance within one cell is final, the
-    other points go on with cells four times as wide.
+    Cells are refined from the whole plane down, four times finer at a time. A
+    cell with a vertex bounds the distance from above by its far corner, so all
+    cells whose near side lies beyond that are left; only the edges of the few
+    last cells are measured.
     """
-    left, done = points.select(key, "longitude", "latitude"), []
-    while True:
-        near = (
-            _around(left, cell)
-            .join(_edge_cells(edges, cell), ["_ex", "_ey"])
-            .groupBy(key)
-            .agg(F.min(_distance()).alias("distance_deg"))
-        )
-        last = cell > 720
-        settled = cut_lineage(near if last else near.where(F.col("distance_deg") <= cell))
-        done.append(settled)
-        left = cut_lineage(left.join(settled, key, "left_anti"))
-        if last or left.isEmpty():
-            break
-        cell *= 4
-    return reduce(DataFrame.unionByName, done)
+    listed = cut_lineage(_edge_cells(edges, cell))
+    vertex = (geo.cell(F.col("x1"), cell) == F.col("_ex")) & (geo.cell(F.col("y1"), cell) == F.col("_ey"))
+    fine = cut_lineage(listed.groupBy("_ex", "_ey").agg(F.bool_or(vertex).alias("_v")))
+
+    def occupied(level: int) -> DataFrame:
+        if level == 0:
+            return fine
+        shrink = lambda c: F.floor(F.col(c) / F.lit(4**level)).cast("long").alias(c)
+        return fine.groupBy(shrink("_ex"), shrink("_ey")).agg(F.bool_or("_v").alias("_v"))
+
+    spots = points.select(key, "longitude", "latitude")
+    # The coarsest cells cover the globe in a handful.
+    top = occupied(levels).agg(F.collect_list(F.struct("_ex", "_ey", "_v"))).first()[0]
+    if not top:
+        return spots.select(key, F.lit(None).cast("double").alias("distance_deg")).limit(0)
+    whole = F.array(*[F.struct(*[F.lit(c[n]).alias(n) for n in ("_ex", "_ey", "_v")]) for c in top])
+    cells = spots.withColumn("_c", F.explode(whole)).select(key, "longitude", "latitude", "_c.*")
+    for level in range(levels, -1, -1):
+        near, far = _cell_bounds(cell * 4**level)
+        bounded = cells.withColumn("_near", near)
+        limits = cells.groupBy(key).agg(F.min(F.when(F.col("_v"), far)).alias("_far"))
+        kept = bounded.join(limits, key).where(F.col("_far").isNull() | (F.col("_near") <= F.col("_far")))
+        kept = kept.select(key, "longitude", "latitude", "_ex", "_ey")
+        if level:
+            for c in ("_ex", "_ey"):
+                kept = kept.withColumn(c, F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3)))
+            kept = kept.join(occupied(level - 1), ["_ex", "_ey"])
+        cells = cut_lineage(kept)
+    return cells.join(listed, ["_ex", "_ey"]).groupBy(key).agg(F.min(_distance()).alias("distance_deg"))
 
 
 def offshore_localities(
