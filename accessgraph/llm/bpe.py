@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -51,3 +52,9 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of ``text``; none for an empty or null text."""
         return self._encode(text) if text else np.zeros(0, np.uint32)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The encoder of a file, made once per Python worker."""
+    return Encoder(path, special)

@@ -12,20 +12,30 @@ from accessgraph.llm.common import discard, stored
 def roots_of(found: np.ndarray, same: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The least node that each row and column node reaches over a matrix of links.
 
-    Rows and columns are the same nodes if ``same``; else columns come after rows.
+    Rows and columns are the same nodes if ``same``, and the matrix is symmetric;
+    else columns come after rows. Links are followed a frontier at a time, so
+    the matrix is never listed as pairs.
     """
-    a, b = found.shape
-    r, c = np.nonzero(found)
-    left, right = np.arange(a), (np.arange(b) if same else np.arange(b) + a)
-    while True:
-        before = left.copy(), right.copy()
-        low = np.minimum(left[r], right[c])
-        np.minimum.at(left, r, low)
-        np.minimum.at(right, c, low)
-        if same:
-            left = right = np.minimum(left, right)
-        if (before[0] == left).all() and (before[1] == right).all():
-            return left, right
+    left = np.arange(found.shape[0])
+    right = left if same else np.arange(found.shape[1]) + found.shape[0]
+    open_left = found.any(axis=1)
+    open_right = open_left if same else found.any(axis=0)
+    for first in np.flatnonzero(open_left):
+        if not open_left[first]:
+            continue
+        open_left[first] = False
+        frontier = np.array([first])
+        while len(frontier):
+            met = np.flatnonzero(found[frontier].any(axis=0) & open_right)
+            open_right[met] = False
+            right[met] = first
+            if same:
+                frontier = met
+                continue
+            frontier = np.flatnonzero(found[:, met].any(axis=1) & open_left)
+            open_left[frontier] = False
+            left[frontier] = first
+    return left, right
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

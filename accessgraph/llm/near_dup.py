@@ -149,6 +149,16 @@ def _forest(keys: list[bytes], found: np.ndarray) -> tuple[list[bytes], list[byt
     return [keys[i] for i in moved], [keys[roots[i]] for i in moved]
 
 
+def _alike(low: np.ndarray, high: np.ndarray, rows: int = 128) -> np.ndarray:
+    """Matrix of the sketches that differ in at most ``SKETCH_BITS`` bits, made a few rows at a time."""
+    out = np.zeros((len(low), len(low)), bool)
+    for at in range(0, len(low), rows):
+        part = slice(at, at + rows)
+        bits = np.bitwise_count(low[part, None] ^ low) + np.bitwise_count(high[part, None] ^ high)
+        out[part] = bits <= SKETCH_BITS
+    return out
+
+
 def in_units(members: DataFrame, group: str, size: Column, chunk: int, per_task: int, rows: int) -> DataFrame:
     """Lay the members of groups out in units that are compared as a whole.
 
@@ -190,9 +200,7 @@ def plausible_families(signatures: DataFrame) -> DataFrame:
                     a.append(keys[first + 1])
                     b.append(keys[first])
                 continue
-            x, y = low[first:end], high[first:end]
-            near = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
-            more = _forest(keys[first:end], near <= SKETCH_BITS)
+            more = _forest(keys[first:end], _alike(low[first:end], high[first:end]))
             a += more[0]
             b += more[1]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}).group_by(["a", "b"]).aggregate([])

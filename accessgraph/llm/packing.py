@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessgraph.llm.bpe import Encoder, default_tokenizer
+from accessgraph.llm.bpe import default_tokenizer, encoder
 from accessgraph.llm.common import query, stored, table
 
 CAPACITY = 2048
@@ -88,7 +88,7 @@ def pack(
     path = tokenizer or default_tokenizer()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         task, block, held = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
 
@@ -102,7 +102,7 @@ def pack(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), end_id).astype("<u4")
+                ids = np.append(encode(text.as_py()), end_id).astype("<u4")
                 for piece, (start, length) in enumerate(zip(*cut_pieces(len(ids), capacity), strict=True)):
                     data = ids[start : start + length].tobytes()
                     rows.append((doc_id.as_py(), piece, start, length, zlib.crc32(data), data if with_ids else None))

@@ -1,7 +1,7 @@
 """Vectorised words, hashes and word shingles over Arrow string batches.
 
 Texts are handled as UTF-8 bytes. Every function works on a *slice*: one byte
-buffer with the offsets of the documents in it, kept to a few megabytes by
+buffer with the offsets of the documents in it, kept to half a megabyte by
 :func:`slices` so that the numpy temporaries of a task stay bounded. A document
 longer than the slice size is a slice of its own and is never cut.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = 0xC2B2AE3D27D4EB4F

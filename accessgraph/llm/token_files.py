@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accessgraph.llm.bpe import Encoder, default_tokenizer
+from accessgraph.llm.bpe import default_tokenizer, encoder
 from accessgraph.llm.common import query, shared_path, stored, table
 
 END_ID = 50256
@@ -46,7 +46,7 @@ def write_token_files(
     source = tokenizer or default_tokenizer()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(source, special=False), TaskContext.get()
+        encode, context = encoder(source, special=False).encode, TaskContext.get()
         name = f"part-{context.partitionId():06d}.bin"
         system, folder = _open(path)
         system.create_dir(folder, recursive=True)
@@ -55,7 +55,7 @@ def write_token_files(
         with system.open_output_stream(draft) as out:
             for batch in batches:
                 for text in batch.column(1):
-                    out.write(np.append(encoder.encode(text.as_py()), end_id).astype(dtype).tobytes())
+                    out.write(np.append(encode(text.as_py()), end_id).astype(dtype).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)],
