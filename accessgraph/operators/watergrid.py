@@ -1,20 +1,19 @@
 """Water grids, cost distance on them, and route alternatives.
 
-Costs spread in rounds over square blocks of cells. A row of the state holds
-one block of one route, so every task works on a bounded array, and a round
-carries a route across a whole block instead of one cell.
+Costs spread in rounds over square blocks of cells. Every task works on the
+bounded array of one block of one route, a round carries a route across a whole
+block instead of one cell, and only border costs pass between rounds.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
@@ -22,8 +21,8 @@ from accessgraph.operators.spatial import nearest_water, paths_distinct, points_
 from accessgraph.session import cut_lineage
 
 BLOCK = 64
-# Cost of entering a cell on the wrong and on the wanted side.
-AWAY_COST, TOWARDS_COST = 1.55, 0.92
+# Cost in hundredths of entering a cell, also on the wrong and on the wanted side.
+STEP_COST, AWAY_COST, TOWARDS_COST = 100, 155, 92
 SNAP_DEG, SNAP_CELLS = 0.18, 20
 BIASES = ("shortest", "north", "south")
 # Directions as bits of a cell's open sides, with the step they take.
@@ -108,139 +107,174 @@ def grid_blocks(cells: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _relax(grid: WaterGrid):
-    """The work of one round on one row: spread entering costs inside a block."""
-    block, steps, south, dlat = BLOCK, STEPS, grid.south, grid.dlat
-    away, towards = AWAY_COST, TOWARDS_COST
-
-    def entry_cost(row: int, mid_lat: float, bias: str) -> float:
-        if bias == "shortest":
-            return 1.0
-        delta = south + row * dlat - mid_lat
-        wrong = delta < 0 if bias == "north" else delta > 0
-        return away if wrong else towards
-
-    def spread(r) -> tuple:
-        size = block * block
-        sides = np.zeros(size, dtype=np.int8)
-        wet = np.zeros(size, dtype=bool)
-        for cell in r.cells:
-            sides[cell["slot"]], wet[cell["slot"]] = cell["sides"], True
-        cost = np.full(size, np.inf) if r.cost is None else np.array(r.cost, dtype=float)
-        came = np.zeros(size, dtype=np.int32) if r.came is None else np.array(r.came, dtype=np.int32)
-        heap = []
-        for m in r.entries:
-            slot = int(m["slot"])
-            if wet[slot] and (m["cost"], m["came"]) < (cost[slot], came[slot] or 99):
-                cost[slot], came[slot] = m["cost"], m["came"]
-                heapq.heappush(heap, (m["cost"], slot))
-        out, enter = {}, [entry_cost(r.br * block + k, r.mid_lat, r.bias) for k in range(-1, block + 1)]
-        while heap:
-            c, slot = heapq.heappop(heap)
-            if c > cost[slot]:
-                continue
-            row, col = divmod(slot, block)
-            for side, dr, dc in steps:
-                if not sides[slot] & side:
-                    continue
-                nr, nc = row + dr, col + dc
-                reach = c + enter[nr + 1]
-                if 0 <= nr < block and 0 <= nc < block:
-                    n = nr * block + nc
-                    if (reach, side) < (cost[n], came[n] or 99):
-                        better = reach < cost[n]
-                        cost[n], came[n] = reach, side
-                        if better:
-                            heapq.heappush(heap, (reach, n))
-                else:
-                    key = (r.br * block + nr, r.bc * block + nc)
-                    if (reach, side) < out.get(key, (np.inf, 99)):
-                        out[key] = (reach, side)
-        sent = [{"row": k[0], "col": k[1], "cost": v[0], "came": v[1]} for k, v in out.items()]
-        return cost.tolist(), came.tolist(), sent
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [spread(r) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(
+FAR = np.iinfo(np.int32).max
+
+
+def _entry_costs(grid: WaterGrid, row: np.ndarray, mid_lat: float, bias: str) -> np.ndarray:
+    """Cost of entering a cell of each row, in hundredths."""
+    if bias == "shortest":
+        return np.full(len(row), STEP_COST, np.int64)
+    delta = grid.south + row * grid.dlat - mid_lat
+    wrong = delta < 0 if bias == "north" else delta > 0
+    return np.where(wrong, AWAY_COST, TOWARDS_COST).astype(np.int64)
+
+
+def _layout(cells) -> np.ndarray:
+    """Open sides of the cells of a block; -1 on land."""
+    sides = np.full(BLOCK * BLOCK, -1, np.int8)
+    for cell in cells:
+        sides[cell["slot"]] = cell["sides"]
+    return sides.reshape(BLOCK, BLOCK)
+
+
+def _moved(values: np.ndarray, dr: int, dc: int, empty) -> np.ndarray:
+    """``values`` seen from the cell one step on."""
+    out = np.full_like(values, empty)
+    out[max(dr, 0) : BLOCK + min(dr, 0), max(dc, 0) : BLOCK + min(dc, 0)] = values[
+        max(-dr, 0) : BLOCK + min(-dr, 0), max(-dc, 0) : BLOCK + min(-dc, 0)
+    ]
+    return out
+
+
+def _spread(sides: np.ndarray, entries, enter: np.ndarray) -> np.ndarray:
+    """Least cost of every cell of a block from its entering costs, by sweeps over the whole block."""
+    cost = np.full((BLOCK, BLOCK), FAR, np.int64)
+    for m in entries:
+        r, c = divmod(int(m["slot"]), BLOCK)
+        if sides[r, c] >= 0:
+            cost[r, c] = min(cost[r, c], m["cost"])
+    while True:
+        before = cost.copy()
+        for side, dr, dc in STEPS:
+            open_cost = np.where((sides >= 0) & (sides & side > 0), cost, FAR)
+            reach = _moved(open_cost, dr, dc, FAR)
+            np.minimum(cost, np.where(reach < FAR, reach + enter[1:-1, None], FAR), out=cost)
+        if (before == cost).all():
+            return cost
+
+
+def _arrivals(sides: np.ndarray, cost: np.ndarray, enter: np.ndarray, br: int, bc: int) -> list[dict]:
+    """Costs with which the block's border cells enter the cells next to the block."""
+    out = []
+    for side, dr, dc in STEPS:
+        edge = {RIGHT: np.s_[:, -1], LEFT: np.s_[:, 0], UP: np.s_[-1, :], DOWN: np.s_[0, :]}[side]
+        own, known = sides[edge], cost[edge]
+        for k in np.flatnonzero((own >= 0) & (own & side > 0) & (known < FAR)):
+            r, c = (k, BLOCK - 1 if dc > 0 else 0) if dc else (BLOCK - 1 if dr > 0 else 0, k)
+            out.append(
                 {
-                    "route_id": pdf["route_id"],
-                    "mid_lat": pdf["mid_lat"],
-                    "bias": pdf["bias"],
-                    "br": pdf["br"],
-                    "bc": pdf["bc"],
-                    "cost": [d[0] for d in done],
-                    "came": [d[1] for d in done],
-                    "sent": [d[2] for d in done],
+                    "row": int(br * BLOCK + r + dr), "col": int(bc * BLOCK + c + dc),
+                    "cost": int(known[k] + enter[r + dr + 1]), "came": side,
                 }
             )
+    return out
+
+
+def _came(sides: np.ndarray, cost: np.ndarray, entries, enter: np.ndarray) -> np.ndarray:
+    """The least direction by which a cell is entered at its least cost; 0 at the source.
+
+    Steps inside the block and arrivals from outside count alike, so the choice
+    does not depend on where blocks end.
+    """
+    came = np.full((BLOCK, BLOCK), 99, np.int32)
+    for side, dr, dc in STEPS:
+        open_cost = np.where((sides >= 0) & (sides & side > 0), cost, FAR)
+        reach = _moved(open_cost, dr, dc, FAR)
+        hit = (reach < FAR) & (reach + enter[1:-1, None] == cost)
+        came = np.where(hit, np.minimum(came, side), came)
+    for m in entries:
+        r, c = divmod(int(m["slot"]), BLOCK)
+        if cost[r, c] == m["cost"]:
+            came[r, c] = min(came[r, c], m["came"])
+    return came
+
+
+def _blocks_at_work(grid: WaterGrid, final: bool):
+    """Spread the entries of each (route, block) row: its arrivals elsewhere, or at the end its cells."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                sides = _layout(r.cells)
+                enter = _entry_costs(grid, r.br * BLOCK + np.arange(-1, BLOCK + 1), r.mid_lat, r.bias)
+                cost = _spread(sides, r.entries, enter)
+                own = tuple(getattr(r, c) for c in (*ROUTE, "br", "bc"))
+                if final:
+                    rows.append((*own, cost.ravel().tolist(), _came(sides, cost, r.entries, enter).ravel().tolist()))
+                else:
+                    held = r.goal_row // BLOCK == r.br and r.goal_col // BLOCK == r.bc
+                    goal = int(cost[int(r.goal_row) % BLOCK, int(r.goal_col) % BLOCK]) if held else int(FAR)
+                    rows.append((*own, _arrivals(sides, cost, enter, r.br, r.bc), goal))
+            names = [*ROUTE, "br", "bc", *(["cost", "came"] if final else ["sent", "goal"])]
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-STATE = (
-    "route_id string, mid_lat double, bias string, br int, bc int, cost array<double>, came array<int>, "
-    "sent array<struct<row:int,col:int,cost:double,came:int>>"
-)
+# A route without goal has the goal (-1, -1), which no block holds.
+ROUTE = ("route_id", "mid_lat", "bias", "goal_row", "goal_col")
+PLACE = "route_id string, mid_lat double, bias string, goal_row int, goal_col int, br int, bc int"
+SENT = f"{PLACE}, sent array<struct<row:int,col:int,cost:int,came:int>>, goal int"
+STATE = f"{PLACE}, cost array<int>, came array<int>"
 
 
-def water_cost_distance(blocks: DataFrame, sources: DataFrame, grid: WaterGrid, max_rounds: int = 10_000) -> DataFrame:
-    """Block states with the least cost from each source to every water cell it can reach.
+def water_cost_distance(blocks: DataFrame, sources: DataFrame, grid: WaterGrid) -> DataFrame:
+    """Block states with the least cost, in hundredths, from each source to every water cell it can reach.
 
-    ``sources`` has (route_id, row, col, mid_lat, bias). Entering a cell costs 1,
-    or more or less by its side of ``mid_lat`` under a north or south bias.
+    ``sources`` has (route_id, row, col, mid_lat, bias) and may have (goal_row,
+    goal_col). Entering a cell costs one, or more or less by its side of
+    ``mid_lat`` under a north or south bias. With a goal, a route is not spread
+    to where it cannot reach the goal at the least cost found so far.
+    Rounds exchange only the costs with which blocks enter each other, a narrow
+    table, until none improves; the cells inside are filled in once at the end.
     """
-    key = ["route_id", "br", "bc"]
-    waiting = sources.select(
-        "route_id", "mid_lat", "bias", "row", "col", F.lit(0.0).alias("cost"), F.lit(0).alias("came")
-    )
-    state = None
-    for _ in range(max_rounds):
+    key = [*ROUTE, "row", "col"]
+
+    def work(entries: DataFrame) -> DataFrame:
         slot = (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK).cast("int").alias("slot")
-        entries = (
-            waiting.groupBy("route_id", "mid_lat", "bias", "row", "col")
-            .agg(F.min(F.struct("cost", "came")).alias("_m"))
-            .select("route_id", "mid_lat", "bias", _block("row").alias("br"), _block("col").alias("bc"), slot, "_m.*")
-            .groupBy("route_id", "mid_lat", "bias", "br", "bc")
-            .agg(F.collect_list(F.struct("slot", "cost", "came")).alias("entries"))
+        placed = entries.select(*ROUTE, _block("row").alias("br"), _block("col").alias("bc"), slot, "cost", "came")
+        grouped = placed.groupBy(*ROUTE, "br", "bc").agg(F.collect_list(F.struct("slot", "cost", "came")).alias("entries"))
+        return grouped.join(blocks, ["br", "bc"]).select(*ROUTE, "br", "bc", "cells", "entries")
+
+    for c in ("goal_row", "goal_col"):
+        if c not in sources.columns:
+            sources = sources.withColumn(c, F.lit(-1))
+    known = cut_lineage(sources.select(*key, F.lit(0).alias("cost"), F.lit(0).alias("came")).distinct())
+    fresh, limits = known, None
+    ahead = F.abs(F.col("row") - F.col("goal_row")) + F.abs(F.col("col") - F.col("goal_col"))
+    while True:
+        place = [*ROUTE, _block("row").alias("br"), _block("col").alias("bc")]
+        touched = fresh.select(*place).distinct()
+        again = known.withColumns({"br": _block("row"), "bc": _block("col")}).join(touched, [*ROUTE, "br", "bc"], "left_semi")
+        sent = cut_lineage(work(again).mapInPandas(_blocks_at_work(grid, False), SENT))
+        met = sent.select("route_id", F.col("goal").alias("limit"))
+        met = met if limits is None else met.unionByName(limits)
+        limits = cut_lineage(met.groupBy("route_id").agg(F.min("limit").alias("limit")))
+        offers = (
+            sent.select(*ROUTE, F.explode("sent").alias("_s"))
+            .select(*ROUTE, "_s.*")
+            .join(limits, "route_id")
+            .where((F.col("goal_row") < 0) | (F.col("cost") + ahead * TOWARDS_COST <= F.col("limit")))
         )
-        work = entries.join(blocks, ["br", "bc"])
-        if state is None:
-            work = work.withColumns(
-                {"cost": F.lit(None).cast("array<double>"), "came": F.lit(None).cast("array<int>")}
-            )
-        else:
-            work = work.join(state.select(*key, "cost", "came"), key, "left")
-        moved = cut_lineage(
-            work.select("route_id", "mid_lat", "bias", "br", "bc", "cells", "cost", "came", "entries").mapInPandas(
-                _relax(grid), STATE
+        best = offers.groupBy(*key).agg(F.min(F.struct("cost", "came")).alias("_n"))
+        held = known.select(*key, F.struct("cost", "came").alias("_o"))
+        merged = cut_lineage(
+            held.join(best, key, "full").select(
+                *key, F.least("_o", "_n").alias("_b"), (F.col("_o").isNull() | (F.col("_n") < F.col("_o"))).alias("_new")
             )
         )
-        state = moved if state is None else cut_lineage(state.join(moved.select(*key), key, "left_anti").unionByName(moved))
-        sent = moved.select("route_id", "mid_lat", "bias", F.explode("sent").alias("_s")).select(
-            "route_id", "mid_lat", "bias", "_s.*"
-        )
-        # Only costs that improve on what the next block already knows go on.
-        held = state.select(*key, F.col("cost").alias("_held"))
-        waiting = (
-            sent.withColumn("br", _block("row"))
-            .withColumn("bc", _block("col"))
-            .join(held, key, "left")
-            .withColumn("_at", F.element_at("_held", (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK + 1).cast("int")))
-            .where(F.col("_at").isNull() | (F.col("cost") < F.col("_at")))
-            .select("route_id", "mid_lat", "bias", "row", "col", "cost", "came")
-        )
-        waiting = cut_lineage(waiting)
-        if waiting.isEmpty():
-            break
-    return state
+        known = merged.select(*key, "_b.cost", "_b.came")
+        fresh = merged.where("_new").select(*key)
+        if fresh.isEmpty():
+            return work(known).mapInPandas(_blocks_at_work(grid, True), STATE)
 
 
 def cell_costs(state: DataFrame) -> DataFrame:
-    """Rows (route_id, row, col, cost) of the reached cells."""
+    """Rows (route_id, row, col, cost) of the reached cells, the cost in hundredths."""
     return (
         state.select("route_id", "br", "bc", F.posexplode("cost").alias("slot", "cost"))
-        .where(F.col("cost") < float("inf"))
+        .where(F.col("cost") < int(FAR))
         .select(
             "route_id",
             (F.col("br") * BLOCK + F.floor(F.col("slot") / BLOCK)).cast("int").alias("row"),
@@ -274,19 +308,19 @@ def _walk():
     return run
 
 
-def trace_paths(state: DataFrame, goals: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def trace_paths(state: DataFrame, goals: DataFrame) -> DataFrame:
     """Path pieces (route_id, piece, cells) from each goal back to its source, one block per round."""
     key = ["route_id", "br", "bc"]
     table = state.select(*key, "came", F.col("cost").alias("_cost"))
     at = F.element_at("_cost", (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK + 1).cast("int"))
     ahead = goals.select("route_id", "row", "col", F.lit(0).alias("piece"))
     pieces = None
-    for _ in range(max_rounds):
+    while True:
         step = cut_lineage(
             ahead.withColumn("br", _block("row"))
             .withColumn("bc", _block("col"))
             .join(table, key)
-            .where(at < float("inf"))
+            .where(at < int(FAR))
             .select("route_id", "piece", "row", "col", "br", "bc", "came")
             .mapInPandas(_walk(), "route_id string, piece int, cells array<struct<row:int,col:int>>, row int, col int, more boolean")
         )
@@ -294,8 +328,7 @@ def trace_paths(state: DataFrame, goals: DataFrame, max_rounds: int = 10_000) ->
         pieces = done if pieces is None else pieces.unionByName(done)
         ahead = step.where("more").select("route_id", "row", "col", (F.col("piece") + 1).alias("piece"))
         if ahead.isEmpty():
-            break
-    return pieces
+            return pieces
 
 
 def snap_to_grid(points: DataFrame, cells: DataFrame, grid: WaterGrid, key: str) -> DataFrame:
@@ -332,12 +365,14 @@ def snap_to_grid(points: DataFrame, cells: DataFrame, grid: WaterGrid, key: str)
 
 
 def plan_routes(
-    pairs: DataFrame, grid: WaterGrid, cells: DataFrame, blocks: DataFrame, polygons: DataFrame, biases: Sequence[str] = BIASES
+    pairs: DataFrame, grid: WaterGrid, cells: DataFrame, blocks: DataFrame, polygons: DataFrame, biases: Sequence[str] = BIASES,
+    no_route: str = "Straight preview, no way by water",
 ) -> DataFrame:
-    """Alternative water routes for pairs (od_id, from_lon, from_lat, to_lon, to_lat), shortest first.
+    """Alternative water routes for pairs (od_id, from_lon, from_lat, to_lon, to_lat).
 
     An alternative is kept when its corridor differs from every one kept before
-    it; a pair without any water path gets the straight line.
+    it; a pair without any water path gets the straight line. ``position``
+    counts a pair's routes from 1 by distance.
     """
     ends = pairs.select("od_id", F.explode(F.array(*[
         F.struct(F.lit(e).alias("end"), F.col(f"{e}_lon").alias("longitude"), F.col(f"{e}_lat").alias("latitude"))
@@ -360,8 +395,9 @@ def plan_routes(
     sources = routed.select(
         "route_id", F.col("from_row").alias("row"), F.col("from_col").alias("col"),
         ((F.col("from_shore") + F.col("to_shore")) / 2).alias("mid_lat"), "bias",
+        F.col("to_row").alias("goal_row"), F.col("to_col").alias("goal_col"),
     )
-    state = water_cost_distance(blocks, sources, grid)
+    state = cut_lineage(water_cost_distance(blocks, sources, grid))
     goals = routed.select("route_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"))
     pieces = trace_paths(state, goals)
     # A path is one route of one pair, at most as long as the grid has cells on it.
@@ -398,6 +434,7 @@ def plan_routes(
         "od_id", "_r.*", F.lit("water").alias("mode"), F.lit(None).cast("string").alias("warning")
     )
     bare = straight_routes(
-        pairs.join(routes.select("od_id"), "od_id", "left_anti"), "No water path found — showing straight line."
+        pairs.join(routes.select("od_id"), "od_id", "left_anti"), no_route
     ).select("od_id", "bias", "coordinates", "distance_m", "cell_count", "mode", "warning")
-    return routes.unionByName(bare)
+    by_length = Window.partitionBy("od_id").orderBy("distance_m", "bias")
+    return routes.unionByName(bare).withColumn("position", F.row_number().over(by_length))

@@ -279,7 +279,31 @@ def _sea(spark, sf):
     return cells, watergrid.cut_lineage(watergrid.grid_blocks(cells, watergrid.water_links(cells, SEA, index)))
 
 
-@query("i16_water_cost_distance")
+SNAP = max(watergrid.SNAP_CELLS, int(-(-watergrid.SNAP_DEG // max(SEA.dlon, SEA.dlat))))
+SQL_ENTER = f"""CASE bias WHEN 'shortest' THEN {watergrid.STEP_COST}
+    WHEN 'north' THEN CASE WHEN {SEA.south}::DOUBLE + to_row * {DLAT} - 70.0 < 0 THEN {watergrid.AWAY_COST} ELSE {watergrid.TOWARDS_COST} END
+    ELSE CASE WHEN {SEA.south}::DOUBLE + to_row * {DLAT} - 70.0 > 0 THEN {watergrid.AWAY_COST} ELSE {watergrid.TOWARDS_COST} END END"""
+
+
+@query(
+    "i16_water_cost_distance",
+    f"""WITH RECURSIVE water AS MATERIALIZED ({SQL_WATER}), links AS MATERIALIZED ({SQL_LINKS}), clear AS MATERIALIZED (
+          SELECT row, col, to_row, to_col FROM links EXCEPT SELECT row, col, to_row, to_col FROM ({sql_land(SQL_LINK_SAMPLES, 'row, col, to_row, to_col')})
+        ), steps AS MATERIALIZED (SELECT * FROM clear UNION ALL SELECT to_row, to_col, row, col FROM clear),
+        home AS (SELECT CAST(n_nationkey AS STRING) AS route_id, ['shortest', 'north', 'south'][1 + n_nationkey % 3] AS bias,
+            greatest(0, least({SEA.rows - 1}, CAST(round((60.0 + n_nationkey * 0.9 - {SEA.south}::DOUBLE) / {DLAT}) AS INT))) AS r,
+            greatest(0, least({SEA.cols - 1}, CAST(round((-73.0 + n_nationkey * 2.3 - {SEA.west}::DOUBLE) / {DLON}) AS INT))) AS c FROM nation),
+        src AS (SELECT DISTINCT ON (route_id) route_id, bias, row, col FROM home JOIN water ON abs(row - r) <= {SNAP} AND abs(col - c) <= {SNAP}
+            ORDER BY route_id, greatest(abs(row - r), abs(col - c)), (row - r) * (row - r) + (col - c) * (col - c), row, col),
+        reach(route_id, bias, row, col, cost) USING KEY (route_id, row, col) AS (
+          SELECT route_id, bias, row, col, 0 FROM src UNION
+          SELECT f.route_id, f.bias, s.to_row, s.to_col, min(f.cost + {SQL_ENTER}) FROM reach f JOIN steps s ON s.row = f.row AND s.col = f.col
+          LEFT JOIN recurring.reach k ON k.route_id = f.route_id AND k.row = s.to_row AND k.col = s.to_col
+          WHERE k.cost IS NULL OR f.cost + {SQL_ENTER.replace("bias WHEN", "f.bias WHEN")} < k.cost GROUP BY f.route_id, f.bias, s.to_row, s.to_col)
+        SELECT route_id, count(*) AS cells, sum(cost)::BIGINT AS total_cost, max(cost) AS farthest FROM reach GROUP BY route_id""".replace(
+        "min(f.cost + CASE bias", "min(f.cost + CASE f.bias"
+    ),
+)
 def _(spark, sf):
     """Cost from one snapped spot per nation to all water cells it reaches, among the land of all suppliers."""
     cells, blocks = _sea(spark, sf)
@@ -294,7 +318,7 @@ def _(spark, sf):
     )
     state = watergrid.water_cost_distance(blocks, sources, SEA)
     return watergrid.cell_costs(state).groupBy("route_id").agg(
-        F.count("*").alias("cells"), F.round(F.sum("cost"), 2).alias("total_cost")
+        F.count("*").alias("cells"), F.sum("cost").alias("total_cost"), F.max("cost").alias("farthest")
     )
 
 
