@@ -107,9 +107,15 @@ def _(spark, sf):
 
 @query(
     "i6_polygon_cells",
-    """SELECT polygon_id, count(*) AS cells FROM (SELECT polygon_id, unnest(range(CAST(floor(w / 0.25) AS BIGINT), CAST(floor((w + 1.2) / 0.25) AS BIGINT) + 1)) AS cx,
-         lo, hi FROM (SELECT *, CAST(floor(s / 0.25) AS BIGINT) AS lo, CAST(floor((s + 0.9) / 0.25) AS BIGINT) AS hi FROM v_land)), LATERAL (SELECT unnest(range(lo, hi + 1)) AS cy)
-       GROUP BY polygon_id""",
+    """WITH box AS (SELECT polygon_id, unnest(range(CAST(floor(w / 0.25) AS BIGINT), CAST(floor((w + 1.2) / 0.25) AS BIGINT) + 1)) AS cx, s FROM v_land),
+         cell AS (SELECT polygon_id, cx, cy FROM box, LATERAL (SELECT unnest(range(CAST(floor(s / 0.25) AS BIGINT), CAST(floor((s + 0.9) / 0.25) AS BIGINT) + 1)) AS cy)),
+         crossed AS (SELECT c.polygon_id, cx, cy FROM cell c JOIN v_land_edges e ON e.polygon_id = c.polygon_id
+           AND cx BETWEEN floor(least(x1, x2) / 0.25) AND floor(greatest(x1, x2) / 0.25)
+           AND cy BETWEEN floor(least(y1, y2) / 0.25) AND floor(greatest(y1, y2) / 0.25)),
+         filled AS (SELECT c.polygon_id, cx, cy FROM cell c JOIN v_land_edges e ON e.polygon_id = c.polygon_id AND e.ring = 0
+           AND (y1 > (cy + 0.5) * 0.25) <> (y2 > (cy + 0.5) * 0.25)
+           AND (cx + 0.5) * 0.25 < (x2 - x1) * ((cy + 0.5) * 0.25 - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+       SELECT polygon_id, count(*) AS cells FROM (SELECT * FROM crossed UNION SELECT * FROM filled) GROUP BY polygon_id""",
 )
 def _(spark, sf):
     return _index(spark, sf).groupBy("polygon_id").agg(F.count("*").alias("cells"))
