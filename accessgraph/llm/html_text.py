@@ -41,7 +41,7 @@ CLOSED_BY_NEXT = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that mark what is around an article.
 CUES = frozenset(
-    """ad ads adbox adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist
+    """ad ads adbox adslot advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs comment comments commentlist
     complementary consent contentinfo cookie cookies disclaimer discussion disqus dialog dropdown footer gdpr hidden login masthead
     menu menubar modal nav navbar navigation navi newsletter notice notification overlay pager pagination popup promo promoted
     promotion recommendations recommended related replies reply respond rail share sharebar sharing sidebar signup sitemap social
@@ -86,14 +86,22 @@ class Block:
     text: str = ""
 
 
-def _is_cue(name: str, attributes: str) -> bool:
-    """Whether class, id, role or style mark an element as not part of the article."""
-    if not attributes.strip() or name in ("html", "body", *MAIN):
+def _is_cue(name: str, attributes: str, inside_main: bool) -> bool:
+    """Whether class, id, role or style mark an element as not part of the article.
+
+    A block called header is the page's own unless it stands in an article. An
+    article is judged only if it stands in another or is called a comment.
+    """
+    if not attributes.strip() or name in ("html", "body", "main"):
         return False
+    cues = frozenset(["comment"]) if name == "article" and not inside_main else CUES
+    page_header = not inside_main and name not in HEADINGS and name != "article"
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
-        if key in ("class", "id", "role") and any(w.lower() in CUES for w in _CUE_WORD.findall(value)):
-            return True
+        if key in ("class", "id", "role"):
+            words = {w.lower() for w in _CUE_WORD.findall(value)}
+            if words & cues or (page_header and "header" in words):
+                return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
             return True
     return False
@@ -201,7 +209,9 @@ def blocks_of(page: str) -> list[Block]:
         mark = ""
         if name in SKIPPED:
             mark = "skip"
-        elif (name in BOILERPLATE and not (name == "header" and stack[-1].place == "main")) or _is_cue(name, attributes):
+        elif (name in BOILERPLATE and not (name == "header" and stack[-1].place == "main")) or _is_cue(
+            name, attributes, stack[-1].place == "main"
+        ):
             mark = "bad"
         elif name in MAIN:
             mark = "main"

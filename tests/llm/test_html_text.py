@@ -24,13 +24,14 @@ def test_parts_around_the_article_go():
     page = f"""<!doctype html><html><head><title>T</title><style>p</style></head><body class="has-sidebar">
       <div id="cookieNotice">We use cookies on this site for all of the things that you do.</div>
       <header><h1>Site</h1><nav><a href=/>Home</a></nav></header><main><article class="comments-open">
-      <header><h1>My <i>title</i></h1></header><p>{PROSE}<p>As.<ul><li>One<li>Two &amp; three</ul>
+      <header><h1 class="header">My <i>title</i></h1></header><div class="entry-header">By A</div><p>{PROSE}<p>As.<ul><li>One<li>Two &amp; three</ul>
       <table><tr><td>a<td>b</table><div class="ad-slot">Buy the best of all</div><aside>Related</aside>
       <blockquote>Quote&nbsp;here &#x1F642;</blockquote><script>if(a<b){{x="</p>"}}</script><form><label>Mail</label><input></form>
       <p hidden>no</p><p style="display: none">no</p>
-      <section id="reader-comments"><p>{PROSE}</p></section></article></main>
-      <div role="complementary"><p>{PROSE}</p></div><div class="footer">foot</div></body></html>"""
-    assert ht.main_text(page).split("\n") == ["My title", PROSE.strip(), "As.", "One", "Two & three", "a", "b", "Quote here \U0001f642"]
+      <article class="comment odd"><p>{PROSE}</p></article><section id="reader-comments"><p>{PROSE}</p></section></article></main>
+      <div id="site-header"><p>{PROSE}</p></div><div class="alert">{PROSE}</div>
+      <article class="comment"><p>{PROSE}</p></article><div role="complementary"><p>{PROSE}</p></div><div class="footer">foot</div></body></html>"""
+    assert ht.main_text(page).split("\n") == ["My title", "By A", PROSE.strip(), "As.", "One", "Two & three", "a", "b", "Quote here \U0001f642"]
 
 
 def test_pages_without_article_use_the_block_rules():
