@@ -86,15 +86,15 @@ class Block:
     text: str = ""
 
 
-def _is_cue(name: str, attributes: str, inside_main: bool) -> bool:
+def _is_cue(name: str, attributes: str, inside_main: bool, nested: bool) -> bool:
     """Whether class, id, role or style mark an element as not part of the article.
 
     A block called header is the page's own unless it stands in an article. An
-    article is judged only if it stands in another or is called a comment.
+    article is judged only if it is ``nested`` in another or called a comment.
     """
     if not attributes.strip() or name in ("html", "body", "main"):
         return False
-    cues = frozenset(["comment"]) if name == "article" and not inside_main else CUES
+    cues = frozenset(["comment"]) if name == "article" and not nested else CUES
     page_header = not inside_main and name not in HEADINGS and name != "article"
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
@@ -210,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in SKIPPED:
             mark = "skip"
         elif (name in BOILERPLATE and not (name == "header" and stack[-1].place == "main")) or _is_cue(
-            name, attributes, stack[-1].place == "main"
+            name, attributes, stack[-1].place == "main", bool(depth_of.get("article"))
         ):
             mark = "bad"
         elif name in MAIN:
