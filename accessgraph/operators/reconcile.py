@@ -161,6 +161,22 @@ def reconcile_matches(t: Tables, records: DataFrame, authorities: Sequence[str])
     )
 
 
+def candidate_records(records: DataFrame) -> DataFrame:
+    """(namespace, name_key, record_id) of every authority record; a place's candidates share the key of its name.
+
+    Rows stay per record, so a name that many places and records share is not
+    multiplied out.
+    """
+    return records.select("namespace", name_key(F.col("official_name")).alias("name_key"), "record_id")
+
+
+def match_differences(matches: DataFrame) -> DataFrame:
+    """One row per differing field of a match: (place_id, namespace, record_id, field, seed, authority)."""
+    return matches.select("place_id", "namespace", "record_id", F.explode("differences").alias("_d")).select(
+        "place_id", "namespace", "record_id", "_d.*"
+    )
+
+
 def reconcile(t: Tables, records: DataFrame, authorities: Sequence[str]) -> DataFrame:
     """One row per place with its overall status and the match per authority (a short fixed list)."""
     rows = reconcile_matches(t, records, authorities)

@@ -610,6 +610,35 @@ def _(spark, sf):
     )
 
 
+@query("e20_candidate_records", f"SELECT namespace, lower(official_name) AS name_key, record_id FROM ({SQL_AUTHORITY})")
+def _(spark, sf):
+    return reconcile.candidate_records(_authority(spark, sf))
+
+
+SQL_CHOSEN = "FROM m JOIN auth x ON x.record_id = m.record_id AND x.namespace = m.namespace"
+
+
+@query(
+    "e20_match_differences",
+    f"""{SQL_MATCHES}
+        SELECT m.place_id, m.namespace, m.record_id, 'official_name' AS field, m.value AS seed, x.official_name AS authority,
+               NULL::DOUBLE AS seed_lon, NULL::DOUBLE AS authority_lat {SQL_CHOSEN} WHERE x.official_name <> m.value
+        UNION ALL SELECT m.place_id, m.namespace, m.record_id, 'feature_type', m.feature_type, x.feature_type, NULL, NULL
+               {SQL_CHOSEN} WHERE x.feature_type <> m.feature_type
+        UNION ALL SELECT m.place_id, m.namespace, m.record_id, 'geometry', NULL, NULL, m.lon, x.latitude
+               {SQL_CHOSEN} WHERE x.longitude <> m.lon OR x.latitude <> m.lat""",
+)
+def _(spark, sf):
+    rows = reconcile.match_differences(reconcile.reconcile_matches(domain_tables(spark, sf), _authority(spark, sf), AUTHORITIES))
+    spot = F.col("field") == "geometry"
+    number = lambda c, i: F.when(spot, F.split(c, " ")[i].cast("double"))
+    text = lambda c: F.when(~spot, F.col(c)).alias(c)
+    return rows.select(
+        "place_id", "namespace", "record_id", "field", text("seed"), text("authority"),
+        number("seed", 0).alias("seed_lon"), number("authority", 1).alias("authority_lat"),
+    )
+
+
 @query(
     "e20_e21_reconcile_counts",
     f"""{SQL_MATCHES}, o AS (SELECT place_id, CASE WHEN bool_and(status = 'confirmed') THEN
