@@ -129,7 +129,7 @@ def duplicate_ids(t: Tables) -> DataFrame:
         F.col("table"),
         "duplicate_id",
         F.col("id"),
-        _text("Duplicate ID '%s' across source files", F.col("id")),
+        _text("id '%s' is used more than once", F.col("id")),
     )
 
 
@@ -294,7 +294,7 @@ def seasonality(t: Tables) -> DataFrame:
 
 def slug_collisions(t: Tables) -> DataFrame:
     slugs = assign_slugs(t["places"], t["place_names"]).groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _found(slugs, "places", "slug_unique", F.col("slug"), _text("Duplicate slug '%s' for %s places", F.col("slug"), F.col("n")))
+    return _found(slugs, "places", "slug_unique", F.col("slug"), _text("slug '%s' belongs to %s places", F.col("slug"), F.col("n")))
 
 
 def retired_assertions(t: Tables) -> DataFrame:
@@ -347,7 +347,7 @@ def source_rules() -> list[Rule]:
         (
             "pending_source",
             F.col("verification_status") == "pending",
-            _text("source '%s' pending, blocks publish", F.col("id")),
+            _text("source '%s' is still pending", F.col("id")),
         ),
     ]
 

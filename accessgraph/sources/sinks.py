@@ -206,7 +206,9 @@ def tracks_to_geojson(points: DataFrame, waypoints: DataFrame, check: bool = Tru
 HEAD, WAYPOINTS, OPEN, TRACK, CLOSE = range(5)
 
 
-def tracks_to_gpx(points: DataFrame, waypoints: DataFrame, creator: str = "accessgraph", check: bool = True) -> DataFrame:
+def tracks_to_gpx(
+    points: DataFrame, waypoints: DataFrame, creator: str = "accessgraph", check: bool = True, description: str = "Exported trip"
+) -> DataFrame:
     """Rows (trip_id, section, position, text); read in this order they are one GPX file per trip.
 
     A row holds one point or waypoint, so trips of any length export in parallel.
@@ -221,7 +223,9 @@ def tracks_to_gpx(points: DataFrame, waypoints: DataFrame, creator: str = "acces
         xml_text(F.lit(creator)),
         F.lit('" xmlns="http://www.topografix.com/GPX/1/1">\n  <metadata>\n    <name>'),
         name,
-        F.lit("</name>\n    <desc>Private trip export — companion data, not a nautical chart</desc>\n  </metadata>"),
+        F.lit("</name>\n    <desc>"),
+        xml_text(F.lit(description)),
+        F.lit("</desc>\n  </metadata>"),
     )
     opening = F.concat(F.lit("  <trk>\n    <name>"), name, F.lit("</name>\n    <trkseg>"))
     frame = trips.select(
