@@ -78,15 +78,15 @@ def id_range(df: DataFrame, column: str, ranges: int = 256) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
 
 
-def with_slugs(named: DataFrame) -> DataFrame:
+def with_slugs(named: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Add ``slug`` to rows (id, value, ...); later holders of one name, in id order, get -2, -3 and so on.
 
-    A common name is numbered in chunks of ids: the id ranges that hold equal
-    numbers of all rows, found once from the ids of the table.
+    A common name is numbered in chunks of ids: ranges that hold about equal
+    numbers of ``ids``, a table that is cheap to read (``named`` by default).
     """
     has_name = F.coalesce(F.length("value"), F.lit(0)) > 0
     based = named.withColumn("base", F.when(has_name, slug_base(F.col("value"))).otherwise(F.col("id")))
-    counted = numbered(based, ["base"], ["id"], id_range(named, "id"), "_n")
+    counted = numbered(based, ["base"], ["id"], id_range(named if ids is None else ids, "id"), "_n")
     again = F.concat_ws("-", "base", F.col("_n").cast("string"))
     return counted.withColumn("slug", F.when(F.col("_n") == 1, F.col("base")).otherwise(again)).drop("_n")
 
@@ -96,7 +96,7 @@ def assign_slugs(places: DataFrame, names: DataFrame) -> DataFrame:
     named = not_retired(places).select("id").join(
         canonical_names(names).select(F.col("place_id").alias("id"), F.col("name.value").alias("value")), "id", "left"
     )
-    return with_slugs(named).select("id", "base", "slug")
+    return with_slugs(named, places).select("id", "base", "slug")
 
 
 def current_places(t: Tables) -> DataFrame:
@@ -232,7 +232,7 @@ def denorm_places(t: Tables) -> DataFrame:
     """
     no_refs = F.array().cast(t["places"].schema["source_refs"].dataType)
     singles = with_slugs(
-        place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value"))
+        place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value")), t["places"]
     )
     coordinates = F.struct(
         F.col("point.id").alias("assertion_id"),
