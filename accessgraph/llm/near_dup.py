@@ -262,13 +262,17 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     other ids; repeated rows are repeated in the result. Other columns are
     ignored.
     """
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"))
+    keyed = stored(docs.select("doc_id", text_key(F.col("text")).alias("key")), "keys")
     labels = components(near_duplicate_links(docs, threshold)).withColumnRenamed("node", "key")
-    placed = keyed.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = stored(placed, "classes")
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
+    classes = stored(
+        least.join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "classes"
+    )
+    # Written, so that adaptive execution can split the rows of a large class in the join.
+    ids = stored(classes.groupBy("component").agg(F.min("least").alias("class_id")), "class-ids")
+    placed = keyed.join(classes.join(ids, "component").select("key", "class_id"), "key")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return placed.join(least, "component").select("doc_id", "key", "class_id", kept.alias("kept"))
+    return placed.select("doc_id", "key", "class_id", kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
