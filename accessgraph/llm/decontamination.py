@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from accessgraph.llm import textbytes as tb
 from accessgraph.llm.common import fresh, query, table
+from accessgraph.llm.near_dup import cells_of, weighted_cells
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BITS = 64
 BLOCKS = 8
-# A weighted similarity of 0.8 is a cosine of at least 0.889, an expected
+# Fingerprints sum over cells of (shingle, n-th occurrence), all of weight one,
+# so a weighted similarity of 0.8 is a cosine of at least 0.889, an expected
 # distance of 9.7 of 64 bits with a deviation of 2.9; the radius leaves 4.6
 # deviations. Eight blocks of eight bits within two bits each cover it.
 RADIUS = 23
@@ -38,6 +40,50 @@ def bit_signs(hashes: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+class WindowSums:
+    """Bit sums over the cells of every window of one document.
+
+    Sliding a window by one takes the highest cell of the shingle that leaves
+    and adds the next cell of the one that enters. Both are cell 0 except at
+    repeats inside the window, so one running sum over cells 0 serves all
+    spans, and each span adds what its repeats change.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.sums = np.zeros((len(hashes) + 1, BITS), np.int32)
+        self.signs = bit_signs(cells_of(hashes, np.zeros(len(hashes), np.int64)))
+        np.cumsum(self.signs, axis=0, out=self.sums[1:])
+        self.order = np.argsort(hashes, kind="stable")
+        ordered = hashes[self.order]
+        self.group = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+        self.repeats = bool(len(hashes)) and int(self.group[-1]) + 1 < len(hashes)
+
+    def _change(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of cells above 0, running sums of their signs less those of cell 0)."""
+        at = np.flatnonzero(level)
+        change = np.zeros((len(at) + 1, BITS), np.int32)
+        np.cumsum(bit_signs(cells_of(self.hashes[at], level[at])) - self.signs[at], axis=0, out=change[1:])
+        return at, change
+
+    def over(self, starts: np.ndarray, span: int) -> np.ndarray:
+        """The sums of the windows of ``span`` shingles from ``starts``."""
+        sums = self.sums[starts + span] - self.sums[starts]
+        if self.repeats:
+            n = len(self.hashes)
+            # Places of the same shingle are neighbours, and gaps between shingles exceed every span.
+            place = self.group * (2 * n + 1) + self.order
+            index = np.arange(n)
+            entering, leaving = np.empty(n, np.int64), np.empty(n, np.int64)
+            entering[self.order] = index - np.searchsorted(place, place - span + 1, "left")
+            leaving[self.order] = np.searchsorted(place, place + span - 1, "right") - 1 - index
+            at, change = self._change(entering)
+            sums += change[np.searchsorted(at, starts + span)]
+            at, change = self._change(leaving)
+            sums -= change[np.searchsorted(at, starts)]
+        return sums
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -87,7 +133,8 @@ class BenchmarkIndex:
                 continue
             size = min(SHINGLE_WORDS, len(words))
             _, hashes = tb.shingles(doc, words, size)
-            sums = bit_signs(hashes).sum(axis=0, keepdims=True)
+            _, cells = weighted_cells(np.zeros(len(hashes), np.int64), hashes)
+            sums = bit_signs(cells).sum(axis=0, keepdims=True)
             item = Item(item_id, len(words), *np.unique(hashes, return_counts=True), fingerprints(sums)[0])
             grouped.setdefault((size, len(words)), []).append(item)
         for (size, words), items in grouped.items():
@@ -126,8 +173,7 @@ class BenchmarkIndex:
 
     @staticmethod
     def _in_document(d, hashes, size, by_words, spots, sizes, n_words, threshold):
-        sums = np.zeros((len(hashes) + 1, BITS), np.int32)
-        np.cumsum(bit_signs(hashes), axis=0, out=sums[1:])
+        sums = WindowSums(hashes)
         for length in np.unique(sizes):
             index = by_words[int(length)]
             span = min(int(length) - size + 1, len(hashes))
@@ -138,7 +184,7 @@ class BenchmarkIndex:
             starts = np.flatnonzero(steps.cumsum()[: len(hashes) - span + 1] > 0)
             if not len(starts):
                 continue
-            windows = fingerprints(sums[starts + span] - sums[starts])
+            windows = fingerprints(sums.over(starts, span))
             best: dict[int, tuple[float, int, int]] = {}
             for w, i in zip(*index.within_radius(windows), strict=True):
                 item, start = index.items[i], int(starts[w])

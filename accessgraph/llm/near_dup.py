@@ -31,6 +31,11 @@ _LEVEL, _SQUARE, _DART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D647
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
+def cells_of(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The cell of each shingle's occurrence number ``level``, counted from 0."""
+    return tb.mix(hashes + level.astype(np.uint64) * _LEVEL)
+
+
 def weighted_cells(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, cell hash): the n-th occurrence of a shingle in a document is the cell of its n-th unit of weight."""
     order = np.lexsort((hashes, doc))
@@ -39,7 +44,7 @@ def weighted_cells(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     index = np.arange(len(doc))
     level = index - np.maximum.accumulate(np.where(fresh, index, 0))
-    return doc, tb.mix(hashes + level.astype(np.uint64) * _LEVEL)
+    return doc, cells_of(hashes, level)
 
 
 def dart_signatures(doc: np.ndarray, cells: np.ndarray, n_docs: int) -> np.ndarray:

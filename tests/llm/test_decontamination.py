@@ -99,3 +99,29 @@ def test_multi_index_finds_all_within_the_radius(seed):
         windows[i] = items[i % 70].fingerprint ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else items[i % 70].fingerprint
     distance = np.bitwise_count(windows[:, None] ^ index.fingerprints)
     assert set(zip(*index.within_radius(windows), strict=True)) == set(zip(*np.nonzero(distance <= dc.RADIUS), strict=True))
+
+
+def test_repeated_shingles_against_every_window(spark, documents):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**6)}"
+    items, docs = [], []
+    for k, (common, run) in enumerate([(80, 10), (40, 5), (160, 20)] * 20):
+        head, tail = [word() for _ in range(common + 4)], [word() for _ in range(run)]
+        items.append((k, " ".join(head + ["_"] * (run + 4))))
+        copy = head + ["_"] * 4 + tail if k % 2 else head + tail + ["_"] * 4
+        docs.append((k, " ".join([word() for _ in range(9)] + copy + [word() for _ in range(9)])))
+        docs.append((1000 + k, " ".join(head[: common // 2] + ["_"] * 60 + items[-1][1].split() + ["_"] * 30)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = compare(spark, docs, items, documents(docs), bench)
+    assert len(got) >= 60
+
+
+def test_window_sums_equal_the_cells_of_each_window():
+    rng = np.random.default_rng(6)
+    hashes = dc.tb.mix(rng.integers(0, 12, 200).astype(np.uint64))
+    sums = dc.WindowSums(hashes)
+    for span in (1, 2, 17, 200):
+        starts = np.arange(len(hashes) - span + 1)
+        for start, got in zip(starts, sums.over(starts, span), strict=True):
+            _, cells = dc.weighted_cells(np.zeros(span, np.int64), hashes[start : start + span])
+            assert (got == dc.bit_signs(cells).sum(axis=0)).all()
