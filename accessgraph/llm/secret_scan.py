@@ -33,16 +33,19 @@ PREFILTER = {
 # The battery's candidates, encodings and error rate.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Name, alphabet, and the classes that a token must have symbols of.
 ENCODINGS = (
-    ("hex", DIGITS + LOWER[:6], 2),
-    ("hex", DIGITS + UPPER[:6], 2),
-    ("base32", UPPER + DIGITS[2:8], 2),
-    ("base36", DIGITS + LOWER, 2),
-    ("base36", DIGITS + UPPER, 2),
-    ("base62", UPPER + LOWER + DIGITS, 3),
-    ("base64", UPPER + LOWER + DIGITS + "+/", 3),
-    ("base64url", UPPER + LOWER + DIGITS + "-_", 3),
+    ("hex", DIGITS + LOWER[:6], (LOWER, DIGITS)),
+    ("hex", DIGITS + UPPER[:6], (UPPER, DIGITS)),
+    ("base32", UPPER + DIGITS[2:8], (UPPER,)),
+    ("base36", DIGITS + LOWER, (LOWER, DIGITS)),
+    ("base36", DIGITS + UPPER, (UPPER, DIGITS)),
+    ("base62", UPPER + LOWER + DIGITS, (LOWER, UPPER)),
+    ("base64", UPPER + LOWER + DIGITS + "+/", (LOWER, UPPER)),
+    ("base64url", UPPER + LOWER + DIGITS + "-_", (LOWER, UPPER)),
 )
+# Stretches inside a candidate that may be a string of their own in a path or a joined name.
+PARTS = tuple(re.compile(p) for p in ("[^/]+", "[^_-]+", "[^/_-]+"))
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
 GRID = 200
 FALSE_SHARE = 0.1
@@ -67,14 +70,13 @@ def base_spans(text: str, kinds: tuple[str, ...] = KINDS) -> list[Span]:
 def infer_encoding(token: str) -> tuple[str, str] | None:
     """(name, alphabet) of the narrowest encoding that explains ``token``.
 
-    Encodings of one letter case need a digit and a letter, the mixed ones a
-    digit, a small and a capital letter; plain words have none.
+    Hexadecimal and base 36 need a digit and a letter, base 32 a capital letter,
+    the mixed ones a small and a capital letter; small plain words have none.
     """
     body = token.rstrip("=")
     symbols = set(body)
-    classes = sum(bool(symbols & set(c)) for c in (LOWER, UPPER, DIGITS))
     for name, alphabet, needed in ENCODINGS:
-        if classes >= needed and symbols <= set(alphabet):
+        if symbols <= set(alphabet) and all(symbols & set(c) for c in needed):
             return name, alphabet
     return None
 
@@ -115,18 +117,36 @@ def battery(token: str, alphabet: str) -> float:
     return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
 
 
+def stretches(start: int, end: int, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What the base spans leave of [start, end)."""
+    for low, _, high in base:
+        if low < end and start < high:
+            if start < low:
+                yield start, low
+            start = high
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, float]]:
-    """(start, end, length class, p) of encoded-looking strings outside the base spans."""
+    """(start, end, length class, p) of encoded-looking strings outside the base spans, by start and then longest first.
+
+    The base spans are cut out of a string. What is left is tested as a whole
+    and in its parts between slashes, between dashes or underscores, and
+    between any of them.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        encoding = infer_encoding(m[0])
-        if encoding:
-            size = len(m[0].rstrip("="))
-            level = sum(size >= low for low in LENGTH_CLASSES) - 1
-            if level >= 0:
-                out.append((m.start(), m.end(), level, battery(m[0], encoding[1])))
+        for low, high in stretches(m.start(), m.end(), base):
+            spots = {(low, high)}
+            for part in PARTS:
+                spots.update(p.span() for p in part.finditer(text, low, high))
+            for start, end in sorted(spots, key=lambda x: (x[0], -x[1])):
+                size = len(text[start:end].rstrip("="))
+                level = sum(size >= least for least in LENGTH_CLASSES) - 1
+                encoding = infer_encoding(text[start:end]) if level >= 0 else None
+                if encoding:
+                    out.append((start, end, level, battery(text[start:end], encoding[1])))
     return out
 
 
@@ -191,11 +211,15 @@ def fit_cuts(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, flo
 
 
 def all_spans(text: str, cuts: dict[int, float], kinds: tuple[str, ...] = KINDS) -> tuple[list[Span], list[Span]]:
-    """(base spans, base and battery spans) of one text."""
+    """(base spans, base and battery spans) of one text; a part of a string that is reported is not reported again."""
     base = base_spans(text, kinds)
     if "random" not in kinds:
         return base, base
-    found = [(s, 3, e) for s, e, level, p in candidates(text, base) if int(p * GRID) / GRID >= cuts.get(level, 0.0)]
+    found, covered = [], 0
+    for start, end, level, p in candidates(text, base):
+        if end > covered and int(p * GRID) / GRID >= cuts.get(level, 0.0):
+            found.append((start, 3, end))
+            covered = end
     return base, sorted(base + found)
 
 
