@@ -16,8 +16,13 @@ UNDER = (
     "|published|provided|made available)( (for use|freely))? under (the )?(terms of )?(the )?"
 )
 LATER = "( or later|( or)?( at your option)? any later version| or newer)"
-SENTENCES: tuple[tuple[str, str], ...] = (
-    ("apache-2", UNDER + "(apache (software )?licen[cs]e ?(version|v)? ?2( 0)?|apache 2( 0)?( licen[cs]e)?)"),
+# What may follow the name: (the "License"), and the next clause after a semicolon.
+TAIL = "( the licen[cs]e( you may not use .*)?)?"
+FREE = "this( [a-z]+){1,3} is free software you can redistribute it .*gnu "
+GENERAL, LESSER, AFFERO = "general public licen[cs]e", "(lesser|library) general public licen[cs]e", "affero general public licen[cs]e"
+BY_FOUNDATION = "published by the free software foundation (inc )?(either )?"
+_UNDER_A_NAME: tuple[tuple[str, str], ...] = (
+    ("apache-2", "(" + UNDER + "|the asf licen[cs]es this file to you under the )(apache (software )?licen[cs]e ?(version|v)? ?2( 0)?|apache 2( 0)?( licen[cs]e)?)"),
     ("mit", UNDER + "(mit|expat|mit x11)( licen[cs]e)?"),
     ("gpl-3-later", UNDER + "(gnu )?(general public licen[cs]e|gpl) ?(version|v)? ?3( 0)?" + LATER),
     ("gpl-3", UNDER + "(gnu )?(general public licen[cs]e|gpl) ?(version|v)? ?3( 0)?( only)?"),
@@ -37,6 +42,9 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("cc-by-sa-4", UNDER + "(cc by sa|creative commons attribution share ?alike) 4 0( international)?( licen[cs]e)?"),
     ("cc-by-nd-4", UNDER + "(cc by nd|creative commons attribution no ?derivatives) 4 0( international)?( licen[cs]e)?"),
     ("cc-by-4", UNDER + "(cc by|creative commons attribution) 4 0( international)?( licen[cs]e)?"),
+)
+SENTENCES: tuple[tuple[str, str], ...] = (
+    *((name, pattern + TAIL) for name, pattern in _UNDER_A_NAME),
     ("spdx-apache-2", "spdx licen[cs]e identifier apache 2 0"),
     ("spdx-mit", "spdx licen[cs]e identifier mit"),
     ("spdx-gpl-3-later", "spdx licen[cs]e identifier gpl 3 0( or later|\\+)"),
@@ -44,25 +52,66 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("spdx-bsd-3", "spdx licen[cs]e identifier bsd 3 clause"),
     ("spdx-bsd-2", "spdx licen[cs]e identifier bsd 2 clause"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy .*"),
-    ("mit-notice", "the above copyright notice and this permission notice .*shall be included in all copies.*"),
+    ("mit-notice", "the above copyright notice and this permission notice .*shall be included( in( all copies.*)?)?"),
     ("mit-as-is", "the software is provided as is without warranty of any kind.*"),
     ("bsd-permit", "redistribution and use in source and binary forms with or without modification are permitted.*"),
     ("bsd-source", "(1 )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd-binary", "(2 )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd-names", "(3 )?neither the name of .* may be used to endorse or promote products.*"),
-    ("gpl-3-free", "this (program|library) is free software you can redistribute it .*gnu general public license .*version 3.*"),
-    ("gpl-hope", "this (program|library) is distributed in the hope that it will be useful but without any warranty.*"),
+    ("gpl-3-free", FREE + GENERAL + " .*version 3.*later version.*"),
+    ("gpl-3-free-only", FREE + GENERAL + " .*version 3.*"),
+    ("gpl-2-free", FREE + GENERAL + " .*version 2.*later version.*"),
+    ("gpl-2-free-only", FREE + GENERAL + " .*version 2.*"),
+    ("lgpl-3-free", FREE + LESSER + " .*version 3.*later version.*"),
+    ("lgpl-3-free-only", FREE + LESSER + " .*version 3.*"),
+    ("lgpl-2.1-free", FREE + LESSER + " .*version 2 1.*later version.*"),
+    ("lgpl-2.1-free-only", FREE + LESSER + " .*version 2 1.*"),
+    ("lgpl-2-free", FREE + LESSER + " .*version 2.*later version.*"),
+    ("lgpl-2-free-only", FREE + LESSER + " .*version 2.*"),
+    ("agpl-3-free", FREE + AFFERO + " .*version 3.*later version.*"),
+    ("agpl-3-free-only", FREE + AFFERO + " .*version 3.*"),
+    # A line that begins with "published" cuts the sentence in two.
+    ("gpl-free", FREE + GENERAL + "( as)?"),
+    ("lgpl-free", FREE + LESSER + "( as)?"),
+    ("fsf-3-later", BY_FOUNDATION + "version 3.*later version.*"),
+    ("fsf-2.1-later", BY_FOUNDATION + "version 2 1.*later version.*"),
+    ("fsf-2-later", BY_FOUNDATION + "version 2.*later version.*"),
+    ("gpl-hope", "this( [a-z]+){1,3} is distributed in the hope that it will be useful but without any warranty.*"),
     ("gpl-copy", "you should have received a copy of the gnu general public licen[cs]e.*"),
+    ("lgpl-copy", "you should have received a copy of the gnu (lesser|library) general public licen[cs]e.*"),
+    ("agpl-copy", "you should have received a copy of the gnu affero general public licen[cs]e.*"),
     ("apache-comply", "you may not use this file except in compliance with the licen[cs]e"),
-    ("apache-basis", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is .*"),
+    ("apache-basis", "unless required by applicable law or agreed to in writing software( distributed under the licen[cs]e( is( .*)?)?)?"),
     ("public-domain", "this( [a-z]+){1,3} is( (dedicated|released))?( to| into| in)? the public domain"),
 )
+# Notices of the Free Software Foundation: licence, what names it, and the sentence on the copy.
+NOTICES: tuple[tuple[str, tuple[str, ...], str], ...] = (
+    ("GPL-3.0-or-later", ("gpl-free", "fsf-3-later"), "gpl-copy"),
+    ("GPL-2.0-or-later", ("gpl-free", "fsf-2-later"), "gpl-copy"),
+    ("LGPL-3.0-or-later", ("lgpl-free", "fsf-3-later"), "lgpl-copy"),
+    ("LGPL-2.1-or-later", ("lgpl-free", "fsf-2.1-later"), "lgpl-copy"),
+    ("LGPL-2.0-or-later", ("lgpl-free", "fsf-2-later"), "lgpl-copy"),
+    ("GPL-3.0-or-later", ("gpl-3-free",), "gpl-copy"),
+    ("GPL-3.0-only", ("gpl-3-free-only",), "gpl-copy"),
+    ("GPL-2.0-or-later", ("gpl-2-free",), "gpl-copy"),
+    ("GPL-2.0-only", ("gpl-2-free-only",), "gpl-copy"),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",), "lgpl-copy"),
+    ("LGPL-3.0-only", ("lgpl-3-free-only",), "lgpl-copy"),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-free",), "lgpl-copy"),
+    ("LGPL-2.1-only", ("lgpl-2.1-free-only",), "lgpl-copy"),
+    ("LGPL-2.0-or-later", ("lgpl-2-free",), "lgpl-copy"),
+    ("LGPL-2.0-only", ("lgpl-2-free-only",), "lgpl-copy"),
+    ("AGPL-3.0-or-later", ("agpl-3-free",), "agpl-copy"),
+    ("AGPL-3.0-only", ("agpl-3-free-only",), "agpl-copy"),
+)
 # Ordered rules: the first takes its sentences, later ones see what is left.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("BSD-3-Clause", ("bsd-permit", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-permit", "bsd-source", "bsd-binary")),
-    ("GPL-3.0-or-later", ("gpl-3-free", "gpl-hope", "gpl-copy")),
+    *((licence, (*ids, "gpl-hope", copy)) for licence, ids, copy in NOTICES),
+    *((licence, (*ids, copy)) for licence, ids, copy in NOTICES),
+    *((licence, ids) for licence, ids, _ in NOTICES),
     ("Apache-2.0", ("apache-2", "apache-comply", "apache-basis")),
     ("Apache-2.0", ("apache-2",)),
     ("Apache-2.0", ("spdx-apache-2",)),
@@ -70,7 +119,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("spdx-mit",)),
     ("GPL-3.0-or-later", ("gpl-3-later",)),
     ("GPL-3.0-or-later", ("spdx-gpl-3-later",)),
-    ("GPL-3.0-or-later", ("gpl-3-free",)),
     ("GPL-3.0-only", ("gpl-3",)),
     ("GPL-3.0-only", ("spdx-gpl-3",)),
     ("GPL-2.0-or-later", ("gpl-2-later",)),
@@ -94,7 +142,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("public-domain", ("public-domain",)),
     ("unclear", ("mit-grant",)),
     ("unclear", ("bsd-permit",)),
+    ("unclear", ("gpl-free",)),
+    ("unclear", ("lgpl-free",)),
     ("unclear", ("gpl-copy",)),
+    ("unclear", ("lgpl-copy",)),
+    ("unclear", ("agpl-copy",)),
     ("unclear", ("apache-comply",)),
 )
 # A line that opens like this begins a sentence even if the line before has no stop.
@@ -105,7 +157,7 @@ OPENERS = (
 OPENING = rf"(?i)\n([^A-Za-z0-9\n]*({OPENERS})\b)"
 BREAK = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 # A word of every known sentence; a text without any has none of them.
-CUE = r"(?i)under|spdx|permission|warrant|redistribut|neither|received|compliance|required|domain"
+CUE = r"(?i)under|spdx|permission|warrant|redistribut|neither|received|compliance|required|domain|foundation"
 
 
 def _fits(pattern: str) -> str:
