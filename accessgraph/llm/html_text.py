@@ -47,6 +47,16 @@ CUES = frozenset(
     promotion recommendations recommended related replies reply respond rail share sharebar sharing sidebar signup sitemap social
     sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar widget widgets""".split()
 )
+# Class words that say what an element has or holds, not what it is.
+MODIFIERS = frozenset("has no with without".split())
+WRAPPERS = frozenset("wrap wrapper container layout grid row".split())
+WRAPPED = frozenset("article body content entry main page post primary site".split())
+BUILDER = frozenset("elementor widget container".split())
+# Cues of what is never the article, however long, unless it holds one.
+APART = frozenset(
+    """comment comments commentlist consent cookie cookies dialog discussion disqus gdpr hidden modal overlay popup replies reply
+    respond""".split()
+)
 # Frequent function words of the four languages.
 STOP_WORDS = frozenset(
     """the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when
@@ -84,27 +94,51 @@ class Block:
     inside: str = ""
     kind: str = ""
     text: str = ""
+    doubt: int = -1
+
+
+@dataclass
+class Doubt:
+    """An element that a cue or a form marks, until it is known what of the page it holds."""
+
+    parent: int
+    apart: bool
+    main: bool = False
+    article: bool = False
+    good: int = 0
+    bad: bool = True
+
+
+def _class_words(value: str) -> set[str]:
+    """The words of a class, id or role that say what an element is."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in _CUE_WORD.findall(name)]
+        if not words or words[0] in MODIFIERS or (WRAPPERS & set(words) and WRAPPED & set(words)):
+            continue
+        found |= set(words) - BUILDER if words[0] == "elementor" else set(words)
+    return found
 
 
-def _is_cue(name: str, attributes: str, inside_main: bool, nested: bool) -> bool:
-    """Whether class, id, role or style mark an element as not part of the article.
+def _cues(name: str, attributes: str, inside_main: bool, nested: bool) -> tuple[bool, frozenset[str] | set[str]]:
+    """(hidden, cue words) of class, id, role and style that mark an element as not part of the article.
 
     A block called header is the page's own unless it stands in an article. An
     article is judged only if it is ``nested`` in another or called a comment.
     """
     if not attributes.strip() or name in ("html", "body", "main"):
-        return False
+        return False, frozenset()
     cues = frozenset(["comment"]) if name == "article" and not nested else CUES
-    page_header = not inside_main and name not in HEADINGS and name != "article"
+    if not inside_main and name not in HEADINGS and name != "article":
+        cues = cues | {"header"}
+    hidden, words = False, set()
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
         if key in ("class", "id", "role"):
-            words = {w.lower() for w in _CUE_WORD.findall(value)}
-            if words & cues or (page_header and "header" in words):
-                return True
+            words |= _class_words(value) & cues
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
-            return True
-    return False
+            hidden = True
+    return hidden, words
 
 
 class Open(NamedTuple):
@@ -116,6 +150,7 @@ class Open(NamedTuple):
     blocks: int = 0
     headings: int = 0
     nearest: str = ""
+    doubt: int = -1
 
 
 ROOT = Open("")
@@ -124,6 +159,7 @@ ROOT = Open("")
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, each with the part of the page it stands in."""
     found: list[Block] = []
+    doubts: list[Doubt] = []
     current = Block()
     stack: list[Open] = [ROOT]
     depth_of: dict[str, list[int]] = {}
@@ -132,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
     def close_block() -> None:
         nonlocal current
         if current.parts:
-            current.heading, current.inside = stack[-1].headings > 0, stack[-1].place
+            current.heading, current.inside, current.doubt = stack[-1].headings > 0, stack[-1].place, stack[-1].doubt
             current.text = " ".join("".join(current.parts).split())
             if current.text:
                 found.append(current)
@@ -152,8 +188,10 @@ def blocks_of(page: str) -> list[Block]:
         while len(stack) > depth:
             depth_of[stack.pop().name].pop()
 
-    def push(name: str, mark: str) -> None:
+    def push(name: str, mark: str, doubt: Doubt | None) -> None:
         top = stack[-1]
+        if doubt:
+            doubts.append(doubt)
         # What is skipped or boilerplate stays so for everything inside.
         place = "skip" if "skip" in (mark, top.place) else "bad" if "bad" in (mark, top.place) else mark or top.place
         block = name in BLOCKS
@@ -165,6 +203,7 @@ def blocks_of(page: str) -> list[Block]:
                 top.blocks + block,
                 top.headings + (name in HEADINGS),
                 name if block else top.nearest,
+                len(doubts) - 1 if doubt else top.doubt,
             )
         )
         depth_of.setdefault(name, []).append(len(stack) - 1)
@@ -206,20 +245,55 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if attributes.rstrip().endswith("/") and name in SKIPPED:
             continue
-        mark = ""
+        top, mark, doubt = stack[-1], "", None
+        nested = bool(depth_of.get("article"))
+        hidden, cues = _cues(name, attributes, top.place == "main", nested)
         if name in SKIPPED:
             mark = "skip"
-        elif (name in BOILERPLATE and not (name == "header" and stack[-1].place == "main")) or _is_cue(
-            name, attributes, stack[-1].place == "main", bool(depth_of.get("article"))
-        ):
+        elif hidden or (name in BOILERPLATE and name != "form" and not (name == "header" and top.place == "main")):
             mark = "bad"
         elif name in MAIN:
             mark = "main"
-        push(name, mark)
+        if mark not in ("skip", "bad") and (cues or name == "form"):
+            doubt = Doubt(top.doubt, bool(cues & APART))
+        elif mark == "main" and top.place != "bad" and top.doubt >= 0:
+            doubts[top.doubt].main |= name == "main"
+            doubts[top.doubt].article |= name == "article" and not nested
+        push(name, mark, doubt)
     close_block()
+    if doubts:
+        settle(found, doubts)
     return found
 
 
+def settle(blocks: list[Block], doubts: list[Doubt]) -> None:
+    """Clear the elements that hold the page's main part or most of its good text, and mark the blocks of the others.
+
+    An element without article is not cleared for its length if text other than
+    headings stands in an article outside all doubt, and comments and notices never are.
+    """
+    total, article = 0, False
+    for block in blocks:
+        kind = classify(block)
+        if kind in (GOOD, NEAR):
+            total += len(block.text)
+            if block.doubt >= 0:
+                doubts[block.doubt].good += len(block.text)
+        if kind != BAD and block.doubt < 0 and block.inside == "main" and not block.heading:
+            article = True
+    for doubt in reversed(doubts):
+        if doubt.parent >= 0:
+            outer = doubts[doubt.parent]
+            outer.good, outer.main, outer.article = outer.good + doubt.good, outer.main or doubt.main, outer.article or doubt.article
+    for doubt in doubts:
+        holds = doubt.article or not (article or doubt.apart)
+        cleared = doubt.main or (holds and 2 * doubt.good > total)
+        doubt.bad = not cleared or (doubt.parent >= 0 and doubts[doubt.parent].bad)
+    for block in blocks:
+        if block.doubt >= 0 and doubts[block.doubt].bad:
+            block.inside = "bad"
+
+
 def classify(block: Block) -> str:
     """First pass: good, near (good), short or bad, from the block alone."""
     text = block.text

@@ -63,3 +63,31 @@ def test_undecided_blocks_follow_the_nearest_decided_one():
     blocks = [ht.Block(text=PROSE * 2), ht.Block(text="a"), ht.Block(text="b"), ht.Block(text="c", link_chars=1)]
     ht.decide(blocks)
     assert [b.kind for b in blocks] == [ht.GOOD, ht.GOOD, ht.BAD, ht.BAD]
+
+
+def test_wrappers_named_after_other_parts_keep_the_article():
+    article = f"<article><h1>Title</h1><p>{PROSE * 2}</p></article>"
+    wanted = f"Title\n{(PROSE * 2).strip()}"
+    for start, end in (
+        ('<div class="content-sidebar-wrap">', "</div>"), ('<div class="layout has-sidebar">', "</div>"),
+        ('<div class="elementor-widget-container">', "</div>"), ('<div class="post social-post">', "</div>"),
+        ('<form id="aspnetForm" action="/">', "</form>"), ('<div id="modal-page"><main>', "</main></div>"),
+        ('<main><div class="related-layout">', "</div></main>"), ('<div class="widget"><div class="social">', "</div></div>"),
+    ):
+        page = f'<body>{start}{article}<div class="sidebar"><p>{PROSE}</p></div>{end}<div class="footer"><p>{PROSE}</p></div></body>'
+        assert ht.main_text(page) == wanted, start
+        plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert ht.main_text(plain).endswith((PROSE * 2).strip()), start
+    widgets = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container"><p>{PROSE * 2}</p></div></div>' for _ in range(5))
+    assert ht.main_text(f"<body>{widgets}</body>").count(PROSE.strip()) == 10
+
+
+def test_long_parts_around_an_article_still_go():
+    article = f"<article><p>{PROSE}</p></article>"
+    for part in (
+        f'<div id="comments"><p>{PROSE * 9}</p></div>', f'<div class="sidebar"><p>{PROSE * 9}</p></div>',
+        f'<section class="related"><article><p>Teaser.</p></article></section>', f'<form><p>{PROSE * 9}</p></form>',
+        f'<div style="display:none"><article><p>{PROSE * 9}</p></article></div>', f'<footer><article><p>{PROSE * 9}</p></article></footer>',
+    ):
+        assert ht.main_text(article + part) == PROSE.strip(), part
+    assert ht.main_text(f'<div class="cookie-notice"><p>{PROSE * 9}</p></div>') == ""
