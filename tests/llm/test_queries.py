@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
