@@ -21,6 +21,7 @@ VERSION = b"WARC/1.1"
 CAPTURED = "2000-01-01T00:00:00Z"
 MIN_BYTES = 0
 RANGE_BYTES = 1 << 23
+MOST_TASKS = 1 << 15
 PIECE = 1 << 14
 LONGEST_HEADER = 1 << 16
 BATCH_BYTES = 1 << 22
@@ -267,6 +268,11 @@ def member_chains(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(scan, CHAIN)
 
 
+def spread(ranges: DataFrame) -> DataFrame:
+    """One task per range, up to ``MOST_TASKS``; by size alone these small rows would all be one task's."""
+    return ranges.repartition(min(MOST_TASKS, max(1, ranges.count())))
+
+
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, range, lo, hi, begin): ranges of all archives below ``path``, each with the place its own records begin from.
 
@@ -280,7 +286,7 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("range"))
     lo = F.col("range") * range_bytes
     ranges = ranges.select("path", "range", lo.alias("lo"), F.least("length", lo + range_bytes).alias("hi"), lo.alias("begin"))
-    chains = stored(member_chains(ranges.repartition("path", "range")), "chains")
+    chains = stored(member_chains(spread(ranges)), "chains")
     earlier = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     due = F.greatest("lo", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     while True:
@@ -292,7 +298,7 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
         if wrong.isEmpty():
             return known.select("path", "range", "lo", "hi", F.col("due").alias("begin"))
         right = known.where(agrees).drop("due")
-        chains = stored(right.unionByName(member_chains(wrong.repartition("path", "range"))), "chains")
+        chains = stored(right.unionByName(member_chains(spread(wrong))), "chains")
 
 
 RECORDS = (
@@ -368,8 +374,8 @@ def read_archives(
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    ranges = byte_ranges(spark, path, range_bytes).where("begin < hi").repartition("path", "range")
-    return ranges.select("path", "begin", "hi").mapInArrow(read, RECORDS)
+    ranges = byte_ranges(spark, path, range_bytes).where("begin < hi").select("path", "begin", "hi")
+    return spread(ranges).mapInArrow(read, RECORDS)
 
 
 def page_number(uri: Column) -> Column:
