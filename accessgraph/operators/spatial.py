@@ -18,6 +18,8 @@ from accessgraph.operators.windows import previous_row
 from accessgraph.session import cut_lineage
 
 CELL_DEG, SAMPLE_DEG = 0.25, 0.004
+# Edges in a row of the index; how often a cell is split or merged at most.
+MAX_EDGES, FINEST, COARSEST = 128, 16, 6
 WATER_STEP_DEG, WATER_RADIUS_DEG = 0.008, 0.35
 LAND_TOLERANCE_DEG = 0.005
 DISTINCT_DEG = 0.08
@@ -25,9 +27,10 @@ KM_PER_DEG = 111.0
 EPSILON = 2.220446049250313e-16
 
 
-def polygon_edges(polygons: DataFrame) -> DataFrame:
+def polygon_edges(polygons: DataFrame, *keys: str) -> DataFrame:
     """One row per edge (polygon_id, ring, x1, y1, x2, y2); each ring is closed by its last edge."""
-    rings = polygons.select("polygon_id", F.posexplode("rings").alias("ring", "_r"))
+    keys = keys or ("polygon_id",)
+    rings = polygons.select(*keys, F.posexplode("rings").alias("ring", "_r"))
     previous = lambda i: F.element_at(F.col("_r"), F.when(i == 0, -1).otherwise(i))
     edges = F.transform(
         "_r",
@@ -35,103 +38,198 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
             c["lon"].alias("x1"), c["lat"].alias("y1"), previous(i)["lon"].alias("x2"), previous(i)["lat"].alias("y2")
         ),
     )
-    return rings.select("polygon_id", "ring", F.explode(edges).alias("_e")).select("polygon_id", "ring", "_e.*")
+    return rings.select(*keys, "ring", F.explode(edges).alias("_e")).select(*keys, "ring", "_e.*")
 
 
-def _crossing(x1: Column, x2: Column, cell: float) -> tuple[Column, Column]:
-    """First and last column whose eastern border the edge crosses: one end beyond it, the other not."""
-    return geo.cell(F.least(x1, x2), cell), geo.cell(F.greatest(x1, x2), cell) - 1
+SHAPE = ["polygon_id", "shape"]
+CELL = [*SHAPE, "cx", "cy"]
+RING_CELL = [*SHAPE, "ring", "cx", "cy"]
 
 
-def index_polygons(polygons: DataFrame, cell: float = CELL_DEG) -> DataFrame:
-    """Rows (cx, cy, polygon_id, box, rings): for each cell the edges in it, and per ring what lies east of it.
+def _no_edges() -> Column:
+    return F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
 
-    A ray to the east from a point of a cell meets edges of the cell's column
-    and edges wholly east of it. The ends of the latter cancel in pairs, but for
+
+def _at(value: Column, cell: float, scale: Column | float) -> Column:
+    """Number of the cell of a side of ``cell / scale`` degrees; a power of two halves cells exactly."""
+    return F.floor(value / F.lit(cell) * scale).cast("long")
+
+
+def _parities(edges: DataFrame, wanted: DataFrame, cell: float, level: int) -> DataFrame:
+    """``wanted`` ring cells of one size with ``odd``: the parity of crossing edges that end above in their column.
+
+    Only columns with a wanted cell are followed, and their few border crossings
+    run down them in one window.
+    """
+    scale = float(2**level)
+    column = [*SHAPE, "ring", "cx"]
+    first, last = _at(F.least("x1", "x2"), cell, scale), _at(F.greatest("x1", "x2"), cell, scale) - 1
+    east_end = F.when(F.col("x1") > F.col("x2"), F.col("y1")).otherwise(F.col("y2"))
+    crossing = edges.where(first <= last)
+    if level:
+        rough = wanted.select(*SHAPE, "ring", F.shiftright("cx", level).alias("_bx")).distinct()
+        crossing = crossing.withColumn("_bx", F.explode(F.sequence(F.shiftright(first, level), F.shiftright(last, level))))
+        crossing = crossing.join(rough, [*SHAPE, "ring", "_bx"], "left_semi")
+        first = F.greatest(first, F.shiftleft("_bx", level))
+        last = F.least(last, F.shiftleft(F.col("_bx") + 1, level) - 1)
+    ends = crossing.select(*SHAPE, "ring", F.explode(F.sequence(first, last)).alias("cx"), _at(east_end, cell, scale).alias("cy"))
+    if level:
+        ends = ends.join(wanted.select(*column).distinct(), column, "left_semi")
+    rows = ends.withColumns({"_n": F.lit(1), "_w": F.lit(False)}).unionByName(
+        wanted.select(*RING_CELL).withColumns({"_n": F.lit(0), "_w": F.lit(True)})
+    )
+    rows = rows.groupBy(*RING_CELL).agg(F.sum("_n").alias("_n"), F.bool_or("_w").alias("_w"))
+    above = Window.partitionBy(*column).orderBy(F.col("cy").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("_n").over(above), F.lit(0)) % 2 == 1
+    return rows.withColumn("odd", odd).where("_w").select(*RING_CELL, "odd")
+
+
+def _squares(base: DataFrame, levels: int) -> DataFrame:
+    """(cell, _k): cells wholly on land, with how often the largest aligned square they fill is halved to give them."""
+    whole = (F.count(F.lit(1)) == 1) & (F.max("ring") == 0) & (F.count("n") == 0)
+    full = base.groupBy(*CELL).agg(whole.alias("_w")).where("_w").select(*CELL)
+    parents = full.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    square = Window.partitionBy(*SHAPE, "_k", F.expr("shiftright(cx, _k)"), F.expr("shiftright(cy, _k)"))
+    filled = parents.withColumn("_n", F.count(F.lit(1)).over(square)).where(F.col("_n") == F.expr("shiftleft(1L, 2 * _k)"))
+    return filled.groupBy(*CELL).agg(F.max("_k").alias("_k"))
+
+
+def _merged(cells: DataFrame, squares: DataFrame) -> DataFrame:
+    """Each square once, in place of the cells that fill it."""
+    raised = cells.join(squares, CELL, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    corner = lambda c: F.expr(f"shiftleft(shiftright({c}, _k), _k) = {c}")
+    return raised.where(corner("cx") & corner("cy")).select(
+        *SHAPE, F.expr("shiftright(cx, _k)").alias("cx"), F.expr("shiftright(cy, _k)").alias("cy"), F.pow(F.lit(0.5), "_k").alias("scale"), "rings"
+    )
+
+
+def index_polygons(
+    polygons: DataFrame, cell: float = CELL_DEG, max_edges: int = MAX_EDGES, finest: int = FINEST, coarsest: int = COARSEST
+) -> DataFrame:
+    """Rows (scale, cx, cy, polygon_id, box, rings): a quadtree of cells of ``cell / scale`` degrees.
+
+    For each cell it has the edges in it, and per ring what lies east of it. A
+    ray to the east from a point of a cell meets edges of the cell's column and
+    edges wholly east of it. The ends of the latter cancel in pairs, but for
     those that an edge crossing the cell's eastern border shares, so their
     parity is fixed by such edges: ``odd`` counts those that end above the cell,
     and those that end beside it are among the cell's own edges. A cell without
-    edges is wholly land or water. No row depends on the size of a polygon, and
-    cells of no ring are left out.
+    edges is wholly land or water; cells of no ring and in a hole are left out.
+
+    Cells of more than ``max_edges`` edges are split in four until none is left
+    or ``finest`` splits are made; edges are counted before they are listed, so
+    no row is ever longer (unless so many edges meet in one point). Cells wholly
+    on land are merged up to ``coarsest`` times. A polygon given twice counts
+    once; one id with two shapes is on land where either is. The index is
+    written before it is used.
     """
-    edges = polygon_edges(polygons)
-    row = lambda y: geo.cell(F.col(y), cell)
-    cells = (
-        edges.withColumn("cy", F.explode(F.sequence(F.least(row("y1"), row("y2")), F.greatest(row("y1"), row("y2")))))
-        .withColumn("cx", F.explode(F.sequence(geo.cell(F.least("x1", "x2"), cell), geo.cell(F.greatest("x1", "x2"), cell))))
-        .groupBy("polygon_id", "ring", "cx", "cy")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    )
-    first, last = _crossing(F.col("x1"), F.col("x2"), cell)
-    east_end = F.when(F.col("x1") > F.col("x2"), F.col("y1")).otherwise(F.col("y2"))
-    crossings = (
-        edges.where(first <= last)
-        .select("polygon_id", "ring", F.explode(F.sequence(first, last)).alias("cx"), geo.cell(east_end, cell).alias("cy"))
-        .groupBy("polygon_id", "ring", "cx", "cy")
-        .agg((F.count(F.lit(1)) % 2).alias("ends"))
-    )
-    # One row per cell of a ring's box; the count of ends above it runs down its column.
-    boxes = polygons.select("polygon_id", "west", "south", "east", "north")
-    spans = edges.groupBy("polygon_id", "ring").agg(
-        *[f(geo.cell(F.col(c), cell)).alias(f"{n}{c[0]}") for c in ("x1", "y1") for f, n in ((F.min, "low_"), (F.max, "high_"))]
+    shapes = polygons.dropDuplicates(["polygon_id", "rings"]).withColumn("shape", F.xxhash64("rings"))
+    edges = polygon_edges(shapes, *SHAPE).where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    span = lambda a, b, scale: F.sequence(_at(F.least(a, b), cell, scale), _at(F.greatest(a, b), cell, scale))
+    held = edges.withColumn("cy", F.explode(span("y1", "y2", 1.0))).withColumn("cx", F.explode(span("x1", "x2", 1.0)))
+    box = edges.groupBy(*SHAPE, "ring").agg(
+        *[f(_at(F.col(c), cell, 1.0)).alias(f"{n}{c[0]}") for c in ("x1", "y1") for f, n in ((F.min, "low_"), (F.max, "high_"))]
     )
+    # One row per cell of a ring's box.
     frame = (
-        spans.withColumn("cx", F.explode(F.sequence("low_x", "high_x")))
+        box.withColumn("cx", F.explode(F.sequence("low_x", "high_x")))
         .withColumn("cy", F.explode(F.sequence("low_y", "high_y")))
-        .select("polygon_id", "ring", "cx", "cy")
-    )
-    key = ["polygon_id", "ring", "cx", "cy"]
-    above = Window.partitionBy("polygon_id", "ring", "cx").orderBy(F.col("cy").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    odd = F.coalesce(F.sum("ends").over(above), F.lit(0)) % 2 == 1
-    filled = frame.join(crossings, key, "left").withColumn("odd", odd).join(cells, key, "left")
-    rings = filled.where(F.col("odd") | F.col("edges").isNotNull()).withColumn(
-        "edges", F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+        .select(*RING_CELL)
     )
-    return (
-        rings.groupBy("polygon_id", "cx", "cy")
-        .agg(F.collect_list(F.struct("ring", "odd", "edges")).alias("rings"))
-        .join(boxes, "polygon_id")
-    )
-
-
-def _odd(ring: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float) -> Column:
+    count = lambda df: df.groupBy(*RING_CELL).agg(F.count(F.lit(1)).alias("n"))
+    base = _parities(edges, frame, cell, 0).join(count(held), RING_CELL, "left")
+    base = cut_lineage(base.where(F.col("odd") | F.col("n").isNotNull()))
+
+    def listed(rings: DataFrame, held: DataFrame) -> DataFrame:
+        """One row per cell with all rings that matter in it."""
+        lists = held.groupBy(*RING_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        both = rings.join(lists, RING_CELL, "left").withColumn("edges", F.coalesce("edges", _no_edges()))
+        cells = both.where(F.col("odd") | (F.size("edges") > 0)).groupBy(*CELL)
+        made = cells.agg(F.sort_array(F.collect_list(F.struct("ring", "odd", "edges"))).alias("rings"))
+        in_hole = F.exists("rings", lambda r: (r["ring"] > 0) & r["odd"] & (F.size(r["edges"]) == 0))
+        return made.where(~in_hole)
+
+    def crowded(n: DataFrame) -> DataFrame:
+        return n.groupBy(*CELL).agg(F.sum("n").alias("n")).where(F.col("n") > max_edges).select(*CELL)
+
+    dense, leaves, open_held, level = crowded(base), base.select(*RING_CELL, "odd"), held, 0
+    split = not dense.isEmpty()
+    if split:
+        dense = cut_lineage(dense)
+        leaves, open_held = leaves.join(dense, CELL, "left_anti"), held.join(dense, CELL, "left_anti")
+    cells = listed(leaves, open_held)
+    parts = [_merged(cells, _squares(base, coarsest)) if coarsest else cells.withColumn("scale", F.lit(1.0))]
+    while split and level < finest:
+        level += 1
+        scale = float(2**level)
+        inside_parent = lambda v, p: (F.shiftright(v, 1) == F.col(p))
+        spread = held.join(dense, CELL, "left_semi").withColumnsRenamed({"cx": "_px", "cy": "_py"})
+        spread = spread.withColumn("cx", F.explode(F.filter(span("x1", "x2", scale), lambda v: inside_parent(v, "_px"))))
+        spread = spread.withColumn("cy", F.explode(F.filter(span("y1", "y2", scale), lambda v: inside_parent(v, "_py"))))
+        held = cut_lineage(spread.drop("_px", "_py"))
+        pair = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
+        children = dense.withColumn("cx", pair("cx")).withColumn("cy", pair("cy"))
+        dense = cut_lineage(crowded(count(held))) if level < finest else dense.limit(0)
+        children = children.join(dense, CELL, "left_anti")
+        near = children.withColumns({"_bx": F.shiftright("cx", level), "_by": F.shiftright("cy", level)})
+        wanted = near.join(base.select(*SHAPE, "ring", F.col("cx").alias("_bx"), F.col("cy").alias("_by")), [*SHAPE, "_bx", "_by"])
+        wanted = cut_lineage(wanted.select(*RING_CELL))
+        made = listed(_parities(edges, wanted, cell, level), held.join(dense, CELL, "left_anti"))
+        parts.append(made.withColumn("scale", F.lit(scale)))
+        split = not dense.isEmpty()
+    boxes = shapes.select(*SHAPE, "west", "south", "east", "north")
+    return cut_lineage(reduce(DataFrame.unionByName, parts).join(boxes, SHAPE).drop("shape"))
+
+
+def index_scales(index: DataFrame) -> list[float]:
+    """The sizes of cells in an index, as many as there are splits and merges at most."""
+    return sorted(r["scale"] for r in index.select("scale").distinct().collect())
+
+
+def _odd(ring: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float, scale: Column | float) -> Column:
     """Whether a ray to the east crosses an odd number of the ring's edges."""
 
     def flips(e: Column) -> Column:
         spans = (e["y1"] > lat) != (e["y2"] > lat)
         at = (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"] + F.lit(EPSILON)) + e["x1"]
-        crossing = (geo.cell(e["x1"], cell) > cx) != (geo.cell(e["x2"], cell) > cx)
+        crossing = (_at(e["x1"], cell, scale) > cx) != (_at(e["x2"], cell, scale) > cx)
         end = F.when(e["x1"] > e["x2"], e["y1"]).otherwise(e["y2"])
-        return (spans & (lon < at)) != (crossing & (end > lat) & (geo.cell(end, cell) == cy))
+        return (spans & (lon < at)) != (crossing & (end > lat) & (_at(end, cell, scale) == cy))
 
     return (F.size(F.filter(ring["edges"], flips)) % 2 == 1) != ring["odd"]
 
 
-def inside(rings: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float) -> Column:
+def inside(
+    rings: Column, lon: Column, lat: Column, cx: Column, cy: Column, cell: float, scale: Column | float = 1.0
+) -> Column:
     """In the outer ring and in none of the holes."""
-    in_ring = lambda r: _odd(r, lon, lat, cx, cy, cell)
+    in_ring = lambda r: _odd(r, lon, lat, cx, cy, cell, scale)
     outer = F.exists(rings, lambda r: (r["ring"] == 0) & in_ring(r))
     hole = F.exists(rings, lambda r: (r["ring"] > 0) & in_ring(r))
     return outer & ~hole
 
 
-def _meets(index: DataFrame, lon: Column, lat: Column, cell: float = CELL_DEG) -> Column:
+def _meets(lon: Column, lat: Column, cell: float, scale: float) -> Column:
+    """Whether the point is in the polygon of an index row of one ``scale``."""
+    cx, cy, box = F.col("cx"), F.col("cy"), [F.col(c) for c in ("west", "east", "south", "north")]
     return (
-        (F.col("_cx") == index["cx"])
-        & (F.col("_cy") == index["cy"])
-        & lon.between(index["west"], index["east"])
-        & lat.between(index["south"], index["north"])
-        & inside(index["rings"], lon, lat, index["cx"], index["cy"], cell)
+        (_at(lon, cell, scale) == cx)
+        & (_at(lat, cell, scale) == cy)
+        & lon.between(box[0], box[1])
+        & lat.between(box[2], box[3])
+        & inside(F.col("rings"), lon, lat, cx, cy, cell, scale)
     )
 
 
 def points_on_land(
     points: DataFrame, index: DataFrame, lon: str = "longitude", lat: str = "latitude", cell: float = CELL_DEG, off: bool = False
 ) -> DataFrame:
-    """Points on land, or with ``off`` those that are not."""
-    x, y = F.col(lon), F.col(lat)
-    keyed = points.withColumn("_cx", geo.cell(x, cell)).withColumn("_cy", geo.cell(y, cell))
-    return keyed.join(index, _meets(index, x, y, cell), "left_anti" if off else "left_semi").drop("_cx", "_cy")
+    """Points on land, or with ``off`` those that are not; one equality join per size of cell."""
+    where = F.lit(False)
+    for scale in index_scales(index):
+        met = _meets(F.col(lon).outer(), F.col(lat).outer(), cell, scale)
+        where = where | index.where(F.col("scale") == scale).where(met).exists()
+    return points.where(~where if off else where)
 
 
 def flag_on_land(points: DataFrame, index: DataFrame, key: str, **names: str) -> DataFrame:
@@ -281,9 +379,13 @@ def depth_inside(points: DataFrame, index: DataFrame, edges: DataFrame, key: str
 
     Nothing within ``depth`` is water. Depths beyond ``reach`` are given as ``reach``.
     """
+    spots = points.select(key, "longitude", "latitude")
     x, y = F.col("longitude"), F.col("latitude")
-    keyed = points.select(key, "longitude", "latitude", geo.cell(x, CELL_DEG).alias("_cx"), geo.cell(y, CELL_DEG).alias("_cy"))
-    held = keyed.join(index, _meets(index, x, y)).select(key, "longitude", "latitude", "polygon_id")
+    met = [
+        spots.join(index.where(F.col("scale") == scale), _meets(x, y, CELL_DEG, scale)).select(*spots.columns, "polygon_id")
+        for scale in index_scales(index)
+    ]
+    held = reduce(DataFrame.unionByName, met, spots.withColumn("polygon_id", F.lit(None)).limit(0)).distinct()
     outline = _edge_cells(edges, reach)
     near = _around(held, reach).join(outline, ["polygon_id", "_ex", "_ey"])
     gaps = near.groupBy(key, "polygon_id").agg(F.min(_distance()).alias("_d"))
@@ -310,7 +412,7 @@ def nearest_water(
     takes no part in the next stage.
     """
     rings = int(math.floor(radius / step + 1e-9))
-    index = cut_lineage(index_polygons(polygons))
+    index = index_polygons(polygons)
     spots = points.select(key, "longitude", "latitude")
     wet = points_on_land(spots, index, off=True).select(
         key, F.col("longitude").alias("water_lon"), F.col("latitude").alias("water_lat")

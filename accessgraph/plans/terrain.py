@@ -118,7 +118,50 @@ def _(spark, sf):
        SELECT polygon_id, count(*) AS cells FROM (SELECT * FROM crossed UNION SELECT * FROM filled) GROUP BY polygon_id""",
 )
 def _(spark, sf):
-    return _index(spark, sf).groupBy("polygon_id").agg(F.count("*").alias("cells"))
+    """Cells of one size."""
+    return spatial.index_polygons(_land(spark, sf), coarsest=0).groupBy("polygon_id").agg(F.count("*").alias("cells"))
+
+
+@query(
+    "i6_cells_wholly_on_land",
+    f"""WITH box AS (SELECT polygon_id, unnest(range(CAST(floor(w / 0.25) AS BIGINT), CAST(floor((w + 1.2) / 0.25) AS BIGINT) + 1)) AS cx, s FROM v_land),
+         cell AS (SELECT polygon_id, cx, cy FROM box, LATERAL (SELECT unnest(range(CAST(floor(s / 0.25) AS BIGINT), CAST(floor((s + 0.9) / 0.25) AS BIGINT) + 1)) AS cy)),
+         crossed AS (SELECT c.polygon_id, cx, cy FROM cell c JOIN v_land_edges e ON e.polygon_id = c.polygon_id
+           AND cx BETWEEN floor(least(x1, x2) / 0.25) AND floor(greatest(x1, x2) / 0.25)
+           AND cy BETWEEN floor(least(y1, y2) / 0.25) AND floor(greatest(y1, y2) / 0.25)),
+         mid AS (SELECT polygon_id, cx, cy, (cx + 0.5) * 0.25 AS longitude, (cy + 0.5) * 0.25 AS latitude FROM cell)
+       SELECT cx, cy, count(*) AS polygons FROM (SELECT polygon_id, cx, cy FROM cell EXCEPT SELECT * FROM crossed) c
+       WHERE (polygon_id, cx, cy) IN (SELECT m.polygon_id, cx, cy FROM mid m JOIN v_land_edges e ON e.polygon_id = m.polygon_id AND e.ring = 0
+           AND (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+         AND (polygon_id, cx, cy) NOT IN (SELECT m.polygon_id, cx, cy FROM mid m JOIN v_land_edges e ON e.polygon_id = m.polygon_id AND e.ring = 1
+           AND (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+       GROUP BY cx, cy""",
+)
+def _(spark, sf):
+    """Merged squares of the quadtree, spread to the cells they fill."""
+    squares = _index(spark, sf).where((F.col("scale") <= 1) & ~F.exists("rings", lambda r: F.size(r["edges"]) > 0))
+    side = (1 / F.col("scale")).cast("long")
+    cells = lambda c: F.explode(F.sequence(F.col(c) * side, F.col(c) * side + side - 1))
+    spread = squares.select("scale", cells("cx").alias("_x"), "cy").select("_x", cells("cy").alias("_y"))
+    return spread.groupBy(F.col("_x").alias("cx"), F.col("_y").alias("cy")).agg(F.count("*").alias("polygons"))
+
+
+def _repeated_land(spark, sf):
+    """Every third polygon twice, every sixth once more with another id."""
+    land = _land(spark, sf)
+    again = land.where("polygon_id % 3 = 0")
+    return land.unionByName(again).unionByName(again.where("polygon_id % 6 = 0").withColumn("polygon_id", -F.col("polygon_id")))
+
+
+@query("i7_points_on_repeated_land", sql_land(SQL_SPOTS, "event_id"))
+def _(spark, sf):
+    return spatial.points_on_land(_spots(spark, sf), spatial.index_polygons(_repeated_land(spark, sf))).select("event_id")
+
+
+@query("i7_points_on_split_land", sql_land(SQL_SPOTS, "event_id"))
+def _(spark, sf):
+    """The same from cells of two edges at most, where they can be split so far."""
+    return spatial.points_on_land(_spots(spark, sf), spatial.index_polygons(_land(spark, sf), max_edges=2, finest=4)).select("event_id")
 
 
 @query("i7_points_on_land", sql_land(SQL_SPOTS, "event_id"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accessgraph.functions.text import clean_name, loose_true, strip_gid
+from accessgraph.session import cut_lineage
 
 NUMBER = T.DoubleType()
 ATTRIBUTES = T.StructType(
@@ -110,14 +113,16 @@ def read_land_polygons(features: DataFrame, value: str = "value") -> DataFrame:
     kind = F.get_json_object(value, "$.properties.kind")
     land = features.where(F.coalesce(kind, F.lit("")).isin("", "land"))
     geometry = land.select(F.xxhash64(value).alias("_feature"), F.get_json_object(value, "$.geometry").alias("_g"))
-    # No collection nests deeper than its text names collections.
-    depth = land.agg(F.max(F.regexp_count(value, F.lit("GeometryCollection")))).first()[0] or 0
-    for _ in range(depth):
-        inner = F.from_json(F.get_json_object("_g", "$.geometries"), "array<string>")
-        nested = F.get_json_object("_g", "$.type") == "GeometryCollection"
-        geometry = geometry.select(
-            "_feature", F.explode(F.when(nested, inner).otherwise(F.array("_g"))).alias("_g")
-        )
+    # Collections are opened until none is left: one written step per level of nesting.
+    nested = F.coalesce(F.get_json_object("_g", "$.type"), F.lit("")) == "GeometryCollection"
+    inner = F.from_json(F.get_json_object("_g", "$.geometries"), "array<string>")
+    plain = [geometry.where(~nested)]
+    unopened = cut_lineage(geometry.where(nested))
+    while not unopened.isEmpty():
+        opened = unopened.select("_feature", F.explode(inner).alias("_g"))
+        plain.append(opened.where(~nested))
+        unopened = cut_lineage(opened.where(nested))
+    geometry = reduce(DataFrame.unionByName, plain)
     shape, coordinates = F.get_json_object("_g", "$.type"), F.get_json_object("_g", "$.coordinates")
     polygons = F.when(shape == "Polygon", F.array(F.from_json(coordinates, POSITIONS))).when(
         shape == "MultiPolygon", F.from_json(coordinates, f"array<{POSITIONS}>")

@@ -185,3 +185,57 @@ def test_land_feature_texts(spark):
     ]
     got = read_land_polygons(spark.createDataFrame([(r,) for r in rows], "value string"))
     assert got.count() == 3
+
+
+def check_points(spark, shapes, land, seed=4, n=3000, **settings):
+    rng = random.Random(seed)
+    spots = [(i, rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(n)]
+    points = spark.createDataFrame(spots, "id int, longitude double, latitude double")
+    index = spatial.index_polygons(land, **settings)
+    got = {r["id"] for r in spatial.points_on_land(points, index).collect()}
+    assert got == {i for i, x, y in spots if on_land(x, y, shapes)}
+    return index
+
+
+def test_repeated_and_overlapping_polygons(spark):
+    shapes = stars(3, 8)
+    land = polygons(spark, shapes)
+    check_points(spark, shapes, land.unionByName(land).unionByName(land))
+    shifted = [[[(x + 0.2, y + 0.1) for x, y in ring] for ring in rings] for rings in shapes]
+    check_points(spark, shapes + shifted, polygons(spark, shapes + shifted))
+    # One id with two shapes is land where either is.
+    check_points(spark, shapes + shifted, land.unionByName(polygons(spark, shifted)))
+
+
+def test_dense_cells_are_split_and_full_cells_merged(spark):
+    coast = [(3 * math.cos(a / 400 * math.pi) * (1 + 0.02 * (a % 2)), 3 * math.sin(a / 400 * math.pi)) for a in range(800)]
+    lakes = [[(x + 0.01 * math.cos(a), y + 0.01 * math.sin(a)) for a in range(6)] for x in (0.5, 0.53, 0.56) for y in (0.5, 0.53)]
+    shapes = [[coast, *lakes], *stars(5, 3)]
+    index = check_points(spark, shapes, polygons(spark, shapes), max_edges=6)
+    edges = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r["edges"]))
+    most, finest, coarsest = index.agg(F.max(edges), F.max("scale"), F.min("scale")).first()
+    assert most <= 6 and finest > 1 and coarsest < 1
+    plain = check_points(spark, shapes, polygons(spark, shapes), max_edges=10_000, coarsest=0)
+    assert plain.agg(F.max(edges)).first()[0] > 6 and plain.select("scale").distinct().count() == 1
+
+
+def test_many_edges_in_one_point_stop_at_the_finest_cells(spark):
+    fan = [(0.0, 0.0) if i % 2 else (math.cos(i * 0.05), math.sin(i * 0.05)) for i in range(60)]
+    index = check_points(spark, [[fan]], polygons(spark, [[fan]]), max_edges=8, finest=3)
+    assert index.agg(F.max("scale")).first()[0] == 8.0
+
+
+def test_no_polygons_are_no_land(spark):
+    empty = spatial.index_polygons(polygons(spark, []))
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id int, longitude double, latitude double")
+    assert spatial.points_on_land(points, empty).count() == 0 and spatial.points_on_land(points, empty, off=True).count() == 1
+
+
+def test_collections_open_to_any_depth(spark):
+    square = lambda x: f'{{"type": "Polygon", "coordinates": [[[{x}, 0], [{x + 1}, 0], [{x + 1}, 1], [{x}, 1], [{x}, 0]]]}}'
+    collect = lambda *parts: '{"type": "GeometryCollection", "geometries": [' + ", ".join(parts) + "]}"
+    deep = collect(square(0), collect(square(2), collect(square(4), collect())))
+    wide = collect(*[collect(square(10 + 2 * i)) for i in range(60)])
+    texts = [f'{{"type": "Feature", "properties": {{"note": "GeometryCollection"}}, "geometry": {g}}}' for g in (deep, wide, square(200))]
+    rows = read_land_polygons(spark.createDataFrame([(t,) for t in texts], "value string")).collect()
+    assert sorted(r["west"] for r in rows) == sorted([0, 2, 4, 200, *range(10, 130, 2)])
