@@ -22,6 +22,8 @@ from accessgraph.operators.temporal import (
 from accessgraph.session import cut_lineage
 
 MAX_TRANSFERS = 32
+# Sources that share a long; written layers of a search before they are merged.
+WORD, LAYERS = 64, 8
 
 
 def serving_connections(t: Tables, at: str | date | Column, capability: str, rule: str = "api") -> DataFrame:
@@ -226,6 +228,55 @@ def hop_distances(
     return reduce(DataFrame.unionByName, reached)
 
 
+def _simple_edges(t: Tables, at: str | date | Column, capability: str, rule: str) -> DataFrame:
+    return edge_list(t, at, capability, rule).where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+
+
+def hops_from_many(
+    t: Tables,
+    sources: DataFrame,
+    at: str | date | Column,
+    capability: str = "passenger",
+    max_hops: int | None = None,
+    rule: str = "api",
+) -> DataFrame:
+    """(source, place_id, hops): fewest hops from every source ``place_id`` to every place it reaches.
+
+    Sources are numbered and share words of 64 bits, so a frontier row says
+    which of 64 sources arrive at a place, and a round is one join and one
+    ``bit_or`` that combines before the shuffle. Sources that were there before
+    are masked out in the same aggregation. Only what is new is written in a
+    round; written layers are merged when there are ``LAYERS`` of them. A source
+    is reached by itself in no hops; rounds end when none reaches a new place.
+    """
+    edges = cut_lineage(_simple_edges(t, at, capability, rule))
+    # The numbers must not change when a task is repeated.
+    numbered = cut_lineage(sources.select("place_id").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    bit = F.col("_n").bitwiseAND(F.lit(WORD - 1)).cast("int")
+    word = F.shiftright("_n", 6).alias("word")
+    frontier = cut_lineage(numbered.select(word, "place_id", F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")))
+    layers, seen = [frontier.withColumn("hops", F.lit(0))], [frontier]
+    none = F.lit(0).cast("long")
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+        arriving = frontier.join(edges, F.col("place_id") == F.col("src")).select(
+            "word", F.col("dst").alias("place_id"), F.col("bits").alias("_new"), none.alias("_old")
+        )
+        known = [s.select("word", "place_id", none.alias("_new"), F.col("bits").alias("_old")) for s in seen]
+        merged = reduce(DataFrame.unionByName, known, arriving).groupBy("word", "place_id")
+        fresh = F.bit_or("_new").bitwiseAND(F.bitwise_not(F.bit_or("_old")))
+        frontier = cut_lineage(merged.agg(fresh.alias("bits")).where("bits != 0"))
+        if frontier.isEmpty():
+            break
+        layers.append(frontier.withColumn("hops", F.lit(hop)))
+        seen.append(frontier)
+        if len(seen) > LAYERS:
+            seen = [cut_lineage(reduce(DataFrame.unionByName, seen).groupBy("word", "place_id").agg(F.bit_or("bits").alias("bits")))]
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    reached = reduce(DataFrame.unionByName, layers).withColumn("_bit", F.explode(places))
+    reached = reached.withColumn("_n", F.col("word") * WORD + F.col("_bit")).select("_n", "place_id", "hops")
+    return reached.join(numbered.withColumnRenamed("place_id", "source"), "_n").select("source", "place_id", "hops")
+
+
 def hop_path(
     t: Tables,
     from_place: str,

@@ -131,3 +131,36 @@ def test_crowded_keys_keep_their_key_level_fields(spark):
     assert denorm.place_alternates(t).count() == 2000
     danish = {n["id"]: n["value"] for n in t["place_names"].where("language = 'da'").collect()}
     assert denorm.denorm_places(t).where("id = 'plc_1'").first()["danish_name"] == danish[min(danish)]
+
+
+def test_hops_from_many_equals_breadth_first_search(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(network, "LAYERS", 2)
+    rng = random.Random(6)
+    n = 150
+    pairs = [(i, i + 1) for i in range(60)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(120)]
+    kinds = [rng.choice(["bidirectional", "one_way"]) for _ in pairs]
+    t = tables(
+        spark,
+        places=[place(i) for i in range(n)],
+        connections=[connection(i, a, b, d) for i, ((a, b), d) in enumerate(zip(pairs, kinds, strict=True))],
+        connection_services=[service(i, i) for i in range(len(pairs))],
+    )
+    around = {}
+    for (a, b), d in zip(pairs, kinds, strict=True):
+        around.setdefault(a, set()).add(b)
+        if d == "bidirectional":
+            around.setdefault(b, set()).add(a)
+    want = set()
+    for start in range(0, 140):
+        hops, frontier = {start: 0}, [start]
+        while frontier:
+            frontier = [y for x in frontier for y in around.get(x, ()) if y not in hops and not hops.update({y: hops[x] + 1})]
+        want |= {(f"plc_{start}", f"plc_{p}", h) for p, h in hops.items()}
+    sources = spark.createDataFrame([(f"plc_{i}",) for i in range(140)] * 2, "place_id string")
+    got = network.hops_from_many(t, sources, "2020-07-15").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    near = network.hops_from_many(t, sources, "2020-07-15", max_hops=2).collect()
+    assert {tuple(r) for r in near} == {w for w in want if w[2] <= 2}
+    assert network.hops_from_many(t, sources.limit(0), "2020-07-15").count() == 0
