@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ TERRAIN_FILES = (
     "coastline-land/land.pmtiles",
 )
 
+# Bytes of a package's lines that are joined before they are hashed.
+BLOCK_BYTES = 1 << 16
+
 
 def verify_files(manifest: DataFrame, files: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Status of each listed file: missing, size_mismatch, checksum_mismatch or ok."""
@@ -41,17 +47,71 @@ def listed_files(manifests: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_digest(files: Column) -> Column:
-    """SHA-256 over the sorted ``path:sha256`` lines of a manifest's file list."""
-    lines = F.transform(
-        F.array_sort(F.transform(files, lambda f: F.struct(f["path"].alias("path"), f["sha256"].alias("sha256")))),
-        lambda f: F.concat(f["path"], F.lit(":"), f["sha256"], F.lit("\n")),
-    )
-    return F.sha2(F.array_join(lines, ""), 256)
-
+def aggregate_digests(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(package_id, sha256): the SHA-256 over the sorted ``path:sha256`` lines of each package's files.
 
-def verify_aggregate(manifests: DataFrame) -> DataFrame:
-    return manifests.select("id", (aggregate_digest(F.col("files")) == F.lower("sha256")).alias("digest_ok"))
+    Lines are sorted by ranges over all packages and joined to blocks of about
+    ``block_bytes`` where they are, so a large package is sorted by many tasks.
+    A digest is one running hash by its nature: a package's blocks are sorted
+    into one task, which hashes them batch by batch and holds none of them.
+    Files without a path or a digest have no line; a package without lines has
+    the digest of nothing.
+    """
+    key = files.schema["package_id"].dataType.simpleString()
+    named = files.select("package_id", "path", "sha256")
+    ranged = named.repartitionByRange("package_id", "path", "sha256").sortWithinPartitions("package_id", "path", "sha256")
+
+    def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        package, lines, held, nth = None, [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            text = "".join(f"{line}\n" for line in lines).encode()
+            fields = [pa.array([package], kind), pa.array([part], pa.int32()), pa.array([nth], pa.int64()), pa.array([text])]
+            return pa.RecordBatch.from_arrays(fields, ["package_id", "part", "nth", "block"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at, path, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if nth == 0 and not lines and not held:
+                    package, held = at, 1
+                if at != package or held >= block_bytes:
+                    yield block()
+                    package, lines, held, nth = at, [], 1, nth + 1
+                if path is not None and digest is not None:
+                    lines.append(f"{path}:{digest}")
+                    held += len(path) + len(digest) + 2
+        if held:
+            yield block()
+
+    def run_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        package, digest = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([package], kind), pa.array([digest.hexdigest()])], ["package_id", "sha256"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at, block in zip(batch.column(0), batch.column(1), strict=True):
+                if digest is None or at.as_py() != package:
+                    if digest is not None:
+                        yield row()
+                    package, digest = at.as_py(), hashlib.sha256()
+                digest.update(block.as_buffer())
+        if digest is not None:
+            yield row()
+
+    blocks = ranged.mapInArrow(join_lines, f"package_id {key}, part int, nth long, block binary")
+    ordered = blocks.repartition("package_id").sortWithinPartitions("package_id", "part", "nth")
+    return ordered.select("package_id", "block").mapInArrow(run_hash, f"package_id {key}, sha256 string")
+
+
+def verify_aggregate(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, digest_ok): whether the stated digest of each manifest is that of its file rows."""
+    found = aggregate_digests(files).select(F.col("package_id").alias("id"), F.col("sha256").alias("_found"))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    same = F.coalesce("_found", nothing) == F.lower("sha256")
+    return manifests.join(found, "id", "left").select("id", same.alias("digest_ok"))
 
 
 def verify_primary(manifests: DataFrame, files: DataFrame) -> DataFrame:
@@ -240,21 +300,14 @@ def change_summary(
     )
 
 
-def package_manifests(files: DataFrame, places: DataFrame | None = None, max_files: int = 100_000) -> DataFrame:
-    """One manifest per ``package_id`` with its files, total bytes and aggregate digest.
+def package_manifests(files: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """One manifest (id, files, bytes, sha256) per ``package_id``; ``files`` counts its file rows.
 
-    The digest runs over all sorted lines of a package, so its files meet in one
-    row; a package of more than ``max_files`` fails with a message.
+    The files are the rows given, beside the manifest, so a package may have any
+    number of them.
     """
-    sizes = files.groupBy("package_id").agg(F.count(F.lit(1)).alias("_n"))
-    crowded = F.raise_error(F.concat(F.lit("package with too many files: "), F.col("package_id").cast("string")))
-    item = F.when(F.col("_n") <= max_files, F.struct("path", "bytes", "sha256")).otherwise(crowded)
-    listed = files.join(sizes, "package_id").groupBy("package_id").agg(
-        F.sort_array(F.collect_list(item)).alias("files"), F.sum("bytes").alias("bytes")
-    )
-    made = listed.select(
-        F.col("package_id").alias("id"), "bytes", "files", aggregate_digest(F.col("files")).alias("sha256")
-    )
+    sums = files.groupBy(F.col("package_id").alias("id")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    made = sums.join(aggregate_digests(files).withColumnRenamed("package_id", "id"), "id")
     if places is None:
         return made
     stats = places.groupBy(F.col("package_id").alias("id")).agg(

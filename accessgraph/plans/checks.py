@@ -372,7 +372,17 @@ def _(spark, sf):
 @query("k2_k9_package_manifests", SQL_DIGESTS)
 def _(spark, sf):
     made = integrity.package_manifests(_files(spark, sf))
-    return made.select("id", "bytes", F.size("files").cast("long").alias("files"), "sha256")
+    return made.select("id", "bytes", "files", "sha256")
+
+
+@query(
+    "k2_digest_of_all_files",
+    f"""SELECT 'all' AS id, count(*) AS files, sum(bytes)::BIGINT AS bytes,
+               sha256(string_agg(path || ':' || sha256 || chr(10), '' ORDER BY path, sha256)) AS sha256 FROM ({SQL_FILES})""",
+)
+def _(spark, sf):
+    """All files as one package."""
+    return integrity.package_manifests(_files(spark, sf).withColumn("package_id", F.lit("all"))).select("id", "files", "bytes", "sha256")
 
 
 @query(
@@ -380,9 +390,11 @@ def _(spark, sf):
     f"SELECT id, CAST(id AS INT) % 2 = 0 AS digest_ok FROM ({SQL_DIGESTS})",
 )
 def _(spark, sf):
-    made = integrity.package_manifests(_files(spark, sf))
+    files = _files(spark, sf)
+    made = integrity.package_manifests(files)
     odd = F.col("id").cast("int") % 2 == 1
-    return integrity.verify_aggregate(made.withColumn("sha256", F.when(odd, F.sha2("sha256", 256)).otherwise(F.upper("sha256"))))
+    stated = F.when(odd, F.sha2("sha256", 256)).otherwise(F.upper("sha256"))
+    return integrity.verify_aggregate(made.withColumn("sha256", stated), files)
 
 
 @query(

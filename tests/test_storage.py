@@ -65,3 +65,26 @@ def test_ordered_text(spark, folder):
     names = sorted(n for n in os.listdir(f"{folder}/out") if n.startswith("part"))
     lines = [line for n in names for line in open(f"{folder}/out/{n}").read().split()]
     assert lines == [str(i) for i in range(500)]
+
+
+def test_package_digests_of_any_number_of_files(spark):
+    rows = spark.range(150_000).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("small"), F.col("id") % 7)).when(F.col("id") % 50 < 49, "large").alias("package_id"),
+        F.concat(F.lit("é/"), F.col("id") * 7919 % 150_000).alias("path"),
+        F.col("id").alias("bytes"),
+        F.when(F.col("id") % 1000 != 3, F.sha2(F.col("id").cast("string"), 256)).alias("sha256"),
+    )
+    lines = {}
+    for r in rows.collect():
+        lines.setdefault(r["package_id"], []).append((r["path"], r["sha256"]))
+    text = lambda pairs: "".join(f"{p}:{d}\n" for p, d in sorted(x for x in pairs if x[1]))
+    want = {k: hashlib.sha256(text(v).encode()).hexdigest() for k, v in lines.items()}
+    assert len(want) == 9 and None in want
+    spread = rows.repartition(6)
+    assert {r["package_id"]: r["sha256"] for r in integrity.aggregate_digests(spread, block_bytes=300).collect()} == want
+    made = {r["id"]: (r["files"], r["sha256"]) for r in integrity.package_manifests(spread.where("package_id IS NOT NULL")).collect()}
+    assert made == {k: (len(lines[k]), v) for k, v in want.items() if k}
+    stated = spark.createDataFrame([("large", want["large"].upper()), ("none", hashlib.sha256(b"").hexdigest()), ("small1", "0")], "id string, sha256 string")
+    checked = {r["id"]: r["digest_ok"] for r in integrity.verify_aggregate(stated, spread).collect()}
+    assert checked == {"large": True, "none": True, "small1": False}
+    assert integrity.aggregate_digests(rows.limit(0)).count() == 0
