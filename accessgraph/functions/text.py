@@ -53,6 +53,24 @@ def name_key(name: Column) -> Column:
     return F.pandas_udf(fold, T.StringType())(name)
 
 
+def bare(value: Column) -> Column:
+    """Lower-case text without accents, as a plain key for equality joins.
+
+    A collation compares so, but gives no key that can be cut in pieces, and
+    Spark cannot take letters apart; so this runs in Arrow batches.
+    """
+
+    def strip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(
+                lambda v: v
+                if v is None or v.isascii()
+                else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c))
+            )
+
+    return F.pandas_udf(strip, T.StringType())(F.lower(value))
+
+
 def loose_true(value: Column) -> Column:
     """Booleans that arrive as true, "true", 1 or "1"."""
     return F.coalesce(F.lower(value.cast("string")).isin("true", "1"), F.lit(False))

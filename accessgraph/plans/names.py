@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accessgraph.functions import text
-from accessgraph.operators import gazetteer, reconcile, resolve, search
+from accessgraph.operators import gazetteer, reconcile, resolve, search, token_index
 from accessgraph.plans.access import SQL_CURRENT_PLACES
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, domain_tables, view
@@ -248,6 +248,61 @@ def _(spark, sf):
     return search.prefix_search(domain_tables(spark, sf), "WID bl").select(*HIT_COLUMNS)
 
 
+def sql_hits_of_many(names: str, met: str, queries: str) -> str:
+    return f"""SELECT query_id, place_id, canonical_name_kl, municipality, matched_name, matched_language, matched_kind FROM (
+        SELECT DISTINCT q.query_id, p.id AS place_id, p.canonical_name_kl, p.feature_type, p.municipality, n.value AS matched_name, n.language AS matched_language, n.kind AS matched_kind
+        FROM ({queries}) q JOIN ({names}) n ON {met} JOIN ({SQL_CURRENT_PLACES}) p ON n.place_id = p.id)"""
+
+
+MANY_COLUMNS = ("query_id", "place_id", "canonical_name_kl", "municipality", "matched_name", "matched_language", "matched_kind")
+SQL_WORD_QUERIES = """SELECT c_custkey AS query_id, upper(substr(split_part(p_name, ' ', 2), 1, 2)) || '  ' || substr(split_part(p_name, ' ', 1), 1, 4)
+    || ' ' || CAST(c_custkey % 4 AS STRING) AS q FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 50 = 0"""
+SQL_PART_QUERIES = "SELECT c_custkey AS query_id, ' ' || upper(substr(p_name, 3, 4 + c_custkey % 9)) || ' ' AS q FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 50 = 0"
+SQL_ALL_WORDS = """len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: NOT contains(
+    strip_accents(lower(' ' || trim(regexp_replace(value, '[^\\p{L}\\p{N}]+', ' ', 'g')))), ' ' || strip_accents(lower(w))))) = 0"""
+
+
+def _place_queries(spark, sf, q):
+    named = base(spark, sf, "customer").join(base(spark, sf, "part"), F.col("p_partkey") == F.col("c_custkey"))
+    return named.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), q.alias("q"))
+
+
+def _word_queries(spark, sf):
+    word = lambda n, size: F.substring(F.split_part("p_name", F.lit(" "), F.lit(n)), 1, size)
+    last = (F.col("c_custkey") % 4).cast("string")
+    return _place_queries(spark, sf, F.concat(F.upper(word(2, 2)), F.lit("  "), word(1, 4), F.lit(" "), last))
+
+
+def _part_queries(spark, sf):
+    part = F.substring(F.col("p_name"), F.lit(3), (F.col("c_custkey") % 9 + 4).cast("int"))
+    return _place_queries(spark, sf, F.concat(F.lit(" "), F.upper(part), F.lit(" ")))
+
+
+@query("e1_prefix_search_of_many", sql_hits_of_many(SQL_SEARCH_NAMES, SQL_ALL_WORDS, SQL_WORD_QUERIES))
+def _(spark, sf):
+    """The queries of all customers whose number is divisible by 50, in one pass over an index of words."""
+    return token_index.prefix_search_many(domain_tables(spark, sf), _word_queries(spark, sf)).select(*MANY_COLUMNS)
+
+
+@query(
+    "e2_substring_search_of_many",
+    sql_hits_of_many("SELECT * FROM v_place_names WHERE valid_to IS NULL", "contains(lower(value), lower(trim(q)))", SQL_PART_QUERIES),
+)
+def _(spark, sf):
+    return token_index.substring_search_many(domain_tables(spark, sf), _part_queries(spark, sf)).select(*MANY_COLUMNS)
+
+
+@query(
+    "e4_first_hits_of_many",
+    f"""SELECT query_id, position, place_id, matched_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+          CASE WHEN lower(matched_name) = lower(q) THEN 0 ELSE 1 END, canonical_name_kl, place_id, matched_name, matched_language, matched_kind, municipality) AS position
+        FROM ({sql_hits_of_many(SQL_SEARCH_NAMES, SQL_ALL_WORDS, SQL_WORD_QUERIES)}) JOIN ({SQL_WORD_QUERIES}) USING (query_id)) WHERE position <= 10""",
+)
+def _(spark, sf):
+    hits = token_index.prefix_search_many(domain_tables(spark, sf), _word_queries(spark, sf), limit=10)
+    return hits.select("query_id", "position", "place_id", "matched_name")
+
+
 @query(
     "e2_substring_search",
     sql_hits("SELECT * FROM v_place_names WHERE valid_to IS NULL AND contains(lower(value), 'idget 1')"),
@@ -371,6 +426,19 @@ def _(spark, sf):
     return search.unaccent_search(rows, "  KÓMMUNEqarfik").select("record_id")
 
 
+@query(
+    "e11_unaccent_search_of_many",
+    f"""SELECT q.record_id AS query_id, r.record_id FROM (SELECT record_id, strip_accents(lower(trim(substr(official_name, 3, 6)))) AS q FROM v_features
+          WHERE record_id % 50 = 0) q JOIN ({SQL_RANKED}) r ON q.q <> '' AND contains(strip_accents(lower(r.official_name || ' ' || coalesce(r.danish_name, '')
+          || ' ' || coalesce(r.old_official_name, '') || ' ' || coalesce(r.municipality_name, ''))), q.q)""",
+)
+def _(spark, sf):
+    """A piece of the name of every feature whose number is divisible by 50."""
+    rows = _features(spark, sf)
+    queries = rows.where("record_id % 50 = 0").select(F.col("record_id").alias("query_id"), F.substring("official_name", 3, 6).alias("q"))
+    return token_index.unaccent_search_many(gazetteer.classify_features(rows), queries).select("query_id", "record_id")
+
+
 @query(
     "e12_near_duplicate_pairs",
     f"""SELECT record_id, {sql_near('a', 'b')} AS near FROM (SELECT record_id, substr(official_name, 1, 5 + CAST(record_id % 6 AS INT)) AS a,
