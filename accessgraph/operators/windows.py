@@ -54,6 +54,27 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, out: str
+) -> DataFrame:
+    """Add the largest ``value`` up to and including each row of a key.
+
+    ``chunk`` must be non-decreasing along ``order`` inside a key.
+    """
+    chunked = df.withColumn("_chunk", chunk)
+    group = [*keys, "_chunk"]
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = chunked.groupBy(*group).agg(F.max(value).alias("_top"))
+    carried = tops.select(*group, F.max("_top").over(before).alias("_carry"))
+    return (
+        chunked.withColumn("_here", F.max(value).over(inside))
+        .join(carried, group, "left")
+        .withColumn(out, F.greatest("_here", "_carry"))
+        .drop("_chunk", "_here", "_carry")
+    )
+
+
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], coarse: Column | None = None
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
-from accessgraph.operators import gazetteer, grids, spatial, watergrid
+from accessgraph.operators import clipping, gazetteer, grids, spatial, watergrid
 from accessgraph.plans.movement import sql_haversine
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, view
@@ -652,6 +652,52 @@ def _(spark, sf):
     return bad.groupBy("contour_id").agg(F.count("*").alias("bad"))
 
 
+SQL_LINE_HOPS = " UNION ALL ".join(
+    f"SELECT record_id, {h} AS hop, longitude + {a[0]} AS hx1, latitude + {a[1]} AS hy1, longitude + {b[0]} AS hx2, latitude + {b[1]} AS hy2 FROM v_features"
+    for h, (a, b) in enumerate(zip(STAIR, STAIR[1:]))
+)
+SQL_CUTS = """SELECT record_id, hop, t FROM (
+        SELECT record_id, hop, ((x1 - hx1) * (y2 - y1) - (y1 - hy1) * (x2 - x1)) / ((hx2 - hx1) * (y2 - y1) - (hy2 - hy1) * (x2 - x1)) AS t,
+               ((x1 - hx1) * (hy2 - hy1) - (y1 - hy1) * (hx2 - hx1)) / ((hx2 - hx1) * (y2 - y1) - (hy2 - hy1) * (x2 - x1)) AS u
+        FROM hops JOIN v_land_edges ON least(x1, x2) <= greatest(hx1, hx2) AND greatest(x1, x2) >= least(hx1, hx2)
+             AND least(y1, y2) <= greatest(hy1, hy2) AND greatest(y1, y2) >= least(hy1, hy2)) WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1
+    UNION SELECT record_id, hop, unnest([0.0, 1.0]::DOUBLE[]) FROM hops"""
+SQL_PIECES = f"""hops AS MATERIALIZED ({SQL_LINE_HOPS}), cuts AS ({SQL_CUTS}),
+    spans AS (SELECT record_id, hop, t AS t0, lead(t) OVER (PARTITION BY record_id, hop ORDER BY t) AS t1 FROM cuts),
+    pieces AS MATERIALIZED (SELECT s.record_id, s.hop, t0, t1, hx1 + (hx2 - hx1) * t0 AS px1, hy1 + (hy2 - hy1) * t0 AS py1, hx1 + (hx2 - hx1) * t1 AS px2,
+           hy1 + (hy2 - hy1) * t1 AS py2, hx1 + (hx2 - hx1) * (t0 + t1) / 2 AS longitude, hy1 + (hy2 - hy1) * (t0 + t1) / 2 AS latitude
+         FROM spans s JOIN hops h ON h.record_id = s.record_id AND h.hop = s.hop WHERE t1 IS NOT NULL AND sqrt(power((hx2 - hx1) * (t1 - t0), 2) + power((hy2 - hy1) * (t1 - t0), 2)) > 1e-9),
+    dry AS MATERIALIZED ({sql_land('SELECT * FROM pieces', 'record_id, hop, t0')})"""
+
+
+@query(
+    "j18_clipped_contours",
+    f"""WITH {SQL_PIECES}, wet AS (SELECT * FROM pieces ANTI JOIN dry USING (record_id, hop, t0)),
+          begun AS (SELECT *, coalesce(sqrt(power(px1 - lag(px2) OVER w, 2) + power(py1 - lag(py2) OVER w, 2)) > 2e-9, TRUE) AS begins
+                    FROM wet WINDOW w AS (PARTITION BY record_id ORDER BY hop, t0))
+        SELECT record_id AS contour_id, count(*) FILTER (WHERE begins) AS parts, count(*) AS pieces,
+               round(sum(sqrt(power(px2 - px1, 2) + power(py2 - py1, 2))), 6) AS degrees FROM begun GROUP BY record_id""",
+)
+def _(spark, sf):
+    """Lines split at every shore they meet, without their parts on land."""
+    contours = _paths(spark, sf).withColumnRenamed("path_id", "contour_id")
+    kept = clipping.clip_lines(contours, _land(spark, sf))
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return kept.groupBy("contour_id").agg(
+        F.count_distinct("part").alias("parts"), F.count("*").alias("pieces"), F.round(F.sum(length), 6).alias("degrees")
+    )
+
+
+@query(
+    "j18_metres_on_land",
+    f"""WITH {SQL_PIECES} SELECT record_id AS contour_id, round(sum({sql_haversine('py1', 'px1', 'py2', 'px2')}), 2) AS on_land_m
+        FROM pieces SEMI JOIN dry USING (record_id, hop, t0) GROUP BY record_id""",
+)
+def _(spark, sf):
+    contours = _paths(spark, sf).withColumnRenamed("path_id", "contour_id")
+    return clipping.land_lengths(contours, _land(spark, sf)).withColumn("on_land_m", F.round("on_land_m", 2))
+
+
 @query(
     "j18_band_audit",
     f"SELECT row, col FROM ({sql_land(SQL_CENTERS, 'row, col')}) WHERE row % 2 = 0",
