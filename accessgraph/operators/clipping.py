@@ -30,8 +30,8 @@ def _meeting_points() -> Column:
     ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     fx, fy = F.col("ax") - F.col("x1"), F.col("ay") - F.col("y1")
     cross, side, square = dx * ey - dy * ex, fx * dy - fy * dx, dx * dx + dy * dy
-    t, u = (fx * ey - fy * ex) / cross, side / cross
-    along = lambda px, py: ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / square
+    t, u = F.try_divide(fx * ey - fy * ex, cross), F.try_divide(side, cross)
+    along = lambda px, py: F.try_divide((px - F.col("x1")) * dx + (py - F.col("y1")) * dy, square)
     ends = F.filter(
         F.array(along(F.col("ax"), F.col("ay")), along(F.col("bx"), F.col("by"))), lambda s: (s >= 0) & (s <= 1)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
-from accessgraph.operators import clipping, gazetteer, grids, spatial, watergrid
+from accessgraph.operators import clipping, contours, gazetteer, grids, spatial, watergrid
 from accessgraph.plans.movement import sql_haversine
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, view
@@ -560,6 +560,21 @@ def _(spark, sf):
     return rows.groupBy("p.band").agg(F.count("*").alias("n"))
 
 
+CONTOURS = (-250.0, 0.0, 250.0)
+SQL_CROSSED = f"""SELECT level, x, y FROM (
+      SELECT l.level, a.col + CASE WHEN b.col > a.col THEN (level - a.elev) / (b.elev - a.elev) ELSE 0.0 END AS x,
+             a.row + CASE WHEN b.row > a.row THEN (level - a.elev) / (b.elev - a.elev) ELSE 0.0 END AS y
+      FROM g a JOIN g b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col)
+      JOIN (SELECT unnest({list(CONTOURS)}::DOUBLE[]) AS level) l ON (a.elev >= level) <> (b.elev >= level))"""
+
+
+@query("j10_contour_vertices", f"WITH g AS MATERIALIZED ({SQL_GRID}) SELECT level, round(x, 6) AS x, round(y, 6) AS y FROM ({SQL_CROSSED})")
+def _(spark, sf):
+    """Every vertex of every contour line once; closed lines repeat their first one at the end."""
+    vertices = contours.contour_lines(_grid(spark, sf), CONTOURS).where(~(F.col("closed") & (F.col("position") == 0)))
+    return vertices.select("level", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 def _pixels(spark, sf):
     return _grid(spark, sf).select(
         F.lit(5).alias("z"), F.floor(F.col("col") / 4).alias("x"), F.floor(F.col("row") / 4).alias("y"), (F.col("elev") * 2).alias("elev")
