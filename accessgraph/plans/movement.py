@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,8 +12,10 @@ from accessgraph.operators import denorm, grids, tracks
 from accessgraph.plans.access import SQL_CANON, SQL_RECORDS
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, domain_tables
+from accessgraph.session import durable_dir
 from accessgraph.sources import sinks
 from accessgraph.streaming import operators as live
+from accessgraph.streaming import stateful
 from accessgraph.streaming.sinks import drain, read_stream
 
 
@@ -294,6 +299,68 @@ def _(spark, sf):
     return rows.select("trip_id", "from_sequence", "to_sequence", "point_count")
 
 
+# Three micro-batches by time, so that a watermark moves and segments and trips close.
+SQL_SLICES = """slices AS (SELECT *, ((epoch_us(ts) - lo) * 3) // (hi - lo + 1) AS slice FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)),
+    marks AS (SELECT max(ts) FILTER (WHERE slice = 0) AS w1, max(ts) FILTER (WHERE slice <= 1) AS w2, max(ts) AS w3 FROM slices)"""
+
+
+def _slices(spark, sf, rows):
+    """The rows of ``events`` by thirds of their time, as ``rows`` makes them."""
+    events = base(spark, sf, "events").withColumn("_m", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min("_m"), F.max("_m")).first()
+    number = F.call_function("div", (F.col("_m") - low) * 3, F.lit(high - low + 1))
+    return [rows(events.where(number == n).drop("_m")) for n in range(3)]
+
+
+def _steps(spark, batches, state, step, event_time):
+    """The folder that a step per batch writes to."""
+    folder = f"{durable_dir(spark)}/steps-{uuid4().hex}"
+    for number, batch in enumerate(batches):
+        stateful.take_step(batch, number, folder, state, step, event_time, timedelta(0))
+    return folder
+
+
+def _numbered_fixes(events):
+    return _fixes(events).withColumns(
+        {"sequence": F.col("event_id"), "quality": tracks.classify_accuracy(F.col("horizontal_accuracy_m"))}
+    )
+
+
+DAY_US = 86_400_000_000
+SQL_TRIPS_OF_DAYS = f"""WITH {SQL_SLICES}, days AS (SELECT * REPLACE (trip_id || '-' || CAST(epoch_us(recorded_at) // {DAY_US} AS STRING) AS trip_id) FROM v_points)"""
+
+
+@query(
+    "m2_stream_closed_trips",
+    f"""{SQL_TRIPS_OF_DAYS} SELECT s.* FROM ({SQL_SUMMARY.replace("v_points", "days").replace("ORDER BY sequence", "ORDER BY event_id")}) s
+        JOIN (SELECT trip_id FROM days, marks GROUP BY trip_id, w2 HAVING max(recorded_at) + INTERVAL 2 HOUR <= w2) c ON c.trip_id = s.trip_id""",
+)
+def _(spark, sf):
+    """One final row per trip of a day that ended two hours before the last watermark."""
+
+    def rows(events):
+        day = F.call_function("div", F.unix_micros("recorded_at"), F.lit(DAY_US)).cast("string")
+        return _numbered_fixes(events).withColumn("trip_id", F.concat_ws("-", "trip_id", day))
+
+    folder = _steps(spark, _slices(spark, sf, rows), stateful.RUNS, stateful.trip_step(2 * 3600), "recorded_at")
+    return spark.read.parquet(f"{folder}/trips").drop("batch_id").withColumn("distance_m", F.round("distance_m", 1))
+
+
+@query(
+    "m3_stream_closed_and_open_segments",
+    f"""WITH {SQL_SLICES}, s AS (SELECT *, sum(CASE WHEN g > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id ORDER BY recorded_at, event_id) AS seg
+          FROM (SELECT *, coalesce(date_diff('microsecond', lag(recorded_at) OVER (PARTITION BY trip_id ORDER BY recorded_at, event_id), recorded_at)
+                / 1000000.0, 0) AS g FROM v_points))
+       SELECT trip_id, min(event_id) AS from_sequence, max(event_id) AS to_sequence, count(*) AS point_count, max(recorded_at) + INTERVAL 3600 SECOND <= w2 AS closed
+       FROM s, marks GROUP BY trip_id, seg, w2""",
+)
+def _(spark, sf):
+    folder = _steps(spark, _slices(spark, sf, _numbered_fixes), stateful.SEGMENT, stateful.segment_step(3600), "recorded_at")
+    done = spark.read.parquet(f"{folder}/segments").withColumn("closed", F.lit(True))
+    rest = spark.read.parquet(f"{folder}/state").where("batch_id = 2").withColumn("closed", F.lit(False))
+    return done.unionByName(rest).select("trip_id", "from_sequence", "to_sequence", "point_count", "closed")
+
+
 @query(
     "m4_stream_active",
     "SELECT trip_id, max(event_id) AS last_event, count(*) AS stored_points FROM v_points GROUP BY trip_id",
@@ -344,6 +411,34 @@ def _(spark, sf):
     return drain(live.stream_conditions(rows.select("event_id", text.alias("valid_to")))).select("event_id", "stale")
 
 
+@query(
+    "m6_stream_conditions_by_clock",
+    f"""WITH {SQL_SLICES}, c AS (SELECT event_id, slice, ts + INTERVAL 1 HOUR * (event_id % 400 - 100) AS valid_to FROM slices)
+        SELECT CAST(event_id AS STRING) AS condition_id, strftime(CASE WHEN slice = 0 AND valid_to <= w1 THEN w1 WHEN slice <= 1 AND valid_to <= w2 THEN w2
+               ELSE w3 END, '%Y-%m-%d %H:%M:%S') AS stale_at FROM c, marks WHERE valid_to <= w3""",
+)
+def _(spark, sf):
+    """Conditions that turn stale when the clock of a later batch passes them."""
+    end = F.col("ts").cast("timestamp") + F.make_dt_interval(hours=(F.col("event_id") % 400 - 100).cast("int"))
+    rows = lambda events: events.select(F.col("event_id").cast("string").alias("condition_id"), end.alias("valid_to"), F.col("ts").alias("clock"))
+    folder = _steps(spark, _slices(spark, sf, rows), stateful.CONDITION, stateful.condition_step(), "clock")
+    return spark.read.parquet(f"{folder}/stale").select("condition_id", F.date_format("stale_at", "yyyy-MM-dd HH:mm:ss").alias("stale_at"))
+
+
+@query("m7_outbox_delivery", "SELECT event_id, TRUE AS marked FROM events WHERE user_id % 3 = 0")
+def _(spark, sf):
+    """Pending events that come twice, in batches that are sent twice, are delivered once and marked."""
+    folder = f"{durable_dir(spark)}/outbox-{uuid4().hex}"
+    pending = lambda events: events.select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("ts").cast("timestamp")).alias("flushed_at"))
+    first, second, third = _slices(spark, sf, pending)
+    send = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch_id={number}")
+    for number, batch in ((0, first), (0, first), (1, first.unionByName(second)), (2, second.unionByName(third)), (2, third)):
+        stateful.deliver_batch(batch, number, folder, send)
+    sent = spark.read.parquet(f"{folder}/out").select("event_id")
+    marked = stateful.flushed(pending(base(spark, sf, "events")), folder).where("flushed_at IS NOT NULL").select("event_id").distinct()
+    return sent.join(marked.withColumn("marked", F.lit(True)), "event_id", "left")
+
+
 @query("m7_stream_outbox", "SELECT event_id FROM events WHERE user_id % 3 = 0")
 def _(spark, sf):
     rows = read_stream(spark, f"{sf}/events*.parquet", EVENTS)
