@@ -57,6 +57,15 @@ APART = frozenset(
     """comment comments commentlist consent cookie cookies dialog discussion disqus gdpr hidden modal overlay popup replies reply
     respond""".split()
 )
+# Cues that also name parts of articles: inside one they need links or form fields to agree, and only on their own
+# or with words such as these.
+WEAK = frozenset("announcement banner discussion login menu recommendations recommended related reply respond teaser".split())
+COMPANIONS = frozenset(
+    """area articles bar block box column content inner item items links list news panel posts row section slot stories unit wrap
+    wrapper""".split()
+)
+TEXTUAL = frozenset("blockquote cite dd figcaption figure p pre q td".split())
+CONTROLS = frozenset("button input select textarea".split())
 # Frequent function words of the four languages.
 STOP_WORDS = frozenset(
     """the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when
@@ -71,7 +80,10 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.1, 0.25
 LINK_HIGH = 0.33
 
-GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
+# A letter of a script without spaces between words says as much as so many others.
+WIDE_FROM, WIDE_CHARS = "\u2e80", 3
+
+GOOD, NEAR, SHORT, LINKED, BAD = "good", "near", "short", "linked", "bad"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -103,19 +115,25 @@ class Doubt:
 
     parent: int
     apart: bool
+    weak: bool = False
     main: bool = False
     article: bool = False
     good: int = 0
+    chars: int = 0
+    links: int = 0
+    controls: int = 0
     bad: bool = True
 
 
-def _class_words(value: str) -> set[str]:
-    """The words of a class, id or role that say what an element is."""
+def _class_words(value: str, inside_main: bool) -> set[str]:
+    """The words of a class, id or role that say what an element is; ``related-work`` in an article says nothing."""
     found: set[str] = set()
     for name in value.split():
         words = [w.lower() for w in _CUE_WORD.findall(name)]
         if not words or words[0] in MODIFIERS or (WRAPPERS & set(words) and WRAPPED & set(words)):
             continue
+        if inside_main and not set(words) <= CUES | COMPANIONS:
+            words = [w for w in words if w not in WEAK] or ["_"]
         found |= set(words) - BUILDER if words[0] == "elementor" else set(words)
     return found
 
@@ -124,18 +142,21 @@ def _cues(name: str, attributes: str, inside_main: bool, nested: bool) -> tuple[
     """(hidden, cue words) of class, id, role and style that mark an element as not part of the article.
 
     A block called header is the page's own unless it stands in an article. An
-    article is judged only if it is ``nested`` in another or called a comment.
+    article is judged only if it is ``nested`` in another or called a comment,
+    and a heading of an article only if it is hidden.
     """
     if not attributes.strip() or name in ("html", "body", "main"):
         return False, frozenset()
     cues = frozenset(["comment"]) if name == "article" and not nested else CUES
     if not inside_main and name not in HEADINGS and name != "article":
         cues = cues | {"header"}
+    elif inside_main and name in HEADINGS:
+        cues = frozenset()
     hidden, words = False, set()
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
         if key in ("class", "id", "role"):
-            words |= _class_words(value) & cues
+            words |= _class_words(value, inside_main) & cues
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
             hidden = True
     return hidden, words
@@ -229,6 +250,8 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             add(" ")
             continue
+        if name in CONTROLS and stack[-1].doubt >= 0:
+            doubts[stack[-1].doubt].controls += 1
         if name in CLOSED_BY_NEXT.get(stack[-1].name, ()):
             pop_to(len(stack) - 1)
         elif name == "p" and stack[-1].nearest == "p":
@@ -255,7 +278,8 @@ def blocks_of(page: str) -> list[Block]:
         elif name in MAIN:
             mark = "main"
         if mark not in ("skip", "bad") and (cues or name == "form"):
-            doubt = Doubt(top.doubt, bool(cues & APART))
+            weak = top.place == "main" and name != "form" and cues <= (WEAK | {"comment"} if name in TEXTUAL else WEAK)
+            doubt = Doubt(top.doubt, bool(cues & APART), weak)
         elif mark == "main" and top.place != "bad" and top.doubt >= 0:
             doubts[top.doubt].main |= name == "main"
             doubts[top.doubt].article |= name == "article" and not nested
@@ -271,10 +295,14 @@ def settle(blocks: list[Block], doubts: list[Doubt]) -> None:
 
     An element without article is not cleared for its length if text other than
     headings stands in an article outside all doubt, and comments and notices never are.
+    Inside an article, a cue that may name a part of it marks only what is mostly links or has form fields.
     """
     total, article = 0, False
     for block in blocks:
         kind = classify(block)
+        if block.doubt >= 0:
+            doubts[block.doubt].chars += len(block.text)
+            doubts[block.doubt].links += block.link_chars
         if kind in (GOOD, NEAR):
             total += len(block.text)
             if block.doubt >= 0:
@@ -285,31 +313,66 @@ def settle(blocks: list[Block], doubts: list[Doubt]) -> None:
         if doubt.parent >= 0:
             outer = doubts[doubt.parent]
             outer.good, outer.main, outer.article = outer.good + doubt.good, outer.main or doubt.main, outer.article or doubt.article
+            outer.chars, outer.links, outer.controls = outer.chars + doubt.chars, outer.links + doubt.links, outer.controls + doubt.controls
     for doubt in doubts:
         holds = doubt.article or not (article or doubt.apart)
-        cleared = doubt.main or (holds and 2 * doubt.good > total)
+        if doubt.weak:
+            cleared = doubt.main or not (doubt.controls or doubt.links > LINK_HIGH * doubt.chars)
+        else:
+            cleared = doubt.main or (holds and 2 * doubt.good > total)
         doubt.bad = not cleared or (doubt.parent >= 0 and doubts[doubt.parent].bad)
     for block in blocks:
         if block.doubt >= 0 and doubts[block.doubt].bad:
             block.inside = "bad"
 
 
-def classify(block: Block) -> str:
-    """First pass: good, near (good), short or bad, from the block alone."""
+def weight(text: str) -> int:
+    """Length of a text, with letters of scripts that need fewer of them counted several times."""
+    return len(text) + (0 if text.isascii() else (WIDE_CHARS - 1) * sum(c >= WIDE_FROM for c in text))
+
+
+def stop_density(text: str) -> float:
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def knows_language(blocks: list[Block]) -> bool:
+    """Whether at least half of the page's running text is in a language with known stop words."""
+    known = unknown = 0
+    for block in blocks:
+        size = weight(block.text)
+        if block.inside != "bad" and size >= LENGTH_LOW and block.link_chars <= LINK_HIGH * len(block.text):
+            if stop_density(block.text) >= STOP_LOW:
+                known += size
+            else:
+                unknown += size
+    return known >= unknown
+
+
+def classify(block: Block, known: bool = True) -> str:
+    """First pass: good, near (good), short, linked or bad, from the block alone.
+
+    Stop words are judged only if the page's language is ``known``; in others
+    the length decides. In an article, what is mostly links is ``linked``.
+    """
     text = block.text
     if block.inside == "bad":
         return BAD
     density = block.link_chars / len(text)
-    if density > LINK_HIGH and (block.inside != "main" or density > 0.5):
+    if block.inside == "main" and density > 0.5:
+        return LINKED
+    if density > LINK_HIGH and block.inside != "main":
         return BAD
-    if len(text) < LENGTH_LOW:
+    size = weight(text)
+    if size < LENGTH_LOW:
         return BAD if block.link_chars and block.inside != "main" else SHORT
-    words = _LETTERS.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if not known:
+        return GOOD if size > LENGTH_HIGH or block.inside == "main" else NEAR
+    stop = stop_density(text)
     if block.inside == "main":
         return GOOD if stop >= STOP_LOW else NEAR
     if stop >= STOP_HIGH:
-        return GOOD if len(text) > LENGTH_HIGH else NEAR
+        return GOOD if size > LENGTH_HIGH else NEAR
     return NEAR if stop >= STOP_LOW else BAD
 
 
@@ -320,10 +383,11 @@ def decide(blocks: list[Block]) -> None:
     block wins for headings and good-looking blocks, else the one that drops
     it. Blocks inside an article and blocks outside any are decided apart, and
     those in menus and the like count for neither. If nothing is decided, the
-    blocks stay.
+    blocks stay. Blocks of links in an article stay only between good ones.
     """
+    known = knows_language(blocks)
     for block in blocks:
-        block.kind = classify(block)
+        block.kind = classify(block, known)
     groups: dict[bool, list[int]] = {True: [], False: []}
     for i, block in enumerate(blocks):
         if block.inside != "bad":
@@ -347,6 +411,10 @@ def decide(blocks: list[Block]) -> None:
             kind = blocks[i].kind
             if kind in (GOOD, BAD):
                 continue
+            if kind == LINKED:
+                both = decided_before[i], decided_after[i]
+                labels[i] = GOOD if all(d and d[1] == GOOD for d in both) else BAD
+                continue
             lenient = kind == NEAR or blocks[i].heading or main
             near = [(abs(p - where[i]), k != GOOD if lenient else k == GOOD, k) for p, k in filter(None, (decided_before[i], decided_after[i]))]
             labels[i] = min(near)[2] if near else GOOD
@@ -364,6 +432,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``columns`` of every page with ``text`` and ``n_chars`` of its article.
 
+    Stop words are known for English, French, German and Spanish. A page that is
+    mostly in another language is judged by length and link density alone.
     Null and empty pages have an empty text; repeated rows are repeated; other
     columns, also ones named text or n_chars, are dropped.
     """

@@ -91,3 +91,47 @@ def test_long_parts_around_an_article_still_go():
     ):
         assert ht.main_text(article + part) == PROSE.strip(), part
     assert ht.main_text(f'<div class="cookie-notice"><p>{PROSE * 9}</p></div>') == ""
+
+
+DANISH = "Byen ligger ved fjorden, hvor folk gennem mange generationer har levet af fangst, fiskeri og handel langs hele kysten. "
+POLISH = "Miasto leży nad zatoką, gdzie ludzie od wielu pokoleń żyją z rybołówstwa, handlu oraz drobnego rzemiosła na wybrzeżu. "
+CHINESE = "这座城市位于海湾旁边，许多世代以来，人们依靠捕鱼、贸易和手工业在海岸上生活，并且把故事讲给孩子们听。"
+
+
+def test_pages_in_other_languages_keep_their_text():
+    menu = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(9))
+    for text in (DANISH * 2, POLISH * 2, CHINESE * 2):
+        page = f"<body><ul>{menu}</ul><div><h1>Titel</h1><p>{text}</p><p>{text}</p></div><p>© 2020 <a href=/>x</a></p></body>"
+        assert ht.main_text(page) == "\n".join(["Titel", text.strip(), text.strip()])
+    # A strange block on a page of a known language goes as before.
+    junk = "lorem qwzx " * 30
+    assert "qwzx" not in ht.main_text(f"<div><p>{PROSE * 3}</p></div><div><p>{junk}</p></div><div><p>{PROSE * 3}</p></div>")
+
+
+def test_parts_of_an_article_with_telling_names_stay():
+    for start, end in (
+        ('<section id="discussion">', "</section>"), ('<section id="related-work">', "</section>"), ('<p class="teaser">', "</p>"),
+        ('<blockquote class="comment">', "</blockquote>"), ('<div class="login-free">', "</div>"), ('<h1 class="banner-title">', "</h1>"),
+        ('<div class="teaser">', "</div>"), ('<section class="announcement">', "</section>"), ('<h2 id="comments">', "</h2>"),
+    ):
+        page = f"<article><p>{PROSE}</p>{start}{PROSE}{end}<p>{PROSE}</p></article>"
+        assert ht.main_text(page) == "\n".join([PROSE.strip()] * 3), start
+
+
+def test_the_same_names_go_where_links_or_fields_agree():
+    links = "".join(f'<li><a href="/{i}">Another story that you may like to read</a></li>' for i in range(3))
+    for part in (
+        f'<section class="related"><h3>Related</h3><ul>{links}</ul></section>', f'<div class="related-posts"><ul>{links}</ul></div>',
+        f'<div class="login"><p>{PROSE}</p><input name="user"></div>', f'<div class="comment"><p>{PROSE}</p></div>',
+        f'<div class="reader-comments"><p>{PROSE}</p></div>', f'<div class="ad-slot"><p>{PROSE}</p></div>', f'<form><p>{PROSE}</p><input></form>',
+        f'<div class="share-bar"><p>{PROSE}</p></div>', f'<p class="cookie-notice">{PROSE}</p>', f'<h2 hidden>{PROSE}</h2>',
+    ):
+        page = f"<article><p>{PROSE}</p>{part}<p>{PROSE}</p></article>"
+        assert ht.main_text(page) == "\n".join([PROSE.strip()] * 2), part
+
+
+def test_link_paragraphs_stay_between_good_neighbours():
+    linked = '<p><a href="/a">The first of the sources that we have used for this story</a> and <a href="/b">another one of them</a></p>'
+    page = f"<article><h1>Title</h1><ul><li><a href='#a'>One part of the page</a></li></ul><p>{PROSE}</p>{linked}<p>{PROSE}</p>{linked}</article>"
+    lines = ht.main_text(page).split("\n")
+    assert lines == ["Title", PROSE.strip(), "The first of the sources that we have used for this story and another one of them", PROSE.strip()]
