@@ -25,6 +25,8 @@ DARTS = math.ceil(COORDINATES * (math.log(COORDINATES) + 4))
 SKETCH_BITS = 36
 # Members of a unit: compared by sketches, and by texts.
 SKETCH_CHUNK, TEXT_CHUNK = 1024, 512
+# A group of more members than this part of a chunk is compared on its own.
+SMALL = 4
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEVEL, _SQUARE, _DART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -164,22 +166,32 @@ def _alike(low: np.ndarray, high: np.ndarray, rows: int = 128) -> np.ndarray:
     return out
 
 
-def in_units(members: DataFrame, group: str, size: Column, chunk: int, per_task: int, rows: int) -> DataFrame:
+def in_units(members: DataFrame, group: str, size: Column, chunk: int, per_task: int, small: int) -> DataFrame:
     """Lay the members of groups out in units that are compared as a whole.
 
     A group of up to ``chunk`` members is one unit. A larger one is split by the
-    hash of the key, and every two of its parts meet in one unit, so that no
-    unit grows with the group. Units are spread over bundles of about
-    ``per_task`` rows by hash; ``rows`` is the number of members.
+    hash of the key, and every two of its parts meet in one unit of about twice
+    ``chunk`` rows, so that no unit grows with the group. Such a unit is a
+    bundle of its own; the units of small groups share bundles of about
+    ``per_task`` rows by hash; ``small`` is the number of their members. A
+    bundle is what one task holds at a time, so its rows are bounded whatever
+    the sizes of the groups are.
     """
     parts = F.ceil(size / F.lit(chunk)).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    bundles = max(1, -(-rows // per_task))
-    laid = members.withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", other)
-    return laid.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).withColumn(
-        "bundle", F.pmod(F.xxhash64(group, "i", "j"), F.lit(bundles)).cast("int")
-    ).drop("_parts", "_own", "_other")
+    alone = F.col("_size") > chunk // SMALL
+    bundles = max(1, -(-small // per_task))
+    laid = members.withColumns({"_parts": parts, "_size": size}).withColumn("_own", own).withColumn("_other", other)
+    laid = laid.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")})
+    unit = F.xxhash64(group, "i", "j")
+    # Numbers below zero are bundles of one unit.
+    bundle = F.when(alone, F.bitwise_not(F.shiftrightunsigned(unit, 1))).otherwise(F.pmod(unit, F.lit(bundles)))
+    return laid.withColumn("bundle", bundle).drop("_parts", "_size", "_own", "_other")
+
+
+def small_rows(members: DataFrame, chunk: int) -> int:
+    return members.where(F.col("n") <= chunk // SMALL).count()
 
 
 def plausible_families(signatures: DataFrame) -> DataFrame:
@@ -210,7 +222,7 @@ def plausible_families(signatures: DataFrame) -> DataFrame:
             b += more[1]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}).group_by(["a", "b"]).aggregate([])
 
-    units = in_units(members, "band", F.col("n"), SKETCH_CHUNK, 50_000, members.count())
+    units = in_units(members, "band", F.col("n"), SKETCH_CHUNK, 50_000, small_rows(members, SKETCH_CHUNK))
     edges = units.select("bundle", "band", "i", "j", "key", "low", "high").groupBy("bundle")
     return components(edges.applyInArrow(compare, "a binary, b binary")).select(
         F.col("node").alias("key"), F.col("component").alias("family")
@@ -250,7 +262,7 @@ def near_duplicate_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
             b += more[1]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    units = in_units(texts, "family", F.col("n"), TEXT_CHUNK, 2 * TEXT_CHUNK, members.count())
+    units = in_units(texts, "family", F.col("n"), TEXT_CHUNK, 2 * TEXT_CHUNK, small_rows(members, TEXT_CHUNK))
     named = units.select("bundle", F.xxhash64("family", "i", "j").alias("unit"), "key", "text")
     return named.groupBy("bundle").applyInArrow(compare, "a binary, b binary")
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from accessgraph.llm import near_dup as nd
 from accessgraph.llm import textbytes as tb
@@ -135,3 +136,19 @@ def test_groups_larger_than_a_unit(spark, documents, monkeypatch):
     got = {r.doc_id: r.class_id for r in nd.duplicate_classes(documents(rows)).collect()}
     assert got == {i: c for (i, _), c in brute_classes(rows).items()}
     assert 1 < len(set(got.values())) < 150
+
+
+@pytest.mark.parametrize("size", [20_000, 100_000])
+def test_bundles_do_not_grow_with_a_family(spark, size):
+    big = spark.range(size).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(1).alias("family"), F.lit(size).alias("n"))
+    pairs = spark.range(6000).select(
+        F.concat(F.lit("p"), "id").cast("binary").alias("key"), (2 + F.floor(F.col("id") / 2)).cast("int").alias("family"), F.lit(2).alias("n")
+    )
+    members = big.unionByName(pairs)
+    units = nd.in_units(members, "family", F.col("n"), 512, 1024, nd.small_rows(members, 512))
+    bundles = units.groupBy("bundle").agg(F.count("*").alias("rows"), F.count_distinct("family", "i", "j").alias("units"), F.min("n").alias("n"))
+    most = bundles.groupBy("n").agg(F.max("rows").alias("rows"), F.max("units").alias("units"), F.sum("rows").alias("all")).collect()
+    by_size = {r["n"]: r for r in most}
+    parts = -(-size // 512)
+    assert by_size[size]["units"] == 1 and by_size[size]["rows"] < 1400 and by_size[size]["all"] == size * parts
+    assert by_size[2]["rows"] < 1300 and by_size[2]["all"] == 6000
