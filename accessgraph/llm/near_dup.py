@@ -222,7 +222,7 @@ def plausible_families(signatures: DataFrame) -> DataFrame:
             b += more[1]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}).group_by(["a", "b"]).aggregate([])
 
-    units = in_units(members, "band", F.col("n"), SKETCH_CHUNK, 50_000, small_rows(members, SKETCH_CHUNK))
+    units = in_units(members, "band", F.col("n"), SKETCH_CHUNK, 8 * SKETCH_CHUNK, small_rows(members, SKETCH_CHUNK))
     edges = units.select("bundle", "band", "i", "j", "key", "low", "high").groupBy("bundle")
     return components(edges.applyInArrow(compare, "a binary, b binary")).select(
         F.col("node").alias("key"), F.col("component").alias("family")
