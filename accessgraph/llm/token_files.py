@@ -24,6 +24,7 @@ END_ID = 50256
 DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
 SCAN_GROUP = 1 << 10
+MOST_TASKS = 1 << 15
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -115,7 +116,8 @@ def document_lengths(
                     ["path", "block", "rank", "before", "end"],
                 )
 
-    spread = blocks.repartition("path", "block")
+    # By the size of these small rows alone all blocks would be one task's.
+    spread = blocks.repartition(min(MOST_TASKS, max(1, blocks.count())))
     ends = stored(spread.mapInArrow(search, "path string, block int, rank long, before long, end long"), "ends")
 
     group = F.floor(F.col("block") / SCAN_GROUP)
