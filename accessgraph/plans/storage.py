@@ -46,6 +46,30 @@ def _(spark, sf):
     return rows.agg(n).select(F.lit("good").alias("t"), "n").unionByName(bad.agg(n).select(F.lit("bad").alias("t"), "n"))
 
 
+@query(
+    "a2_broken_lines",
+    """SELECT bucket, line, message_end FROM (
+         SELECT event_id % 8 AS bucket, event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line,
+                ': invalid JSON: {"id": "broken' || event_id AS message_end
+         FROM events) WHERE event_id % 50 = 0""",
+)
+def _(spark, sf):
+    k = F.col("event_id")
+    line = F.when(k % 50 == 0, F.concat(F.lit('{"id": "broken'), k.cast("string"))).when(k % 60 == 1, "   ").otherwise(
+        F.concat(F.lit('{"id": "e'), k.cast("string"), F.lit('", "status": "active"}'))
+    )
+    path = _folder(spark)
+    lines = base(spark, sf, "events").select((k % 8).alias("bucket"), "event_id", line.alias("value"))
+    lines = lines.repartition(8, "bucket").sortWithinPartitions("bucket", "event_id").drop("event_id")
+    lines.write.partitionBy("bucket").text(path)
+    _, bad = records.read_records_strict(spark, path, TABLES["places"])
+    return bad.select(
+        F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
+        "line",
+        F.regexp_extract("message", r":\d+(: invalid JSON: .*)$", 1).alias("message_end"),
+    )
+
+
 @query(
     "a3_feature_pages",
     """SELECT record_id, replace(replace(gid, '{', ''), '}', '') AS global_id, trim(official_raw) AS official_name, CAST(type_code AS INT) AS type_code

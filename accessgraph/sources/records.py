@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,39 +18,68 @@ def _missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (error.getCondition() or str(error))
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType, layout: str = "json") -> DataFrame:
     """NDJSON rows of a fixed shape; blank lines are skipped and a missing file is an empty table."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).format(layout).load(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_records_strict(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, violations): a line that is not a JSON object of this shape becomes a violation with file and text.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, line, value) of every line of the text files at ``path``; lines count from 1, blank ones included.
 
-    The lines are read as text once and parsed by column, so the bad lines keep
-    their full text and the good ones keep pushdown on the parsed fields.
+    A file is read in splits. A line's number is its place inside its split
+    plus the lines of the file's earlier splits, which are one row each. Rows
+    of a split carry rising ids without gaps; both reads of ``lines`` plan the
+    same splits. Files that cannot be split are one split.
     """
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
-        lines = spark.createDataFrame([], "value string, file string")
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.where(F.trim("value") != "").withColumn(
-        "_r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        return spark.createDataFrame([], "file string, path string, line long, value string")
+    lines = lines.select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("_id"),
     )
+    splits = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    line = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return lines.join(splits, ["path", "split"]).select("file", "path", line.alias("line"), "value")
+
+
+def read_records_strict(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations): a line that is not a JSON object of this shape becomes a violation with file, line and text.
+
+    The lines are read as text and parsed by column, so the bad lines keep
+    their full text and the good ones keep pushdown on the parsed fields. Only
+    the violations need line numbers, so the rows are read without shuffle.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+    def parse(lines: DataFrame) -> DataFrame:
+        return lines.where(F.trim("value") != "").withColumn("_r", parsed)
+
     broken = F.col(f"_r.{CORRUPT}").isNotNull()
-    rows = parsed.where(~broken).select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
-    violations = parsed.where(broken).select(
+    numbered = numbered_lines(spark, path)
+    plain = read_records(spark, path, T.StructType([T.StructField("value", T.StringType())]), "text")
+    rows = parse(plain).where(~broken).select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    violations = parse(numbered).where(broken).select(
         F.col("file").alias("table"),
         F.lit("json").alias("rule"),
         F.sha2("value", 256).alias("key"),
-        F.concat_ws(": ", "file", F.lit("invalid JSON"), "value").alias("message"),
+        F.concat(F.concat_ws(":", "file", "line"), F.lit(": invalid JSON: "), "value").alias("message"),
+        "path",
+        "line",
     )
     return rows, violations
 

@@ -26,6 +26,30 @@ def test_records(spark, folder):
     assert spark.table("places").where("id = 'a'").count() == 1
 
 
+def test_line_numbers_over_many_splits(spark, folder):
+    lines = ["" if i % 7 == 3 else "{broken" if i % 11 == 5 else f'{{"id":"p{i}","status":"active"}}' for i in range(1, 3001)]
+    write(f"{folder}/in/a.ndjson", "\n".join(lines))
+    write(f"{folder}/in/b.ndjson", "\r\n".join(reversed(lines)) + "\r\n")
+    write(f"{folder}/in/empty.ndjson", "")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows, bad = records.read_records_strict(spark, f"{folder}/in", TABLES["places"])
+        assert rows.rdd.getNumPartitions() > 10
+        got = sorted((r["table"], r["line"], r["message"]) for r in bad.collect())
+        n_rows = rows.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    expected = [
+        (name, i, f"{name}:{i}: invalid JSON: {{broken")
+        for name, text in (("a.ndjson", lines), ("b.ndjson", lines[::-1]))
+        for i, line in enumerate(text, 1)
+        if line == "{broken"
+    ]
+    assert got == sorted(expected)
+    assert n_rows == 2 * sum(line.startswith('{"') for line in lines)
+
+
 def test_release_is_immutable_and_pointer_moves(spark, folder):
     one, two = (spark.range(n).withColumnRenamed("id", "k") for n in (1, 2))
     records.publish_release({"t": one}, folder, "2000.01.01.1")
