@@ -21,6 +21,7 @@ from accessgraph.operators.temporal import (
 )
 from accessgraph.operators.windows import numbered
 from accessgraph.schemas import SEASONALITY
+from accessgraph.session import written
 
 # Month names in season labels.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -231,8 +232,9 @@ def denorm_places(t: Tables) -> DataFrame:
     name and the first open membership, by id, stand in the record.
     """
     no_refs = F.array().cast(t["places"].schema["source_refs"].dataType)
+    # Numbering reads its input twice and takes a sample of the ids.
     singles = with_slugs(
-        place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value")), t["places"]
+        written(place_singles(t).withColumn("id", F.col("place_id")).withColumn("value", F.col("name.value")))
     )
     coordinates = F.struct(
         F.col("point.id").alias("assertion_id"),
@@ -442,7 +444,7 @@ def graph_edges(t: Tables, nodes: DataFrame) -> DataFrame:
 
     All of those services are child rows, see :func:`edge_services`.
     """
-    ends = nodes.select("place_id", "official_name")
+    ends = written(nodes.select("place_id", "official_name"))
     first = (
         counted_services(t["connection_services"], F.lit(None), rule="export")
         .groupBy(F.col("connection_id").alias("id"))

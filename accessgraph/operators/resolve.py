@@ -12,6 +12,7 @@ from accessgraph.functions.text import strip_gid
 from accessgraph.operators.denorm import current_places
 from accessgraph.operators.search import substring_pairs
 from accessgraph.operators.temporal import Tables, current, not_retired
+from accessgraph.session import written
 
 EXACT_ID, EXACT_NAME, PARTIAL_NAME, HINT = 1.0, 0.95, 0.6, 0.5
 
@@ -38,17 +39,17 @@ def named_candidates(
     by_id = _evidence(asked_ids.join(ids, ["namespace", "value"]), EXACT_ID, "external_identifier_exact")
 
     live = not_retired(t["places"]).select(F.col("id").alias("place_id"))
-    names = (
+    names = written(
         current(t["place_names"])
         .select("place_id", F.lower("value").alias("text"))
         .distinct()
         .join(live, "place_id", "left_semi")
     )
     asked = requests.select("request_id", F.lower(F.trim("name")).alias("q")).where(F.length("q") > 0)
-    exact = asked.join(names, asked["q"] == names["text"]).select("request_id", "place_id").distinct()
+    exact = written(asked.join(names, asked["q"] == names["text"]).select("request_id", "place_id").distinct())
     by_name = _evidence(exact, EXACT_NAME, "official_name_exact")
 
-    rest = asked.join(exact, "request_id", "left_anti")
+    rest = written(asked.join(exact, "request_id", "left_anti"))
     pairs = substring_pairs(names, rest)
     partial = rest.join(pairs, "q").join(names, "text").select("request_id", "place_id").distinct()
     if partial_limit is not None:

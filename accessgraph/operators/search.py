@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from accessgraph.functions import text
 from accessgraph.operators.denorm import current_places
 from accessgraph.operators.temporal import Tables, current
-from accessgraph.session import cut_lineage
+from accessgraph.session import cut_lineage, written
 
 MIN_QUERY, FUZZY_QUERY, FUZZY_FIELD = 2, (3, 12), 18
 # The searched fields with their weights, best first.
@@ -210,7 +210,7 @@ def tier_boost() -> Column:
 
 def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """Scored hits for a table of queries (query_id, q): all, or with ``limit`` the best of each query by position."""
-    asked = queries.select("query_id", text.fold_spaces(F.col("q")).alias("q")).where(F.length("q") >= MIN_QUERY)
+    asked = written(queries.select("query_id", text.fold_spaces(F.col("q")).alias("q")).where(F.length("q") >= MIN_QUERY))
     shown = places.where(~F.col("is_locality_shadow")).withColumn(
         "_bonus",
         tier_boost() + F.col("importance") / 100 - F.least(F.lit(20), F.length("official_name")) * 0.15,
@@ -226,7 +226,7 @@ def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = None)
             for order, (name, column, weight) in enumerate(FIELDS)
         ]
     )
-    rows = (
+    rows = written(
         shown.select(
             "global_id", "is_locality", "importance", F.length("official_name").alias("_size"), "_bonus",
             F.explode(fields).alias("_f"),
@@ -241,16 +241,16 @@ def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = None)
     direct = (
         rows.join(pairs, "text")
         .join(asked, "q")
-        .groupBy(*carried)
-        .agg(
-            F.max(
-                F.struct(
-                    (F.col("_hit.score") * F.col("weight")).alias("score"),
-                    (-F.col("order")).alias("order"),
-                    F.col("_hit.match").alias("match"),
-                    F.col("field"),
-                )
-            ).alias("_best")
+        .select(
+            *carried,
+            F.struct(
+                F.lit(1).alias("direct"),
+                (F.col("_hit.score") * F.col("weight")).alias("rank"),
+                (-F.col("order")).alias("order"),
+                (F.col("_hit.score") * F.col("weight")).alias("score"),
+                F.col("_hit.match").alias("match"),
+                F.col("field"),
+            ).alias("_hit"),
         )
     )
 
@@ -273,16 +273,21 @@ def rank_search(places: DataFrame, queries: DataFrame, limit: int | None = None)
     near = (
         short.join(close, "text")
         .join(loose, "q")
-        .join(direct.select("query_id", "global_id"), ["query_id", "global_id"], "left_anti")
-        .groupBy(*carried)
-        .agg(
-            F.min_by(
-                F.struct("score", (-F.col("order")).alias("order"), F.lit("fuzzy").alias("match"), F.col("field")),
-                F.col("order"),
-            ).alias("_best")
+        .select(
+            *carried,
+            F.struct(
+                F.lit(0).alias("direct"),
+                F.lit(0.0).alias("rank"),
+                (-F.col("order")).alias("order"),
+                "score",
+                F.lit("fuzzy").alias("match"),
+                F.col("field"),
+            ).alias("_hit"),
         )
     )
-    scored = direct.unionByName(near).select(
+    # Any direct hit of a place beats its near misses; of those the first field counts.
+    best = direct.unionByName(near).groupBy(*carried).agg(F.max("_hit").alias("_best"))
+    scored = best.select(
         "query_id",
         "global_id",
         (F.col("_best.score") + F.col("_bonus")).alias("score"),

@@ -9,6 +9,7 @@ from accessgraph.operators import gazetteer, reconcile, resolve, search, token_i
 from accessgraph.plans.access import SQL_CURRENT_PLACES
 from accessgraph.plans.registry import query
 from accessgraph.plans.views import base, domain_tables, view
+from accessgraph.session import written
 
 BOX = (-60.0, 62.0, -40.0, 76.0)
 
@@ -374,7 +375,7 @@ SQL_RANK = f"""SELECT query_id, global_id, importance, danish_name, old_official
               FROM ({SQL_RANK})) WHERE position <= 12""",
 )
 def _(spark, sf):
-    places = _enriched(spark, sf)
+    places = written(_enriched(spark, sf))
     hits = search.rank_search(places, view(spark, sf, "v_name_queries"), 12).drop("importance")
     shown = hits.join(places.select("global_id", "official_name", "danish_name", "old_official_name"), "global_id")
     return shown.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,18 @@ def durable_dir(spark: SparkSession) -> str:
     return current
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table of the durable folder and continue from it.
+
+    For an input that a plan reads several times: the plan stays small, each
+    reader takes only its columns, and lost executors lose nothing.
+    """
+    spark = df.sparkSession
+    path = f"{durable_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the durable folder and continue from the written copy."""
     durable_dir(df.sparkSession)
