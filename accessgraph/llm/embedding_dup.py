@@ -21,6 +21,8 @@ SHARD = 4096
 BEAM = 64
 AUDIT_QUERIES = 64
 AUDIT_RECALL = 0.99
+# Links are nearer, thus easier to find, than the nearest vector of a query without links.
+AUDIT_NEAREST = 0.95
 # Similarities of the 32-bit search are this close to the double ones.
 SLACK = 1e-4
 
@@ -86,41 +88,77 @@ def shard_graphs(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     return placed.groupBy("label", "dim", "shard").applyInArrow(build, schema)
 
 
-def links_between(left: np.ndarray, right: np.ndarray, graph: SmallWorld, same: bool, threshold: float) -> np.ndarray:
-    """Matrix of the links found from unit vectors ``left`` into the graph over ``right``, verified in doubles.
+def _own_left_out(sims: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    return sims if own is None else np.where(ids == own[:, None], -np.inf, sims)
 
-    The beam of a query widens while everything in it is similar enough. Then
-    ``AUDIT_QUERIES`` queries are compared with all vectors; until at least
-    ``AUDIT_RECALL`` of their links were found the search starts over with a
-    beam twice as wide, and compares everything once the beam is the shard.
+
+def audited_beam(queries: np.ndarray, vectors: np.ndarray, graph: SmallWorld, own: np.ndarray | None, base: int = BEAM) -> int:
+    """The least beam, from ``base`` by doubling, that finds the nearest vectors of a sample of the queries.
+
+    ``AUDIT_QUERIES`` queries are compared with all vectors. Whether any of
+    them has a link does not matter: the most similar vector of each must be in
+    its beam for a share of ``AUDIT_NEAREST``, so a poor graph fails also where
+    links are rare. ``own`` holds the queries' places among the vectors, if
+    they are vectors of the same shard. The shard's size means no graph.
     """
-    n = len(right)
+    n = len(vectors)
+    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(np.int64))
+    mine = None if own is None else own[audit]
+    true = queries[audit] @ vectors.T
+    nearest = _own_left_out(true, np.arange(n)[None], mine).max(axis=1)
+    while base < n:
+        ids, sims = graph.search(queries[audit].astype(np.float32), base)
+        if (_own_left_out(sims, ids, mine).max(axis=1) >= nearest - SLACK).mean() >= AUDIT_NEAREST:
+            return base
+        base *= 2
+    return n
+
+
+def _found(queries: np.ndarray, vectors: np.ndarray, graph: SmallWorld, base: int, threshold: float) -> np.ndarray:
+    """Matrix of the links in the queries' beams, which widen while everything in them is similar enough."""
+    n, single = len(vectors), queries.astype(np.float32)
+    found = np.zeros((len(queries), n), bool)
+    pending, beam = np.arange(len(queries)), base
+    while len(pending):
+        wider = []
+        for at in range(0, len(pending), BLOCK):
+            rows = pending[at : at + BLOCK]
+            ids, sims = graph.search(single[rows], min(beam, n))
+            r, c = np.nonzero(sims >= threshold - SLACK)
+            a, b = rows[r], ids[r, c]
+            good = np.einsum("ij,ij->i", queries[a], vectors[b]) >= threshold
+            found[a[good], b[good]] = True
+            wider.append(rows[(sims >= threshold - SLACK).all(axis=1)])
+        pending = np.concatenate(wider) if beam < n else np.zeros(0, np.int64)
+        beam *= 4
+    return found
+
+
+def links_between(left: np.ndarray, right: np.ndarray, graphs: tuple[SmallWorld, SmallWorld], same: bool, threshold: float) -> np.ndarray:
+    """Matrix of the links found between unit vectors of two shards, verified in doubles.
+
+    Each side's vectors search the other side's graph (``graphs`` holds left's
+    and right's; within a shard they are the same one), from the beam that
+    :func:`audited_beam` sets. Then the links of ``AUDIT_QUERIES`` vectors are
+    compared with all true ones; until ``AUDIT_RECALL`` of them were found the
+    search starts over with beams twice as wide, and compares everything once
+    a beam is the shard.
+    """
+    own = np.arange(len(left)) if same else None
+    sides = [(left, right, graphs[1])] if same else [(left, right, graphs[1]), (right, left, graphs[0])]
+    beams = [audited_beam(*side, own) for side in sides]
     audit = np.unique(np.linspace(0, len(left) - 1, min(AUDIT_QUERIES, len(left))).astype(np.int64))
     true = left[audit] @ right.T >= threshold
     if same:
         true[np.arange(len(audit)), audit] = False
-    single, base = left.astype(np.float32), BEAM
-    while base < n:
-        found = np.zeros((len(left), n), bool)
-        pending, beam = np.arange(len(left)), base
-        while len(pending):
-            wider = []
-            for at in range(0, len(pending), BLOCK):
-                rows = pending[at : at + BLOCK]
-                ids, sims = graph.search(single[rows], min(beam, n))
-                r, c = np.nonzero(sims >= threshold - SLACK)
-                a, b = rows[r], ids[r, c]
-                good = np.einsum("ij,ij->i", left[a], right[b]) >= threshold
-                found[a[good], b[good]] = True
-                wider.append(rows[(sims >= threshold - SLACK).all(axis=1)])
-            pending = np.concatenate(wider) if beam < n else np.zeros(0, np.int64)
-            beam *= 4
+    while all(beam < len(side[1]) for beam, side in zip(beams, sides, strict=True)):
+        found = _found(*sides[0], beams[0], threshold)
+        found |= found.T if same else _found(*sides[1], beams[1], threshold).T
         if same:
-            found |= found.T
             np.fill_diagonal(found, False)
         if (found[audit] & true).sum() >= AUDIT_RECALL * true.sum():
             return found
-        base *= 2
+        beams = [2 * beam for beam in beams]
     found = left @ right.T >= threshold
     if same:
         np.fill_diagonal(found, False)
@@ -137,8 +175,9 @@ def _compare(threshold: float):
                 for side in "ab":
                     vectors = np.frombuffer(cell[f"vectors_{side}"].as_py()).reshape(len(cell[f"keys_{side}"]), -1)
                     unit.append(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
-                graph = SmallWorld.load(unit[1], cell["graph_b"].as_py())
-                found = links_between(unit[0], unit[1], graph, same, threshold)
+                right_graph = SmallWorld.load(unit[1], cell["graph_b"].as_py())
+                left_graph = right_graph if same else SmallWorld.load(unit[0], cell["graph_a"].as_py())
+                found = links_between(unit[0], unit[1], (left_graph, right_graph), same, threshold)
                 copies = [np.array(cell[f"copies_{s}"].as_py(), np.int64) for s in "ab"]
                 keys = [cell[f"keys_{s}"].as_py() for s in "ab"]
                 left, right = roots_of(found, same)
@@ -182,10 +221,9 @@ def embedding_components(rows: DataFrame, threshold: float = THRESHOLD, shard: i
     pairs = graphs.select(
         "label", "dim", F.col("shard").alias("i"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("j")
     )
-    one = graphs.select("label", "dim", F.col("shard").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("keys", "copies", "vectors")])
-    two = graphs.select(
-        "label", "dim", F.col("shard").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("keys", "copies", "vectors", "graph")]
-    )
+    parts = ("keys", "copies", "vectors", "graph")
+    one = graphs.select("label", "dim", F.col("shard").alias("i"), *[F.col(c).alias(f"{c}_a") for c in parts])
+    two = graphs.select("label", "dim", F.col("shard").alias("j"), *[F.col(c).alias(f"{c}_b") for c in parts])
     both = pairs.join(two, ["label", "dim", "j"]).join(one, ["label", "dim", "i"]).drop("label", "dim")
     links = stored(both.mapInArrow(_compare(threshold), "a binary, b binary, n long"), "links")
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))

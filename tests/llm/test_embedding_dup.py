@@ -78,13 +78,42 @@ def test_recall_of_a_shard(shape):
     graph = SmallWorld.load(vectors, graph.save())
     true = vectors @ vectors.T >= 0.93
     np.fill_diagonal(true, False)
-    found = ed.links_between(vectors, vectors, graph, True, 0.93)
+    found = ed.links_between(vectors, vectors, (graph, graph), True, 0.93)
     assert not (found & ~true).any()
     assert found.sum() >= 0.97 * true.sum() and true.sum() > 0
     ids, sims = graph.search(vectors[:50].astype(np.float32), 64)
     assert (sims.max(axis=1) > 0.999).mean() > 0.95
 
 
+def planted(rng, n=1500, links=8):
+    """Two shards of unrelated vectors and ``links`` planted pairs between them."""
+    left, right = rng.normal(size=(n, 32)), rng.normal(size=(n, 32))
+    left[rng.choice(n, links, False)] = right[:links] + rng.normal(size=(links, 32)) * 0.1
+    return [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right)]
+
+
+def crippled(graph):
+    """Most nodes lose all their links and are linked by nobody."""
+    cut = np.arange(len(graph.vectors)) % 4 != 0
+    for links in graph.links:
+        links[cut] = -1
+        links[np.isin(links, np.flatnonzero(cut))] = -1
+    return graph
+
+
+def test_rare_links_between_shards():
+    rng = np.random.default_rng(9)
+    left, right = planted(rng)
+    true = left @ right.T >= 0.93
+    good = tuple(SmallWorld(x, rng.random(len(x))) for x in (left, right))
+    assert ed.audited_beam(left, right, good[1], None) < len(right)
+    assert (ed.links_between(left, right, good, False, 0.93) == true).all() and true.sum() >= 8
+    bad = tuple(crippled(SmallWorld(x, rng.random(len(x)))) for x in (left, right))
+    assert ed.audited_beam(left, right, bad[1], None) == len(right)
+    assert ed.audited_beam(right, right, bad[1], np.arange(len(right))) == len(right)
+    assert (ed.links_between(left, right, bad, False, 0.93) == true).all()
+
+
 def test_recall_on_the_whole_table(spark):
     """At least 0.9 of the links that brute force finds."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
