@@ -12,6 +12,7 @@ from accessgraph.operators.windows import numbered
 
 TURN_FORM = "<|im_start|>{role}\n{text}<|im_end|>\n"
 CHUNK = 4096
+CROWDED = 4 * CHUNK
 
 
 def _content_hash(seed: int) -> Column:
@@ -21,14 +22,32 @@ def _content_hash(seed: int) -> Column:
 def with_positions(turns: DataFrame, *carried: str) -> DataFrame:
     """Number the turns of each conversation from 1, by turn, role and then content.
 
-    ``_conv`` stands for the conversation id, null ids included; a conversation
-    of very many turns is numbered in chunks of turn numbers.
+    ``_conv`` stands for the conversation id, null ids included. A conversation
+    is numbered in chunks of turn numbers. Where turn numbers restart, as among
+    all rows without id, such a chunk may hold any number of rows: one of more
+    than ``CROWDED`` is split by turn and role, and those by even ranges of the
+    content hash, about ``CHUNK`` rows each; only equal rows stay together.
     """
     conv = F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
-    keyed = turns.withColumns({"_conv": conv, "_a": _content_hash(1), "_b": _content_hash(2)})
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))
-    narrow = keyed.select("conv_id", "turn", "role", *carried, "_conv", "_a", "_b")
-    return numbered(narrow, ["_conv"], ["turn", "role", "_a", "_b"], chunk, "position")
+    block = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))
+    keyed = turns.withColumns({"_conv": conv, "_block": block, "_a": _content_hash(1), "_b": _content_hash(2)})
+    narrow = keyed.select("conv_id", "turn", "role", *carried, "_conv", "_block", "_a", "_b")
+    group = ["_conv", "_block"]
+    crowded = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).drop("_n")
+    ranges = (
+        narrow.join(crowded, group, "left_semi")
+        .groupBy(
+            F.col("_conv").alias("_of"), F.col("_block").alias("_in"), F.col("turn").alias("_turn"), F.col("role").alias("_role")
+        )
+        .agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_ranges"))
+    )
+    alike = F.col("turn").eqNullSafe(F.col("_turn")) & F.col("role").eqNullSafe(F.col("_role"))
+    split = narrow.join(ranges, (F.col("_conv") == F.col("_of")) & (F.col("_block") == F.col("_in")) & alike, "left")
+    # The hash as a fraction of its range; signed hashes and fractions have one order.
+    place = F.floor((F.col("_a") / F.lit(2.0**64) + 0.5) * F.col("_ranges"))
+    chunk = F.struct("_block", "_turn", "_role", place.alias("place"))
+    rows = numbered(split, ["_conv"], ["turn", "role", "_a", "_b"], chunk, "position")
+    return rows.drop("_block", "_of", "_in", "_turn", "_role", "_ranges")
 
 
 def prefix_hashes(positioned: DataFrame) -> DataFrame:

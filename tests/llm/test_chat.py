@@ -53,6 +53,36 @@ def test_snapshots_copies_and_branches(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_many_rows_without_id_are_numbered_in_chunks(spark, monkeypatch):
+    rng = random.Random(5)
+    roles = ["user", "assistant", None]
+    rows = [(None, rng.choice([0, 1, 2, 40, None]), rng.choice(roles), f"text {i}") for i in range(900)]
+    rows += [(1, i, "user", f"long {i}") for i in range(150)] + [(2, 0, "user", "same")] * 20
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    whole = result(chat.render(frame))
+    expected = brute(rows)
+    # Turns of one number and role are ordered by content hash, in the lists as they came.
+    assert [r[:3] for r in whole] == [r[:3] for r in expected]
+    assert sorted(r[3] for r in whole) == sorted(r[3] for r in expected)
+    blocks = [(turn is not None, turn or 0, role is not None, role or "") for conv, turn, role, _ in rows if conv is None]
+    marks = {f"{r or ''}\n{t}": (n is not None, n or 0, r is not None, r or "") for c, n, r, t in rows if c is None}
+    shown = sorted((p, text) for conv, p, _, text in whole if conv == "None")
+    assert [marks[text[len("<|im_start|>") : -len("<|im_end|>\n")]] for _, text in shown] == sorted(blocks)
+
+    sizes = []
+    plain = chat.numbered
+
+    def counted(df, keys, order, chunk, out):
+        sizes.append(df.groupBy(*keys, chunk).count().agg({"count": "max"}).first()[0])
+        return plain(df, keys, order, chunk, out)
+
+    monkeypatch.setattr(chat, "numbered", counted)
+    monkeypatch.setattr(chat, "CHUNK", 16)
+    monkeypatch.setattr(chat, "CROWDED", 64)
+    assert result(chat.render(frame)) == whole
+    assert max(sizes) < 64
+
+
 def test_odd_rows(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, None, None), (2, 0, "user", "hi"), (2, 1, "", ""), (2, 2, "user", "more"), (3, None, "user", "hi"),
