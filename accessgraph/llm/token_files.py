@@ -40,7 +40,8 @@ def write_token_files(
     """Write every document's ids and ``end_id``, one flat file per task; returns (file, ordinal, doc_id).
 
     Null and empty texts are ``end_id`` alone; special-token strings in a text
-    are ordinary text, so ``end_id`` only ends documents. A task writes under
+    are ordinary text, so ``end_id`` only ends documents. An id that ``dtype``
+    cannot hold is an error, never cut. A task writes under
     a name of its attempt and renames at the end, so a lost or repeated attempt
     leaves one whole file. The returned table is written already.
     """
@@ -56,7 +57,10 @@ def write_token_files(
         with system.open_output_stream(draft) as out:
             for batch in batches:
                 for text in batch.column(1):
-                    out.write(np.append(encode(text.as_py()), end_id).astype(dtype).tobytes())
+                    ids = np.append(encode(text.as_py()), end_id).astype(np.int64)
+                    if ids.max() > np.iinfo(dtype).max:
+                        raise ValueError(f"id {ids.max()} does not fit into {dtype}")
+                    out.write(ids.astype(dtype).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)],

@@ -139,3 +139,12 @@ def test_boundaries_across_blocks(spark, folder, block, monkeypatch):
     np.zeros(0, "<u2").tofile(f"{folder}/empty.bin")
     got = token_files.document_lengths(spark, folder, end_id=0, block_tokens=block).collect()
     assert sorted((r.path[-5], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == sorted(wanted)
+
+
+def test_ids_wider_than_the_files_are_an_error(spark, documents, folder):
+    frame = documents([(1, "some words")])
+    with pytest.raises(Exception, match="does not fit into <u2"):
+        token_files.write_token_files(frame, f"{folder}/narrow", end_id=1 << 16)
+    token_files.write_token_files(frame, f"{folder}/wide", end_id=1 << 16, dtype="<u4")
+    counted = token_files.document_lengths(spark, f"{folder}/wide", end_id=1 << 16, dtype="<u4").collect()
+    assert [(r.n_tokens, r.ended) for r in counted] == [(2, True)]
