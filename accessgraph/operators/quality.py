@@ -18,13 +18,17 @@ COLUMNS = ("table", "rule", "key", "message")
 PLACE_ASSERTIONS = ("place_classifications", "place_names", "place_geometries", "administrative_memberships")
 WITH_VALIDITY = (*PLACE_ASSERTIONS, "connection_services", "external_identifiers")
 WITH_SOURCES = tuple(name for name, schema in TABLES.items() if "source_refs" in schema.fieldNames())
+# What an external identifier may name, and the table that holds it.
+ENTITIES = {"place": "places", "connection": "connections", "area": "administrative_areas"}
 PUBLISH_RULES = ("pending_source", "pending_reference", "verified_source_url", "verified_source_retrieved_at")
 
 Rule = tuple[str, Column, Column]
 
 
 def _text(template: str, *args: Column) -> Column:
-    return F.format_string(template, *[F.coalesce(a.cast("string"), F.lit("null")) for a in args])
+    first, *rest = template.split("%s")
+    filled = [part for a, after in zip(args, rest, strict=True) for part in (F.coalesce(a.cast("string"), F.lit("null")), F.lit(after))]
+    return F.concat(F.lit(first), *filled)
 
 
 def row_rules(df: DataFrame, table: str, rules: Iterable[Rule], key: str = "id") -> DataFrame:
@@ -151,9 +155,8 @@ def foreign_keys(t: Tables) -> DataFrame:
 
 
 def polymorphic_keys(t: Tables) -> DataFrame:
-    kinds = {"place": "places", "connection": "connections", "area": "administrative_areas"}
     known = _all(
-        t[table].select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id")) for kind, table in kinds.items()
+        t[table].select(F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id")) for kind, table in ENTITIES.items()
     )
     ids = t["external_identifiers"].where(F.coalesce(F.length("entity_id"), F.lit(0)) > 0)
     lost = ids.join(known, ["entity_type", "entity_id"], "left_anti")
@@ -371,24 +374,101 @@ def record_violations(t: Tables, publish: bool = False, schema: bool = True) ->
     return _all(found)
 
 
+def _kept(test: Column, target: str, key: Column, rule: str, column: str = "", pos: Column | None = None) -> Column:
+    """A reference of a row to the record ``key`` of ``target``, if ``test`` holds."""
+    fields = {"rule": F.lit(rule), "column": F.lit(column), "pos": F.lit(None).cast("int") if pos is None else pos}
+    fields |= {"target": F.lit(target), "ref": key}
+    return F.when(test & (F.coalesce(F.length(key), F.lit(0)) > 0), F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def references(t: Tables) -> DataFrame:
+    """All references as rows (table, id, live, rule, column, pos, target, ref), one scan per table.
+
+    ``rule`` is what is broken when nothing has the key; ``live`` says that the row is current.
+    """
+    always, frames = F.lit(True), []
+    for name in TABLES:
+        df, held = t[name], []
+        if name in PLACE_ASSERTIONS:
+            held.append(_kept(always, "place", F.col("place_id"), "foreign_key", "place_id"))
+        if name == "administrative_memberships":
+            held.append(_kept(always, "area", F.col("administrative_area_id"), "foreign_key", "administrative_area_id"))
+        if name == "connection_services":
+            held.append(_kept(always, "connection", F.col("connection_id"), "foreign_key", "connection_id"))
+        if name == "external_identifiers":
+            known = F.col("entity_type").isin(*ENTITIES)
+            held += [_kept(F.col("entity_type") == kind, kind, F.col("entity_id"), "polymorphic_key") for kind in ENTITIES]
+            held.append(_kept(~F.coalesce(known, F.lit(False)), "", F.col("entity_id"), "polymorphic_key"))
+        found = F.array(*held) if held else None
+        if name in WITH_SOURCES:
+            refs = F.transform(
+                "source_refs", lambda ref, pos: _kept(always, "source", ref["source_id"], "unknown_source", pos=pos)
+            )
+            found = refs if found is None else F.concat(found, F.coalesce(refs, F.array()))
+        if found is None:
+            continue
+        live = F.col("valid_to").isNull() if "valid_to" in df.columns else always
+        kind = F.col("entity_type") if name == "external_identifiers" else F.lit(None).cast("string")
+        rows = df.select("id", live.alias("live"), kind.alias("kind"), F.explode(F.array_compact(found)).alias("_r"))
+        frames.append(rows.select(F.lit(name).alias("table"), "id", "live", "kind", "_r.*"))
+    return _all(frames)
+
+
+def reference_violations(t: Tables, publish: bool = False) -> DataFrame:
+    """Rules about what a row refers to, in one join of all references with all records.
+
+    It gives what ``foreign_keys``, ``polymorphic_keys``, ``unknown_sources``,
+    ``retired_assertions``, ``retired_services`` and, for ``publish``,
+    ``pending_references`` give one by one. A key used twice counts as closed if
+    one of its records is.
+    """
+    no = F.lit(False)
+    closed = {
+        "place": F.coalesce(F.col("status") == "retired", no),
+        "connection": F.col("retired_at").isNotNull(),
+        "area": no,
+        "source": F.coalesce(F.col("verification_status") == "pending", no),
+    }
+    records = _all(
+        t[table].select(F.lit(kind).alias("target"), F.col("id").alias("ref"), closed[kind].alias("closed"))
+        for kind, table in {**ENTITIES, "source": "sources"}.items()
+    )
+    records = records.groupBy("target", "ref").agg(F.bool_or("closed").alias("closed"))
+    seen = references(t).join(records, ["target", "ref"], "left")
+    ref, rule = F.col("ref"), F.col("rule")
+    lost = (
+        F.when(rule == "foreign_key", _text("%s '%s' does not resolve", F.col("column"), ref))
+        .when(rule == "polymorphic_key", _text("entity_id '%s' does not resolve as %s", ref, F.col("kind")))
+        .otherwise(_text("source_refs[%s] unknown source '%s'", F.col("pos"), ref))
+    )
+    ends = (F.col("column") == "place_id", F.col("column") == "connection_id")
+    stale = (
+        F.when(ends[0], F.struct(F.lit("retired_place").alias("rule"), _text("active assertion on retired place '%s'", ref).alias("message")))
+        .when(ends[1], F.struct(F.lit("retired_connection").alias("rule"), _text("active service on retired connection '%s'", ref).alias("message")))
+    )
+    if publish:
+        pending = _text("current assertion references pending source '%s'", ref)
+        stale = stale.when(rule == "unknown_source", F.struct(F.lit("pending_reference").alias("rule"), pending.alias("message")))
+    broken = F.when(F.col("closed").isNull(), F.struct("rule", lost.alias("message"))).when(F.col("closed") & F.col("live"), stale)
+    return (
+        seen.withColumn("_b", broken)
+        .where(F.col("_b").isNotNull())
+        .select("table", "_b.rule", F.col("id").cast("string").alias("key"), "_b.message")
+    )
+
+
 def violations(t: Tables, publish: bool = False, schema: bool = True) -> DataFrame:
     """Every violation of the canonical tables; ``publish`` adds the rules that only block a release."""
     found = [
         record_violations(t, publish, schema),
+        reference_violations(t, publish),
         duplicate_ids(t),
-        foreign_keys(t),
-        polymorphic_keys(t),
-        unknown_sources(t),
         one_official_name(t),
         one_classification(t),
         slug_collisions(t),
-        retired_assertions(t),
-        retired_services(t),
         duplicate_edges(t),
         duplicate_identifiers(t),
     ]
-    if publish:
-        found.append(pending_references(t))
     return _all(found)
 
 

@@ -76,6 +76,42 @@ def test_rule(spark, n):
     assert sorted(r["rule"] for r in rule(good(spark, **change)).collect()) == wanted
 
 
+# Two broken or closed references of every kind at once, one of them in a closed row.
+BROKEN = {
+    "sources": lambda r: [*r, {**r[0], "id": "src_p", "verification_status": "pending"}],
+    "places": lambda r: [*r, {**r[0], "id": uid("plc", 3), "status": "retired", "retired_at": "2001-01-01"}, {**r[0], "id": uid("plc", 3)}],
+    "place_names": lambda r: [
+        *r,
+        {**r[0], "id": uid("nam", 20), "place_id": uid("plc", 3), "source_refs": [{"source_id": "src_p"}, {"source_id": "src_z"}, {"source_id": None}]},
+        {**r[0], "id": uid("nam", 21), "place_id": uid("plc", 3), "valid_to": "2001-01-01", "source_refs": [{"source_id": "src_p"}]},
+        {**r[0], "id": uid("nam", 22), "place_id": "", "source_refs": None},
+        {**r[0], "id": uid("nam", 23), "place_id": None, "source_refs": []},
+    ],
+    "place_classifications": edit(place_id=uid("plc", 88)),
+    "administrative_memberships": [
+        {"id": uid("mem", 1), "place_id": uid("plc", 3), "administrative_area_id": uid("adm", 9), "observed_at": "2000-01-01"}
+    ],
+    "connections": lambda r: [{**r[0], "retired_at": "2000-01-01", "source_refs": [{"source_id": "src_p"}]}],
+    "connection_services": lambda r: [*r, {**r[0], "id": uid("svc", 2), "connection_id": uid("con", 5)}],
+    "external_identifiers": [
+        {"id": uid("xid", n), "entity_type": kind, "entity_id": key, "namespace": "n", "value": str(n)}
+        for n, (kind, key) in enumerate(
+            [("place", uid("plc", 1)), ("place", uid("con", 1)), ("connection", uid("con", 1)), ("area", "x"), ("boat", "y"), (None, "z"), ("area", None)]
+        )
+    ],
+}
+
+
+@pytest.mark.parametrize("publish", [False, True])
+def test_references_in_one_join_equal_the_single_rules(spark, publish):
+    t = good(spark, **BROKEN)
+    single = [quality.foreign_keys, quality.polymorphic_keys, quality.unknown_sources, quality.retired_assertions, quality.retired_services]
+    single += [quality.pending_references] if publish else []
+    wanted = sorted(tuple(r) for rule in single for r in rule(t).collect())
+    assert {rule for _, rule, _, _ in wanted} >= {"foreign_key", "polymorphic_key", "unknown_source", "retired_place", "retired_connection"}
+    assert sorted(tuple(r) for r in quality.reference_violations(t, publish).collect()) == wanted
+
+
 def test_publish_gate(spark):
     t = good(spark, sources=edit(verification_status="pending"))
     found = quality.source_row_rules(t).unionByName(quality.pending_references(t))
