@@ -639,12 +639,33 @@ def _(spark, sf):
     return grids.land_tiles(_land(spark, sf), _tiles(spark, sf)).select("record_id")
 
 
-@query("j17_extra_land")
+# Cells are numbered row by row, so the least number of a patch is its least (row, col).
+SQL_MISSED = f"""raised AS MATERIALIZED (
+      SELECT DISTINCT row + a AS row, col + b AS col FROM ({SQL_GRID}), (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)
+      WHERE elev - 280 > {grids.LAND_ELEV_M} AND row + a BETWEEN 0 AND {SQL_ROWS} - 1 AND col + b BETWEEN 0 AND 63),
+    spots AS MATERIALIZED (SELECT row, col, -74.0 + (col + 0.5) * 0.9 AS longitude, 83.0 - (row + 0.5) * {SQL_DLAT} AS latitude FROM raised),
+    missed AS MATERIALIZED (SELECT row, col, row * 64 + col AS cell FROM (SELECT row, col FROM raised EXCEPT {sql_land('SELECT * FROM spots', 'row, col')})),
+    steps AS MATERIALIZED (SELECT m.cell, n.cell AS next FROM missed m JOIN missed n ON abs(m.row - n.row) + abs(m.col - n.col) = 1
+      AND n.row BETWEEN m.row - 1 AND m.row + 1)"""
+
+
+@query(
+    "j17_extra_land",
+    f"""WITH RECURSIVE {SQL_MISSED}, patches(cell, label) USING KEY (cell) AS (
+          SELECT cell, cell FROM missed UNION
+          SELECT s.next, min(p.label) FROM patches p JOIN steps s ON s.cell = p.cell JOIN recurring.patches k ON k.cell = s.next
+          WHERE p.label < k.label GROUP BY s.next),
+        sized AS (SELECT label, count(*) AS cells,
+            sum(0.9::DOUBLE * {SQL_DLAT} * 111320.0 ** 2 * abs(cos(radians(83.0 - (cell // 64 + 0.5) * {SQL_DLAT})))) AS area FROM patches GROUP BY label)
+        SELECT CAST(label // 64 AS INT) AS patch_row, CAST(label % 64 AS INT) AS patch_col, cells, round(area, 0) AS area_m2
+        FROM sized WHERE area >= {grids.MIN_PATCH_M2}""",
+)
 def _(spark, sf):
-    """Patches of raised cells outside the polygons, with their sizes."""
+    """Patches of raised cells outside the polygons, by their least cell, with their sizes."""
     high = _grid(spark, sf).withColumn("elev", F.col("elev") - 280)
     cells = grids.extra_land(high, _spec(spark, sf), _land(spark, sf))
-    return cells.groupBy("patch").agg(F.count("*").alias("cells"), F.round(F.max("area_m2"), 0).alias("area_m2"))
+    sizes = cells.groupBy("patch").agg(F.count("*").alias("cells"), F.round(F.max("area_m2"), 0).alias("area_m2"))
+    return sizes.select(F.col("patch.row").alias("patch_row"), F.col("patch.col").alias("patch_col"), "cells", "area_m2")
 
 
 SQL_LINE_SAMPLES = f"""SELECT record_id, pos, x1 + (x2 - x1) * t AS longitude, y1 + (y2 - y1) * t AS latitude FROM (

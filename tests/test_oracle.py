@@ -8,7 +8,7 @@ from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 # Iterative operators compared with brute force in test_space.py instead.
-BRUTE_FORCE = {"i17_route_alternatives", "j17_extra_land"}
+BRUTE_FORCE = {"i17_route_alternatives"}
 
 
 @pytest.fixture(scope="module")
