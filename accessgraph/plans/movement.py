@@ -236,17 +236,33 @@ def _(spark, sf):
     return rows.groupBy("trip_id", "kind", "section").agg(F.count("*").alias("n"), total.alias("lon_sum"))
 
 
-@query(
-    "a12_track_gpx",
-    f"""SELECT trip_id, section, count(*) AS n, sum(escapes) AS escapes FROM (
-          SELECT DISTINCT trip_id, unnest([0, 2, 4]) AS section, 0 AS escapes FROM v_points
-          UNION ALL SELECT trip_id, 3, 0 FROM v_points WHERE {SQL_QUALITY} <> 'rejected'
-          UNION ALL SELECT trip_id, 1, 1 FROM v_points WHERE event_type = 'error') GROUP BY trip_id, section""",
-)
+SQL_TIME = "strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+SQL_GPX = f"""WITH ends AS (SELECT DISTINCT trip_id FROM v_points)
+    SELECT trip_id, 0 AS section, CAST(0 AS BIGINT) AS position, NULL::DOUBLE AS lat, NULL::DOUBLE AS lon,
+           concat_ws('~', '<?xml version="1.0" encoding="UTF-8"?>', '<gpx version="1.1" creator="accessgraph" xmlns="http://www.topografix.com/GPX/1/1">',
+             '  <metadata>', '    <name>' || trip_id || '</name>', '    <desc>Exported trip</desc>', '  </metadata>') AS text FROM ends
+    UNION ALL SELECT trip_id, 2, 0, NULL, NULL, concat_ws('~', '  <trk>', '    <name>' || trip_id || '</name>', '    <trkseg>') FROM ends
+    UNION ALL SELECT trip_id, 4, 0, NULL, NULL, concat_ws('~', '    </trkseg>', '  </trk>', '</gpx>') FROM ends
+    UNION ALL SELECT trip_id, 3, sequence, round(latitude, 6), round(longitude, 6),
+           concat_ws('~', '      <trkpt lat="" lon="">',
+             CASE WHEN event_id % 3 = 0 THEN '      <ele>' || CAST(CAST(event_id % 100 AS DOUBLE) AS STRING) || '</ele>' END,
+             '        <time>' || {SQL_TIME} || '</time>', '      </trkpt>') FROM v_points WHERE {SQL_QUALITY} <> 'rejected'
+    UNION ALL SELECT trip_id, 1, epoch_us(recorded_at), round(latitude, 6), round(longitude, 6),
+           concat_ws('~', '  <wpt lat="" lon="">', '    <time>' || {SQL_TIME} || '</time>', '    <name>hazard &amp; ice</name>',
+             '    <desc>note &lt;' || CAST(event_id AS STRING) || '&gt;</desc>', '    <type>hazard &amp; ice</type>', '  </wpt>')
+           FROM v_points WHERE event_type = 'error'"""
+
+
+@query("a12_track_gpx", SQL_GPX)
 def _(spark, sf):
+    """Every line of every file, with the coordinates as numbers and ~ for the line breaks."""
     rows = sinks.tracks_to_gpx(_points(spark, sf), _waypoints(spark, sf))
-    escaped = F.contains("text", F.lit("<desc>note &lt;")).cast("long")
-    return rows.groupBy("trip_id", "section").agg(F.count("*").alias("n"), F.sum(escaped).alias("escapes"))
+    number = lambda name: F.round(F.nullif(F.regexp_extract("text", f' {name}="([^"]*)"', 1), F.lit("")).cast("double"), 6)
+    bare = F.regexp_replace("text", ' lat="[^"]*" lon="[^"]*"', ' lat="" lon=""')
+    return rows.select(
+        "trip_id", "section", "position", number("lat").alias("lat"), number("lon").alias("lon"),
+        F.translate(bare, "\n", "~").alias("text"),
+    )
 
 
 # --- streams -------------------------------------------------------------------------

@@ -568,10 +568,14 @@ def _(spark, sf):
     return resolve.attach_identity(rows, _crosswalk(spark, sf)).select("record_id", "place_id", "identity_status")
 
 
-@query("e16_operational_identity", "SELECT record_id FROM v_features WHERE record_id % 7 = 1")
+@query(
+    "e16_operational_identity",
+    """SELECT record_id, 'register:' || upper(global_id) AS feature_id, 'plc_' || lpad(CAST(record_id AS STRING), 10, '0') AS place_id,
+              CASE WHEN record_id % 2 = 0 THEN 'canonical' ELSE 'candidate' END AS identity_status FROM v_features WHERE record_id % 7 = 1""",
+)
 def _(spark, sf):
     rows = resolve.attach_identity(_features(spark, sf), _crosswalk(spark, sf))
-    return resolve.has_operational_identity(rows).select("record_id")
+    return resolve.has_operational_identity(rows).select("record_id", "feature_id", "place_id", "identity_status")
 
 
 @query(

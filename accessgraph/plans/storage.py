@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessgraph.operators import reconcile
@@ -215,31 +217,43 @@ def _(spark, sf):
     return out
 
 
+# What a published table holds beside its ids, as one text.
+DETAIL = {"places": "status", "connections": "mode", "connection_services": "connection_id"}
+
+
 @query(
     "a16_a17_published_release",
-    """SELECT 'places' AS t, count(*) AS n FROM v_places UNION ALL SELECT 'connections', count(*) FROM v_connections
-       UNION ALL SELECT 'connection_services', count(*) FROM v_connection_services""",
+    " UNION ALL ".join(f"SELECT '{t}' AS t, id, {detail} AS detail FROM v_{t}" for t, detail in DETAIL.items()),
 )
 def _(spark, sf):
     root, t = _folder(spark), domain_tables(spark, sf)
-    chosen = {name: t[name] for name in ("places", "connections", "connection_services")}
+    chosen = {name: t[name] for name in DETAIL}
     records.publish_release({"places": t["places"].limit(0)}, root, "2001.01.01.1", update_current=True)
     records.publish_release(chosen, root, "2001.01.01.2")
     opened = records.open_release(spark, root)
-    out = None
-    for name, df in opened.items():
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = [df.select(F.lit(name).alias("t"), "id", F.col(DETAIL[name]).alias("detail")) for name, df in opened.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@query(
-    "a18_split_flat_places",
-    """SELECT 'places' AS t, count(*) AS n FROM v_places UNION ALL SELECT 'place_classifications', count(*) FROM v_places
-       UNION ALL SELECT 'place_names', count(*) + count(*) FILTER (WHERE k % 2 = 0) FROM v_places UNION ALL SELECT 'place_geometries', count(*) FROM v_places
-       UNION ALL SELECT 'administrative_areas', count(DISTINCT nk) FROM v_places UNION ALL SELECT 'administrative_memberships', count(*) FROM v_places
-       UNION ALL SELECT 'well_formed_ids', count(*) FROM v_places""",
-)
+def sql_minted(prefix: str, text: str) -> str:
+    """The id that is made from the parts of ``text`` (SQL, joined by |): digits of its digest in UUID form."""
+    h = f"sha256('{prefix}|' || {text})"
+    variant = f"substr('89ab', (strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1)"
+    parts = [f"substr({h}, {start}, {size})" for start, size in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    return f"'{prefix}_' || {parts[0]} || '-' || {parts[1]} || '-4' || {parts[2]} || '-' || {variant} || {parts[3]} || '-' || {parts[4]}"
+
+
+SQL_AREA = sql_minted("adm", "'area ' || CAST(nk AS STRING)")
+SQL_FLAT = f"""SELECT 'places' AS t, id, status AS detail FROM v_places
+    UNION ALL SELECT 'place_classifications', {sql_minted('cls', 'id')}, id || ' town' FROM v_places
+    UNION ALL SELECT 'place_names', {sql_minted('nam', "id || '|0'")}, id || ' ' || p_name || ' kl official' FROM v_places
+    UNION ALL SELECT 'place_names', {sql_minted('nam', "id || '|1'")}, id || ' ' || c_name || ' da exonym' FROM v_places WHERE k % 2 = 0
+    UNION ALL SELECT 'place_geometries', {sql_minted('geo', 'id')}, id || ' Point -50.0 64.0' FROM v_places
+    UNION ALL SELECT DISTINCT 'administrative_areas', {SQL_AREA}, 'area ' || CAST(nk AS STRING) || ' municipality' FROM v_places
+    UNION ALL SELECT 'administrative_memberships', {sql_minted('mem', "id || '|0'")}, id || ' ' || {SQL_AREA} FROM v_places"""
+
+
+@query("a18_split_flat_places", SQL_FLAT)
 def _(spark, sf):
     k = F.col("k")
     no_date = F.lit(None).cast("string")
@@ -260,17 +274,22 @@ def _(spark, sf):
         ),
     )
     made = records.split_flat_places(flat)
-    n = F.count(F.lit(1)).alias("n")
-    good = made["place_classifications"].where(F.col("id").rlike("^cls_[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))
-    out = good.agg(n).select(F.lit("well_formed_ids").alias("t"), "n")
-    for name, df in made.items():
-        out = out.unionByName(df.agg(n).select(F.lit(name).alias("t"), "n"))
-    return out
+    detail = {
+        "places": ["status"],
+        "place_classifications": ["place_id", "feature_type"],
+        "place_names": ["place_id", "value", "language", "kind"],
+        "place_geometries": ["place_id", "geometry.type", F.array_join(F.col("geometry.coordinates").cast("array<string>"), " ")],
+        "administrative_areas": ["name", "level"],
+        "administrative_memberships": ["place_id", "administrative_area_id"],
+    }
+    rows = [df.select(F.lit(name).alias("t"), "id", F.concat_ws(" ", *detail[name]).alias("detail")) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
     "e25_merged_places",
-    "SELECT (SELECT count(*) FROM v_places) + (SELECT count(*) FROM v_features WHERE type_code IN (21, 23)) AS n",
+    f"""SELECT id, status FROM v_places
+        UNION ALL SELECT {sql_minted('plc', 'global_id')}, 'active' FROM v_features WHERE type_code IN (21, 23)""",
 )
 def _(spark, sf):
     t = domain_tables(spark, sf)
@@ -280,4 +299,4 @@ def _(spark, sf):
         F.lit(None).cast("date").alias("created_at"), F.lit(None).cast("date").alias("retired_at"),
         F.lit(None).cast(TABLES["places"]["source_refs"].dataType).alias("source_refs"),
     )
-    return reconcile.merged({"places": t["places"]}, {"places": fresh})["places"].agg(F.count(F.lit(1)).alias("n"))
+    return reconcile.merged({"places": t["places"]}, {"places": fresh})["places"].select("id", "status")

@@ -66,20 +66,21 @@ def _(spark, sf):
     )
 
 
+SQL_RING_Y = "asin(sin(radians(latitude)) * cos(d) + cos(radians(latitude)) * sin(d) * cos(radians(b)))"
+
+
 @query(
     "i2_accuracy_circles",
-    """SELECT record_id, 65 AS n, round(y, 6) AS y, round(x, 6) AS x FROM (SELECT record_id, latitude, longitude, degrees(asin(sin(radians(latitude))
-         * cos(d) + cos(radians(latitude)) * sin(d) * cos(radians(90.0)))) AS y, longitude + degrees(atan2(sin(radians(90.0)) * sin(d) * cos(radians(latitude)),
-         cos(d) - sin(radians(latitude)) * (sin(radians(latitude)) * cos(d) + cos(radians(latitude)) * sin(d) * cos(radians(90.0))))) AS x
-       FROM (SELECT *, greatest(record_id % 500, 1) / 6371000.0 AS d FROM v_features))""",
+    f"""SELECT record_id, i, round(degrees(y), 6) AS y, round(longitude + degrees(atan2(sin(radians(b)) * sin(d) * cos(radians(latitude)),
+             cos(d) - sin(radians(latitude)) * sin(y))), 6) AS x
+        FROM (SELECT *, {SQL_RING_Y} AS y FROM (SELECT *, greatest(record_id % 500, 1) / 6371000.0::DOUBLE AS d, i * 360.0::DOUBLE / 64 AS b
+              FROM v_features, (SELECT unnest(range(0, 65))::INT AS i)))""",
 )
 def _(spark, sf):
+    """All vertices of the ring around every feature."""
     ring = geo.circle_ring(F.col("latitude"), F.col("longitude"), (F.col("record_id") % 500).cast("double"))
-    east = F.col("ring")[16]
-    rows = view(spark, sf, "v_features").select("record_id", ring.alias("ring"))
-    return rows.select(
-        "record_id", F.size("ring").alias("n"), F.round(east["latitude"], 6).alias("y"), F.round(east["longitude"], 6).alias("x")
-    )
+    rows = view(spark, sf, "v_features").select("record_id", F.posexplode(ring).alias("i", "_v"))
+    return rows.select("record_id", "i", F.round("_v.latitude", 6).alias("y"), F.round("_v.longitude", 6).alias("x"))
 
 
 @query(
@@ -252,14 +253,20 @@ def _(spark, sf):
 
 @query(
     "i12_distinct_paths",
-    "SELECT record_id AS path_id, (record_id % 4) * 0.05 > 0.08 AS apart FROM v_features",
+    """SELECT record_id AS path_id, record_id % 11 <> 0 AND greatest(gap(1), gap(2), gap(3)) > 0.08 AS apart FROM v_features""".replace(
+        "gap(1), gap(2), gap(3)",
+        ", ".join(f"sqrt(power((record_id + {3 * i}) % 5 * 0.017, 2) + power((record_id + {i}) % 7 * 0.0105, 2))" for i in (1, 2, 3)),
+    ),
 )
 def _(spark, sf):
-    shifted = F.transform(
+    """Every vertex moves by its own amount; every eleventh path keeps one vertex only."""
+    k = F.col("path_id")
+    moved = F.transform(
         "coordinates",
-        lambda c: F.struct((c["lon"] + (F.col("path_id") % 4) * 0.05).alias("lon"), c["lat"].alias("lat")),
+        lambda c, i: F.struct((c["lon"] + (k + i * 3) % 5 * 0.017).alias("lon"), (c["lat"] + (k + i) % 7 * 0.0105).alias("lat")),
     )
-    return _paths(spark, sf).select("path_id", spatial.paths_distinct(F.col("coordinates"), shifted).alias("apart"))
+    other = F.when(k % 11 == 0, F.slice(moved, 1, 1)).otherwise(moved)
+    return _paths(spark, sf).select("path_id", spatial.paths_distinct(F.col("coordinates"), other).alias("apart"))
 
 
 SQL_EDGE_DISTANCE = """sqrt(power(longitude - (x1 + t * (x2 - x1)), 2) + power(latitude - (y1 + t * (y2 - y1)), 2))"""
