@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo, text
+from accessgraph.session import written
 
 # Feature type labels of the register.
 TYPE_LABELS: dict[int, str] = {
@@ -31,9 +32,8 @@ TYPE_RANKS: dict[int, tuple[int, float]] = {
     49: (520, 7.4), 54: (390, 8.8), 56: (660, 6.0), 57: (760, 4.6), 59: (410, 8.5),
     68: (480, 8.0), 73: (670, 5.6), 74: (510, 7.5), 86: (420, 8.5), 88: (780, 4.2),
     96: (260, 10.0), 101: (430, 8.4), 105: (560, 7.0), 117: (400, 8.6), 118: (320, 9.4),
-    119: (280, 9.8), 123: (250, 10.2), 127: (290, 9.8), 143: (300, 9.6), 164: (730, 5.2),
-    166: (740, 5.0), 167: (460, 8.0), 178: (820, 3.8), 181: (600, 7.0), 182: (380, 9.0),
-    183: (720, 5.8), 186: (860, 3.2), 187: (880, 3.2),
+    119: (280, 9.8), 123: (250, 10.2), 127: (290, 9.8), 164: (730, 5.2),
+    166: (740, 5.0), 167: (460, 8.0), 178: (820, 3.8), 186: (860, 3.2), 187: (880, 3.2),
 }
 DEFAULT_RANK = (180, 10.5)
 # Coastal types (code, kind, glyph, shape, earliest zoom, importance).
@@ -43,6 +43,7 @@ COASTAL_TYPES = (
     (182, "island_part", "·", "dot", 9.0, 380),
     (183, "island_group", "◎", "ring", 5.8, 720),
 )
+TYPE_RANKS |= {code: (importance, zoom) for code, _, _, _, zoom, importance in COASTAL_TYPES}
 COASTAL_CODES = tuple(row[0] for row in COASTAL_TYPES)
 # Area labels, locality types, zoom bands and geography groups.
 MUNICIPALITIES = {
@@ -320,8 +321,8 @@ def region_extract(places: DataFrame, bbox: tuple[float, float, float, float], g
 
 
 def corridor_extract(places: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
-    """Localities inside a corridor; an empty corridor raises when the rows are read."""
-    inside = places.where("is_locality").where(geo.in_bbox(F.col("longitude"), F.col("latitude"), bbox))
+    """Localities inside a corridor, written once; an empty corridor raises."""
+    inside = written(places.where("is_locality").where(geo.in_bbox(F.col("longitude"), F.col("latitude"), bbox)))
     if inside.isEmpty():
         raise ValueError("no localities inside the corridor")
     return inside

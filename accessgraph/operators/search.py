@@ -129,12 +129,12 @@ def search_places(t: Tables, query: str, language: str | None = None, limit: int
     if not asked:
         return list_places(t, limit).select("*", *blank)
 
-    # Each step is read for its first row only before the next, dearer one is tried.
+    # A step runs once: what it finds is written, and only if that is nothing the next, dearer one runs.
     if asked.startswith("plc_"):
-        by_id = _summary(t).where(F.col("place_id") == asked).limit(1)
+        by_id = cut_lineage(_summary(t).where(F.col("place_id") == asked).limit(1))
         if not by_id.isEmpty():
             return by_id.select("*", *blank)
-    by_prefix = prefix_search(t, asked, language, limit)
+    by_prefix = cut_lineage(prefix_search(t, asked, language, limit))
     return by_prefix if not by_prefix.isEmpty() else substring_search(t, asked, language, limit)
 
 

@@ -115,11 +115,6 @@ def named(prefix: str) -> str:
     return f"^{prefix}_([a-z0-9_]+|{UUID4})$"
 
 
-def optional(pattern: str) -> str:
-    """The same pattern, with the empty text allowed."""
-    return "^(" + pattern.strip("^$") + ")?$"
-
-
 @dataclass(frozen=True)
 class FieldRules:
     """What the columns of one table must satisfy beyond their types."""
@@ -196,20 +191,20 @@ RULES: dict[str, FieldRules] = {
         ("id", "source_dataset_id", "url", "retrieved_at", "checksum", "media_type",
          "licence_status", "storage_path", "byte_size", "record_count"),
         {"id": named("snp"), "source_dataset_id": named("dsd"), "checksum": f"^{DIGEST}$",
-         "schema_fingerprint": optional(DIGEST)},
+         "schema_fingerprint": f"^({DIGEST})?$"},
         {"licence_status": ("verified", "unknown", "pending_review", "restricted")},
     ),
     "import_runs": FieldRules(
         ("id", "source_snapshot_id", "adapter_name", "adapter_version", "started_at",
          "completed_at", "status", "record_counts", "warnings", "errors"),
         {"id": minted("imp"), "source_snapshot_id": named("snp"),
-         "previous_snapshot_id": optional(named("snp"))},
+         "previous_snapshot_id": f"^(snp_([a-z0-9_]+|{UUID4}))?$"},
         {"status": ("completed", "failed", "partial")},
     ),
     "change_events": FieldRules(
         ("id", "kind", "entity_type", "summary", "observed_at"),
-        {"id": minted("chg"), "import_run_id": optional(minted("imp")),
-         "release_id": optional(RELEASE_ID)},
+        {"id": minted("chg"), "import_run_id": f"^(imp_{UUID4})?$",
+         "release_id": f"^({RELEASE_ID})?$"},
         {"kind": ("added", "modified", "removed", "conflicted", "remapped")},
     ),
     "release_manifests": FieldRules(
