@@ -96,18 +96,30 @@ def resolve_candidates(
     by_code: DataFrame | None = None,
     partial_limit: int | None = None,
 ) -> DataFrame:
-    """Every candidate of every request, hints expanded to their places."""
-    hints = municipality_hints(t, requests, by_code).join(hinted_places(t), "municipality_id")
-    hinted = hints.select("request_id", "place_id").distinct().withColumn("hinted", F.lit(True))
+    """Rows (request_id, place_id, municipality_id, confidence, reasons) of all candidates.
+
+    A candidate by identifier or name is a row with its place; its reasons tell
+    whether its municipality is hinted too. A hint is one row without place that
+    stands for all current places of the municipality: they are one join with
+    :func:`hinted_places` away and never multiplied with the requests here.
+    """
+    places = hinted_places(t)
+    hints = municipality_hints(t, requests, by_code).join(
+        places.select("municipality_id").distinct(), "municipality_id", "left_semi"
+    )
     named = named_candidates(t, requests, today, partial_limit)
-    empty = F.array().cast("array<string>")
-    reason = F.when(F.col("hinted"), F.array(F.lit("municipality_hint"))).otherwise(empty)
-    return named.join(hinted, ["request_id", "place_id"], "full").select(
-        "request_id",
-        "place_id",
-        F.coalesce("confidence", F.lit(HINT)).alias("confidence"),
-        F.concat(F.coalesce("reasons", empty), reason).alias("reasons"),
+    keys = ["request_id", "place_id"]
+    also = named.select(*keys).join(places, "place_id").join(hints, ["request_id", "municipality_id"]).select(*keys).distinct()
+    hint = F.array(F.lit("municipality_hint"))
+    none = F.lit(None).cast("string")
+    reasons = F.when(F.col("_also"), F.concat("reasons", hint)).otherwise(F.col("reasons"))
+    by_place = named.join(also.withColumn("_also", F.lit(True)), keys, "left").select(
+        *keys, none.alias("municipality_id"), "confidence", reasons.alias("reasons")
+    )
+    by_hint = hints.select(
+        "request_id", none.alias("place_id"), "municipality_id", F.lit(HINT).alias("confidence"), hint.alias("reasons")
     )
+    return by_place.unionByName(by_hint)
 
 
 def resolve_places(

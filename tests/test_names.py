@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from accessgraph.functions import text
-from accessgraph.operators import gazetteer, search
+from accessgraph.operators import gazetteer, resolve, search
 
 FEATURE = "record_id long, global_id string, official_name string, danish_name string, old_official_name string, type_code int, municipality_code int, longitude double, latitude double"
 
@@ -128,3 +128,31 @@ def test_search_chain(spark, query, kind):
     got = [r["place_id"] for r in search.search_places(t, query).collect()]
     assert got == (["plc_1", "plc_2"] if kind == "list" else ["plc_1"])
     assert [r["place_id"] for r in search.prefix_search(t, "ilu").collect()] == ["plc_2"]
+
+
+def test_hints_are_rows_of_their_own_and_reasons_of_named_candidates(spark):
+    from frames import name, place, tables
+
+    member = lambda i, area: {"id": f"mem_{i}", "place_id": f"plc_{i}", "administrative_area_id": f"adm_{area}", "observed_at": "2000-01-01"}
+    t = tables(
+        spark,
+        places=[place(i) for i in (1, 2, 3)],
+        place_names=[name(1, "Naajaat"), name(2, "Naajaat"), name(3, "Nuuk")],
+        administrative_areas=[{"id": f"adm_{a}", "name": a, "level": "municipality"} for a in ("a", "b", "empty")],
+        administrative_memberships=[member(1, "a"), member(2, "b"), member(3, "a")],
+    )
+    requests = spark.createDataFrame(
+        [(1, "naajaat", 10), (2, None, 10), (3, "nuuk", None), (4, "none", 12)],
+        "request_id int, name string, municipality_code int",
+    ).withColumn("identifiers", F.lit(None).cast("array<struct<namespace:string,value:string>>"))
+    codes = spark.createDataFrame([(10, "adm_a"), (11, "adm_b"), (12, "adm_empty")], "municipality_code int, municipality_id string")
+    got = resolve.resolve_candidates(t, requests, "2001-01-01", codes).collect()
+    assert sorted((r["request_id"], r["place_id"] or "", r["municipality_id"] or "", r["confidence"], tuple(r["reasons"])) for r in got) == [
+        (1, "", "adm_a", 0.5, ("municipality_hint",)),
+        (1, "plc_1", "", 0.95, ("official_name_exact", "municipality_hint")),
+        (1, "plc_2", "", 0.95, ("official_name_exact",)),
+        (2, "", "adm_a", 0.5, ("municipality_hint",)),
+        (3, "plc_3", "", 0.95, ("official_name_exact",)),
+    ]
+    verdicts = {r["request_id"]: r["result"] for r in resolve.resolve_places(t, requests, "2001-01-01", codes).collect()}
+    assert verdicts == {1: "ambiguous", 2: "ambiguous", 3: "candidate", 4: "not_found"}
