@@ -149,7 +149,9 @@ def flag_shadows(places: DataFrame, key: str = "global_id") -> DataFrame:
 
     Near-equal spellings are found by equality joins on shared shortened forms,
     over distinct (name, municipality) and (name, position) values, so repeated
-    names cost one row each and no group is paired in full.
+    names cost one row each and no group is paired in full. The sides are many
+    forms long for each value, which Catalyst does not foresee: they are merged,
+    never broadcast.
     """
     named = places.withColumn("_name", text.fold_spaces(F.col("official_name")))
     keys = F.explode(text.near_duplicate_keys(F.col("_name"))).alias("_form")
@@ -161,7 +163,7 @@ def flag_shadows(places: DataFrame, key: str = "global_id") -> DataFrame:
 
     area = ["municipality_code", "_name"]
     left = others.where(F.col("municipality_code").isNotNull()).select(*area).distinct().select(*area, keys)
-    right = locals_.where(F.col("municipality_code").isNotNull()).select(*area).distinct().select(*area, keys)
+    right = locals_.where(F.col("municipality_code").isNotNull()).select(*area).distinct().select(*area, keys).hint("merge")
     same_area = (
         left.alias("a")
         .join(
@@ -190,6 +192,7 @@ def flag_shadows(places: DataFrame, key: str = "global_id") -> DataFrame:
         .distinct()
         .select(*spot, around)
         .select(*spot, F.col("_cell.x").alias("_x"), F.col("_cell.y").alias("_y"), keys)
+        .hint("merge")
     )
     close_by = (
         left.alias("a")
