@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accessgraph.operators import gazetteer
-
-
-def broadcasts(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+from accessgraph.operators import gazetteer, search
 
 
 def test_shadow_forms_are_not_broadcast(spark):
@@ -21,3 +17,19 @@ def test_shadow_forms_are_not_broadcast(spark):
     assert forms.count("LeftSemi") == 2 and forms.count("rightHint=(strategy=merge)") == 2
     found = flagged.where(F.col("is_locality_shadow")).select("global_id").collect()
     assert {r[0] for r in found} == {"b", "c"}
+
+
+def test_hits_are_scored_per_query_text(spark):
+    """Rows, which compress well, are merged, and the queries join after the hits are cut."""
+    places = spark.createDataFrame(
+        [("a", "Nuuk", True), ("b", "Nuuk Fjord", False)], "global_id string, official_name string, is_locality boolean"
+    ).selectExpr(
+        "*", "cast(null as string) danish_name", "cast(null as string) old_official_name", "false is_locality_shadow",
+        "if(is_locality, 'town', 'other') feature_kind", "500 importance",
+    )
+    asked = spark.createDataFrame([(i, "nuuk") for i in range(5)], "query_id int, q string")
+    hits = search.rank_search(places, asked, 1)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2
+    assert "windowspecdefinition(q#" in plan
+    assert sorted((r.query_id, r.global_id, r.position) for r in hits.collect()) == [(i, "a", 1) for i in range(5)]
