@@ -53,7 +53,8 @@ def cut_pieces(contours: DataFrame, polygons: DataFrame, key: str = "contour_id"
     hops = cut_lineage(path_hops(contours, key).select(key, "hop", "x1", "y1", "x2", "y2"))
     shore = polygon_edges(polygons).select("x1", "y1", "x2", "y2").distinct()
     edges = _listed(shore, cell).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
-    met = _listed(hops, cell).join(edges, ["_cx", "_cy"])
+    # Catalyst takes the listed edges for one row per edge; they are merged, not broadcast.
+    met = _listed(hops, cell).join(edges.hint("merge"), ["_cx", "_cy"])
     cuts = met.select(key, "hop", F.explode(_meeting_points()).alias("t"))
     ends = hops.select(key, "hop", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     ordered = Window.partitionBy(key, "hop").orderBy("t")

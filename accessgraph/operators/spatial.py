@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
 from accessgraph.operators.windows import previous_row
-from accessgraph.session import cut_lineage
+from accessgraph.session import cut_lineage, written
 
 CELL_DEG, SAMPLE_DEG = 0.25, 0.004
 # Edges in a row of the index; how often a cell is split or merged at most.
@@ -50,6 +50,11 @@ def _no_edges() -> Column:
     return F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the land. Catalyst does not foresee how many cells an edge is listed under."""
+    return df.hint("merge")
+
+
 def _at(value: Column, cell: float, scale: Column | float) -> Column:
     """Number of the cell of a side of ``cell / scale`` degrees; a power of two halves cells exactly."""
     return F.floor(value / F.lit(cell) * scale).cast("long")
@@ -69,12 +74,12 @@ def _parities(edges: DataFrame, wanted: DataFrame, cell: float, level: int) -> D
     if level:
         rough = wanted.select(*SHAPE, "ring", F.shiftright("cx", level).alias("_bx")).distinct()
         crossing = crossing.withColumn("_bx", F.explode(F.sequence(F.shiftright(first, level), F.shiftright(last, level))))
-        crossing = crossing.join(rough, [*SHAPE, "ring", "_bx"], "left_semi")
+        crossing = crossing.join(_large(rough), [*SHAPE, "ring", "_bx"], "left_semi")
         first = F.greatest(first, F.shiftleft("_bx", level))
         last = F.least(last, F.shiftleft(F.col("_bx") + 1, level) - 1)
     ends = crossing.select(*SHAPE, "ring", F.explode(F.sequence(first, last)).alias("cx"), _at(east_end, cell, scale).alias("cy"))
     if level:
-        ends = ends.join(wanted.select(*column).distinct(), column, "left_semi")
+        ends = ends.join(_large(wanted.select(*column).distinct()), column, "left_semi")
     rows = ends.withColumns({"_n": F.lit(1), "_w": F.lit(False)}).unionByName(
         wanted.select(*RING_CELL).withColumns({"_n": F.lit(0), "_w": F.lit(True)})
     )
@@ -96,7 +101,7 @@ def _squares(base: DataFrame, levels: int) -> DataFrame:
 
 def _merged(cells: DataFrame, squares: DataFrame) -> DataFrame:
     """Each square once, in place of the cells that fill it."""
-    raised = cells.join(squares, CELL, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    raised = cells.join(_large(squares), CELL, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
     corner = lambda c: F.expr(f"shiftleft(shiftright({c}, _k), _k) = {c}")
     return raised.where(corner("cx") & corner("cy")).select(
         *SHAPE, F.expr("shiftright(cx, _k)").alias("cx"), F.expr("shiftright(cy, _k)").alias("cy"), F.pow(F.lit(0.5), "_k").alias("scale"), "rings"
@@ -137,13 +142,13 @@ def index_polygons(
         .select(*RING_CELL)
     )
     count = lambda df: df.groupBy(*RING_CELL).agg(F.count(F.lit(1)).alias("n"))
-    base = _parities(edges, frame, cell, 0).join(count(held), RING_CELL, "left")
+    base = _parities(edges, frame, cell, 0).join(_large(count(held)), RING_CELL, "left")
     base = cut_lineage(base.where(F.col("odd") | F.col("n").isNotNull()))
 
     def listed(rings: DataFrame, held: DataFrame) -> DataFrame:
         """One row per cell with all rings that matter in it."""
         lists = held.groupBy(*RING_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-        both = rings.join(lists, RING_CELL, "left").withColumn("edges", F.coalesce("edges", _no_edges()))
+        both = rings.join(_large(lists), RING_CELL, "left").withColumn("edges", F.coalesce("edges", _no_edges()))
         cells = both.where(F.col("odd") | (F.size("edges") > 0)).groupBy(*CELL)
         made = cells.agg(F.sort_array(F.collect_list(F.struct("ring", "odd", "edges"))).alias("rings"))
         in_hole = F.exists("rings", lambda r: (r["ring"] > 0) & r["odd"] & (F.size(r["edges"]) == 0))
@@ -156,29 +161,29 @@ def index_polygons(
     split = not dense.isEmpty()
     if split:
         dense = cut_lineage(dense)
-        leaves, open_held = leaves.join(dense, CELL, "left_anti"), held.join(dense, CELL, "left_anti")
+        leaves, open_held = leaves.join(_large(dense), CELL, "left_anti"), held.join(_large(dense), CELL, "left_anti")
     cells = listed(leaves, open_held)
     parts = [_merged(cells, _squares(base, coarsest)) if coarsest else cells.withColumn("scale", F.lit(1.0))]
     while split and level < finest:
         level += 1
         scale = float(2**level)
         inside_parent = lambda v, p: (F.shiftright(v, 1) == F.col(p))
-        spread = held.join(dense, CELL, "left_semi").withColumnsRenamed({"cx": "_px", "cy": "_py"})
+        spread = held.join(_large(dense), CELL, "left_semi").withColumnsRenamed({"cx": "_px", "cy": "_py"})
         spread = spread.withColumn("cx", F.explode(F.filter(span("x1", "x2", scale), lambda v: inside_parent(v, "_px"))))
         spread = spread.withColumn("cy", F.explode(F.filter(span("y1", "y2", scale), lambda v: inside_parent(v, "_py"))))
         held = cut_lineage(spread.drop("_px", "_py"))
         pair = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
         children = dense.withColumn("cx", pair("cx")).withColumn("cy", pair("cy"))
         dense = cut_lineage(crowded(count(held))) if level < finest else dense.limit(0)
-        children = children.join(dense, CELL, "left_anti")
+        children = children.join(_large(dense), CELL, "left_anti")
         near = children.withColumns({"_bx": F.shiftright("cx", level), "_by": F.shiftright("cy", level)})
-        wanted = near.join(base.select(*SHAPE, "ring", F.col("cx").alias("_bx"), F.col("cy").alias("_by")), [*SHAPE, "_bx", "_by"])
+        wanted = near.join(_large(base.select(*SHAPE, "ring", F.col("cx").alias("_bx"), F.col("cy").alias("_by"))), [*SHAPE, "_bx", "_by"])
         wanted = cut_lineage(wanted.select(*RING_CELL))
-        made = listed(_parities(edges, wanted, cell, level), held.join(dense, CELL, "left_anti"))
+        made = listed(_parities(edges, wanted, cell, level), held.join(_large(dense), CELL, "left_anti"))
         parts.append(made.withColumn("scale", F.lit(scale)))
         split = not dense.isEmpty()
     boxes = shapes.select(*SHAPE, "west", "south", "east", "north")
-    return cut_lineage(reduce(DataFrame.unionByName, parts).join(boxes, SHAPE).drop("shape"))
+    return cut_lineage(reduce(DataFrame.unionByName, parts).join(_large(boxes), SHAPE).drop("shape"))
 
 
 def index_scales(index: DataFrame) -> list[float]:
@@ -221,14 +226,39 @@ def _meets(lon: Column, lat: Column, cell: float, scale: float) -> Column:
     )
 
 
+def land_cover(index: DataFrame) -> DataFrame:
+    """The rows of an index that decide whether a point is on any land.
+
+    A cell wholly on land counts once, whichever polygons fill it, and what else
+    is listed inside it cannot change the answer. So where polygons lie over each
+    other the cover is bounded by the area, not by their number.
+    """
+    rows = index.withColumn("_whole", ~F.exists("rings", lambda r: F.size(r["edges"]) > 0))
+    full = rows.where("_whole").dropDuplicates(["scale", "cx", "cy"])
+    kept = full.unionByName(rows.where(~F.col("_whole")))
+    squares = _large(full.select(*[F.col(c).alias(f"_{c}") for c in ("scale", "cx", "cy")]))
+    for scale in index_scales(index):
+        inside_of = lambda c: F.floor(F.col(c) * (F.lit(scale) / F.col("scale"))) == F.col(f"_{c}")
+        smaller = (F.col("scale") > scale) | ((F.col("scale") == scale) & ~F.col("_whole"))
+        kept = kept.join(squares.where(F.col("_scale") == scale), inside_of("cx") & inside_of("cy") & smaller, "left_anti")
+    return written(kept.drop("_whole"))
+
+
 def points_on_land(
     points: DataFrame, index: DataFrame, lon: str = "longitude", lat: str = "latitude", cell: float = CELL_DEG, off: bool = False
 ) -> DataFrame:
     """Points on land, or with ``off`` those that are not; one equality join per size of cell."""
+    return points_on_cover(points, land_cover(index), lon, lat, cell, off)
+
+
+def points_on_cover(
+    points: DataFrame, cover: DataFrame, lon: str = "longitude", lat: str = "latitude", cell: float = CELL_DEG, off: bool = False
+) -> DataFrame:
+    """The same with a cover that is made once and used several times."""
     where = F.lit(False)
-    for scale in index_scales(index):
+    for scale in index_scales(cover):
         met = _meets(F.col(lon).outer(), F.col(lat).outer(), cell, scale)
-        where = where | index.where(F.col("scale") == scale).where(met).exists()
+        where = where | cover.where(F.col("scale") == scale).where(met).exists()
     return points.where(~where if off else where)
 
 
@@ -256,7 +286,7 @@ def near_points(points: DataFrame, others: DataFrame, radius: float) -> DataFram
         & (F.col("_py") == F.col("_ty"))
         & geo.near_degrees(F.col("longitude"), F.col("latitude"), F.col("_lon"), F.col("_lat"), radius)
     )
-    return keyed.join(targets, test, "left_semi").drop("_px", "_py")
+    return keyed.join(_large(targets), test, "left_semi").drop("_px", "_py")
 
 
 def polygons_in_bbox(polygons: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
@@ -387,7 +417,7 @@ def depth_inside(points: DataFrame, index: DataFrame, edges: DataFrame, key: str
     ]
     held = reduce(DataFrame.unionByName, met, spots.withColumn("polygon_id", F.lit(None)).limit(0)).distinct()
     outline = _edge_cells(edges, reach)
-    near = _around(held, reach).join(outline, ["polygon_id", "_ex", "_ey"])
+    near = _around(held, reach).join(_large(outline), ["polygon_id", "_ex", "_ey"])
     gaps = near.groupBy(key, "polygon_id").agg(F.min(_distance()).alias("_d"))
     return (
         held.select(key, "polygon_id")
@@ -413,8 +443,9 @@ def nearest_water(
     """
     rings = int(math.floor(radius / step + 1e-9))
     index = index_polygons(polygons)
+    cover = land_cover(index)
     spots = points.select(key, "longitude", "latitude")
-    wet = points_on_land(spots, index, off=True).select(
+    wet = points_on_cover(spots, cover, off=True).select(
         key, F.col("longitude").alias("water_lon"), F.col("latitude").alias("water_lat")
     )
     depths = depth_inside(spots, index, polygon_edges(polygons), key, radius)
@@ -428,7 +459,7 @@ def nearest_water(
         last = F.least(F.col("_start") + outer, F.lit(rings))
         samples = ring_samples(left, F.col("_start") + inner, last, step)
         hit = cut_lineage(
-            points_on_land(samples, index, "_lon", "_lat", off=True)
+            points_on_cover(samples, cover, "_lon", "_lat", off=True)
             .groupBy(key)
             .agg(F.min_by(F.struct("_lon", "_lat"), F.struct("_ring", "_k")).alias("_w"))
             .select(key, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
@@ -462,7 +493,7 @@ def _distance() -> Column:
 def close_to_edges(points: DataFrame, edges: DataFrame, radius: float, key: str) -> DataFrame:
     """Points within ``radius`` of an edge."""
     cell = max(radius, CELL_DEG)
-    near = _around(points.select(key, "longitude", "latitude"), cell).join(_edge_cells(edges, cell), ["_ex", "_ey"])
+    near = _around(points.select(key, "longitude", "latitude"), cell).join(_large(_edge_cells(edges, cell)), ["_ex", "_ey"])
     return points.join(near.where(_distance() <= radius).select(key).distinct(), key, "left_semi")
 
 
@@ -514,7 +545,7 @@ def distance_to_edges(points: DataFrame, edges: DataFrame, key: str, cell: float
                 kept = kept.withColumn(c, F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3)))
             kept = kept.join(occupied(level - 1), ["_ex", "_ey"])
         cells = cut_lineage(kept)
-    return cells.join(listed, ["_ex", "_ey"]).groupBy(key).agg(F.min(_distance()).alias("distance_deg"))
+    return cells.join(_large(listed), ["_ex", "_ey"]).groupBy(key).agg(F.min(_distance()).alias("distance_deg"))
 
 
 def offshore_localities(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accessgraph.operators import gazetteer, search
+from accessgraph.operators import clipping, gazetteer, search, spatial
+from accessgraph.sources.features import polygon_rows
 
 
 def test_shadow_forms_are_not_broadcast(spark):
@@ -33,3 +34,38 @@ def test_hits_are_scored_per_query_text(spark):
     assert plan.count("strategy=merge") == 2
     assert "windowspecdefinition(q#" in plan
     assert sorted((r.query_id, r.global_id, r.position) for r in hits.collect()) == [(i, "a", 1) for i in range(5)]
+
+
+def test_cover_does_not_grow_with_repeated_land(spark):
+    """Many polygons over each other: a cell wholly on land counts once, and the answer stays."""
+    box = lambda w, s: [[{"lon": w, "lat": s}, {"lon": w + 2.1, "lat": s}, {"lon": w + 2.1, "lat": s + 2.1}, {"lon": w, "lat": s + 2.1}]]
+
+    def land(n):
+        rows = [(i, box(-50.0 + 0.05 * i, 60.0 + 0.05 * i)) for i in range(n)]
+        return polygon_rows(spark.createDataFrame(rows, "polygon_id long, rings array<array<struct<lon:double,lat:double>>>"))
+
+    points = spark.createDataFrame([(i, -50.5 + i * 0.07, 61.0) for i in range(60)], "i int, longitude double, latitude double")
+    index = spatial.index_polygons(land(20))
+    cover = spatial.land_cover(index)
+    assert cover.count() < index.count()
+    whole = cover.where("forall(rings, r -> size(r.edges) = 0)")
+    assert whole.count() == whole.select("scale", "cx", "cy").distinct().count()
+    found = {r.i for r in spatial.points_on_land(points, index).collect()}
+    assert found == {i for i in range(60) if -50.0 < -50.5 + i * 0.07 < -50.0 + 0.95 + 2.1}
+
+
+def test_shore_cells_are_not_broadcast(spark, monkeypatch):
+    joined = []
+    plain = clipping._listed
+    monkeypatch.setattr(clipping, "_listed", lambda *a: joined.append(plain(*a)) or joined[-1])
+    rows = [(1, [[{"lon": -50.0, "lat": 60.0}, {"lon": -49.0, "lat": 60.0}, {"lon": -49.0, "lat": 61.0}, {"lon": -50.0, "lat": 61.0}]])]
+    land = polygon_rows(spark.createDataFrame(rows, "polygon_id long, rings array<array<struct<lon:double,lat:double>>>"))
+    line = spark.createDataFrame(
+        [(1, [{"lon": -50.5, "lat": 60.3}, {"lon": -48.5, "lat": 60.3}])], "contour_id int, coordinates array<struct<lon:double,lat:double>>"
+    )
+    hints = []
+    frame = type(line)
+    monkeypatch.setattr(frame, "hint", lambda self, name, real=frame.hint: hints.append((name, "_cx" in self.columns)) or real(self, name))
+    pieces = clipping.cut_pieces(line, land)
+    assert ("merge", True) in hints and len(joined) == 2
+    assert [(r.on_land) for r in pieces.orderBy("t0").collect()] == [False, True, False]
