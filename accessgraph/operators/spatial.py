@@ -298,6 +298,9 @@ def polygons_in_bbox(polygons: DataFrame, bbox: tuple[float, float, float, float
 # --- segments and paths ------------------------------------------------------------
 
 
+ENDS = ["x1", "y1", "x2", "y2"]
+
+
 def segment_samples(segments: DataFrame, step: float = SAMPLE_DEG) -> DataFrame:
     """Sample points of each segment, both ends included, at least two steps."""
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
@@ -314,11 +317,17 @@ def segment_samples(segments: DataFrame, step: float = SAMPLE_DEG) -> DataFrame:
 
 def segments_on_land(segments: DataFrame, index: DataFrame, key: str = "segment_id", step: float = SAMPLE_DEG) -> DataFrame:
     """Segments with ``crosses_land``: any sample is on land."""
-    samples = segment_samples(segments.select(key, "x1", "y1", "x2", "y2"), step)
-    hits = points_on_land(samples, index).select(key).distinct().withColumn("crosses_land", F.lit(True))
+    hits = _keys_on_land(segments.select(key, *ENDS), index, key, step)
     return segments.join(hits, key, "left").withColumn("crosses_land", F.coalesce("crosses_land", F.lit(False)))
 
 
+def _keys_on_land(segments: DataFrame, index: DataFrame, key: str, step: float = SAMPLE_DEG) -> DataFrame:
+    """(key, crosses_land): keys of the segments with a sample on land. Segments in the same place are sampled once."""
+    lines = cut_lineage(segments.select(*ENDS).distinct())
+    dry = points_on_land(segment_samples(lines, step), index).select(*ENDS).distinct()
+    return segments.join(cut_lineage(dry), ENDS, "left_semi").select(key).distinct().withColumn("crosses_land", F.lit(True))
+
+
 def path_hops(paths: DataFrame, key: str = "path_id") -> DataFrame:
     """One row per hop of each path (array of (lon, lat)), with its position and the hop count."""
     hops = F.transform(
@@ -342,7 +351,7 @@ def paths_on_land(paths: DataFrame, index: DataFrame, key: str = "path_id", exem
     hops = path_hops(paths, key)
     if exempt_ends:
         hops = hops.where((F.col("hop") > 0) & (F.col("hop") < F.col("hops") - 1))
-    hit = points_on_land(segment_samples(hops), index).select(key).distinct().withColumn("crosses_land", F.lit(True))
+    hit = _keys_on_land(hops.select(key, *ENDS), index, key)
     return paths.select(key).join(hit, key, "left").withColumn("crosses_land", F.coalesce("crosses_land", F.lit(False)))
 
 
