@@ -295,6 +295,17 @@ def polygons_in_bbox(polygons: DataFrame, bbox: tuple[float, float, float, float
     return polygons.where(geo.bbox_overlap(mine, box, touching=True))
 
 
+def circle_vertices(rows: DataFrame, lat: Column, lon: Column, radius_m: Column, steps: int = geo.CIRCLE_STEPS) -> DataFrame:
+    """The rows of :func:`geo.circle_ring`: one per vertex, with its number ``i`` and place ``_v``.
+
+    Numbers are exploded before the places are computed: a function inside an
+    array is interpreted, and a row's columns are compiled.
+    """
+    radius = F.greatest(radius_m, F.lit(1.0))
+    spread = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    return spread.withColumn("_v", geo.destination(lat, lon, F.col("i").cast("double") * (360.0 / steps), radius))
+
+
 # --- segments and paths ------------------------------------------------------------
 
 

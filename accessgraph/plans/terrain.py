@@ -78,8 +78,8 @@ SQL_RING_Y = "asin(sin(radians(latitude)) * cos(d) + cos(radians(latitude)) * si
 )
 def _(spark, sf):
     """All vertices of the ring around every feature."""
-    ring = geo.circle_ring(F.col("latitude"), F.col("longitude"), (F.col("record_id") % 500).cast("double"))
-    rows = view(spark, sf, "v_features").select("record_id", F.posexplode(ring).alias("i", "_v"))
+    features = view(spark, sf, "v_features").withColumn("_radius", (F.col("record_id") % 500).cast("double"))
+    rows = spatial.circle_vertices(features, F.col("latitude"), F.col("longitude"), F.col("_radius"))
     return rows.select("record_id", "i", F.round("_v.latitude", 6).alias("y"), F.round("_v.longitude", 6).alias("x"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from accessgraph.functions import geo
 from accessgraph.operators import spatial
 from accessgraph.sources.features import polygon_rows
 
@@ -40,3 +42,12 @@ def test_equal_segments_are_sampled_once(spark, land, rows_into):
     got = spatial.paths_on_land(paths, spatial.index_polygons(land), exempt_ends=False).collect()
     assert sorted((r.path_id, r.crosses_land) for r in got) == [(i, i % 2 == 1) for i in range(10)]
     assert sampled == [2, 2]
+
+
+def test_circle_rows_are_the_ring(spark):
+    rows = spark.createDataFrame([(1, -50.0, 64.0, 300.0), (2, 179.999, 70.0, 0.0)], "k int, lon double, lat double, r double")
+    made = spatial.circle_vertices(rows, F.col("lat"), F.col("lon"), F.col("r"))
+    ring = rows.select("k", F.posexplode(geo.circle_ring(F.col("lat"), F.col("lon"), F.col("r"))).alias("i", "_v"))
+    flat = lambda df: sorted((r.k, r.i, round(r._v.longitude, 9), round(r._v.latitude, 9)) for r in df.select("k", "i", "_v").collect())
+    assert flat(made) == flat(ring) and made.count() == 2 * 65
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
