@@ -457,21 +457,26 @@ def nearest_water(
 ) -> DataFrame:
     """(key, water_lon, water_lat): the point itself on water, else the first sample of the innermost ring with water.
 
-    A point starts at the first ring that can leave the polygon it is deepest
-    in. Rings are tried in stages from there, and a point that found water
-    takes no part in the next stage.
+    Every position is searched once, however many points share it. It starts at
+    the first ring that can leave the polygon it is deepest in and reach a cell
+    that is not wholly land; without such a cell there is no water to find.
+    Rings are tried in stages from there, and a position that found water takes
+    no part in the next stage.
     """
     rings = int(math.floor(radius / step + 1e-9))
     index = index_polygons(polygons)
     cover = land_cover(index)
-    spots = points.select(key, "longitude", "latitude")
-    wet = points_on_cover(spots, cover, off=True).select(
-        key, F.col("longitude").alias("water_lon"), F.col("latitude").alias("water_lat")
+    places = distinct_places(points)
+    wet = cut_lineage(
+        points_on_cover(places, cover, off=True).select(
+            SPOT, F.col("longitude").alias("water_lon"), F.col("latitude").alias("water_lat")
+        )
     )
-    depths = depth_inside(spots, index, polygon_edges(polygons), key, radius)
+    near = cut_lineage(_open_gaps(places.join(wet.select(SPOT), SPOT, "left_anti"), cover, radius))
+    depths = depth_inside(near, index, polygon_edges(polygons), SPOT, radius)
     # One ring of slack keeps rounding of the depth from skipping a ring.
-    start = F.greatest(F.lit(1), F.floor(F.col("depth") / F.lit(step)).cast("int"))
-    left = cut_lineage(spots.join(depths, key).withColumn("_start", start).drop("depth"))
+    start = F.greatest(F.lit(1), F.floor(F.greatest("depth", "gap") / F.lit(step)).cast("int"))
+    left = cut_lineage(near.join(depths, SPOT).withColumn("_start", start).drop("depth", "gap"))
     found = [wet]
     bounds = [*stages, rings]
     for i, outer in enumerate(bounds):
@@ -480,16 +485,44 @@ def nearest_water(
         samples = ring_samples(left, F.col("_start") + inner, last, step)
         hit = cut_lineage(
             points_on_cover(samples, cover, "_lon", "_lat", off=True)
-            .groupBy(key)
+            .groupBy(SPOT)
             .agg(F.min_by(F.struct("_lon", "_lat"), F.struct("_ring", "_k")).alias("_w"))
-            .select(key, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
+            .select(SPOT, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
         )
         found.append(hit)
-        left = cut_lineage(left.join(hit.select(key), key, "left_anti"))
+        left = cut_lineage(left.join(hit.select(SPOT), SPOT, "left_anti"))
         if left.isEmpty():
             break
-    dry = left.select(key, F.lit(None).cast("double").alias("water_lon"), F.lit(None).cast("double").alias("water_lat"))
-    return reduce(DataFrame.unionByName, found, dry)
+    met = places.join(reduce(DataFrame.unionByName, found), SPOT, "left").drop(SPOT)
+    return at_places(points, met).select(key, "water_lon", "water_lat")
+
+
+SPOT = "_spot"
+
+
+def distinct_places(points: DataFrame) -> DataFrame:
+    """(_spot, longitude, latitude): every position once."""
+    places = points.select("longitude", "latitude").distinct()
+    return cut_lineage(places.withColumn(SPOT, F.monotonically_increasing_id()))
+
+
+def at_places(points: DataFrame, met: DataFrame) -> DataFrame:
+    """Points with what was found at their position; those of no row in ``met`` are left out. Points are never broadcast."""
+    met = met.withColumnsRenamed({"longitude": "_x", "latitude": "_y"})
+    return _large(points).join(met, F.col("longitude").eqNullSafe(F.col("_x")) & F.col("latitude").eqNullSafe(F.col("_y"))).drop("_x", "_y")
+
+
+def _open_gaps(places: DataFrame, cover: DataFrame, reach: float, cell: float = CELL_DEG) -> DataFrame:
+    """Places with ``gap``, the distance to the nearest cell not wholly on land; those without one within ``reach`` are left out."""
+    whole = cover.where((F.col("scale") <= 1) & ~F.exists("rings", lambda r: F.size(r["edges"]) > 0))
+    side = (1 / F.col("scale")).cast("long")
+    cells = lambda c: F.explode(F.sequence(F.col(c) * side, F.col(c) * side + side - 1))
+    full = whole.select("scale", cells("cx").alias("_ex"), "cy").select("_ex", cells("cy").alias("_ey")).distinct()
+    span = lambda c: F.explode(F.sequence(_at(F.col(c) - reach, cell, 1.0), _at(F.col(c) + reach, cell, 1.0)))
+    around = places.withColumn("_ex", span("longitude")).withColumn("_ey", span("latitude"))
+    near, _ = _cell_bounds(cell)
+    gaps = around.join(_large(full), ["_ex", "_ey"], "left_anti").withColumn("gap", near)
+    return gaps.where(F.col("gap") <= reach).groupBy(*places.columns).agg(F.min("gap").alias("gap"))
 
 
 def _edge_cells(edges: DataFrame, cell: float) -> DataFrame:

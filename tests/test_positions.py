@@ -44,6 +44,17 @@ def test_equal_segments_are_sampled_once(spark, land, rows_into):
     assert sampled == [2, 2]
 
 
+def test_water_is_searched_once_per_position(spark, land, rows_into):
+    searched = rows_into(spatial, "depth_inside")
+    spots = [(i, 0.05 if i % 2 else -0.5, 0.5) for i in range(10)] + [(10, None, 0.5)]
+    points = spark.createDataFrame(spots, "point_id int, longitude double, latitude double")
+    got = {r.point_id: r.water_lon for r in spatial.nearest_water(points, land).collect()}
+    assert len(got) == 11 and got[10] is None
+    assert {got[i] for i in range(0, 10, 2)} == {-0.5}
+    assert len({got[i] for i in range(1, 10, 2)}) == 1 and got[1] < 0.0
+    assert searched == [1]
+
+
 def test_circle_rows_are_the_ring(spark):
     rows = spark.createDataFrame([(1, -50.0, 64.0, 300.0), (2, 179.999, 70.0, 0.0)], "k int, lon double, lat double, r double")
     made = spatial.circle_vertices(rows, F.col("lat"), F.col("lon"), F.col("r"))
