@@ -604,9 +604,11 @@ def distance_to_edges(points: DataFrame, edges: DataFrame, key: str, cell: float
 def offshore_localities(
     places: DataFrame, polygons: DataFrame, key: str = "global_id", tolerance: float = LAND_TOLERANCE_DEG
 ) -> DataFrame:
-    """Localities that are neither on land nor within the tolerance of it, with the distance."""
-    afloat = points_on_land(places.where("is_locality"), index_polygons(polygons), off=True)
+    """Localities that are neither on land nor within the tolerance of it, with the distance; one search per position."""
+    localities = places.where("is_locality")
+    afloat = points_on_land(distinct_places(localities), index_polygons(polygons), off=True)
     edges = polygon_edges(polygons)
-    shore = close_to_edges(afloat, edges, tolerance, key).select(key)
-    far = cut_lineage(afloat.join(shore, key, "left_anti"))
-    return far.join(distance_to_edges(far, edges, key), key).withColumn("km", F.col("distance_deg") * KM_PER_DEG)
+    shore = close_to_edges(afloat, edges, tolerance, SPOT).select(SPOT)
+    far = cut_lineage(afloat.join(shore, SPOT, "left_anti"))
+    met = far.join(distance_to_edges(far, edges, SPOT), SPOT).drop(SPOT)
+    return at_places(localities, met).withColumn("km", F.col("distance_deg") * KM_PER_DEG)

@@ -44,6 +44,15 @@ def test_equal_segments_are_sampled_once(spark, land, rows_into):
     assert sampled == [2, 2]
 
 
+def test_offshore_positions_are_measured_once(spark, land, rows_into):
+    measured = rows_into(spatial, "distance_to_edges")
+    spots = [(f"g{i}", True, 2.0 if i % 2 else 0.5, 0.5) for i in range(10)]
+    places = spark.createDataFrame(spots, "global_id string, is_locality boolean, longitude double, latitude double")
+    got = {r.global_id: r.km for r in spatial.offshore_localities(places, land).collect()}
+    assert got == {f"g{i}": pytest.approx(111.0) for i in range(1, 10, 2)}
+    assert measured == [1]
+
+
 def test_water_is_searched_once_per_position(spark, land, rows_into):
     searched = rows_into(spatial, "depth_inside")
     spots = [(i, 0.05 if i % 2 else -0.5, 0.5) for i in range(10)] + [(10, None, 0.5)]
