@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
 from accessgraph.operators.spatial import (
+    SPOT,
+    at_places,
     close_to_edges,
+    distinct_places,
     index_polygons,
     path_hops,
     points_on_land,
@@ -414,11 +417,11 @@ def contour_samples(contours: DataFrame, key: str = "contour_id") -> DataFrame:
 
 
 def clip_audit(contours: DataFrame, polygons: DataFrame, key: str = "contour_id", epsilon_m: float = INSIDE_EPSILON_M) -> DataFrame:
-    """Contour points truly inside land: on land and farther than the epsilon from every shore."""
-    samples = contour_samples(contours, key).withColumn("_key", F.struct(key, "at"))
-    wet_feet = points_on_land(samples, index_polygons(polygons))
-    on_shore = close_to_edges(wet_feet, polygon_edges(polygons), epsilon_m / METRES_PER_DEG, "_key").select("_key")
-    return wet_feet.join(on_shore, "_key", "left_anti").drop("_key")
+    """Contour points truly inside land: on land and farther than the epsilon from every shore; one search per position."""
+    samples = contour_samples(contours, key)
+    wet_feet = points_on_land(distinct_places(samples), index_polygons(polygons))
+    on_shore = close_to_edges(wet_feet, polygon_edges(polygons), epsilon_m / METRES_PER_DEG, SPOT).select(SPOT)
+    return at_places(samples, cut_lineage(wet_feet.join(on_shore, SPOT, "left_anti").drop(SPOT)))
 
 
 def band_audit(bands: DataFrame, land: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
-from accessgraph.operators import spatial
+from accessgraph.operators import grids, spatial
 from accessgraph.sources.features import polygon_rows
 
 SQUARE = [[{"lon": 0.0, "lat": 0.0}, {"lon": 1.0, "lat": 0.0}, {"lon": 1.0, "lat": 1.0}, {"lon": 0.0, "lat": 1.0}]]
@@ -53,6 +53,18 @@ def test_offshore_positions_are_measured_once(spark, land, rows_into):
     assert measured == [1]
 
 
+def test_audited_positions_are_searched_once(spark, land, rows_into):
+    searched = rows_into(grids, "close_to_edges")
+    line = [(0.5, 0.5), (0.5, 0.6)]
+    contours = spark.createDataFrame([(i, line) for i in range(10)], "contour_id int, coordinates array<struct<lon:double,lat:double>>")
+    audit = grids.clip_audit(contours, land, epsilon_m=600.0)
+    assert "leftHint=(strategy=merge)" in audit._jdf.queryExecution().optimizedPlan().toString()
+    bad = audit.groupBy("contour_id").count().collect()
+    per_line = grids.contour_samples(contours.limit(1), "contour_id").count()
+    assert sorted(map(tuple, bad)) == [(i, per_line) for i in range(10)]
+    assert searched == [per_line]
+
+
 def test_water_is_searched_once_per_position(spark, land, rows_into):
     searched = rows_into(spatial, "depth_inside")
     spots = [(i, 0.05 if i % 2 else -0.5, 0.5) for i in range(10)] + [(10, None, 0.5)]
