@@ -44,6 +44,14 @@ def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> Co
     return F.struct(to_lon.alias("longitude"), F.degrees(F.asin(sin_to)).alias("latitude"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``F.round``, without a decimal per value where scaled numbers have room for halves."""
+    scale = F.lit(10.0**digits)
+    whole = F.floor(F.abs(value) * scale + 0.5)
+    small = F.abs(value) < 2.0**51 / 10.0**digits
+    return F.when(small, F.when(value < 0, -whole).otherwise(whole) / scale).otherwise(F.round(value, digits))
+
+
 def circle_ring(lat: Column, lon: Column, radius_m: Column, steps: int = CIRCLE_STEPS) -> Column:
     """Closed ring of points around a fix; the radius is at least one metre."""
     radius = F.greatest(_col(radius_m), F.lit(1.0))

@@ -80,7 +80,7 @@ def _(spark, sf):
     """All vertices of the ring around every feature."""
     features = view(spark, sf, "v_features").withColumn("_radius", (F.col("record_id") % 500).cast("double"))
     rows = spatial.circle_vertices(features, F.col("latitude"), F.col("longitude"), F.col("_radius"))
-    return rows.select("record_id", "i", F.round("_v.latitude", 6).alias("y"), F.round("_v.longitude", 6).alias("x"))
+    return rows.select("record_id", "i", geo.rounded(F.col("_v.latitude"), 6).alias("y"), geo.rounded(F.col("_v.longitude"), 6).alias("x"))
 
 
 @query(

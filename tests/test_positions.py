@@ -83,3 +83,11 @@ def test_circle_rows_are_the_ring(spark):
     flat = lambda df: sorted((r.k, r.i, round(r._v.longitude, 9), round(r._v.latitude, 9)) for r in df.select("k", "i", "_v").collect())
     assert flat(made) == flat(ring) and made.count() == 2 * 65
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounded_is_round(spark):
+    rows = spark.range(20_000).select(((F.col("id") * 7919 - 70_000_000) / 1_000_003.0).alias("v")).unionByName(
+        spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (3e15,), (0.0,), (-0.0000004,), (-73.999999,)], "v double")
+    )
+    same = geo.rounded(F.col("v"), 6).eqNullSafe(F.round("v", 6))
+    assert rows.where(~same).select("v", geo.rounded(F.col("v"), 6)).collect() == []
