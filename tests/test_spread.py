@@ -41,3 +41,6 @@ def test_hits_of_many_equal_queries_are_not_shuffled(spark):
         assert len(hits.collect()) == 200 * 300 and shuffled_rows(hits) <= 300 * 64
     first = token_index.prefix_search_many(t, queries, limit=2)
     assert {(r.place_id, r.position) for r in first.collect()} == {("plc_0", 1), ("plc_1", 2)} and first.count() == 600
+    land = spark.range(200).selectExpr("id record_id", "'Nuuk' official_name", "'' danish_name", "'' old_official_name", "'' municipality_name")
+    found = token_index.unaccent_search_many(land, queries)
+    assert len(found.collect()) == 200 * 300 and shuffled_rows(found) <= 300 * 64
