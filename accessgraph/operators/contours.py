@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessgraph.session import cut_lineage
+from accessgraph.session import written
 
 # Corners of a square of four cell centres, clockwise in (row, col) steps; side i runs from corner i to the next.
 CORNERS = ((0, 0), (0, 1), (1, 1), (1, 0))
@@ -98,7 +98,9 @@ def _ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every node jumps to where its target jumps to, so the number of rounds is
     the logarithm of the longest line. ``low`` is the least id passed over. A
     round that finds no head and changes no ``low`` is the last: what is left
-    goes round in rings, and each node knows the least id of its ring.
+    goes round in rings, and each node knows the least id of its ring. Rounds go
+    on from tables: checkpoints add up the partitions and plans of all rounds,
+    and each late round takes twice the time of the one before.
     """
     nobody = F.lit(None).cast("long")
     state = nodes.select(
@@ -108,11 +110,11 @@ def _ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("steps"),
         F.col("id").alias("low"),
     )
-    state = cut_lineage(state.withColumn("changed", F.col("prev").isNotNull()))
+    state = written(state.withColumn("changed", F.col("prev").isNotNull()))
     while not state.where("changed").isEmpty():
         live, target = state.where(F.col("prev").isNotNull()), state.select(*[F.col(c).alias(f"_{c}") for c in ("id", "prev", "head", "steps", "low")])
         least = F.least("low", "_low")
-        moved = live.join(target, F.col("prev") == F.col("_id")).select(
+        moved = live.join(target.hint("merge"), F.col("prev") == F.col("_id")).select(
             "id",
             F.col("_prev").alias("prev"),
             F.col("_head").alias("head"),
@@ -121,7 +123,7 @@ def _ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             (F.col("_prev").isNull() | (least != F.col("low"))).alias("changed"),
         )
         done = state.where(F.col("prev").isNull()).withColumn("changed", F.lit(False))
-        state = cut_lineage(done.unionByName(moved))
+        state = written(done.unionByName(moved))
     return state.where(F.col("prev").isNull()).select("id", "head", "steps"), state.where(F.col("prev").isNotNull()).select("id", "low")
 
 
@@ -133,15 +135,15 @@ def contour_lines(grid: DataFrame, levels: Sequence[float], value: str = "elev")
     first vertex. Every segment lies between two neighbouring positions of one
     line. No line is gathered in a task, so its length is not bounded.
     """
-    segments = cut_lineage(contour_segments(grid, levels, value))
+    segments = written(contour_segments(grid, levels, value))
     starts = segments.select(F.col("a").alias("id"), "level", F.col("x1").alias("x"), F.col("y1").alias("y"))
     ends = segments.select(F.col("b").alias("id"), "level", F.col("x2").alias("x"), F.col("y2").alias("y"))
     places = starts.unionByName(ends).groupBy("id").agg(*[F.min(c).alias(c) for c in ("level", "x", "y")])
     before = segments.select(F.col("b").alias("id"), F.col("a").alias("prev"))
-    nodes = cut_lineage(places.select("id").join(before, "id", "left"))
+    nodes = written(places.select("id").join(before, "id", "left"))
     ranked, rings = _ranked(nodes)
     lines = ranked.withColumn("closed", F.lit(False))
-    rings = cut_lineage(rings)
+    rings = written(rings)
     if not rings.isEmpty():
         opened = nodes.join(rings, "id").select("id", F.when(F.col("id") != F.col("low"), F.col("prev")).alias("prev"))
         chained = _ranked(opened)[0]

@@ -86,3 +86,12 @@ def test_long_straight_line_and_nothing(spark):
         rows, lines = check(spark, slope, (sign * 0.5,))
         assert len(lines) == 1 and len(rows) == 300 and not rows[0]["closed"]
     assert contours.contour_lines(frame(spark, slope), (99.0,)).count() == 0
+
+
+def test_rounds_go_on_from_tables(spark):
+    """Ten rounds over one line: no round's partitions or plan are carried on to the next."""
+    n = 600
+    nodes = spark.range(n).selectExpr("id", "if(id > 0, id - 1, null) prev")
+    ranked, rings = contours._ranked(nodes)
+    assert "LogicalRDD" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.head, r.steps) for r in ranked.collect()) == [(i, 0, i) for i in range(n)] and rings.isEmpty()
