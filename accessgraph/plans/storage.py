@@ -208,7 +208,7 @@ def _(spark, sf):
 def _(spark, sf):
     root, t = _folder(spark), domain_tables(spark, sf)
     for name in TABLES:
-        sinks.write_ndjson(t[name], f"{root}/{records.file_name(name)}")
+        sinks.write_ndjson(t[name], f"{root}/{records.file_name(name)}", compression="gzip", lines_per_file=500_000)
     out = None
     for name, df in records.load_tables(spark, root).items():
         row = df.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))

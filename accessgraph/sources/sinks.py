@@ -18,8 +18,9 @@ def to_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), SHOWN_NULLS).alias("value"))
 
 
-def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    to_lines(df).write.mode(mode).text(path)
+def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none", lines_per_file: int = 0) -> None:
+    """NDJSON part files. Packed ones cannot be split by readers, so ``lines_per_file`` keeps each small; 0 sets no bound."""
+    to_lines(df).write.mode(mode).option("maxRecordsPerFile", lines_per_file).text(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -112,3 +113,14 @@ def test_package_digests_of_any_number_of_files(spark):
     checked = {r["id"]: r["digest_ok"] for r in integrity.verify_aggregate(stated, spread).collect()}
     assert checked == {"large": True, "none": True, "small1": False}
     assert integrity.aggregate_digests(rows.limit(0)).count() == 0
+
+
+def test_packed_ndjson_is_small_files_and_reads_back(spark, folder):
+    """Every row is written; a reader gets many small packed files instead of one that it cannot split."""
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "concat('plc_', id) name", "repeat('x', 200) filler")
+    sinks.write_ndjson(rows, f"{folder}/plain")
+    sinks.write_ndjson(rows, f"{folder}/packed", compression="gzip", lines_per_file=1000)
+    size = lambda kind: [f.stat().st_size for f in Path(f"{folder}/{kind}").glob("part-*")]
+    assert len(size("packed")) == 5 and sum(size("packed")) * 5 < sum(size("plain"))
+    back = records.read_records(spark, f"{folder}/packed", rows.schema)
+    assert back.exceptAll(rows).isEmpty() and back.count() == 5000
