@@ -14,7 +14,7 @@ def shuffled_rows(df):
     nodes, most = [df._jdf.queryExecution().executedPlan()], 0
     while nodes:
         node = nodes.pop()
-        if "ShuffleQueryStage" in node.nodeName():
+        if node.nodeName().endswith("QueryStage"):
             node = node.plan()
         if node.nodeName() == "AdaptiveSparkPlan":
             nodes.append(node.executedPlan())
