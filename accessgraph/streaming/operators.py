@@ -7,7 +7,7 @@ folds the written rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions.dates import is_stale
@@ -78,22 +78,30 @@ def overlapping_islands(islands: DataFrame) -> DataFrame:
 
 
 def combine_trip_islands(islands: DataFrame, gap_sec: float = GAP_SEC) -> DataFrame:
-    """Whole-trip totals from the runs of all micro-batches; hops between neighbouring runs are added here."""
+    """Whole-trip totals from the runs of all micro-batches; hops between neighbouring runs are added here.
+
+    The runs of a chunk are folded to one row first, so only those rows meet by trip.
+    """
+    counts = [f"{q}_count" for q in ("rejected", "weak", "good")]
+
+    def folded(rows: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
+        linked = rows.withColumn("_prev", F.lag("last").over(Window.partitionBy("trip_id", *keys).orderBy(order)))
+        both_kept = (F.col("_prev.quality") != "rejected") & (F.col("first.quality") != "rejected")
+        hop = haversine_m(F.col("_prev.latitude"), F.col("_prev.longitude"), F.col("first.latitude"), F.col("first.longitude"))
+        gap = (F.col("first.micros") - F.col("_prev.micros")) / 1e6
+        return linked.groupBy("trip_id", *keys).agg(
+            *more,
+            F.sum("point_count").alias("point_count"),
+            (F.sum("distance_m") + F.coalesce(F.sum(F.when(both_kept, hop)), F.lit(0.0))).alias("distance_m"),
+            F.greatest(
+                F.max("largest_gap_sec"), F.coalesce(F.max(F.when(gap > gap_sec, gap)), F.lit(0.0))
+            ).alias("largest_gap_sec"),
+            *[F.sum(c).alias(c) for c in counts],
+        )
+
     ordered = islands.withColumn("_from", F.col("first.sequence"))
-    linked = previous_row(ordered, ["trip_id"], ["_from"], F.col("chunk"), ["last"])
-    both_kept = (F.col("prev.last.quality") != "rejected") & (F.col("first.quality") != "rejected")
-    hop = haversine_m(
-        F.col("prev.last.latitude"), F.col("prev.last.longitude"), F.col("first.latitude"), F.col("first.longitude")
-    )
-    gap = (F.col("first.micros") - F.col("prev.last.micros")) / 1e6
-    return linked.groupBy("trip_id").agg(
-        F.sum("point_count").alias("point_count"),
-        (F.sum("distance_m") + F.coalesce(F.sum(F.when(both_kept, hop)), F.lit(0.0))).alias("distance_m"),
-        F.greatest(
-            F.max("largest_gap_sec"), F.coalesce(F.max(F.when(gap > gap_sec, gap)), F.lit(0.0))
-        ).alias("largest_gap_sec"),
-        *[F.sum(f"{q}_count").alias(f"{q}_count") for q in ("rejected", "weak", "good")],
-    )
+    ends = [F.min_by("first", "_from").alias("first"), F.max_by("last", "_from").alias("last")]
+    return folded(folded(ordered, ["chunk"], "_from", *ends), [], "chunk")
 
 
 def stream_segments(points: DataFrame, gap: str = f"{GAP_SEC} seconds", lateness: str = LATENESS) -> DataFrame:

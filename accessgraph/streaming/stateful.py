@@ -11,15 +11,15 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accessgraph.functions.geo import haversine_m
 from accessgraph.operators.tracks import CHUNK, GAP_SEC
 from accessgraph.operators.windows import previous_row, running_max
-from accessgraph.session import cut_lineage, durable_dir
-from accessgraph.streaming.operators import combine_trip_islands, trip_islands
+from accessgraph.session import cut_lineage, durable_dir, written
+from accessgraph.streaming.operators import combine_trip_islands
 from accessgraph.streaming.sinks import BATCH
 
 Outputs = dict[str, DataFrame]
@@ -171,17 +171,31 @@ RUNS = T.StructType(
 )
 
 
+def point_runs(points: DataFrame, chunk: int) -> DataFrame:
+    """Every point as a run of its own; :func:`joined_runs` joins them with the runs before in one pass."""
+    part = F.floor(F.col("sequence") / F.lit(chunk)).cast("long")
+    micros = F.unix_micros(F.col("recorded_at").cast("timestamp"))
+    point = F.struct("sequence", "latitude", "longitude", "quality", micros.alias("micros"))
+    return points.select(
+        "trip_id", part.alias("chunk"), point.alias("first"), point.alias("last"), F.lit(1).cast("long").alias("point_count"),
+        F.lit(0.0).alias("distance_m"), F.lit(0.0).alias("largest_gap_sec"),
+        *[F.coalesce((F.col("quality") == q).cast("long"), F.lit(0)).alias(f"{q}_count") for q in ("rejected", "weak", "good")],
+    )
+
+
 def joined_runs(runs: DataFrame, gap_sec: float = GAP_SEC) -> DataFrame:
     """Runs that follow each other without a missing number, as one, with the hop between them."""
-    ordered = runs.withColumn("_from", F.col("first.sequence"))
-    seen = previous_row(ordered, ["trip_id", "chunk"], ["_from"], F.lit(0), ["last"])
-    follows = F.coalesce(F.col("prev.last.sequence") + 1 == F.col("_from"), F.lit(False))
-    kept = follows & (F.col("prev.last.quality") != "rejected") & (F.col("first.quality") != "rejected")
-    hop = haversine_m(F.col("prev.last.latitude"), F.col("prev.last.longitude"), F.col("first.latitude"), F.col("first.longitude"))
-    gap = F.when(follows, (F.col("first.micros") - F.col("prev.last.micros")) / 1e6)
+    # A chunk holds a bounded number of runs, so one window sees all of them and the totals need no other shuffle.
+    inside = Window.partitionBy("trip_id", "chunk").orderBy("_from")
+    seen = runs.withColumn("_from", F.col("first.sequence")).withColumn("_prev", F.lag("last").over(inside))
+    follows = F.coalesce(F.col("_prev.sequence") + 1 == F.col("_from"), F.lit(False))
+    kept = follows & (F.col("_prev.quality") != "rejected") & (F.col("first.quality") != "rejected")
+    hop = haversine_m(F.col("_prev.latitude"), F.col("_prev.longitude"), F.col("first.latitude"), F.col("first.longitude"))
+    gap = F.when(follows, (F.col("first.micros") - F.col("_prev.micros")) / 1e6)
     zero = F.lit(0.0)
-    opened = seen.withColumns({"_hop": F.when(kept, hop), "_gap": gap, "_opens": F.when(~follows, F.col("_from"))}).drop("prev")
-    grouped = running_max(opened, ["trip_id", "chunk"], ["_from"], F.lit(0), "_opens", "_group")
+    opened = seen.withColumns({"_hop": F.when(kept, hop), "_gap": gap, "_opens": F.when(~follows, F.col("_from"))})
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    grouped = opened.withColumn("_group", F.max("_opens").over(upto))
     sums = grouped.groupBy("trip_id", "chunk", "_group").agg(
         F.min_by("first", "_from").alias("first"),
         F.max_by("last", "_from").alias("last"),
@@ -203,7 +217,7 @@ def trip_step(pause_sec: float, gap_sec: float = GAP_SEC, chunk: int = CHUNK) ->
 
     def step(batch: DataFrame, state: DataFrame, watermark: datetime | None) -> tuple[DataFrame, Outputs]:
         timely, late = _split_late(batch, "recorded_at", watermark)
-        runs = cut_lineage(joined_runs(state.unionByName(trip_islands(timely, gap_sec, chunk)), gap_sec))
+        runs = written(joined_runs(state.unionByName(point_runs(timely, chunk)), gap_sec))
         if watermark is None:
             return runs, {"trips": combine_trip_islands(runs.limit(0), gap_sec), "late": late}
         last = runs.groupBy("trip_id").agg(F.max(F.greatest("first.micros", "last.micros")).alias("_last"))

@@ -9,6 +9,7 @@ from test_streams import T0, batches, points, stream
 
 from accessgraph.operators import tracks
 from accessgraph.streaming import stateful as live
+from accessgraph.streaming.operators import combine_trip_islands, trip_islands
 from accessgraph.streaming.sinks import read_stream
 
 
@@ -109,3 +110,17 @@ def test_outbox_is_delivered_once_and_marked(spark, folder):
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 3, 4]
     marked = live.flushed(frames[0].unionByName(frames[1]), folder).collect()
     assert all(r["flushed_at"] is not None for r in marked) and [r["flushed_at"] for r in marked if r["event_id"] == 2] == [T0]
+
+
+def test_runs_are_joined_in_one_pass(spark):
+    """No plan reads the points more than once, however the steps are nested."""
+    rows = spark.createDataFrame(points(0, 40) + points(50, 55), "trip_id string, sequence long, latitude double, longitude double, horizontal_accuracy_m double, recorded_at timestamp").withColumn("quality", grade())
+    joined = live.joined_runs(live.point_runs(rows, 7))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("LogicalRDD") == 1
+    islands = trip_islands(rows, chunk=7)
+    whole = lambda runs: runs.select("trip_id", "chunk", "first.sequence", "last.sequence", "point_count", F.round("distance_m", 6), "largest_gap_sec", "good_count")
+    assert sorted(map(tuple, whole(joined).collect())) == sorted(map(tuple, whole(islands).collect()))
+    totals = combine_trip_islands(joined)
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert [tuple(r) for r in totals.select("trip_id", "point_count").collect()] == [("t", 45)]
