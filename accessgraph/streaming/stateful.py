@@ -11,13 +11,12 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accessgraph.functions.geo import haversine_m
 from accessgraph.operators.tracks import CHUNK, GAP_SEC
-from accessgraph.operators.windows import previous_row, running_max
 from accessgraph.session import cut_lineage, durable_dir, written
 from accessgraph.streaming.operators import combine_trip_islands
 from accessgraph.streaming.sinks import BATCH
@@ -113,21 +112,38 @@ SEGMENT = T.StructType(
 
 
 def joined_segments(parts: DataFrame, gap_sec: float, chunk_sec: int = 86_400) -> DataFrame:
-    """Segments that overlap or follow within the gap, as one; a trip's order is kept in chunks of time."""
-    chunk = F.floor(F.unix_seconds("started_at") / F.lit(chunk_sec))
+    """Segments that overlap or follow within the gap, as one; a trip's order is kept in chunks of time.
+
+    What starts in one chunk is joined there and written. Of each chunk only its last start and its farthest end
+    are compared with the chunks before, which tells the segments of a chunk that go on from an earlier one.
+    """
     order = ["started_at", "ended_at", "from_sequence", "to_sequence"]
-    reach = running_max(parts, ["trip_id"], order, chunk, "ended_at", "_reach")
-    seen = previous_row(reach, ["trip_id"], order, chunk, ["_reach"])
-    micros = F.timestamp_diff("MICROSECOND", F.col("prev._reach"), F.col("started_at"))
-    opens = F.when(F.coalesce(micros > gap_sec * 1e6, F.lit(True)), F.col("started_at"))
-    grouped = running_max(seen.withColumn("_opens", opens).drop("prev", "_reach"), ["trip_id"], order, chunk, "_opens", "_group")
-    return grouped.groupBy("trip_id", "_group").agg(
+    sums = (
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
         F.min("from_sequence").alias("from_sequence"),
         F.max("to_sequence").alias("to_sequence"),
         F.sum("point_count").alias("point_count"),
-    ).drop("_group")
+    )
+    group = ["trip_id", "_chunk"]
+
+    def opens(start: str, reach: str) -> Column:
+        micros = F.timestamp_diff("MICROSECOND", F.col(reach), F.col(start))
+        return F.when(F.coalesce(micros > gap_sec * 1e6, F.lit(True)), F.col(start))
+
+    chunked = parts.withColumn("_chunk", F.floor(F.unix_seconds("started_at") / F.lit(chunk_sec)))
+    inside = Window.partitionBy(*group).orderBy(*order)
+    seen = chunked.withColumn("_reach", F.max("ended_at").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = seen.withColumn("_opens", opens("started_at", "_reach"))
+    seen = seen.withColumn("_group", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = written(seen.groupBy(*group, "_group").agg(*sums).drop("_group"))
+
+    before = Window.partitionBy("trip_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = local.groupBy(*group).agg(F.max("started_at").alias("_last"), F.max("ended_at").alias("_end"))
+    ends = ends.withColumn("_reach", F.max("_end").over(before)).withColumn("_opens", opens("_last", "_reach"))
+    carried = ends.select(F.col("trip_id").alias("_trip"), F.col("_chunk").alias("_part"), "_reach", F.max("_opens").over(before).alias("_open"))
+    linked = local.join(carried, F.col("trip_id").eqNullSafe(F.col("_trip")) & (F.col("_chunk") == F.col("_part"))).withColumn("_group", F.coalesce(opens("started_at", "_reach"), "_open"))
+    return linked.groupBy("trip_id", "_group").agg(*sums).drop("_group")
 
 
 def segment_step(gap_sec: float = GAP_SEC) -> Step:
@@ -142,7 +158,7 @@ def segment_step(gap_sec: float = GAP_SEC) -> Step:
             F.max("sequence").alias("to_sequence"),
             F.count(F.lit(1)).alias("point_count"),
         )
-        joined = cut_lineage(joined_segments(state.unionByName(points), gap_sec))
+        joined = written(joined_segments(state.unionByName(points), gap_sec))
         closed = F.lit(False)
         if watermark is not None:
             closed = F.col("ended_at") + F.make_dt_interval(secs=F.lit(gap_sec)) <= F.lit(watermark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from random import Random
 
 from pyspark.sql import functions as F
 from test_streams import T0, batches, points, stream
@@ -124,3 +125,28 @@ def test_runs_are_joined_in_one_pass(spark):
     totals = combine_trip_islands(joined)
     assert totals._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert [tuple(r) for r in totals.select("trip_id", "point_count").collect()] == [("t", 45)]
+
+
+def test_segments_join_over_chunks_of_time(spark):
+    """Against a plain sweep: long segments over several chunks, rows without trip, and gaps at their limit."""
+    rng, parts = Random(5), []
+    for trip in ("a", "b", None):
+        for n in range(120):
+            start = T0 + timedelta(seconds=rng.randrange(4000))
+            parts.append((trip, start, start + timedelta(seconds=rng.choice((0, 0, 0, 3, 400))), n, n, 1))
+    want = []
+    for trip in ("a", "b", None):
+        rows, open_ = sorted(p[1:] for p in parts if p[0] == trip), None
+        for start, end, low, high, n in rows:
+            if open_ is None or (start - open_[2]).total_seconds() > 10:
+                open_ = [trip, start, end, low, high, n]
+                want.append(open_)
+            else:
+                open_[2:] = [max(open_[2], end), min(open_[3], low), max(open_[4], high), open_[5] + n]
+    by = lambda r: (str(r[0]), r[1])
+    frame = spark.createDataFrame(parts, live.SEGMENT)
+    for chunk in (7, 60, 86_400):
+        got = live.joined_segments(frame, 10, chunk).select(*live.SEGMENT.fieldNames())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1
+        assert sorted((list(r) for r in got.collect()), key=by) == sorted(want, key=by)
