@@ -7,13 +7,13 @@ each with the few edges in it; points meet them by an equality join on the cell.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
+from accessgraph.operators.open_squares import RING, closed_squares, open_samples
 from accessgraph.operators.windows import previous_row
 from accessgraph.session import cut_lineage, written
 
@@ -408,19 +408,13 @@ def straight_routes(pairs: DataFrame, warning: str = "Straight preview") -> Data
 # --- nearest water and distance to land ---------------------------------------------
 
 
-def ring_samples(points: DataFrame, first: Column, last: Column, step: float = WATER_STEP_DEG) -> DataFrame:
-    """Samples on the rings ``first`` to ``last`` around each point."""
-    radius = F.col("_ring") * F.lit(step)
-    count = F.greatest(F.lit(12), F.ceil(F.lit(2 * math.pi) * F.col("_ring")).cast("int"))
-    angle = F.col("_k") / F.col("_count") * F.lit(2 * math.pi)
-    return (
-        points.where(first <= last)
-        .withColumn("_ring", F.explode(F.sequence(first, last)))
-        .withColumn("_count", count)
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-        .withColumn("_lon", F.col("longitude") + F.cos(angle) * radius)
-        .withColumn("_lat", F.col("latitude") + F.sin(angle) * radius)
-        .drop("_count")
+def ring_samples(points: DataFrame, step: float = WATER_STEP_DEG) -> DataFrame:
+    """Places (_lon, _lat) of the numbered samples (``_sample``) around each point."""
+    ring = F.floor(F.col("_sample") / RING)
+    count = F.greatest(F.lit(12), F.ceil(F.lit(2 * math.pi) * ring).cast("int"))
+    angle = F.col("_sample") % RING / count * F.lit(2 * math.pi)
+    return points.withColumn("_lon", F.col("longitude") + F.cos(angle) * (ring * F.lit(step))).withColumn(
+        "_lat", F.col("latitude") + F.sin(angle) * (ring * F.lit(step))
     )
 
 
@@ -453,19 +447,21 @@ def nearest_water(
     key: str = "point_id",
     step: float = WATER_STEP_DEG,
     radius: float = WATER_RADIUS_DEG,
-    stages: Sequence[int] = (0, 2, 6, 14),
+    most: int = 8,
+    cover: DataFrame | None = None,
 ) -> DataFrame:
     """(key, water_lon, water_lat): the point itself on water, else the first sample of the innermost ring with water.
 
     Every position is searched once, however many points share it. It starts at
     the first ring that can leave the polygon it is deepest in and reach a cell
     that is not wholly land; without such a cell there is no water to find.
-    Rings are tried in stages from there, and a position that found water takes
-    no part in the next stage.
+    Samples in squares that lie wholly in a polygon are passed over; the next
+    ``most`` of the others meet the polygons, and a position that found no water
+    goes on from there with eight times as many, until it has no samples left.
     """
     rings = int(math.floor(radius / step + 1e-9))
     index = index_polygons(polygons)
-    cover = land_cover(index)
+    cover = land_cover(index) if cover is None else cover
     places = distinct_places(points)
     wet = cut_lineage(
         points_on_cover(places, cover, off=True).select(
@@ -475,24 +471,22 @@ def nearest_water(
     near = cut_lineage(_open_gaps(places.join(wet.select(SPOT), SPOT, "left_anti"), cover, radius))
     depths = depth_inside(near, index, polygon_edges(polygons), SPOT, radius)
     # One ring of slack keeps rounding of the depth from skipping a ring.
-    start = F.greatest(F.lit(1), F.floor(F.greatest("depth", "gap") / F.lit(step)).cast("int"))
-    left = cut_lineage(near.join(depths, SPOT).withColumn("_start", start).drop("depth", "gap"))
-    found = [wet]
-    bounds = [*stages, rings]
-    for i, outer in enumerate(bounds):
-        inner = 0 if i == 0 else bounds[i - 1] + 1
-        last = F.least(F.col("_start") + outer, F.lit(rings))
-        samples = ring_samples(left, F.col("_start") + inner, last, step)
+    start = F.greatest(F.lit(1), F.floor(F.greatest("depth", "gap") / F.lit(step))).cast("long") * RING
+    left = cut_lineage(near.join(depths, SPOT).withColumn("start", start).drop("depth", "gap"))
+    squares, found = written(closed_squares(cover, CELL_DEG)), [wet]
+    while not left.isEmpty():
+        asked = cut_lineage(open_samples(left, squares, SPOT, rings, step, CELL_DEG, most))
+        samples = ring_samples(asked.withColumn("_sample", F.explode("samples")), step)
         hit = cut_lineage(
-            points_on_cover(samples, cover, "_lon", "_lat", off=True)
+            points_on_cover(samples.select(SPOT, "_sample", "_lon", "_lat"), cover, "_lon", "_lat", off=True)
             .groupBy(SPOT)
-            .agg(F.min_by(F.struct("_lon", "_lat"), F.struct("_ring", "_k")).alias("_w"))
+            .agg(F.min_by(F.struct("_lon", "_lat"), "_sample").alias("_w"))
             .select(SPOT, F.col("_w._lon").alias("water_lon"), F.col("_w._lat").alias("water_lat"))
         )
         found.append(hit)
-        left = cut_lineage(left.join(hit.select(SPOT), SPOT, "left_anti"))
-        if left.isEmpty():
-            break
+        more = asked.where(F.size("samples") == most).withColumn("start", F.element_at("samples", -1) + 1).drop("samples")
+        left = cut_lineage(more.join(hit.select(SPOT), SPOT, "left_anti"))
+        most *= 8
     met = places.join(reduce(DataFrame.unionByName, found), SPOT, "left").drop(SPOT)
     return at_places(points, met).select(key, "water_lon", "water_lat")
 
