@@ -448,6 +448,7 @@ def nearest_water(
     step: float = WATER_STEP_DEG,
     radius: float = WATER_RADIUS_DEG,
     most: int = 8,
+    index: DataFrame | None = None,
     cover: DataFrame | None = None,
 ) -> DataFrame:
     """(key, water_lon, water_lat): the point itself on water, else the first sample of the innermost ring with water.
@@ -460,7 +461,7 @@ def nearest_water(
     goes on from there with eight times as many, until it has no samples left.
     """
     rings = int(math.floor(radius / step + 1e-9))
-    index = index_polygons(polygons)
+    index = index_polygons(polygons) if index is None else index
     cover = land_cover(index) if cover is None else cover
     places = distinct_places(points)
     wet = cut_lineage(

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
-from accessgraph.operators.spatial import nearest_water, paths_distinct, points_on_land, straight_routes
-from accessgraph.session import cut_lineage
+from accessgraph.operators.spatial import nearest_water, paths_distinct, points_on_cover, points_on_land, straight_routes
+from accessgraph.session import cut_lineage, written
 
 BLOCK = 64
 # Cost in hundredths of entering a cell, also on the wrong and on the wanted side.
@@ -27,6 +27,7 @@ SNAP_DEG, SNAP_CELLS = 0.18, 20
 BIASES = ("shortest", "north", "south")
 # Directions as bits of a cell's open sides, with the step they take.
 RIGHT, LEFT, UP, DOWN = 1, 2, 4, 8
+NEVER = 99
 STEPS = ((RIGHT, 0, 1), (LEFT, 0, -1), (UP, 1, 0), (DOWN, -1, 0))
 
 
@@ -56,17 +57,17 @@ def grid_over(bbox: tuple[float, float, float, float], step: float, pad: float =
     return WaterGrid(west, south, width / (cols - 1), height / (rows - 1), rows, cols)
 
 
-def water_cells(spark: SparkSession, grid: WaterGrid, index: DataFrame) -> DataFrame:
-    """Grid points (row, col) on water."""
+def water_cells(spark: SparkSession, grid: WaterGrid, index: DataFrame, cover: DataFrame | None = None) -> DataFrame:
+    """Grid points (row, col) on water; a cover of the index that is there already is not made again."""
     ids = spark.range(grid.rows * grid.cols)
     points = ids.select(
         F.floor(F.col("id") / grid.cols).cast("int").alias("row"), (F.col("id") % grid.cols).cast("int").alias("col")
     )
     placed = points.withColumn("longitude", grid.lon()).withColumn("latitude", grid.lat())
-    return points_on_land(placed, index, off=True)
+    return points_on_land(placed, index, off=True) if cover is None else points_on_cover(placed, cover, off=True)
 
 
-def water_links(cells: DataFrame, grid: WaterGrid, index: DataFrame) -> DataFrame:
+def water_links(cells: DataFrame, grid: WaterGrid, index: DataFrame, cover: DataFrame | None = None) -> DataFrame:
     """Links (row, col, to_row, to_col) to the right and up, clear of land at 25, 50 and 75 %."""
     here = cells.select("row", "col")
     to_right = here.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), "row", (F.col("col") - 1).alias("col"))
@@ -82,7 +83,8 @@ def water_links(cells: DataFrame, grid: WaterGrid, index: DataFrame) -> DataFram
         (grid.lat() + (grid.lat("to_row") - grid.lat()) * share).alias("latitude"),
     )
     link = ["row", "col", "to_row", "to_col"]
-    blocked = points_on_land(samples, index).select(*link).distinct()
+    land = points_on_land(samples, index) if cover is None else points_on_cover(samples, cover)
+    blocked = land.select(*link).distinct()
     return pairs.join(blocked, link, "left_anti").select(*link)
 
 
@@ -108,6 +110,7 @@ def grid_blocks(cells: DataFrame, links: DataFrame) -> DataFrame:
 
 
 FAR = np.iinfo(np.int32).max
+CELL_ID = "row int, col int, part long, leaves int"
 
 
 def _entry_costs(grid: WaterGrid, row: np.ndarray, mid_lat: float, bias: str) -> np.ndarray:
@@ -119,12 +122,16 @@ def _entry_costs(grid: WaterGrid, row: np.ndarray, mid_lat: float, bias: str) ->
     return np.where(wrong, AWAY_COST, TOWARDS_COST).astype(np.int64)
 
 
-def _layout(cells) -> np.ndarray:
-    """Open sides of the cells of a block; -1 on land."""
-    sides = np.full(BLOCK * BLOCK, -1, np.int8)
-    for cell in cells:
-        sides[cell["slot"]] = cell["sides"]
-    return sides.reshape(BLOCK, BLOCK)
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Open sides of the cells of each block, a byte each; -1 on land."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            sides = np.full(BLOCK * BLOCK, -1, np.int8)
+            for cell in r.cells:
+                sides[cell["slot"]] = cell["sides"]
+            rows.append((r.br, r.bc, sides.tobytes()))
+        yield pd.DataFrame(rows, columns=["br", "bc", "sides"])
 
 
 def _moved(values: np.ndarray, dr: int, dc: int, empty) -> np.ndarray:
@@ -136,8 +143,20 @@ def _moved(values: np.ndarray, dr: int, dc: int, empty) -> np.ndarray:
     return out
 
 
-def _spread(sides: np.ndarray, entries, enter: np.ndarray) -> np.ndarray:
-    """Least cost of every cell of a block from its entering costs, by sweeps over the whole block."""
+def _ahead(br: int, bc: int, goal_row: int, goal_col: int) -> np.ndarray:
+    """The least cost from every cell of a block to a goal."""
+    row, col = br * BLOCK + np.arange(BLOCK), bc * BLOCK + np.arange(BLOCK)
+    return (np.abs(row - goal_row)[:, None] + np.abs(col - goal_col)[None, :]).astype(np.int64) * TOWARDS_COST
+
+
+def _spread(
+    sides: np.ndarray, entries, enter: np.ndarray, ahead: np.ndarray | None = None, goal: tuple[int, int] | None = None, limit: int = int(FAR)
+) -> np.ndarray:
+    """Least cost of every cell of a block from its entering costs, by sweeps over the whole block.
+
+    With ``ahead``, cells from which a goal cannot be reached at ``limit``, or at
+    the cost it has by then as ``goal`` of this block, are left out.
+    """
     cost = np.full((BLOCK, BLOCK), FAR, np.int64)
     for m in entries:
         r, c = divmod(int(m["slot"]), BLOCK)
@@ -149,6 +168,9 @@ def _spread(sides: np.ndarray, entries, enter: np.ndarray) -> np.ndarray:
             open_cost = np.where((sides >= 0) & (sides & side > 0), cost, FAR)
             reach = _moved(open_cost, dr, dc, FAR)
             np.minimum(cost, np.where(reach < FAR, reach + enter[1:-1, None], FAR), out=cost)
+        if ahead is not None:
+            limit = limit if goal is None else min(limit, int(cost[goal]))
+            cost[cost + ahead > limit] = FAR
         if (before == cost).all():
             return cost
 
@@ -171,12 +193,12 @@ def _arrivals(sides: np.ndarray, cost: np.ndarray, enter: np.ndarray, br: int, b
 
 
 def _came(sides: np.ndarray, cost: np.ndarray, entries, enter: np.ndarray) -> np.ndarray:
-    """The least direction by which a cell is entered at its least cost; 0 at the source.
+    """The least direction by which a cell is entered at its least cost; 0 at the source, ``NEVER`` where nothing arrives.
 
     Steps inside the block and arrivals from outside count alike, so the choice
     does not depend on where blocks end.
     """
-    came = np.full((BLOCK, BLOCK), 99, np.int32)
+    came = np.full((BLOCK, BLOCK), NEVER, np.int32)
     for side, dr, dc in STEPS:
         open_cost = np.where((sides >= 0) & (sides & side > 0), cost, FAR)
         reach = _moved(open_cost, dr, dc, FAR)
@@ -196,15 +218,17 @@ def _blocks_at_work(grid: WaterGrid, final: bool):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                sides = _layout(r.cells)
+                sides = np.frombuffer(r.sides, np.int8).reshape(BLOCK, BLOCK)
                 enter = _entry_costs(grid, r.br * BLOCK + np.arange(-1, BLOCK + 1), r.mid_lat, r.bias)
-                cost = _spread(sides, r.entries, enter)
+                held = r.goal_row // BLOCK == r.br and r.goal_col // BLOCK == r.bc
+                at = (int(r.goal_row) % BLOCK, int(r.goal_col) % BLOCK) if held else None
+                ahead = _ahead(r.br, r.bc, r.goal_row, r.goal_col) if r.goal_row >= 0 else None
+                cost = _spread(sides, r.entries, enter, ahead, at, int(r.limit))
                 own = tuple(getattr(r, c) for c in (*ROUTE, "br", "bc"))
                 if final:
-                    rows.append((*own, cost.ravel().tolist(), _came(sides, cost, r.entries, enter).ravel().tolist()))
+                    rows.append((*own, cost.ravel().tolist(), _came(sides, cost, r.entries, enter).astype(np.int8).tobytes()))
                 else:
-                    held = r.goal_row // BLOCK == r.br and r.goal_col // BLOCK == r.bc
-                    goal = int(cost[int(r.goal_row) % BLOCK, int(r.goal_col) % BLOCK]) if held else int(FAR)
+                    goal = int(cost[at]) if held else int(FAR)
                     rows.append((*own, _arrivals(sides, cost, enter, r.br, r.bc), goal))
             names = [*ROUTE, "br", "bc", *(["cost", "came"] if final else ["sent", "goal"])]
             yield pd.DataFrame(rows, columns=names)
@@ -212,11 +236,62 @@ def _blocks_at_work(grid: WaterGrid, final: bool):
     return run
 
 
+def _block_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The water cells of blocks with the least cell they are linked to inside the block, and the sides on which they leave it."""
+    for pdf in batches:
+        made = []
+        for r in pdf.itertuples(index=False):
+            sides = np.frombuffer(r.sides, np.int8).reshape(BLOCK, BLOCK)
+            part = np.where(sides >= 0, np.arange(BLOCK * BLOCK).reshape(BLOCK, BLOCK), BLOCK * BLOCK)
+            while True:
+                before = part.copy()
+                for side, dr, dc in STEPS:
+                    np.minimum(part, _moved(np.where(sides & side > 0, part, BLOCK * BLOCK), dr, dc, BLOCK * BLOCK), out=part, where=sides >= 0)
+                if (before == part).all():
+                    break
+            leaves = np.zeros((BLOCK, BLOCK), np.int32)
+            leaves[:, -1] |= sides[:, -1] & RIGHT
+            leaves[-1, :] |= sides[-1, :] & UP
+            row, col = np.nonzero(sides >= 0)
+            least = part[row, col]
+            made.append(pd.DataFrame({
+                "row": row + r.br * BLOCK, "col": col + r.bc * BLOCK,
+                "part": (least // BLOCK + r.br * BLOCK).astype(np.int64) * 2**32 + least % BLOCK + r.bc * BLOCK, "leaves": leaves[row, col],
+            }))
+        if made:
+            yield pd.concat(made)
+
+
+def water_parts(blocks: DataFrame) -> DataFrame:
+    """(row, col, sea): water cells by the sea they are in; cells of one sea reach each other.
+
+    Blocks are labelled inside, and only the parts of blocks that touch each
+    other go through the rounds, in which labels also follow the labels they have.
+    """
+    layouts = blocks.select("br", "bc", "cells").mapInPandas(_layouts, "br int, bc int, sides binary")
+    cells = written(layouts.mapInPandas(_block_parts, CELL_ID))
+    to = lambda side, dr, dc: cells.where(F.col("leaves").bitwiseAND(F.lit(side)) > 0).select(
+        (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("part").alias("a")
+    )
+    met = to(RIGHT, 0, 1).unionByName(to(UP, 1, 0)).join(cells, ["row", "col"]).select("a", F.col("part").alias("b")).distinct()
+    links = written(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    seas = written(links.select(F.col("a").alias("part"), F.col("a").alias("sea")).distinct())
+    while True:
+        offered = links.join(seas, F.col("b") == F.col("part")).groupBy("a").agg(F.min("sea").alias("_o"))
+        lower = seas.join(offered, F.col("part") == F.col("a")).select("part", F.col("sea").alias("_was"), F.least("sea", "_o").alias("_to"))
+        onward = seas.select(F.col("part").alias("_to"), F.col("sea").alias("_next"))
+        merged = written(lower.join(onward, "_to").select("part", "_was", F.least("_to", "_next").alias("sea")))
+        seas = merged.select("part", "sea")
+        if merged.where(F.col("sea") != F.col("_was")).isEmpty():
+            break
+    return cells.join(seas, "part", "left").select("row", "col", F.coalesce("sea", "part").alias("sea"))
+
+
 # A route without goal has the goal (-1, -1), which no block holds.
 ROUTE = ("route_id", "mid_lat", "bias", "goal_row", "goal_col")
 PLACE = "route_id string, mid_lat double, bias string, goal_row int, goal_col int, br int, bc int"
 SENT = f"{PLACE}, sent array<struct<row:int,col:int,cost:int,came:int>>, goal int"
-STATE = f"{PLACE}, cost array<int>, came array<int>"
+STATE = f"{PLACE}, cost array<int>, came binary"
 
 
 def water_cost_distance(blocks: DataFrame, sources: DataFrame, grid: WaterGrid) -> DataFrame:
@@ -231,26 +306,35 @@ def water_cost_distance(blocks: DataFrame, sources: DataFrame, grid: WaterGrid)
     """
     key = [*ROUTE, "row", "col"]
 
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rounds go on from written tables: a checkpoint keeps the size that Catalyst guesses, and guesses multiply with every join.
+    layouts = written(blocks.select("br", "bc", "cells").mapInPandas(_layouts, "br int, bc int, sides binary"))
+
     def work(entries: DataFrame) -> DataFrame:
         slot = (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK).cast("int").alias("slot")
         placed = entries.select(*ROUTE, _block("row").alias("br"), _block("col").alias("bc"), slot, "cost", "came")
         grouped = placed.groupBy(*ROUTE, "br", "bc").agg(F.collect_list(F.struct("slot", "cost", "came")).alias("entries"))
-        return grouped.join(blocks, ["br", "bc"]).select(*ROUTE, "br", "bc", "cells", "entries")
+        limit = F.lit(int(FAR)).alias("limit")
+        if limits is not None:
+            grouped, limit = grouped.join(limits, "route_id"), "limit"
+        asked = grouped.join(layouts, ["br", "bc"]).select(*ROUTE, "br", "bc", "sides", "entries", limit)
+        # What is read says little about the work; rows are dealt over tasks, which are not merged.
+        return asked.repartition(tasks, "route_id", "br", "bc")
 
     for c in ("goal_row", "goal_col"):
         if c not in sources.columns:
             sources = sources.withColumn(c, F.lit(-1))
-    known = cut_lineage(sources.select(*key, F.lit(0).alias("cost"), F.lit(0).alias("came")).distinct())
+    known = written(sources.select(*key, F.lit(0).alias("cost"), F.lit(0).alias("came")).distinct())
     fresh, limits = known, None
     ahead = F.abs(F.col("row") - F.col("goal_row")) + F.abs(F.col("col") - F.col("goal_col"))
     while True:
         place = [*ROUTE, _block("row").alias("br"), _block("col").alias("bc")]
         touched = fresh.select(*place).distinct()
         again = known.withColumns({"br": _block("row"), "bc": _block("col")}).join(touched, [*ROUTE, "br", "bc"], "left_semi")
-        sent = cut_lineage(work(again).mapInPandas(_blocks_at_work(grid, False), SENT))
+        sent = written(work(again).mapInPandas(_blocks_at_work(grid, False), SENT))
         met = sent.select("route_id", F.col("goal").alias("limit"))
         met = met if limits is None else met.unionByName(limits)
-        limits = cut_lineage(met.groupBy("route_id").agg(F.min("limit").alias("limit")))
+        limits = written(met.groupBy("route_id").agg(F.min("limit").alias("limit")))
         offers = (
             sent.select(*ROUTE, F.explode("sent").alias("_s"))
             .select(*ROUTE, "_s.*")
@@ -259,7 +343,7 @@ def water_cost_distance(blocks: DataFrame, sources: DataFrame, grid: WaterGrid)
         )
         best = offers.groupBy(*key).agg(F.min(F.struct("cost", "came")).alias("_n"))
         held = known.select(*key, F.struct("cost", "came").alias("_o"))
-        merged = cut_lineage(
+        merged = written(
             held.join(best, key, "full").select(
                 *key, F.least("_o", "_n").alias("_b"), (F.col("_o").isNull() | (F.col("_n") < F.col("_o"))).alias("_new")
             )
@@ -292,6 +376,8 @@ def _walk():
             rows = []
             for r in pdf.itertuples(index=False):
                 row, col, cells, more = int(r.row), int(r.col), [], True
+                if r.came[(row % block) * block + col % block] == NEVER:
+                    continue
                 while True:
                     cells.append({"row": row, "col": col})
                     came = int(r.came[(row % block) * block + col % block])
@@ -311,16 +397,15 @@ def _walk():
 def trace_paths(state: DataFrame, goals: DataFrame) -> DataFrame:
     """Path pieces (route_id, piece, cells) from each goal back to its source, one block per round."""
     key = ["route_id", "br", "bc"]
-    table = state.select(*key, "came", F.col("cost").alias("_cost"))
-    at = F.element_at("_cost", (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK + 1).cast("int"))
+    # Blocks of routes compress well; they are merged, not broadcast.
+    table = state.select(*key, "came").hint("merge")
     ahead = goals.select("route_id", "row", "col", F.lit(0).alias("piece"))
     pieces = None
     while True:
-        step = cut_lineage(
+        step = written(
             ahead.withColumn("br", _block("row"))
             .withColumn("bc", _block("col"))
             .join(table, key)
-            .where(at < int(FAR))
             .select("route_id", "piece", "row", "col", "br", "bc", "came")
             .mapInPandas(_walk(), "route_id string, piece int, cells array<struct<row:int,col:int>>, row int, col int, more boolean")
         )
@@ -366,7 +451,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame, grid: WaterGrid, key: str)
 
 def plan_routes(
     pairs: DataFrame, grid: WaterGrid, cells: DataFrame, blocks: DataFrame, polygons: DataFrame, biases: Sequence[str] = BIASES,
-    no_route: str = "Straight preview, no way by water",
+    no_route: str = "Straight preview, no way by water", index: DataFrame | None = None, cover: DataFrame | None = None,
 ) -> DataFrame:
     """Alternative water routes for pairs (od_id, from_lon, from_lat, to_lon, to_lat).
 
@@ -378,7 +463,7 @@ def plan_routes(
         F.struct(F.lit(e).alias("end"), F.col(f"{e}_lon").alias("longitude"), F.col(f"{e}_lat").alias("latitude"))
         for e in ("from", "to")
     ])).alias("_e")).select(F.concat_ws("|", "od_id", "_e.end").alias("point_id"), "od_id", "_e.*")
-    shore = nearest_water(ends, polygons)
+    shore = nearest_water(ends, polygons, index=index, cover=cover)
     moved = ends.join(shore, "point_id").select(
         "point_id", "od_id", "end",
         F.coalesce("water_lon", "longitude").alias("longitude"), F.coalesce("water_lat", "latitude").alias("latitude"),
@@ -388,7 +473,11 @@ def plan_routes(
     side = lambda e: snapped.where(F.col("end") == e).select(
         "od_id", F.col("row").alias(f"{e}_row"), F.col("col").alias(f"{e}_col"), F.col("latitude").alias(f"{e}_shore")
     )
-    routed = side("from").join(side("to"), "od_id").withColumn(
+    # Ends in different seas have no way by water, and none is looked for.
+    seas = written(water_parts(blocks))
+    sea = lambda e: seas.select(F.col("row").alias(f"{e}_row"), F.col("col").alias(f"{e}_col"), F.col("sea").alias(f"_{e}"))
+    linked = side("from").join(side("to"), "od_id").join(sea("from"), ["from_row", "from_col"]).join(sea("to"), ["to_row", "to_col"])
+    routed = linked.where(F.col("_from") == F.col("_to")).drop("_from", "_to").withColumn(
         "bias", F.explode(F.array(*[F.lit(b) for b in biases]))
     ).withColumn("route_id", F.concat_ws("|", "od_id", "bias"))
     routed = cut_lineage(routed)
@@ -397,7 +486,7 @@ def plan_routes(
         ((F.col("from_shore") + F.col("to_shore")) / 2).alias("mid_lat"), "bias",
         F.col("to_row").alias("goal_row"), F.col("to_col").alias("goal_col"),
     )
-    state = cut_lineage(water_cost_distance(blocks, sources, grid))
+    state = written(water_cost_distance(blocks, sources, grid))
     goals = routed.select("route_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"))
     pieces = trace_paths(state, goals)
     # A path is one route of one pair, at most as long as the grid has cells on it.

@@ -331,8 +331,9 @@ def _(spark, sf):
 
 def _sea(spark, sf):
     index = _index(spark, sf)
-    cells = watergrid.cut_lineage(watergrid.water_cells(spark, SEA, index).select("row", "col"))
-    return cells, watergrid.cut_lineage(watergrid.grid_blocks(cells, watergrid.water_links(cells, SEA, index)))
+    cover = spatial.land_cover(index)
+    cells = watergrid.cut_lineage(watergrid.water_cells(spark, SEA, index, cover).select("row", "col"))
+    return index, cover, cells, watergrid.cut_lineage(watergrid.grid_blocks(cells, watergrid.water_links(cells, SEA, index, cover)))
 
 
 SNAP = max(watergrid.SNAP_CELLS, int(-(-watergrid.SNAP_DEG // max(SEA.dlon, SEA.dlat))))
@@ -362,7 +363,7 @@ SQL_ENTER = f"""CASE bias WHEN 'shortest' THEN {watergrid.STEP_COST}
 )
 def _(spark, sf):
     """Cost from one snapped spot per nation to all water cells it reaches, among the land of all suppliers."""
-    cells, blocks = _sea(spark, sf)
+    _, _, cells, blocks = _sea(spark, sf)
     spots = base(spark, sf, "nation").select(
         F.col("n_nationkey").cast("string").alias("route_id"),
         (F.lit(-73.0) + F.col("n_nationkey") * 2.3).alias("longitude"),
@@ -381,12 +382,12 @@ def _(spark, sf):
 @query("i17_route_alternatives")
 def _(spark, sf):
     """Routes between the supplier polygons' corners and points two degrees on."""
-    cells, blocks = _sea(spark, sf)
+    index, cover, cells, blocks = _sea(spark, sf)
     pairs = view(spark, sf, "v_land").select(
         F.col("polygon_id").cast("string").alias("od_id"), F.col("w").alias("from_lon"), F.col("s").alias("from_lat"),
         F.least(F.lit(-13.5), F.col("w") + 2.0).alias("to_lon"), (F.col("s") + 0.5).alias("to_lat"),
     )
-    routes = watergrid.plan_routes(pairs, SEA, cells, blocks, _land(spark, sf))
+    routes = watergrid.plan_routes(pairs, SEA, cells, blocks, _land(spark, sf), index=index, cover=cover)
     return routes.select("od_id", "bias", F.round("distance_m", 1).alias("distance_m"), "cell_count", "mode")
 
 

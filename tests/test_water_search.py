@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from accessgraph.operators import open_squares, spatial
+from accessgraph.operators import open_squares, spatial, watergrid
 from accessgraph.sources.features import polygon_rows
 
 RINGS = "polygon_id long, rings array<array<struct<lon:double,lat:double>>>"
@@ -94,3 +94,52 @@ def test_closed_squares_lie_wholly_in_a_polygon(spark):
                     y = (r.cy * open_squares.SIDE + bit // open_squares.SIDE + rng.random()) * size
                     assert on_land(x, y, made)
         assert len({(r.cx, r.cy) for r in rows}) == len(rows) and closed > 0.7 * 2.0 / size**2
+
+
+def sea_of(spark, wet):
+    """Blocks of a grid with water at ``wet`` (row, col), all links open."""
+    cells = spark.createDataFrame(sorted(wet), "row int, col int")
+    links = [(r, c, r + a, c + b) for r, c in wet for a, b in ((1, 0), (0, 1)) if (r + a, c + b) in wet]
+    return cells, watergrid.grid_blocks(cells, spark.createDataFrame(links, "row int, col int, to_row int, to_col int"))
+
+
+def test_seas_reach_over_blocks(spark):
+    """A snake over several blocks is one sea, and what only touches it at a corner is another."""
+    last = 3 * watergrid.BLOCK - 1
+    wet = {(r, c) for r in range(0, last, 4) for c in range(last)}
+    wet |= {(r + d, 0 if r % 8 else last - 1) for r in range(0, last - 4, 4) for d in (1, 2, 3)}
+    alone = {(2, 2), (2, 3)}
+    _, blocks = sea_of(spark, wet | alone)
+    found = {(r.row, r.col): r.sea for r in watergrid.water_parts(blocks).collect()}
+    assert found.keys() == wet | alone
+    assert len({found[c] for c in wet}) == 1 and len({found[c] for c in alone}) == 1
+    assert found[2, 2] != found[0, 0]
+
+
+def test_routes_without_a_way_are_not_spread(spark, monkeypatch):
+    """Only ends in one sea are routed, and rows of routes are dealt over the tasks."""
+    grid = watergrid.grid_over((0.0, 0.0, 4.0, 4.0), 0.1)
+    box = lambda w, s, e, n: [[(w, s), (e, s), (e, n), (w, n)]]
+    polygons = land(spark, [box(1.95, -1.0, 2.05, 5.0)])
+    index = spatial.index_polygons(polygons)
+    cells = watergrid.water_cells(spark, grid, index).select("row", "col")
+    blocks = watergrid.grid_blocks(cells, watergrid.water_links(cells, grid, index))
+    pairs = spark.createDataFrame(
+        [("over", 1.0, 1.0, 3.0, 1.0), ("west", 0.5, 0.5, 1.5, 2.5)], "od_id string, from_lon double, from_lat double, to_lon double, to_lat double"
+    )
+    spread, plain = [], watergrid.water_cost_distance
+    monkeypatch.setattr(watergrid, "water_cost_distance", lambda b, sources, g: spread.append(sources.count()) or plain(b, sources, g))
+    got = {(r.od_id, r.bias): r["mode"] for r in watergrid.plan_routes(pairs, grid, cells, blocks, polygons).collect()}
+    assert got["over", "shortest"] == "straight-fallback" and got["west", "shortest"] == "water"
+    assert spread == [len(watergrid.BIASES)]
+
+
+def test_sizes_do_not_grow_with_the_rounds(spark):
+    """A checkpoint keeps a guessed size; guesses of each round would multiply."""
+    wet = {(r, c) for r in range(4) for c in range(6 * watergrid.BLOCK)}
+    _, blocks = sea_of(spark, wet)
+    grid = watergrid.WaterGrid(0.0, 0.0, 0.1, 0.1, 4, 6 * watergrid.BLOCK)
+    sources = spark.createDataFrame([("a", 0, 0, 0.0, "shortest")], "route_id string, row int, col int, mid_lat double, bias string")
+    state = watergrid.water_cost_distance(blocks, sources, grid)
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert watergrid.cell_costs(state).agg({"cost": "max"}).first()[0] == 100 * (6 * watergrid.BLOCK - 1 + 3)
