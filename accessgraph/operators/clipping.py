@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accessgraph.functions import geo
-from accessgraph.operators.spatial import index_polygons, path_hops, points_on_land, polygon_edges
+from accessgraph.operators.spatial import ENDS, index_polygons, path_hops, points_on_land, polygon_edges
 from accessgraph.operators.windows import previous_row, running_max
 from accessgraph.session import cut_lineage
 
@@ -44,33 +44,46 @@ def _meeting_points() -> Column:
     )
 
 
-def cut_pieces(contours: DataFrame, polygons: DataFrame, key: str = "contour_id", cell: float = CUT_CELL_DEG) -> DataFrame:
-    """Pieces (key, hop, t0, t1, x1, y1, x2, y2, on_land) of lines (array of (lon, lat)) between all meetings with a shore.
+LINE = "_line"
 
-    A piece lies wholly in land or wholly in sea, so its middle decides exactly,
-    however thin the land is. Pieces shorter than ``SHORTEST_DEG`` are left out.
+
+def _line_pieces(contours: DataFrame, polygons: DataFrame, key: str, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Hops (key, hop, _line) of lines, and the pieces (_line, t0, t1, x1, y1, x2, y2, on_land) of every line once.
+
+    Hops in the same place are one line: it is cut once, however many share it.
     """
-    hops = cut_lineage(path_hops(contours, key).select(key, "hop", "x1", "y1", "x2", "y2"))
-    shore = polygon_edges(polygons).select("x1", "y1", "x2", "y2").distinct()
+    hops = cut_lineage(path_hops(contours, key).select(key, "hop", *ENDS))
+    lines = cut_lineage(hops.select(*ENDS).distinct().withColumn(LINE, F.monotonically_increasing_id()))
+    shore = polygon_edges(polygons).select(*ENDS).distinct()
     edges = _listed(shore, cell).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
     # Catalyst takes the listed edges for one row per edge; they are merged, not broadcast.
-    met = _listed(hops, cell).join(edges.hint("merge"), ["_cx", "_cy"])
-    cuts = met.select(key, "hop", F.explode(_meeting_points()).alias("t"))
-    ends = hops.select(key, "hop", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    ordered = Window.partitionBy(key, "hop").orderBy("t")
+    met = _listed(lines, cell).join(edges.hint("merge"), ["_cx", "_cy"])
+    cuts = met.select(LINE, F.explode(_meeting_points()).alias("t"))
+    ends = lines.select(LINE, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    ordered = Window.partitionBy(LINE).orderBy("t")
     spans = cuts.unionByName(ends).distinct().withColumn("t1", F.lead("t").over(ordered)).where(F.col("t1").isNotNull())
-    pieces = spans.withColumnRenamed("t", "t0").join(hops, [key, "hop"])
+    pieces = spans.withColumnRenamed("t", "t0").join(lines, LINE)
     x = lambda t: F.col("x1") + (F.col("x2") - F.col("x1")) * t
     y = lambda t: F.col("y1") + (F.col("y2") - F.col("y1")) * t
     middle = (F.col("t0") + F.col("t1")) / 2
     placed = pieces.select(
-        key, "hop", "t0", "t1", *[f(F.col(t)).alias(f"{n}{i}") for i, t in ((1, "t0"), (2, "t1")) for n, f in (("x", x), ("y", y))],
+        LINE, "t0", "t1", *[f(F.col(t)).alias(f"{n}{i}") for i, t in ((1, "t0"), (2, "t1")) for n, f in (("x", x), ("y", y))],
         x(middle).alias("longitude"), y(middle).alias("latitude"),
     )
     placed = cut_lineage(placed.where(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > SHORTEST_DEG))
-    land = points_on_land(placed, index_polygons(polygons)).select(key, "hop", "t0").withColumn("on_land", F.lit(True))
-    flagged = placed.drop("longitude", "latitude").join(land, [key, "hop", "t0"], "left")
-    return flagged.withColumn("on_land", F.coalesce("on_land", F.lit(False)))
+    land = points_on_land(placed, index_polygons(polygons)).select(LINE, "t0").withColumn("on_land", F.lit(True))
+    flagged = placed.drop("longitude", "latitude").join(land, [LINE, "t0"], "left")
+    return hops.hint("merge").join(lines, ENDS).select(key, "hop", LINE), flagged.withColumn("on_land", F.coalesce("on_land", F.lit(False)))
+
+
+def cut_pieces(contours: DataFrame, polygons: DataFrame, key: str = "contour_id", cell: float = CUT_CELL_DEG) -> DataFrame:
+    """Pieces (key, hop, t0, t1, x1, y1, x2, y2, on_land) of lines (array of (lon, lat)) between all meetings with a shore.
+
+    A piece lies wholly in land or wholly in sea, so its middle decides exactly,
+    however thin the land is. Pieces shorter than ``SHORTEST_DEG`` are left out.
+    """
+    hops, pieces = _line_pieces(contours, polygons, key, cell)
+    return hops.join(pieces, LINE).drop(LINE)
 
 
 def clip_lines(contours: DataFrame, polygons: DataFrame, key: str = "contour_id", cell: float = CUT_CELL_DEG) -> DataFrame:
