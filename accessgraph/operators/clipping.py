@@ -111,4 +111,6 @@ def line_vertices(pieces: DataFrame, key: str = "contour_id") -> DataFrame:
 def land_lengths(contours: DataFrame, polygons: DataFrame, key: str = "contour_id") -> DataFrame:
     """(key, on_land_m): how many metres of each line lie on land; lines without any are left out."""
     metres = geo.haversine_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
-    return cut_pieces(contours, polygons, key).where("on_land").groupBy(key).agg(F.sum(metres).alias("on_land_m"))
+    hops, pieces = _line_pieces(contours, polygons, key, CUT_CELL_DEG)
+    per_line = pieces.where("on_land").groupBy(LINE).agg(F.sum(metres).alias("_m"))
+    return hops.join(per_line, LINE).groupBy(key).agg(F.sum("_m").alias("on_land_m"))

@@ -40,3 +40,14 @@ def test_equal_hops_are_cut_once(spark, land, drawn, listed):
     assert [len({r.part for r in kept if r.contour_id == i}) for i in (0, 1)] == [2, 3]
     # The two places, and the hop without coordinates.
     assert listed() == [3]
+
+
+def test_lengths_are_summed_per_place(spark, land, drawn, listed, monkeypatch):
+    """Metres are added up per place before they meet the lines."""
+    frame, grouped = type(drawn), []
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c, real=frame.groupBy: grouped.append(c) or real(self, *c))
+    got = {r.contour_id: r.on_land_m for r in clipping.land_lengths(drawn, land).collect()}
+    assert got.keys() == set(range(10)) and listed() == [3]
+    assert len({round(got[i], 6) for i in range(0, 10, 2)}) == 1
+    assert all(got[i] == pytest.approx(2 * got[0]) for i in range(1, 10, 2))
+    assert grouped.index((clipping.LINE,)) < grouped.index(("contour_id",))
